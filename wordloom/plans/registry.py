@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_text, text_queries as tq
+from . import oracle_text, oracle_vectors, text_queries as tq, vector_queries as vq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +29,19 @@ def queries() -> dict[str, Query]:
         "c5_encode": tq.c5_encode,
         "c6_token_count": tq.c6_token_count,
         "j1_vocab_lookup": tq.j1_vocab_lookup,
+        "b9_vector_health": vq.b9_vector_health,
+        "d4_l2_normalize": vq.d4_l2_normalize,
+        "d5_layer_norm": vq.d5_layer_norm,
+        "d6_linear_projection": vq.d6_linear_projection,
+        "d7_q8_quantize": vq.d7_q8_quantize,
+        "d8_parity_report": vq.d8_parity_report,
+        "d9_pair_cosine_drift": vq.d9_pair_cosine_drift,
+        "s3_vector_head": vq.s3_vector_head,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql.update(oracle_text.SQL)
+    sql.update(oracle_vectors.SQL)
     return sql
