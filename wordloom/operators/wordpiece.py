@@ -128,20 +128,24 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
         F.when(ok, F.col("_st.ids")).otherwise(F.array(F.lit(info.unk_id))).alias("piece_ids"))
 
 
-def chunk_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+def _ids(id_col) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def chunk_table(docs: DataFrame, text_col: str = "text", id_col="doc_id",
                 carry: Sequence[str] = (), clip: int | None = None,
                 max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """C1 exploded: ``(id, *carry, pos, word)``; documents without chunks keep
+    """C1 exploded: ``(*ids, *carry, pos, word)``; documents without chunks keep
     one row with null ``pos``/``word`` so they are not lost."""
     text = F.col(text_col)
     if clip is not None:
         text = clip_chars(text, clip)
-    return docs.select(F.col(id_col), *carry,
+    return docs.select(*_ids(id_col), *carry,
                        F.posexplode_outer(basic_tokenize(text, max_chunks)).alias("pos", "word"))
 
 
 def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
-             id_col: str = "doc_id", carry: Sequence[str] = (), clip: int | None = None,
+             id_col="doc_id", carry: Sequence[str] = (), clip: int | None = None,
              info: VocabInfo | None = None, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """``(id, *carry, body_tokens array<string>, body_ids array<int>)``:
     pieces of all (first ``max_chunks``) chunks, in order, without CLS/SEP."""
@@ -150,12 +154,13 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     distinct_words = chunks.where(F.col("word").isNotNull()).select("word").distinct()
     seg = segment_words(distinct_words, vocab, info)
     joined = chunks.join(seg, "word", "left")
-    grouped = joined.groupBy(id_col, *carry).agg(
+    ids = _ids(id_col)
+    grouped = joined.groupBy(*ids, *carry).agg(
         F.array_sort(F.collect_list(
             F.when(F.col("pos").isNotNull(),
                    F.struct("pos", "pieces", "piece_ids")))).alias("_parts"))
     return grouped.select(
-        id_col, *carry,
+        *ids, *carry,
         F.flatten(F.transform("_parts", lambda x: x["pieces"])).alias("body_tokens"),
         F.flatten(F.transform("_parts", lambda x: x["piece_ids"])).alias("body_ids"))
 
@@ -203,12 +208,13 @@ def token_count(encoded: DataFrame) -> Column:
     return F.coalesce(F.size(F.col("ids")), F.lit(0))
 
 
-def token_table(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """C4: one row per token: ``(id, pos, token, token_id)``."""
+def token_table(encoded: DataFrame, id_col="doc_id") -> DataFrame:
+    """C4: one row per token: ``(*ids, pos, token, token_id)``."""
+    ids = _ids(id_col)
     return encoded.where(F.col("ids").isNotNull()).select(
-        id_col, F.posexplode(F.arrays_zip(F.col("tokens").alias("token"),
+        *ids, F.posexplode(F.arrays_zip(F.col("tokens").alias("token"),
                                           F.col("ids").alias("token_id"))).alias("pos", "t")
-    ).select(id_col, "pos", F.col("t.token").alias("token"), F.col("t.token_id").alias("token_id"))
+    ).select(*ids, "pos", F.col("t.token").alias("token"), F.col("t.token_id").alias("token_id"))
 
 
 def validate_ids(df: DataFrame, vocab_rows: int, ids_col: str = "ids",

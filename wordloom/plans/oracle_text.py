@@ -32,11 +32,17 @@ words0 AS (
   FROM vocab
 )"""
 
-SEG_CTE = VOCAB_CTE + f""",
-dchunks AS (
-  SELECT doc_id, lang, ({CHUNKS_ALL})[1:512] AS chunks FROM documents
+DOC_TEXTS = "SELECT doc_id AS tid, lang, text FROM documents"
+
+
+def seg_cte(texts_sql: str = DOC_TEXTS) -> str:
+    """Vocabulary + WordPiece + encode over ``texts_sql`` -> (tid, lang, text)."""
+    return VOCAB_CTE + f""",
+texts AS ({texts_sql}
+), dchunks AS (
+  SELECT tid, lang, ({CHUNKS_ALL})[1:512] AS chunks FROM texts
 ), occ AS (
-  SELECT doc_id, lang, unnest(chunks) AS word, unnest(generate_series(1, len(chunks))) AS pos FROM dchunks
+  SELECT tid, lang, unnest(chunks) AS word, unnest(generate_series(1, len(chunks))) AS pos FROM dchunks
 ), words AS (
   SELECT DISTINCT word FROM occ
 ), starts AS (
@@ -62,18 +68,21 @@ dchunks AS (
          coalesce(k.toks, ['[UNK]']) AS pieces
   FROM words wd LEFT JOIN (SELECT word, ids, toks FROM walk WHERE nxt = length(word) + 1) k USING (word)
 ), body AS (
-  SELECT o.doc_id, o.lang,
+  SELECT o.tid, o.lang,
          flatten(list(s.piece_ids ORDER BY o.pos)) AS body_ids,
          flatten(list(s.pieces ORDER BY o.pos)) AS body_toks
   FROM occ o JOIN seg s USING (word)
-  GROUP BY o.doc_id, o.lang
+  GROUP BY o.tid, o.lang
 ), enc AS (
-  SELECT doc_id, lang, len(body_ids) AS n_body, len(body_ids) > 510 AS truncated,
+  SELECT tid, tid AS doc_id, lang, len(body_ids) AS n_body, len(body_ids) > 510 AS truncated,
          [(SELECT cls FROM vinfo)] || body_ids[1:510] || [(SELECT sep FROM vinfo)] AS ids,
          ['[CLS]'] || body_toks[1:510] || ['[SEP]'] AS toks
   FROM body
 )"""
 
+
+SEG_CTE = seg_cte()
+
 SQL = {
     "flagship_tokens_per_lang": f"""
 WITH RECURSIVE {SEG_CTE}
@@ -114,7 +123,7 @@ FROM seg""",
 
     "c3_tokenize": f"""
 WITH RECURSIVE {SEG_CTE}
-SELECT doc_id, CAST(len(body_toks) AS BIGINT) AS n_body, array_to_string(body_toks, ' ') AS body FROM body""",
+SELECT tid AS doc_id, CAST(len(body_toks) AS BIGINT) AS n_body, array_to_string(body_toks, ' ') AS body FROM body""",
 
     "c4_token_table": f"""
 WITH RECURSIVE {SEG_CTE}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_text, oracle_vectors, text_queries as tq, vector_queries as vq
+from . import oracle_service, oracle_text, oracle_vectors
+from . import service_queries as sq
+from . import text_queries as tq
+from . import vector_queries as vq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +40,20 @@ def queries() -> dict[str, Query]:
         "d8_parity_report": vq.d8_parity_report,
         "d9_pair_cosine_drift": vq.d9_pair_cosine_drift,
         "s3_vector_head": vq.s3_vector_head,
+        "f1_ragged_offsets": sq.f1_ragged_offsets,
+        "f2_fixed_batches": sq.f2_fixed_batches,
+        "f3_batch_tokens": sq.f3_batch_tokens,
+        "f4_length_buckets": sq.f4_length_buckets,
+        "b7_batch_reject": sq.b7_batch_reject,
+        "a2_request_explode": sq.a2_request_explode,
+        "b1_empty_request": sq.b1_empty_request,
+        "e1_usage_totals": sq.e1_usage_totals,
+        "s2_restore_order": sq.s2_restore_order,
+        "e3_latency_summary": sq.e3_latency_summary,
+        "e4_latency_by_class": sq.e4_latency_by_class,
+        "e5_throughput_by_level": sq.e5_throughput_by_level,
+        "e6_batch_throughput": sq.e6_batch_throughput,
+        "s1_sorted_latencies": sq.s1_sorted_latencies,
     }
 
 
@@ -44,4 +61,5 @@ def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql.update(oracle_text.SQL)
     sql.update(oracle_vectors.SQL)
+    sql.update(oracle_service.SQL)
     return sql
