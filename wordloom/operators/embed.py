@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .batching import balance_by_length
 from .encoder_math import ModelConfig, check_weights, encode_same_length, seeded_weights
 
@@ -116,6 +117,7 @@ def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids
     ``mapInPandas`` is an optimisation barrier, so only the key and id columns
     cross into Python.
     """
+    ship_package(encoded.sparkSession)
     id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
     narrow = encoded.select(*id_cols, F.col(ids_col).alias("_ids"),
                             F.size(ids_col).alias("_n"))

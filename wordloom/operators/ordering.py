@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint
+from ..session import checkpoint, ship_package
 
 _PID = "_wl_pid"
 _LIDX = "_wl_lidx"
@@ -68,6 +68,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = list(keys), list(order)
     spark = df.sparkSession
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = keys + order
     staged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)

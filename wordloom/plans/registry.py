@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_service, oracle_text, oracle_vectors
+from . import oracle_model, oracle_service, oracle_text, oracle_vectors
+from . import model_queries as mq
 from . import service_queries as sq
 from . import text_queries as tq
 from . import vector_queries as vq
@@ -54,6 +55,13 @@ def queries() -> dict[str, Query]:
         "e5_throughput_by_level": sq.e5_throughput_by_level,
         "e6_batch_throughput": sq.e6_batch_throughput,
         "s1_sorted_latencies": sq.s1_sorted_latencies,
+        "j2_token_embeddings": mq.j2_token_embeddings,
+        "d3_first_token_pool": mq.d3_first_token_pool,
+        "d1_embed_documents": mq.d1_embed_documents,
+        "d2_embed_ids": mq.d2_embed_ids,
+        "a6_embedding_sink": mq.a6_embedding_sink,
+        "e2_response_assembly": mq.e2_response_assembly,
+        "a7_response_json": mq.a7_response_json,
     }
 
 
@@ -62,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle_text.SQL)
     sql.update(oracle_vectors.SQL)
     sql.update(oracle_service.SQL)
+    sql.update(oracle_model.SQL)
     return sql

@@ -77,3 +77,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for intermediate tables."""
     base = shared_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wordloom`` importable in Python workers (``mapInPandas`` and
+    UDF code refers to it): zip the package once per application and hand it
+    to ``addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = shared_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local or not os.path.isdir(local):
+        local = tempfile.mkdtemp(prefix="wordloom-code-")  # driver-side staging for addPyFile only
+    target = os.path.join(local, f"wordloom-{app}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)

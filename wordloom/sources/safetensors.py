@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import REQUIRED_MODEL_FILES
+from ..session import ship_package
 
 HEADER_SCHEMA = "map<string,struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>>"
 _DTYPES = {"F32": "<f4", "F16": "<f2", "F64": "<f8", "I32": "<i4", "I64": "<i8", "I8": "i1", "U8": "u1"}
@@ -82,6 +83,7 @@ def weight_rows(spark: SparkSession, path: str, names: Sequence[str] | None = No
     Each file is handled by one task (binaryFile holds a file in one row)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors")
              .option("recursiveFileLookup", "true").load(path))
+    ship_package(spark)
     cat = catalogue(files)
     if names is not None:
         found = {r["name"] for r in cat.where(F.col("name").isin(list(names))).select("name").collect()}
