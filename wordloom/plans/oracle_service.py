@@ -104,3 +104,21 @@ SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY valu
        event_id, value
 FROM events""",
 }
+
+SQL["h2_size_or_time_batches"] = """
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+         count(*) OVER (PARTITION BY user_id) AS n
+  FROM events
+), nx AS (
+  SELECT a.user_id, a.i, a.n,
+         least(a.i + 8, (SELECT count(*) FROM ev b WHERE b.user_id = a.user_id AND b.t < a.t + 10800000000)) AS e
+  FROM ev a
+), chain(user_id, s, e, b) AS (
+  SELECT user_id, i, e, 0 FROM nx WHERE i = 0
+  UNION ALL
+  SELECT c.user_id, x.i, x.e, c.b + 1 FROM chain c JOIN nx x ON x.user_id = c.user_id AND x.i = c.e
+)
+SELECT ev.user_id, ev.event_id, CAST(c.b AS BIGINT) AS batch_no, CAST(ev.i - c.s AS BIGINT) AS pos_in_batch
+FROM ev JOIN chain c ON c.user_id = ev.user_id AND ev.i >= c.s AND ev.i < c.e"""

@@ -140,3 +140,16 @@ def s1_sorted_latencies(spark, sf):
     ev = _events(spark, sf).select("event_type", "value", "event_id")
     r = ordered_index(ev, ["event_type"], ["value", "event_id"], name="rank")
     return r.select("event_type", F.col("rank").cast("long").alias("rank"), "event_id", "value")
+
+
+# ---------------------------------------------------------------- streaming batcher
+
+H2_WAIT_US = 3 * 3600 * 1_000_000   # 3 hours between events of a user
+H2_SIZE = 8
+
+
+def h2_size_or_time_batches(spark, sf):
+    from ..streaming.batcher import assign_batches
+    b = assign_batches(_events(spark, sf), "user_id", "event_id", "ts", H2_WAIT_US, H2_SIZE)
+    return b.select(F.col("key").alias("user_id"), F.col("item_id").alias("event_id"),
+                    "batch_no", F.col("pos_in_batch").cast("long").alias("pos_in_batch"))
