@@ -30,11 +30,12 @@ _TOKENIZERS: dict[int, PyWordPiece] = {}
 
 
 def _tokenizer(bc) -> PyWordPiece:
-    tk = _TOKENIZERS.get(bc.id)
+    key = id(bc)  # one Broadcast object per id in a worker process
+    tk = _TOKENIZERS.get(key)
     if tk is None:
         tk = PyWordPiece(bc.value)
         _TOKENIZERS.clear()
-        _TOKENIZERS[bc.id] = tk
+        _TOKENIZERS[key] = tk
     return tk
 
 

@@ -70,7 +70,7 @@ def load_model(spark: SparkSession, model_dir: str, cfg: ModelConfig) -> Model:
 
 
 def _weights(bc) -> dict[str, np.ndarray]:
-    key = bc.id if hasattr(bc, "id") else id(bc)
+    key = id(bc)  # one Broadcast object per id in a worker process
     w = _WORKER_CACHE.get(key)
     if w is None:
         w = bc.value
