@@ -160,3 +160,5 @@ WITH RECURSIVE {SEG_CTE}
 SELECT w.word, CAST(coalesce(v.id, (SELECT unk FROM vinfo)) AS BIGINT) AS token_id
 FROM words w LEFT JOIN vocab v ON v.token = w.word""",
 }
+
+SQL["h1_stream_tokenize"] = SQL["c6_token_count"]

@@ -92,3 +92,8 @@ SELECT vec_id, next_id, round(c32, 6) AS cos_f32, round(c8, 6) AS cos_q8, round(
     "s3_vector_head": f"""
 SELECT vec_id, {_fmt('embedding[1:8]')} AS head8 FROM embeddings""",
 }
+
+SQL["j3_baseline_join"] = f"""
+SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim_a, CAST(len(d) AS BIGINT) AS dim_b,
+       round({_dot('embedding', 'd')}, 6) AS dot
+FROM (SELECT vec_id, embedding, {_deq(_q8('embedding'))} AS d FROM embeddings)"""

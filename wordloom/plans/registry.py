@@ -33,6 +33,8 @@ def queries() -> dict[str, Query]:
         "c5_encode": tq.c5_encode,
         "c6_token_count": tq.c6_token_count,
         "j1_vocab_lookup": tq.j1_vocab_lookup,
+        "h1_stream_tokenize": tq.h1_stream_tokenize,
+        "j3_baseline_join": vq.j3_baseline_join,
         "b9_vector_health": vq.b9_vector_health,
         "d4_l2_normalize": vq.d4_l2_normalize,
         "d5_layer_norm": vq.d5_layer_norm,

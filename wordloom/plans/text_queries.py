@@ -133,3 +133,20 @@ def j1_vocab_lookup(spark, sf):
     side = F.broadcast(side) if info.broadcastable else side
     return words.join(side, "word", "left").select(
         "word", F.coalesce(F.col("id"), F.lit(info.unk_id)).cast("long").alias("token_id"))
+
+
+def h1_stream_tokenize(spark, sf):
+    """H1: the documents file read as a stream (one file per trigger), the
+    same tokenise/encode per micro-batch, written to the shared folder."""
+    from ..session import scratch_path
+    from ..streaming.pipeline import start_tokenize_stream
+    v, info = vocab(spark, sf)
+    stream = (spark.readStream.schema(table(spark, sf, "documents").schema)
+              .option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1)
+              .parquet(sf))
+    out, dead, ck = (scratch_path(spark, n) for n in ("h1-out", "h1-dead", "h1-ckpt"))
+    q = start_tokenize_stream(stream, v, info, out, dead, ck, policy="truncate")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(out).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))

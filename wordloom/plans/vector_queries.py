@@ -79,3 +79,13 @@ def d9_pair_cosine_drift(spark, sf):
 def s3_vector_head(spark, sf):
     e = _emb(spark, sf)
     return e.select("vec_id", V.fmt(V.head("embedding", 8)).alias("head8"))
+
+
+def j3_baseline_join(spark, sf):
+    """Vectors joined to their baseline (here: their Q8_0 round trip) by id,
+    component-wise dot product and lengths on both sides."""
+    e = _emb(spark, sf)
+    base = quantize_table(e).select("vec_id", V.q8_dequantize("q8").alias("b"))
+    j = e.select("vec_id", F.col("embedding").alias("a")).join(base, "vec_id")
+    return j.select("vec_id", F.size("a").cast("long").alias("dim_a"), F.size("b").cast("long").alias("dim_b"),
+                    F.round(V.dot("a", "b"), 6).alias("dot"))
