@@ -6,9 +6,10 @@ Plan (all Catalyst, no Python):
   3. candidates (start s, length l) with l bounded by the vocabulary's longest
      token, ``##``-prefixed when s > 1, probed against the vocabulary with a
      broadcast join (the vocabulary is size-checked; shuffle join beyond)
-  4. longest match per (word, s) -> map s -> (l, id, token)
-  5. greedy walk with ``aggregate`` over the word's positions; any gap turns the
-     whole word into ``[UNK]``
+  4. all hits of a word in one list sorted by (start, longest first)
+  5. greedy walk with ``aggregate`` over that list: take the longest hit at the
+     current position; a position without a hit turns the whole word into
+     ``[UNK]``
   6. join the segmentation back to the chunk occurrences (AQE splits a hot
      word's partition; converts to a broadcast join when the table is small)
   7. regroup per document in chunk order (a document has at most 512 chunks)
@@ -30,9 +31,12 @@ from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
                          MAX_CHUNKS, MAX_SEQ, SEP_FALLBACK_ID, SEP_TOKEN,
                          UNK_FALLBACK_ID, UNK_TOKEN)
 from ..functions.text import basic_tokenize, clip_chars
+from ..session import checkpoint, compute_partitions, spread
 
 # A vocabulary above this many rows is joined by shuffle instead of broadcast.
 VOCAB_BROADCAST_MAX_ROWS = 2_000_000
+# A word segmentation table above this many rows is joined by shuffle.
+SEG_BROADCAST_MAX_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -83,6 +87,9 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     """
     info = info or vocab_info(vocab)
     L = max(info.max_token_chars, 1)
+    # the distinct-word table is small in bytes but expands ~len*L fold below:
+    # pin its partition count so AQE cannot coalesce the expansion into one task
+    words = words.repartition(compute_partitions(words.sparkSession), word_col)
     w = F.col(word_col)
     n = F.length(w)
     starts = words.select(w.alias("word"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
@@ -94,33 +101,33 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
              .withColumn("_cand", F.concat(
                  F.when(F.col("s") > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
                  F.substring("word", F.col("s"), F.col("l")))))
-    hits = cands.join(_vocab_side(vocab, info), "_cand", "inner")
-    longest = (hits.groupBy("word", "s")
-               .agg(F.max(F.struct(F.col("l"), F.col("_vid").alias("id"),
-                                   F.col("_cand").alias("tok"))).alias("m")))
-    maps = longest.groupBy("word").agg(
-        F.map_from_entries(F.collect_list(F.struct("s", "m"))).alias("mp"))
-
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.try_element_at(F.col("mp"), i)
-        take = acc["ok"] & (i == acc["nxt"])
-        return (F.when(take & hit.isNull(),
-                       F.struct(acc["nxt"].alias("nxt"), F.lit(False).alias("ok"),
-                                acc["ids"].alias("ids"), acc["toks"].alias("toks")))
-                .when(take,
-                      F.struct((i + hit["l"]).alias("nxt"), F.lit(True).alias("ok"),
-                               F.concat(acc["ids"], F.array(hit["id"])).alias("ids"),
-                               F.concat(acc["toks"], F.array(hit["tok"])).alias("toks")))
+    # left join keeps the first candidate of every word, so a word without any
+    # hit is still present; no union, so the word partitioning is kept and the
+    # per-word aggregate below needs no exchange
+    hits = (cands.join(_vocab_side(vocab, info), "_cand", "left")
+            .where(F.col("_vid").isNotNull() | ((F.col("s") == 1) & (F.col("l") == 1))))
+    # every vocabulary hit of a word, sorted by (start, longest first)
+    entry = F.when(F.col("_vid").isNotNull(), F.struct(
+        F.col("s"), (-F.col("l")).alias("nl"), F.col("l"),
+        F.col("_vid").alias("id"), F.col("_cand").alias("tok")))
+    grouped = hits.groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("hs"))
+
+    def step(acc: Column, e: Column) -> Column:
+        # take the longest hit at the current position, skip hits inside the
+        # piece just taken, fail when the current position has no hit
+        return (F.when(acc["ok"] & (e["s"] == acc["nxt"]),
+                       F.struct((e["s"] + e["l"]).alias("nxt"), F.lit(True).alias("ok"),
+                                F.concat(acc["ids"], F.array(e["id"])).alias("ids"),
+                                F.concat(acc["toks"], F.array(e["tok"])).alias("toks")))
+                .when(acc["ok"] & (e["s"] > acc["nxt"]),
+                      F.struct(acc["nxt"].alias("nxt"), F.lit(False).alias("ok"),
+                               acc["ids"].alias("ids"), acc["toks"].alias("toks")))
                 .otherwise(acc))
 
     init = F.struct(F.lit(1).alias("nxt"), F.lit(True).alias("ok"),
                     F.array().cast("array<int>").alias("ids"),
                     F.array().cast("array<string>").alias("toks"))
-    walked = (words.select(w.alias("word"))
-              .join(maps, "word", "left")
-              .withColumn("_st", F.when(
-                  F.col("mp").isNotNull(),
-                  F.aggregate(F.sequence(F.lit(1), F.length("word")), init, step))))
+    walked = grouped.withColumn("_st", F.aggregate("hs", init, step))
     ok = F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1)
     return walked.select(
         F.col("word").alias(word_col),
@@ -140,6 +147,8 @@ def chunk_table(docs: DataFrame, text_col: str = "text", id_col="doc_id",
     text = F.col(text_col)
     if clip is not None:
         text = clip_chars(text, clip)
+    if not docs.isStreaming:
+        docs = spread(docs.select(*_ids(id_col), *carry, text_col))
     return docs.select(*_ids(id_col), *carry,
                        F.posexplode_outer(basic_tokenize(text, max_chunks)).alias("pos", "word"))
 
@@ -148,13 +157,32 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
              id_col="doc_id", carry: Sequence[str] = (), clip: int | None = None,
              info: VocabInfo | None = None, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """``(id, *carry, body_tokens array<string>, body_ids array<int>)``:
-    pieces of all (first ``max_chunks``) chunks, in order, without CLS/SEP."""
+    pieces of all (first ``max_chunks``) chunks, in order, without CLS/SEP.
+
+    The segmentation of the distinct words is checkpointed and counted.  When
+    it has at most ``SEG_BROADCAST_MAX_ROWS`` rows it is broadcast and the
+    (clipped) documents are hash-partitioned by id once, so the per-document
+    regroup needs no further exchange.  Beyond that bound the chunk
+    occurrences are joined by shuffle (AQE splits hot words) and regrouped.
+    """
     info = info or vocab_info(vocab)
+    ids = _ids(id_col)
     chunks = chunk_table(docs, text_col, id_col, carry, clip, max_chunks)
     distinct_words = chunks.where(F.col("word").isNotNull()).select("word").distinct()
     seg = segment_words(distinct_words, vocab, info)
-    joined = chunks.join(seg, "word", "left")
-    ids = _ids(id_col)
+    small = False
+    if not docs.isStreaming:
+        seg = checkpoint(seg)
+        small = seg.count() <= SEG_BROADCAST_MAX_ROWS
+    if small:
+        text = F.col(text_col) if clip is None else clip_chars(text_col, clip)
+        by_doc = docs.select(*ids, *carry, text.alias("_text")).repartition(
+            compute_partitions(docs.sparkSession), *ids)
+        occ = by_doc.select(*ids, *carry, F.posexplode_outer(
+            basic_tokenize(F.col("_text"), max_chunks)).alias("pos", "word"))
+        joined = occ.join(F.broadcast(seg), "word", "left")
+    else:
+        joined = chunks.join(seg, "word", "left")
     grouped = joined.groupBy(*ids, *carry).agg(
         F.array_sort(F.collect_list(
             F.when(F.col("pos").isNotNull(),

@@ -105,3 +105,25 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores
+    (e.g. one large row group).  A scan over many files already has enough
+    splits and is returned unchanged, so no shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partition count for compute-heavy stages that follow a byte-small
+    shuffle: AQE coalesces such shuffles by bytes and would serialise the
+    work; ``repartition(n)`` is never coalesced.  The count differs from
+    ``spark.sql.shuffle.partitions`` on purpose: an aggregate's own exchange
+    already hashes by the same key into that many partitions, and the planner
+    would drop an identical repartition."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+    return n + 1 if n == shuffle else n

@@ -12,7 +12,7 @@ from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
                          SEP_TOKEN, UNK_FALLBACK_ID, UNK_TOKEN)
 from ..functions.text import basic_tokenize, characters, clip_chars
 from ..operators.ordering import ordered_index
-from ..session import checkpoint
+from ..session import checkpoint, spread
 
 
 def vocab_from_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
@@ -49,7 +49,7 @@ def fixture_vocab(documents: DataFrame, char_min: int = 20, word_min: int = 30)
     chunk seen at least ``word_min`` times; distinct; id = 102 + rank by token
     in binary order; ``[UNK]`` 100, ``[CLS]`` 101, ``[SEP]`` 102.
     """
-    words = documents.select(
+    words = spread(documents.select("text")).select(
         F.explode(basic_tokenize(clip_chars("text"), MAX_CHUNKS)).alias("w"))
     frequent_words = (words.groupBy("w").count()
                       .where(F.col("count") >= word_min).select(F.col("w").alias("token")))
