@@ -13,8 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .ordering import ordered_index
 
+# per-group statistics above this many groups are joined by shuffle
+GROUP_STATS_BROADCAST_MAX_ROWS = 1_000_000
+
 
 def micros_since_epoch(ts_col: str) -> Column:
     """Microseconds of a TIMESTAMP_NTZ (independent of the session time zone)."""
@@ -25,8 +29,9 @@ def rank_summary(samples: DataFrame, keys: Sequence[str], value_col: str,
                  tiebreak: Sequence[str]) -> DataFrame:
     """Per group n, mean, p50, p99 (rank rule above)."""
     keys = list(keys)
-    stats = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                       F.avg(value_col).alias("mean"))
+    stats = broadcast_if_small(
+        samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean")),
+        GROUP_STATS_BROADCAST_MAX_ROWS)
     ranked = ordered_index(samples.select(*keys, value_col, *tiebreak), keys,
                            [value_col, *tiebreak], name="_rank")
     n = F.col("n")

@@ -127,3 +127,13 @@ def compute_partitions(spark: SparkSession) -> int:
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(shuffle, 2 * spark.sparkContext.defaultParallelism)
     return n + 1 if n == shuffle else n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only behind a checked bound: it is checkpointed (so the
+    count and the join read the same, already computed rows) and counted;
+    above ``max_rows`` it is returned as is for a shuffle join, where AQE can
+    still split a skewed key."""
+    from pyspark.sql import functions as F
+    frozen = checkpoint(df)
+    return F.broadcast(frozen) if frozen.count() <= max_rows else frozen

@@ -45,33 +45,42 @@ def assign_batches(items: DataFrame, key: str, item_id: str, ts: str,
     base = items.select(F.col(key).alias("k"), F.col(item_id).alias("item"),
                         micros_since_epoch(ts).alias("t"))
     pos = checkpoint(ordered_index(base, ["k"], ["t", "item"], name="i"))
-    n_key = pos.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
     # far(i): values ordered before the probe t_i + wait (ties: probe first)
     probes = pos.select("k", (F.col("t") + F.lit(wait_us)).alias("t"), F.lit(0).alias("kind"), "i")
     values = pos.select("k", "t", F.lit(1).alias("kind"), "i")
     u = ordered_index(probes.unionByName(values), ["k"], ["t", "kind", "i"], name="u")
     far = u.where(F.col("kind") == 0).select("k", "i", (F.col("u") - F.col("i")).alias("far"))
-    nxt = checkpoint(far.select("k", "i", F.least(F.col("i") + size, F.col("far")).alias("nxt")))
-
-    # pointer doubling from position 0 of every key
-    jump = nxt.select("k", "i", F.col("nxt").alias("j"))
-    reach = nxt.where(F.col("i") == 0).select("k", F.col("i").alias("s"))
-    frontier = reach
+    nxt = far.select("k", "i", F.least(F.col("i") + size, F.col("far")).alias("nxt"))
+    # a jump target is valid iff that position exists in the key: an equi-join
+    # on the unique (key, position), never a join on the key alone (hot keys)
+    exists = pos.select("k", F.col("i").alias("nxt"), F.lit(True).alias("valid"))
+    nxt = checkpoint(nxt.join(exists, ["k", "nxt"], "left")
+                     .select("k", "i", "nxt", F.coalesce("valid", F.lit(False)).alias("valid")))
+
+    # pointer doubling from position 0 of every key:
+    #   reach_r = chain nodes next^m(0), m < 2^r;  jump_r = next^(2^r)
+    # jump_r(reach_r) are exactly the next 2^r chain nodes (the chain strictly
+    # increases), so each round only adds new nodes; stop when none is valid.
+    jump = nxt.select("k", "i", F.col("nxt").alias("j"), "valid")
+    reach_parts = [nxt.where(F.col("i") == 0).select("k", F.col("i").alias("s"))]
+    frontier = reach_parts[0]
     while True:
-        stepped = (frontier.join(jump.withColumnRenamed("i", "s"), ["k", "s"])
-                   .select("k", F.col("j").alias("s"))
-                   .join(n_key, "k").where(F.col("s") < F.col("n")).select("k", "s"))
-        new = checkpoint(stepped.join(reach, ["k", "s"], "left_anti"))
-        if new.isEmpty():
+        stepped = checkpoint(frontier.join(jump.withColumnRenamed("i", "s"), ["k", "s"])
+                             .where("valid").select("k", F.col("j").alias("s")))
+        if stepped.isEmpty():
             break
-        reach = checkpoint(reach.unionByName(new))
-        # every node reached so far, advanced by the current jump length
-        frontier = reach
-        jump = checkpoint(jump.alias("a").join(
-            jump.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.j") == F.col("b.i")), "left")
-            .select(F.col("a.k").alias("k"), F.col("a.i").alias("i"),
-                    F.coalesce(F.col("b.j"), F.col("a.j")).alias("j")))
+        reach_parts.append(stepped)
+        frontier = frontier.unionByName(stepped)
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = checkpoint(a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.j") == F.col("b.i"))
+                                 & F.col("a.valid"), "left")
+                          .select(F.col("a.k").alias("k"), F.col("a.i").alias("i"),
+                                  F.coalesce(F.col("b.j"), F.col("a.j")).alias("j"),
+                                  (F.col("a.valid") & F.coalesce(F.col("b.valid"), F.lit(False))).alias("valid")))
+    reach = reach_parts[0]
+    for part in reach_parts[1:]:
+        reach = reach.unionByName(part)
 
     starts = reach.join(nxt.withColumnRenamed("i", "s"), ["k", "s"]).select("k", "s", F.col("nxt").alias("e"))
     numbered = ordered_index(starts, ["k"], ["s"], name="batch_no")
