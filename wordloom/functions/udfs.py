@@ -26,11 +26,12 @@ from ..operators.wordpiece import VOCAB_BROADCAST_MAX_ROWS
 from ..session import ship_package
 from .pytokenizer import PyWordPiece
 
-_TOKENIZERS: dict[int, PyWordPiece] = {}
+_TOKENIZERS: dict[str, PyWordPiece] = {}
 
 
-def _tokenizer(bc) -> PyWordPiece:
-    key = id(bc)  # one Broadcast object per id in a worker process
+def _tokenizer(vbc) -> PyWordPiece:
+    """``vbc`` = (stable key, broadcast dict); worker-side broadcasts carry no id."""
+    key, bc = vbc
     tk = _TOKENIZERS.get(key)
     if tk is None:
         tk = PyWordPiece(bc.value)
@@ -43,7 +44,9 @@ def vocab_broadcast(spark: SparkSession, vocab: DataFrame):
     n = vocab.count()
     if n > VOCAB_BROADCAST_MAX_ROWS:
         raise ValueError(f"vocabulary of {n} rows is too large to broadcast")
-    return spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in vocab.collect()})
+    import uuid
+    return (uuid.uuid4().hex,
+            spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in vocab.collect()}))
 
 
 def make_token_count(vbc, max_seq: int = MAX_SEQ):
@@ -55,11 +58,11 @@ def make_token_count(vbc, max_seq: int = MAX_SEQ):
 
 
 def make_embed_text(vbc, model: Model):
-    cfg, wbc = model.config, model.weights_bc
+    cfg, wbc, wkey = model.config, model.weights_bc, model.key
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tk, w = _tokenizer(vbc), _weights(wbc)
+        tk, w = _tokenizer(vbc), _weights(wbc, wkey)
         for texts in batches:
             ids = [tk.encode(t, cfg.max_seq, True) for t in texts]
             out = np.zeros((len(ids), cfg.hidden), dtype=np.float32)

@@ -10,8 +10,9 @@ memory stays flat whatever the Arrow batch size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from .encoder_math import ModelConfig, check_weights, encode_same_length, seeded
 # parameter, not data; 2 GB is also the binaryFile per-file limit).
 MAX_MODEL_BYTES = 2 * 1024 ** 3
 
-_WORKER_CACHE: dict[int, dict[str, np.ndarray]] = {}
+_WORKER_CACHE: dict[str, dict[str, np.ndarray]] = {}
 
 
 @dataclass
@@ -36,6 +37,8 @@ class Model:
     config: ModelConfig
     weights_bc: object   # Broadcast[dict[str, np.ndarray]]
     name: str = "model"
+    # stable cache key for Python workers (worker-side broadcasts carry no id)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def dim(self) -> int:
@@ -69,8 +72,7 @@ def load_model(spark: SparkSession, model_dir: str, cfg: ModelConfig) -> Model:
     return model_from_weights(spark, cfg, weights, model_dir.rstrip("/").split("/")[-1])
 
 
-def _weights(bc) -> dict[str, np.ndarray]:
-    key = id(bc)  # one Broadcast object per id in a worker process
+def _weights(bc, key: str) -> dict[str, np.ndarray]:
     w = _WORKER_CACHE.get(key)
     if w is None:
         w = bc.value
@@ -80,10 +82,10 @@ def _weights(bc) -> dict[str, np.ndarray]:
 
 
 def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int):
-    cfg, bc = model.config, model.weights_bc
+    cfg, bc, key = model.config, model.weights_bc, model.key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = _weights(bc)
+        w = _weights(bc, key)
         for pdf in batches:
             if pdf.empty:
                 continue
