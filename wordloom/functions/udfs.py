@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..constants import MAX_SEQ
 from ..operators.embed import Model, _weights
-from ..operators.encoder_math import encode_same_length
+from ..operators.encoder_math import encode_batch, limit_blas_threads
 from ..operators.wordpiece import VOCAB_BROADCAST_MAX_ROWS
 from ..session import ship_package
 from .pytokenizer import PyWordPiece
@@ -62,14 +62,13 @@ def make_embed_text(vbc, model: Model):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        limit_blas_threads(1)
         tk, w = _tokenizer(vbc), _weights(wbc, wkey)
         for texts in batches:
-            ids = [tk.encode(t, cfg.max_seq, True) for t in texts]
+            ids = [np.array(tk.encode(t, cfg.max_seq, True)) for t in texts]
             out = np.zeros((len(ids), cfg.hidden), dtype=np.float32)
-            lens = np.array([len(x) for x in ids])
-            for L in np.unique(lens):
-                rows = np.nonzero(lens == L)[0]
-                out[rows] = encode_same_length(np.array([ids[i] for i in rows]), w, cfg)
+            for s in range(0, len(ids), 64):
+                out[s:s + 64] = encode_batch(ids[s:s + 64], w, cfg)
             yield pd.Series(list(out))
     return embed_text
 

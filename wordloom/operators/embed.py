@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 from .batching import balance_by_length
-from .encoder_math import ModelConfig, check_weights, encode_same_length, seeded_weights
+from .encoder_math import (ModelConfig, check_weights, encode_batch,
+                           limit_blas_threads, seeded_weights)
 
 # Weights above this size are refused for broadcast (the model is a bounded
 # parameter, not data; 2 GB is also the binaryFile per-file limit).
@@ -85,6 +86,7 @@ def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int)
     cfg, bc, key = model.config, model.weights_bc, model.key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limit_blas_threads(1)
         w = _weights(bc, key)
         for pdf in batches:
             if pdf.empty:
@@ -94,15 +96,21 @@ def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int)
             if ((lens < 1) | (lens > cfg.max_seq)).any():
                 raise ValueError("id sequence length outside 1..max_seq")
             out = np.zeros((len(seqs), cfg.hidden), dtype=np.float32)
-            for T_len in np.unique(lens):
-                rows = np.nonzero(lens == T_len)[0]
-                step = max(1, token_budget // int(T_len))
-                for s in range(0, len(rows), step):
-                    part = rows[s:s + step]
-                    ids = np.stack([seqs[i] for i in part])
-                    if ids.min() < 0 or ids.max() >= cfg.vocab_size:
-                        raise ValueError("token id outside the vocabulary")
-                    out[part] = encode_same_length(ids, w, cfg)
+            flat = np.concatenate(seqs)
+            if flat.min() < 0 or flat.max() >= cfg.vocab_size:
+                raise ValueError("token id outside the vocabulary")
+            # ragged calls of at most ``token_budget`` tokens, shortest first so
+            # equal lengths share attention groups
+            order = np.argsort(lens, kind="stable")
+            lo = 0
+            while lo < len(order):
+                hi, used = lo, 0
+                while hi < len(order) and (hi == lo or used + lens[order[hi]] <= token_budget):
+                    used += int(lens[order[hi]])
+                    hi += 1
+                part = order[lo:hi]
+                out[part] = encode_batch([seqs[i] for i in part], w, cfg)
+                lo = hi
             res = pdf[id_cols].copy()
             res["n_tokens"] = lens.astype(np.int32)
             res["embedding"] = list(out)
@@ -112,7 +120,7 @@ def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int)
 
 
 def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids",
-          balance: bool = True, token_budget: int = 8192) -> DataFrame:
+          balance: bool = True, token_budget: int = 4096) -> DataFrame:
     """``(*ids, ids array<int>)`` -> ``(*ids, n_tokens int, embedding array<float>)``.
 
     Rows with null ids (rejected upstream) must be filtered by the caller.

@@ -33,6 +33,24 @@ def tiny_model(spark: SparkSession, sf: str) -> Model:
     return _MODELS[key]
 
 
+def published_shape_model(spark: SparkSession) -> Model:
+    """The published configuration (512-dim, 4 layers, 8 heads, ffn 2048,
+    vocabulary 21128) with seeded weights: same work per token as the real
+    model, so its throughput is comparable; its vectors are not."""
+    key = (spark.sparkContext.applicationId, "published-shape")
+    if key not in _MODELS:
+        _MODELS[key] = seeded_model(spark, ModelConfig(), seed=0)
+    return _MODELS[key]
+
+
+def d1_embed_benchmark(spark, sf):
+    """D1 over the whole ``benchmark`` table through the published model shape."""
+    v, info = vocab(spark, sf)
+    tok = tokenize(table(spark, sf, "benchmark"), v, id_col="item_id", info=info)
+    enc = encode(tok, info, MAX_SEQ, "truncate")
+    return embed(enc.select("item_id", "ids"), published_shape_model(spark), id_col="item_id")
+
+
 def d1_embed_documents(spark, sf):
     enc = encoded_docs(spark, sf, carry=())
     return embed(enc.select("doc_id", "ids"), tiny_model(spark, sf))

@@ -61,6 +61,7 @@ def queries() -> dict[str, Query]:
         "j2_token_embeddings": mq.j2_token_embeddings,
         "d3_first_token_pool": mq.d3_first_token_pool,
         "d1_embed_documents": mq.d1_embed_documents,
+        "d1_embed_benchmark": mq.d1_embed_benchmark,
         "d2_embed_ids": mq.d2_embed_ids,
         "a6_embedding_sink": mq.a6_embedding_sink,
         "e2_response_assembly": mq.e2_response_assembly,
