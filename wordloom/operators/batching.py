@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BATCH_MAX_ITEMS
+from ..session import compute_partitions
 from .ordering import ordered_index
 
 
@@ -53,17 +54,22 @@ def length_bucket(len_col: str = "n_tokens", width: int = 64):
     return F.floor(F.col(len_col) / width).cast("int")
 
 
-def balance_by_length(df: DataFrame, len_col: str = "n_tokens", width: int = 64,
-                      num_partitions: int | None = None, salt_col: str | None = None,
-                      salts: int = 64) -> DataFrame:
-    """cost-balanced placement for the encoder.  Attention cost grows with
-    the square of the length, so rows are spread by (length bucket, salt) --
-    the salt splits a crowded bucket over many tasks -- and sorted by length
-    inside each partition so equal-length sentences form dense batches."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = (F.abs(F.xxhash64(F.col(salt_col))) % salts) if salt_col else (F.rand(seed=7) * salts).cast("int")
-    return (df.withColumn("_bucket", length_bucket(len_col, width))
-              .withColumn("_salt", salt)
-              .repartition(n, "_bucket", "_salt")
+def balance_by_length(df: DataFrame, len_col: str = "n_tokens", key_col: str | None = None,
+                      num_partitions: int | None = None) -> DataFrame:
+    """cost-balanced placement for the encoder.
+
+    Attention cost grows with the square of the length, so partitions must not
+    specialise in long sentences: rows are spread by a hash of ``key_col``
+    (random order when absent) over an explicit partition count -- never
+    coalesced by AQE, at least two tasks per core -- so every partition holds
+    a like mix of lengths.  Inside each partition rows are sorted by length,
+    so the encoder's token-budgeted batches hold sentences of similar length
+    and equal lengths share attention groups.
+    """
+    spark = df.sparkSession
+    n = num_partitions or compute_partitions(spark)
+    spread_by = F.xxhash64(F.col(key_col)) if key_col else F.xxhash64(*[F.col(c) for c in df.columns])
+    return (df.withColumn("_spread", spread_by)
+              .repartition(n, "_spread")
               .sortWithinPartitions(len_col)
-              .drop("_bucket", "_salt"))
+              .drop("_spread"))

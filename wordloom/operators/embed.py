@@ -132,7 +132,7 @@ def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids
     narrow = encoded.select(*id_cols, F.col(ids_col).alias("_ids"),
                             F.size(ids_col).alias("_n"))
     if balance:
-        narrow = balance_by_length(narrow, "_n", salt_col=id_cols[0])
+        narrow = balance_by_length(narrow, "_n", key_col=id_cols[0])
     narrow = narrow.drop("_n")
     schema = T.StructType([encoded.schema[c] for c in id_cols] + [
         T.StructField("n_tokens", T.IntegerType()),
