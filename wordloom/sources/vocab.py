@@ -51,10 +51,13 @@ def fixture_vocab(documents: DataFrame, char_min: int = 20, word_min: int = 30)
     """
     words = spread(documents.select("text")).select(
         F.explode(basic_tokenize(clip_chars("text"), MAX_CHUNKS)).alias("w"))
-    frequent_words = (words.groupBy("w").count()
-                      .where(F.col("count") >= word_min).select(F.col("w").alias("token")))
-    chars = (words.select(F.explode(characters("w")).alias("c"))
-             .groupBy("c").count().where(F.col("count") >= char_min).select("c"))
+    # occurrences per distinct word (map-side partial counts); characters are
+    # counted from the distinct words weighted by their counts -- the same
+    # totals as exploding every occurrence, with a far smaller explode
+    word_counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    frequent_words = word_counts.where(F.col("n") >= word_min).select(F.col("w").alias("token"))
+    chars = (word_counts.select(F.explode(characters("w")).alias("c"), "n")
+             .groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= char_min).select("c"))
     char_tokens = chars.select(F.explode(F.array(
         F.col("c"), F.concat(F.lit(CONTINUATION_PREFIX), F.col("c")))).alias("token"))
     tokens = frequent_words.unionByName(char_tokens).distinct()
