@@ -14,6 +14,7 @@ computed exactly without gathering a key into one task:
   4. batch starts = the chain 0 -> next(0) -> ... found by pointer doubling:
      log2(chain length) rounds of equi-joins on (key, position), each round
      checkpointed to the shared folder,
+     carrying each start's chain index (its batch number),
   5. every item joins the start of its range (ranges hold <= size items).
 
 Stream form (``batch_stream``): ``applyInPandasWithState`` keeps, per key, the
@@ -63,15 +64,21 @@ def assign_batches(items: DataFrame, key: str, item_id: str, ts: str,
     # jump_r(reach_r) are exactly the next 2^r chain nodes (the chain strictly
     # increases), so each round only adds new nodes; stop when none is valid.
     jump = nxt.select("k", "i", F.col("nxt").alias("j"), "valid")
-    reach_parts = [nxt.where(F.col("i") == 0).select("k", F.col("i").alias("s"))]
+    # chain nodes carry their chain index m (= batch number): a node reached
+    # through jump_r from index m has index m + 2^r
+    reach_parts = [nxt.where(F.col("i") == 0).select("k", F.col("i").alias("s"),
+                                                     F.lit(0).cast("long").alias("m"))]
     frontier = reach_parts[0]
+    step = 1
     while True:
         stepped = checkpoint(frontier.join(jump.withColumnRenamed("i", "s"), ["k", "s"])
-                             .where("valid").select("k", F.col("j").alias("s")))
+                             .where("valid")
+                             .select("k", F.col("j").alias("s"), (F.col("m") + step).alias("m")))
         if stepped.isEmpty():
             break
         reach_parts.append(stepped)
         frontier = frontier.unionByName(stepped)
+        step *= 2
         a, b = jump.alias("a"), jump.alias("b")
         jump = checkpoint(a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.j") == F.col("b.i"))
                                  & F.col("a.valid"), "left")
@@ -82,8 +89,8 @@ def assign_batches(items: DataFrame, key: str, item_id: str, ts: str,
     for part in reach_parts[1:]:
         reach = reach.unionByName(part)
 
-    starts = reach.join(nxt.withColumnRenamed("i", "s"), ["k", "s"]).select("k", "s", F.col("nxt").alias("e"))
-    numbered = ordered_index(starts, ["k"], ["s"], name="batch_no")
+    numbered = (reach.join(nxt.withColumnRenamed("i", "s"), ["k", "s"])
+                .select("k", "s", F.col("nxt").alias("e"), F.col("m").alias("batch_no")))
     members = numbered.select("k", "batch_no", "s",
                               F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("i"))
     out = members.join(pos, ["k", "i"])
