@@ -119,3 +119,17 @@ def test_parse_roundtrip():
     w = {"x": np.arange(6, dtype=np.float32).reshape(2, 3)}
     got = parse_safetensors(safetensors_bytes(w))
     assert np.array_equal(got["x"], w["x"])
+
+
+def test_published_shape_full_length_batch():
+    cfg = M.PUBLISHED_CONFIG
+    w = M.seeded_weights(cfg, seed=3)
+    rng = np.random.default_rng(1)
+    seqs = [np.concatenate([[101], rng.integers(103, cfg.vocab_size, cfg.max_seq - 2), [102]])
+            for _ in range(4)]
+    out = M.encode_batch(seqs, w, cfg)
+    assert out.shape == (4, 512) and np.isfinite(out).all()
+    assert np.allclose(np.linalg.norm(out, axis=1), 1, atol=1e-3)
+    # a short sentence in the same ragged batch does not change the long ones
+    mixed = M.encode_batch(seqs[:2] + [np.array([101, 7, 102])], w, cfg)
+    assert np.max(np.abs(mixed[:2] - out[:2])) < 1e-5
