@@ -75,7 +75,10 @@ def test_ordered_index_hot_key(spark):
     df = spark.createDataFrame(rows, "k long, v long")
     got = ordered_index(df, ["k"], ["v"], name="idx", num_partitions=6)
     ref = df.withColumn("idx", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
-    assert sorted(got.collect()) == sorted(ref.select("k", "v", "idx").collect())
+
+    def canon(rows):
+        return sorted((r["k"] is None, r["k"] or 0, r["v"], r["idx"]) for r in rows)
+    assert canon(got.collect()) == canon(ref.select("k", "v", "idx").collect())
     glob = ordered_index(df, [], ["v"], name="g", num_partitions=5)
     assert sorted(r["g"] for r in glob.collect()) == list(range(5000))
 
@@ -87,3 +90,14 @@ def test_fixed_batches_and_offsets(spark):
     assert rows[8]["batch_no"] == 1 and rows[8]["offset"] == 0
     assert rows[10]["offset"] == 18 + 19 and rows[19]["batch_no"] == 2
     assert rows[0]["batch_tokens"] == sum(10 + i for i in range(8))
+
+
+def test_ordered_index_null_keys(spark):
+    rows = [(None if i % 3 == 0 else i % 2, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = ordered_index(df, ["k"], ["v"], name="idx", num_partitions=4)
+    ref = df.withColumn("idx", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
+
+    def canon(rows):
+        return sorted((r["k"] is None, r["k"] or 0, r["v"], r["idx"]) for r in rows)
+    assert canon(got.collect()) == canon(ref.select("k", "v", "idx").collect())

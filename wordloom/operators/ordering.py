@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ _PID = "_wl_pid"
 _LIDX = "_wl_lidx"
 
 
+def _key_tuple(row) -> tuple:
+    """Key values with nulls made comparable (null == null, as Spark groups)."""
+    return tuple(None if pd.isna(v) else v for v in row)
+
+
 def _local_index_fn(keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -35,20 +41,21 @@ def _local_index_fn(keys: list[str]):
                 continue
             if keys:
                 kframe = pdf[keys]
-                change = kframe.ne(kframe.shift()).any(axis=1)
+                prev = kframe.shift()
+                same = (kframe.eq(prev) | (kframe.isna() & prev.isna())).all(axis=1)
+                change = ~same
                 change.iloc[0] = True
                 run_id = change.cumsum()
                 lidx = pdf.groupby(run_id, sort=False).cumcount().to_numpy(dtype="int64")
-                first_key = tuple(kframe.iloc[0])
+                first_key = _key_tuple(kframe.iloc[0])
                 if carry_key is not None and first_key == carry_key:
                     first_run = (run_id == 1).to_numpy()
                     lidx[first_run] += carry_n
-                last_key = tuple(kframe.iloc[-1])
                 carry_n = int(lidx[-1]) + 1
-                carry_key = last_key
+                carry_key = _key_tuple(kframe.iloc[-1])
             else:
                 n = len(pdf)
-                lidx = pd.RangeIndex(carry_n, carry_n + n).to_numpy(dtype="int64")
+                lidx = np.arange(carry_n, carry_n + n, dtype=np.int64)
                 carry_n += n
             out = pdf.copy()
             out[_PID] = pid
