@@ -11,7 +11,7 @@ memory stays flat whatever the Arrow batch size.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,7 +82,8 @@ def _weights(bc, key: str) -> dict[str, np.ndarray]:
     return w
 
 
-def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int):
+def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int,
+              carry: list[str] = ()):
     cfg, bc, key = model.config, model.weights_bc, model.key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +112,7 @@ def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int)
                 part = order[lo:hi]
                 out[part] = encode_batch([seqs[i] for i in part], w, cfg)
                 lo = hi
-            res = pdf[id_cols].copy()
+            res = pdf[id_cols + list(carry)].copy()
             res["n_tokens"] = lens.astype(np.int32)
             res["embedding"] = list(out)
             yield res
@@ -120,8 +121,11 @@ def _embed_fn(model: Model, id_cols: list[str], ids_col: str, token_budget: int)
 
 
 def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids",
-          balance: bool = True, token_budget: int = 4096) -> DataFrame:
-    """``(*ids, ids array<int>)`` -> ``(*ids, n_tokens int, embedding array<float>)``.
+          balance: bool = True, token_budget: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
+    """``(*ids, ids array<int>)`` -> ``(*ids, *carry, n_tokens int, embedding array<float>)``.
+
+    ``carry`` names narrow columns passed through unchanged (so no join is
+    needed afterwards to bring them back).
 
     Rows with null ids (rejected upstream) must be filtered by the caller.
     ``mapInPandas`` is an optimisation barrier, so only the key and id columns
@@ -129,15 +133,16 @@ def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids
     """
     ship_package(encoded.sparkSession)
     id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
-    narrow = encoded.select(*id_cols, F.col(ids_col).alias("_ids"),
+    carry = list(carry)
+    narrow = encoded.select(*id_cols, *carry, F.col(ids_col).alias("_ids"),
                             F.size(ids_col).alias("_n"))
     if balance:
         narrow = balance_by_length(narrow, "_n", key_col=id_cols[0])
     narrow = narrow.drop("_n")
-    schema = T.StructType([encoded.schema[c] for c in id_cols] + [
+    schema = T.StructType([encoded.schema[c] for c in id_cols + carry] + [
         T.StructField("n_tokens", T.IntegerType()),
         T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return narrow.mapInPandas(_embed_fn(model, id_cols, "_ids", token_budget), schema)
+    return narrow.mapInPandas(_embed_fn(model, id_cols, "_ids", token_budget, carry), schema)
 
 
 def token_embeddings(tokens: DataFrame, word_emb: DataFrame, pos_emb: DataFrame,

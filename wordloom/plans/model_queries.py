@@ -106,8 +106,7 @@ def _responses(spark, sf):
     keys = ["conv_id", "part", "index"]
     tok = tokenize(texts, v, id_col=keys, carry=["model"], clip=MAX_TEXT_CHARS, info=info)
     enc = encode(tok, info, MAX_SEQ, "truncate")
-    emb = embed(enc.select(*keys, "ids"), tiny_model(spark, sf), id_col=keys)
-    res = emb.join(enc.select(*keys, "model"), keys)
+    res = embed(enc.select(*keys, "model", "ids"), tiny_model(spark, sf), id_col=keys, carry=["model"])
     return assemble_responses(res, ["conv_id", "part"])
 
 
