@@ -13,8 +13,8 @@ from ..operators.ordering import ordered_index
 from ..operators.reports import (batch_throughput, micros_since_epoch,
                                  rank_summary, throughput_by_level,
                                  usage_totals)
-from ..operators.requests import (explode_requests, request_bodies,
-                                  restore_order)
+from ..operators.requests import (explode_requests, parse_request,
+                                  request_bodies, restore_order)
 from ..operators.wordpiece import encode, tokenize
 from .context import table, vocab
 from .text_queries import encoded_docs
@@ -71,17 +71,18 @@ def a2_request_explode(spark, sf):
 
 def b1_empty_request(spark, sf):
     conv = table(spark, sf, "conversations")
-    # one request per conversation holding its system turns: often none
-    sys_turns = conv.where(F.col("role") == "system")
-    bodies = conv.select("conv_id").distinct().join(
-        request_bodies(sys_turns, ["conv_id"], "turn").select("conv_id", "body"), "conv_id", "left")
-    bodies = bodies.withColumn("body", F.coalesce("body", F.lit('{"input": [], "model": "m"}')))
-    texts, rejects = explode_requests(bodies, ["conv_id"])
-    accepted = texts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_inputs"))
-    return (accepted.select("conv_id", "n_inputs", F.lit("ok").alias("status"),
-                            F.lit(None).cast("string").alias("reason"))
-            .unionByName(rejects.select("conv_id", F.lit(0).cast("long").alias("n_inputs"),
-                                        F.lit("rejected").alias("status"), F.col("error").alias("reason"))))
+    # one request per conversation holding its system turns (often none), built
+    # and checked in a single grouping: collect_list skips the other turns
+    sys_turn = F.when(F.col("role") == "system", F.struct("turn", "text"))
+    bodies = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(sys_turn)).alias("l")).select(
+        "conv_id", F.to_json(F.struct(F.transform("l", lambda x: x["text"]).alias("input"),
+                                      F.lit("m").alias("model"))).alias("body"))
+    r = parse_request(F.col("body"))
+    return bodies.select("conv_id", r.alias("r")).select(
+        "conv_id",
+        F.when(F.col("r.error").isNull(), F.size("r.inputs")).otherwise(0).cast("long").alias("n_inputs"),
+        F.when(F.col("r.error").isNull(), "ok").otherwise("rejected").alias("status"),
+        F.col("r.error").alias("reason"))
 
 
 def _request_tokens(spark, sf):

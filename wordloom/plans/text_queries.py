@@ -146,7 +146,9 @@ def h1_stream_tokenize(spark, sf):
               .parquet(sf))
     out, dead, ck = (scratch_path(spark, n) for n in ("h1-out", "h1-dead", "h1-ckpt"))
     q = start_tokenize_stream(stream, v, info, out, dead, ck, policy="truncate")
-    q.awaitTermination()
+    if not q.awaitTermination(3600):   # availableNow ends by itself; never wait forever
+        q.stop()
+        raise TimeoutError("stream did not drain within an hour")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
