@@ -117,3 +117,16 @@ def test_validate_ids(spark):
                                "doc_id long, ids array<int>")
     got = {r["doc_id"]: r["reason"] for r in validate_ids(df, 800).collect()}
     assert got == {1: None, 2: "bad_length", 3: "id_out_of_range", 4: "bad_length"}
+
+
+def test_hot_cold_split_equals_broadcast_path(spark):
+    """Forcing the large-vocabulary path (broadcast hot words, shuffle-join
+    the rare ones) must give the same tokens as the all-broadcast path."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    vocab = fixture_vocab(docs)
+    info = vocab_info(vocab)
+    a = tokenize(docs, vocab, carry=["lang"], clip=2048, info=info)
+    b = tokenize(docs, vocab, carry=["lang"], clip=2048, info=info, seg_broadcast_max_rows=50)
+    ra = sorted((r["doc_id"], r["lang"], tuple(r["body_ids"])) for r in a.collect())
+    rb = sorted((r["doc_id"], r["lang"], tuple(r["body_ids"])) for r in b.collect())
+    assert ra == rb and len(ra) == docs.count()

@@ -78,13 +78,15 @@ def _vocab_side(vocab: DataFrame, info: VocabInfo) -> DataFrame:
 
 
 def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = None,
-                  word_col: str = "word") -> DataFrame:
-    """Distinct words -> ``(word, pieces array<string>, piece_ids array<int>)``.
+                  word_col: str = "word", carry: Sequence[str] = ()) -> DataFrame:
+    """Distinct words -> ``(word, *carry, pieces array<string>, piece_ids array<int>)``.
 
     Greedy longest match from the left; non-first pieces carry ``##``; a
     position without any match turns the whole word into one ``[UNK]``.
-    ``words`` must hold each word once.
+    ``words`` must hold each word once; ``carry`` columns (e.g. a word's
+    count) depend on the word alone and are passed through.
     """
+    carry = list(carry)
     info = info or vocab_info(vocab)
     L = max(info.max_token_chars, 1)
     # the distinct-word table is small in bytes but expands ~len*L fold below:
@@ -92,12 +94,12 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     words = words.repartition(compute_partitions(words.sparkSession), word_col)
     w = F.col(word_col)
     n = F.length(w)
-    starts = words.select(w.alias("word"), F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    starts = words.select(w.alias("word"), *carry, F.explode(F.sequence(F.lit(1), n)).alias("s"))
     # longest possible piece at s (the "##" prefix costs two characters)
     lmax = F.least(F.lit(L) - F.when(F.col("s") > 1, 2).otherwise(0),
                    F.length("word") - F.col("s") + 1)
     cands = (starts.where(lmax >= 1)
-             .select("word", "s", F.explode(F.sequence(F.lit(1), lmax)).alias("l"))
+             .select("word", *carry, "s", F.explode(F.sequence(F.lit(1), lmax)).alias("l"))
              .withColumn("_cand", F.concat(
                  F.when(F.col("s") > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
                  F.substring("word", F.col("s"), F.col("l")))))
@@ -110,7 +112,7 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     entry = F.when(F.col("_vid").isNotNull(), F.struct(
         F.col("s"), (-F.col("l")).alias("nl"), F.col("l"),
         F.col("_vid").alias("id"), F.col("_cand").alias("tok")))
-    grouped = hits.groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("hs"))
+    grouped = hits.groupBy("word", *carry).agg(F.array_sort(F.collect_list(entry)).alias("hs"))
 
     def step(acc: Column, e: Column) -> Column:
         # take the longest hit at the current position, skip hits inside the
@@ -130,7 +132,7 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     walked = grouped.withColumn("_st", F.aggregate("hs", init, step))
     ok = F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1)
     return walked.select(
-        F.col("word").alias(word_col),
+        F.col("word").alias(word_col), *carry,
         F.when(ok, F.col("_st.toks")).otherwise(F.array(F.lit(UNK_TOKEN))).alias("pieces"),
         F.when(ok, F.col("_st.ids")).otherwise(F.array(F.lit(info.unk_id))).alias("piece_ids"))
 
@@ -153,36 +155,64 @@ def chunk_table(docs: DataFrame, text_col: str = "text", id_col="doc_id",
                        F.posexplode_outer(basic_tokenize(text, max_chunks)).alias("pos", "word"))
 
 
+def _count_threshold(seg: DataFrame, max_rows: int) -> int:
+    """Smallest power-of-two count ``t`` such that at most ``max_rows`` words
+    occur ``>= t`` times, from a log-scale histogram (<= 64 rows)."""
+    hist = (seg.groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("b"))
+            .agg(F.count(F.lit(1)).alias("words")).collect())
+    above = 0
+    for row in sorted(hist, key=lambda r: -r["b"]):
+        if above + row["words"] > max_rows:
+            return 2 ** (row["b"] + 1)
+        above += row["words"]
+    return 1
+
+
 def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
              id_col="doc_id", carry: Sequence[str] = (), clip: int | None = None,
-             info: VocabInfo | None = None, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+             info: VocabInfo | None = None, max_chunks: int = MAX_CHUNKS,
+             seg_broadcast_max_rows: int | None = None) -> DataFrame:
     """``(id, *carry, body_tokens array<string>, body_ids array<int>)``:
     pieces of all (first ``max_chunks``) chunks, in order, without CLS/SEP.
 
-    The segmentation of the distinct words is checkpointed and counted.  When
-    it has at most ``SEG_BROADCAST_MAX_ROWS`` rows it is broadcast and the
-    (clipped) documents are hash-partitioned by id once, so the per-document
-    regroup needs no further exchange.  Beyond that bound the chunk
-    occurrences are joined by shuffle (AQE splits hot words) and regrouped.
+    Distinct words are counted (map-side partial counts collapse hot words)
+    and segmented once; the segmentation is checkpointed.  The clipped
+    documents are hash-partitioned by id once and exploded in place.
+    Segmentations of the words occurring at least ``t`` times -- ``t`` chosen
+    so at most ``seg_broadcast_max_rows`` words qualify, all of them when the
+    table is that small -- are broadcast, so the most frequent words (the hot
+    keys) never enter a shuffle.  Only occurrences of the rarer words are
+    joined by shuffle (their counts are below ``t``, so no key is hot) and
+    hashed back by document id; the per-document regroup then needs no
+    further exchange.  Streams (per micro-batch) use the plain shuffle join.
     """
     info = info or vocab_info(vocab)
     ids = _ids(id_col)
+    limit = SEG_BROADCAST_MAX_ROWS if seg_broadcast_max_rows is None else seg_broadcast_max_rows
     chunks = chunk_table(docs, text_col, id_col, carry, clip, max_chunks)
-    distinct_words = chunks.where(F.col("word").isNotNull()).select("word").distinct()
-    seg = segment_words(distinct_words, vocab, info)
-    small = False
-    if not docs.isStreaming:
+    word_counts = (chunks.where(F.col("word").isNotNull())
+                   .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    seg = segment_words(word_counts, vocab, info, carry=["n"])
+    if docs.isStreaming:
+        joined = chunks.join(seg.drop("n"), "word", "left")
+    else:
         seg = checkpoint(seg)
-        small = seg.count() <= SEG_BROADCAST_MAX_ROWS
-    if small:
+        spark = docs.sparkSession
+        n_parts = compute_partitions(spark)
         text = F.col(text_col) if clip is None else clip_chars(text_col, clip)
-        by_doc = docs.select(*ids, *carry, text.alias("_text")).repartition(
-            compute_partitions(docs.sparkSession), *ids)
+        by_doc = docs.select(*ids, *carry, text.alias("_text")).repartition(n_parts, *ids)
         occ = by_doc.select(*ids, *carry, F.posexplode_outer(
             basic_tokenize(F.col("_text"), max_chunks)).alias("pos", "word"))
-        joined = occ.join(F.broadcast(seg), "word", "left")
-    else:
-        joined = chunks.join(seg, "word", "left")
+        if seg.count() <= limit:
+            joined = occ.join(F.broadcast(seg.drop("n")), "word", "left")
+        else:
+            t = _count_threshold(seg, limit)
+            hot = F.broadcast(seg.where(F.col("n") >= t).drop("n"))
+            cold = seg.where(F.col("n") < t).drop("n")
+            hot_part = occ.join(hot, "word", "inner")
+            cold_occ = occ.join(hot.select("word"), "word", "left_anti")
+            cold_part = cold_occ.join(cold, "word", "left").repartition(n_parts, *ids)
+            joined = hot_part.unionByName(cold_part)
     grouped = joined.groupBy(*ids, *carry).agg(
         F.array_sort(F.collect_list(
             F.when(F.col("pos").isNotNull(),
