@@ -2,7 +2,8 @@
 
 Plan (all Catalyst, no Python):
   1. chunks = explode(basic_tokenize(text))            -- C1, capped at 512
-  2. distinct chunks (map-side partial aggregation collapses hot words)
+  2. distinct chunks with their counts (map-side partial aggregation
+     collapses hot words before the shuffle)
   3. candidates (start s, length l) with l bounded by the vocabulary's longest
      token, ``##``-prefixed when s > 1, probed against the vocabulary with a
      broadcast join (the vocabulary is size-checked; shuffle join beyond)
@@ -10,9 +11,11 @@ Plan (all Catalyst, no Python):
   5. greedy walk with ``aggregate`` over that list: take the longest hit at the
      current position; a position without a hit turns the whole word into
      ``[UNK]``
-  6. join the segmentation back to the chunk occurrences (AQE splits a hot
-     word's partition; converts to a broadcast join when the table is small)
-  7. regroup per document in chunk order (a document has at most 512 chunks)
+  6. documents hash-partitioned by id once; the frequent words' segmentation
+     is broadcast (so hot words never shuffle), only rare-word occurrences are
+     joined by shuffle and hashed back by document id
+  7. regroup per document in chunk order without a further exchange (a
+     document has at most 512 chunks)
 
 Bounding candidates by the longest vocabulary token (not by word length) keeps
 the plan exact and linear in word length.  Slicing chunks to 512 *before* the
