@@ -84,25 +84,32 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``wordloom`` importable in Python workers (``mapInPandas`` and
-    UDF code refers to it): zip the package once per application and hand it
-    to ``addPyFile``, which distributes it to every executor."""
+    UDF code refers to it): zip the package in memory once per application,
+    write it into the shared folder (through the Hadoop FileSystem API, so
+    any cluster file system works) and hand it to ``addPyFile``."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    import io
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    base = shared_dir(spark)
-    local = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in local or not os.path.isdir(local):
-        local = tempfile.mkdtemp(prefix="wordloom-code-")  # driver-side staging for addPyFile only
-    target = os.path.join(local, f"wordloom-{app}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = f"{shared_dir(spark).rstrip('/')}/wordloom-code-{app}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(target)
     _SHIPPED.add(app)
 
