@@ -26,7 +26,6 @@ MAX_CHUNKS = 512           # basic-tokeniser chunk cap
 MAX_TEXT_CHARS = 2048      # service-path character clip
 BATCH_MAX_ITEMS = 8        # dynamic batch size limit
 BATCH_MAX_WAIT_MS = 5.0    # dynamic batch wait limit
-QUEUE_SIZE = 1024          # admission limit of the request queue
 MODEL_NAME = "bge-small-zh-v1.5"
 REQUIRED_MODEL_FILES = ("model.safetensors", "vocab.txt")
 

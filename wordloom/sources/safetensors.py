@@ -21,7 +21,6 @@ from ..constants import REQUIRED_MODEL_FILES
 from ..session import ship_package
 
 HEADER_SCHEMA = "map<string,struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>>"
-_DTYPES = {"F32": "<f4", "F16": "<f2", "F64": "<f8", "I32": "<i4", "I64": "<i8", "I8": "i1", "U8": "u1"}
 
 
 def header_length(content: Column) -> Column:

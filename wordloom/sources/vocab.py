@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
-                         MAX_CHUNKS, MAX_TEXT_CHARS, SEP_FALLBACK_ID,
+                         MAX_CHUNKS, SEP_FALLBACK_ID,
                          SEP_TOKEN, UNK_FALLBACK_ID, UNK_TOKEN)
 from ..functions.text import basic_tokenize, characters, clip_chars
 from ..operators.ordering import ordered_index

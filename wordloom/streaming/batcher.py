@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from ..constants import BATCH_MAX_ITEMS
+from ..constants import BATCH_MAX_ITEMS, BATCH_MAX_WAIT_MS
 from ..operators.ordering import ordered_index
 from ..operators.reports import micros_since_epoch
 from ..session import checkpoint, ship_package
@@ -39,8 +39,11 @@ from ..session import checkpoint, ship_package
 OUTPUT = "key long, item_id long, batch_no long, pos_in_batch int"
 
 
+DEFAULT_WAIT_US = int(BATCH_MAX_WAIT_MS * 1000)
+
+
 def assign_batches(items: DataFrame, key: str, item_id: str, ts: str,
-                   wait_us: int, size: int = BATCH_MAX_ITEMS) -> DataFrame:
+                   wait_us: int = DEFAULT_WAIT_US, size: int = BATCH_MAX_ITEMS) -> DataFrame:
     """-> ``(key, item_id, batch_no, pos_in_batch)``; order within a key is
     ``(ts, item_id)``."""
     base = items.select(F.col(key).alias("k"), F.col(item_id).alias("item"),
@@ -124,7 +127,7 @@ def _stream_fn(wait_us: int, size: int):
     return run
 
 
-def batch_stream(items: DataFrame, key: str, item_id: str, ts: str, wait_us: int,
+def batch_stream(items: DataFrame, key: str, item_id: str, ts: str, wait_us: int = DEFAULT_WAIT_US,
                  size: int = BATCH_MAX_ITEMS) -> DataFrame:
     """Streaming H2 (append mode).  Items of a key must arrive in event-time
     order across micro-batches (a late item cannot rejoin a closed batch)."""
