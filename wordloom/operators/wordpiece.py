@@ -51,6 +51,8 @@ class VocabInfo:
     cls_id: int
     sep_id: int
     max_id: int = 0
+    # longest continuation token ("##..."), counted without the prefix
+    max_cont_chars: int = 0
 
     @property
     def broadcastable(self) -> bool:
@@ -66,13 +68,16 @@ def vocab_info(vocab: DataFrame) -> VocabInfo:
                   special(UNK_TOKEN).alias("unk"),
                   special(CLS_TOKEN).alias("cls"),
                   special(SEP_TOKEN).alias("sep"),
-                  F.max("id").alias("max_id")).first()
+                  F.max("id").alias("max_id"),
+                  F.max(F.when(F.col("token").startswith(CONTINUATION_PREFIX),
+                               F.length("token") - len(CONTINUATION_PREFIX))).alias("Lc")).first()
     return VocabInfo(
         rows=int(r["n"]), max_token_chars=int(r["L"] or 0),
         unk_id=UNK_FALLBACK_ID if r["unk"] is None else int(r["unk"]),
         cls_id=CLS_FALLBACK_ID if r["cls"] is None else int(r["cls"]),
         sep_id=SEP_FALLBACK_ID if r["sep"] is None else int(r["sep"]),
-        max_id=int(r["max_id"] or 0))
+        max_id=int(r["max_id"] or 0),
+        max_cont_chars=int(r["Lc"] or 0))
 
 
 def _vocab_side(vocab: DataFrame, info: VocabInfo) -> DataFrame:
@@ -98,8 +103,9 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     w = F.col(word_col)
     n = F.length(w)
     starts = words.select(w.alias("word"), *carry, F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    # longest possible piece at s (the "##" prefix costs two characters)
-    lmax = F.least(F.lit(L) - F.when(F.col("s") > 1, 2).otherwise(0),
+    # longest possible piece at s: any token at s = 1; past it the candidate
+    # carries "##", so only continuation tokens can match (exact bound)
+    lmax = F.least(F.when(F.col("s") > 1, F.lit(info.max_cont_chars)).otherwise(F.lit(L)),
                    F.length("word") - F.col("s") + 1)
     cands = (starts.where(lmax >= 1)
              .select("word", *carry, "s", F.explode(F.sequence(F.lit(1), lmax)).alias("l"))
@@ -112,18 +118,23 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     hits = (cands.join(_vocab_side(vocab, info), "_cand", "left")
             .where(F.col("_vid").isNotNull() | ((F.col("s") == 1) & (F.col("l") == 1))))
     # every vocabulary hit of a word, sorted by (start, longest first)
+    # (the piece text is rebuilt from the word in the walk, so the collected
+    # hits are fixed-width integer structs)
     entry = F.when(F.col("_vid").isNotNull(), F.struct(
-        F.col("s"), (-F.col("l")).alias("nl"), F.col("l"),
-        F.col("_vid").alias("id"), F.col("_cand").alias("tok")))
+        F.col("s"), (-F.col("l")).alias("nl"), F.col("l"), F.col("_vid").alias("id")))
     grouped = hits.groupBy("word", *carry).agg(F.array_sort(F.collect_list(entry)).alias("hs"))
 
+    def piece(e: Column) -> Column:
+        return F.concat(F.when(e["s"] > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
+                        F.substring(F.col("word"), e["s"], e["l"]))
+
     def step(acc: Column, e: Column) -> Column:
         # take the longest hit at the current position, skip hits inside the
         # piece just taken, fail when the current position has no hit
         return (F.when(acc["ok"] & (e["s"] == acc["nxt"]),
                        F.struct((e["s"] + e["l"]).alias("nxt"), F.lit(True).alias("ok"),
                                 F.concat(acc["ids"], F.array(e["id"])).alias("ids"),
-                                F.concat(acc["toks"], F.array(e["tok"])).alias("toks")))
+                                F.concat(acc["toks"], F.array(piece(e))).alias("toks")))
                 .when(acc["ok"] & (e["s"] > acc["nxt"]),
                       F.struct(acc["nxt"].alias("nxt"), F.lit(False).alias("ok"),
                                acc["ids"].alias("ids"), acc["toks"].alias("toks")))
