@@ -185,9 +185,11 @@ def _count_threshold(seg: DataFrame, max_rows: int) -> int:
 def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
              id_col="doc_id", carry: Sequence[str] = (), clip: int | None = None,
              info: VocabInfo | None = None, max_chunks: int = MAX_CHUNKS,
-             seg_broadcast_max_rows: int | None = None) -> DataFrame:
+             seg_broadcast_max_rows: int | None = None, with_tokens: bool = True) -> DataFrame:
     """``(id, *carry, body_tokens array<string>, body_ids array<int>)``:
     pieces of all (first ``max_chunks``) chunks, in order, without CLS/SEP.
+    ``with_tokens=False`` regroups ids only (``body_tokens`` is null), which
+    keeps strings out of the per-document aggregation when only ids count.
 
     Distinct words are counted (map-side partial counts collapse hot words)
     and segmented once; the segmentation is checkpointed.  The clipped
@@ -227,13 +229,15 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
             cold_occ = occ.join(hot.select("word"), "word", "left_anti")
             cold_part = cold_occ.join(cold, "word", "left").repartition(n_parts, *ids)
             joined = hot_part.unionByName(cold_part)
+    part_fields = ["pos", "piece_ids"] + (["pieces"] if with_tokens else [])
     grouped = joined.groupBy(*ids, *carry).agg(
         F.array_sort(F.collect_list(
             F.when(F.col("pos").isNotNull(),
-                   F.struct("pos", "pieces", "piece_ids")))).alias("_parts"))
+                   F.struct(*part_fields)))).alias("_parts"))
+    toks = (F.flatten(F.transform("_parts", lambda x: x["pieces"])) if with_tokens
+            else F.lit(None).cast("array<string>"))
     return grouped.select(
-        *ids, *carry,
-        F.flatten(F.transform("_parts", lambda x: x["pieces"])).alias("body_tokens"),
+        *ids, *carry, toks.alias("body_tokens"),
         F.flatten(F.transform("_parts", lambda x: x["piece_ids"])).alias("body_ids"))
 
 
@@ -283,8 +287,10 @@ def token_count(encoded: DataFrame) -> Column:
 def token_table(encoded: DataFrame, id_col="doc_id") -> DataFrame:
     """C4: one row per token: ``(*ids, pos, token, token_id)``."""
     ids = _ids(id_col)
+    # tokens may be null (ids-only tokenisation): pair ids with null texts
+    toks = F.coalesce(F.col("tokens"), F.array_repeat(F.lit(None).cast("string"), F.size("ids")))
     return encoded.where(F.col("ids").isNotNull()).select(
-        *ids, F.posexplode(F.arrays_zip(F.col("tokens").alias("token"),
+        *ids, F.posexplode(F.arrays_zip(toks.alias("token"),
                                           F.col("ids").alias("token_id"))).alias("pos", "t")
     ).select(*ids, "pos", F.col("t.token").alias("token"), F.col("t.token_id").alias("token_id"))
 

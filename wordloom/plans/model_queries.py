@@ -46,7 +46,7 @@ def published_shape_model(spark: SparkSession) -> Model:
 def d1_embed_benchmark(spark, sf):
     """D1 over the whole ``benchmark`` table through the published model shape."""
     v, info = vocab(spark, sf)
-    tok = tokenize(table(spark, sf, "benchmark"), v, id_col="item_id", info=info)
+    tok = tokenize(table(spark, sf, "benchmark"), v, id_col="item_id", info=info, with_tokens=False)
     enc = encode(tok, info, MAX_SEQ, "truncate")
     return embed(enc.select("item_id", "ids"), published_shape_model(spark), id_col="item_id")
 
@@ -104,7 +104,8 @@ def _responses(spark, sf):
     texts, _ = explode_requests(_requests(spark, sf), ["conv_id", "part"])
     v, info = vocab(spark, sf)
     keys = ["conv_id", "part", "index"]
-    tok = tokenize(texts, v, id_col=keys, carry=["model"], clip=MAX_TEXT_CHARS, info=info)
+    tok = tokenize(texts, v, id_col=keys, carry=["model"], clip=MAX_TEXT_CHARS, info=info,
+                   with_tokens=False)
     enc = encode(tok, info, MAX_SEQ, "truncate")
     res = embed(enc.select(*keys, "model", "ids"), tiny_model(spark, sf), id_col=keys, carry=["model"])
     return assemble_responses(res, ["conv_id", "part"])

@@ -88,7 +88,8 @@ def b1_empty_request(spark, sf):
 def _request_tokens(spark, sf):
     texts, _ = explode_requests(_requests(spark, sf), ["conv_id", "part"])
     v, info = vocab(spark, sf)
-    tok = tokenize(texts, v, id_col=["conv_id", "part", "index"], clip=MAX_TEXT_CHARS, info=info)
+    tok = tokenize(texts, v, id_col=["conv_id", "part", "index"], clip=MAX_TEXT_CHARS, info=info,
+                   with_tokens=False)
     return encode(tok, info, MAX_SEQ, "truncate")
 
 

@@ -20,10 +20,11 @@ def _docs(spark, sf):
 
 
 def encoded_docs(spark: SparkSession, sf: str, policy: str = "truncate",
-                 carry=("lang",)) -> DataFrame:
+                 carry=("lang",), with_tokens: bool = False) -> DataFrame:
     """Service path: clip -> basic tokenise -> WordPiece -> encode."""
     v, info = vocab(spark, sf)
-    tok = tokenize(_docs(spark, sf), v, carry=list(carry), clip=MAX_TEXT_CHARS, info=info)
+    tok = tokenize(_docs(spark, sf), v, carry=list(carry), clip=MAX_TEXT_CHARS, info=info,
+                   with_tokens=with_tokens)
     return encode(tok, info, MAX_SEQ, policy)
 
 
@@ -96,7 +97,7 @@ def c3_tokenize(spark, sf):
 
 
 def c4_token_table(spark, sf):
-    enc = encoded_docs(spark, sf, carry=())
+    enc = encoded_docs(spark, sf, carry=(), with_tokens=True)
     return token_table(enc).select("doc_id", F.col("pos").cast("long").alias("pos"),
                                    "token", F.col("token_id").cast("long").alias("token_id"))
 
