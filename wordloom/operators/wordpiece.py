@@ -38,8 +38,10 @@ from ..session import checkpoint, compute_partitions, spread
 
 # A vocabulary above this many rows is joined by shuffle instead of broadcast.
 VOCAB_BROADCAST_MAX_ROWS = 2_000_000
-# A word segmentation table above this many rows is joined by shuffle.
+# A word segmentation table above this many rows (or estimated bytes) is split:
+# frequent words broadcast, rare words joined by shuffle.
 SEG_BROADCAST_MAX_ROWS = 1_000_000
+SEG_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -169,16 +171,23 @@ def chunk_table(docs: DataFrame, text_col: str = "text", id_col="doc_id",
                        F.posexplode_outer(basic_tokenize(text, max_chunks)).alias("pos", "word"))
 
 
-def _count_threshold(seg: DataFrame, max_rows: int) -> int:
-    """Smallest power-of-two count ``t`` such that at most ``max_rows`` words
-    occur ``>= t`` times, from a log-scale histogram (<= 64 rows)."""
+def _row_bytes() -> Column:
+    """Upper estimate of a segmentation row in a broadcast hash relation."""
+    return (F.length("word") * 3 + F.size("piece_ids") * 8 + F.lit(48)).cast("long")
+
+
+def _count_threshold(seg: DataFrame, max_rows: int, max_bytes: int) -> int:
+    """Smallest power-of-two count ``t`` such that the words occurring ``>= t``
+    times number at most ``max_rows`` and weigh at most ``max_bytes``, from a
+    log-scale histogram (<= 64 rows)."""
     hist = (seg.groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("b"))
-            .agg(F.count(F.lit(1)).alias("words")).collect())
-    above = 0
+            .agg(F.count(F.lit(1)).alias("words"), F.sum(_row_bytes()).alias("bytes")).collect())
+    rows = size = 0
     for row in sorted(hist, key=lambda r: -r["b"]):
-        if above + row["words"] > max_rows:
+        if rows + row["words"] > max_rows or size + row["bytes"] > max_bytes:
             return 2 ** (row["b"] + 1)
-        above += row["words"]
+        rows += row["words"]
+        size += row["bytes"]
     return 1
 
 
@@ -195,8 +204,9 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     and segmented once; the segmentation is checkpointed.  The clipped
     documents are hash-partitioned by id once and exploded in place.
     Segmentations of the words occurring at least ``t`` times -- ``t`` chosen
-    so at most ``seg_broadcast_max_rows`` words qualify, all of them when the
-    table is that small -- are broadcast, so the most frequent words (the hot
+    so at most ``seg_broadcast_max_rows`` words (and ``SEG_BROADCAST_MAX_BYTES``
+    estimated bytes) qualify, all of them when the table is that small -- are
+    broadcast, so the most frequent words (the hot
     keys) never enter a shuffle.  Only occurrences of the rarer words are
     joined by shuffle (their counts are below ``t``, so no key is hot) and
     hashed back by document id; the per-document regroup then needs no
@@ -219,10 +229,11 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
         by_doc = docs.select(*ids, *carry, text.alias("_text")).repartition(n_parts, *ids)
         occ = by_doc.select(*ids, *carry, F.posexplode_outer(
             basic_tokenize(F.col("_text"), max_chunks)).alias("pos", "word"))
-        if seg.count() <= limit:
+        size = seg.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes()).alias("bytes")).first()
+        if size["rows"] <= limit and (size["bytes"] or 0) <= SEG_BROADCAST_MAX_BYTES:
             joined = occ.join(F.broadcast(seg.drop("n")), "word", "left")
         else:
-            t = _count_threshold(seg, limit)
+            t = _count_threshold(seg, limit, SEG_BROADCAST_MAX_BYTES)
             hot = F.broadcast(seg.where(F.col("n") >= t).drop("n"))
             cold = seg.where(F.col("n") < t).drop("n")
             hot_part = occ.join(hot, "word", "inner")
