@@ -151,6 +151,8 @@ def token_embeddings(tokens: DataFrame, word_emb: DataFrame, pos_emb: DataFrame,
 
     ``tokens``: (*ids, pos, token_id); ``word_emb``: (token_id, w array<double>);
     ``pos_emb``: (pos, p array<double>) -- bounded by max_seq, always broadcast.
+    ``broadcast_word``: the caller's size check (vocabulary rows x dimension);
+    otherwise the word table is joined by shuffle (AQE splits hot token ids).
     """
     id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
     wv = F.broadcast(word_emb) if broadcast_word else word_emb

@@ -21,6 +21,7 @@ from .text_queries import encoded_docs
 
 _MODELS: dict[tuple[str, str], Model] = {}
 J2_DIM = 8
+WORD_TABLE_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def tiny_model(spark: SparkSession, sf: str) -> Model:
@@ -86,7 +87,9 @@ def _token_vectors(spark, sf):
     toks = token_table(enc).select("doc_id", F.col("pos").cast("int").alias("pos"), "token_id")
     word, pos, typ = _weights_tables(spark, sf)
     _, info = vocab(spark, sf)
-    return token_embeddings(toks, word, pos, typ, broadcast_word=info.broadcastable)
+    # broadcast the word table only when rows x dimension x 8 bytes is bounded
+    small = info.rows * J2_DIM * 8 <= WORD_TABLE_BROADCAST_MAX_BYTES
+    return token_embeddings(toks, word, pos, typ, broadcast_word=small)
 
 
 def j2_token_embeddings(spark, sf):
