@@ -19,15 +19,15 @@ from ..sources.corpus import DOCUMENT_SCHEMA
 
 
 def read_document_stream(spark: SparkSession, path: str, max_files: int | None = 1,
-                         max_bytes: str | None = None) -> DataFrame:
+                         max_bytes: int | None = None) -> DataFrame:
     """H1 source with H3 admission control: at most ``max_files`` files (or
-    ``max_bytes``) enter one micro-batch, the streaming analogue of the
-    reference's bounded request queue."""
+    about ``max_bytes`` bytes of files, a positive integer) enter one
+    micro-batch, the streaming analogue of the reference's bounded queue."""
     r = spark.readStream.schema(DOCUMENT_SCHEMA)
     if max_files is not None:
         r = r.option("maxFilesPerTrigger", max_files)
     if max_bytes is not None:
-        r = r.option("maxBytesPerTrigger", max_bytes)
+        r = r.option("maxBytesPerTrigger", int(max_bytes))
     return r.parquet(path)
 
 
