@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..session import checkpoint, read_table, scratch_path, ship_package
 
 __all__ = ["checkpoint", "read_table", "scratch_path", "ship_package", "map_arrow",
-           "text_or_empty", "utf8_size", "stored", "row_chunks"]
+           "text_or_empty", "utf8_size", "stored", "row_chunks", "byte_sizes"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +28,17 @@ def utf8_size(col: str | Column) -> Column:
     return F.octet_length(text_or_empty(col)).cast("long")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_BATCH_ROWS = 500
+
+
+def small_batches(spark) -> None:
+    """Whole texts go to Python: Spark's default of 10,000 rows per Arrow
+    batch would hold tens of MB (or GB, with long texts) on both sides."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXT_BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS, str(TEXT_BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, keep: Sequence[str], new_fields: Sequence[T.StructField],
               make: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[int, int, list[pa.Array]]]]],
               inputs: Sequence[str]) -> DataFrame:
@@ -39,6 +50,7 @@ def map_arrow(df: DataFrame, keep: Sequence[str], new_fields: Sequence[T.StructF
     small whatever the batch size.  No shuffle.
     """
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     extra = [c for c in inputs if c not in keep]
     src = df.select(*keep, *extra)
     names = [f.name for f in new_fields]
@@ -57,6 +69,13 @@ def map_arrow(df: DataFrame, keep: Sequence[str], new_fields: Sequence[T.StructF
     return src.mapInArrow(run, schema)
 
 
+def byte_sizes(col: pa.Array) -> list[int]:
+    """Bytes of each value of a binary column (0 for null)."""
+    import pyarrow.compute as pc
+
+    return pc.binary_length(col).fill_null(0).to_pylist()
+
+
 def row_chunks(sizes, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most ``limit`` bytes (one row at least)."""
     start, acc = 0, 0

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, token_counts
+from . import bpe, sharding, simhash, token_counts, toxicity
 from .common import read_table, scratch_path, text_or_empty, utf8_size
 
 OVER_LIMIT = 4096
@@ -26,12 +26,25 @@ def tokenizer_path(name: str) -> str:
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     path = tokenizer_path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs, path, keep=["doc_id"]), path)
+    coded = bpe.encode(docs, path, keep=["doc_id"], decoded_col="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         bpe.ids_digest("ids").alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read_table(spark, sf, "labels"))
+    return (toxicity.score(docs, model, keep=["doc_id"])
+            .select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted"))
+
+
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return (simhash.near_duplicates(docs, shingle=3, max_bits=3)
+            .select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id"))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     counts = token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"),
@@ -55,6 +68,8 @@ def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op5_toxicity": op5_toxicity,
+        "op7_simhash": op7_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_external_shuffle": op10_external_shuffle,
     }

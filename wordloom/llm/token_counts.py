@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, row_chunks, stored, text_or_empty, utf8_size
+from .common import byte_sizes, map_arrow, row_chunks, stored, text_or_empty, utf8_size
 
 MAX_MODEL_BYTES = 64 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 CACHE_SCHEMA = "content_sha256 binary, tokenizer_sha256 string, n_tokens bigint"
 
@@ -88,9 +88,9 @@ def count_texts(df: DataFrame, model_path: str, text_col: str, keep: list[str],
 
         def run(batch: pa.RecordBatch):
             col = batch.column(batch.num_columns - 1)
-            texts = [b"" if t is None else t for t in col.to_pylist()]
-            for lo, hi in row_chunks([len(t) for t in texts], CHUNK_BYTES):
-                part = [t.decode("utf-8", "replace") for t in texts[lo:hi]]
+            for lo, hi in row_chunks(byte_sizes(col), CHUNK_BYTES):
+                texts = [t or b"" for t in col.slice(lo, hi - lo).to_pylist()]
+                part = [t.decode("utf-8", "replace") for t in texts]
                 yield lo, hi, [pa.array(np.array(count(part), dtype=np.int64))]
         return run
 
