@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, token_counts, toxicity
+from . import bpe, kneser_ney, sharding, simhash, token_counts, toxicity
 from .common import read_table, scratch_path, text_or_empty, utf8_size
 
 OVER_LIMIT = 4096
@@ -32,6 +32,12 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    rows = kneser_ney.classify(docs, read_table(spark, sf, "labels"))
+    return rows.select(F.col("key").alias("doc_id"), "lang", "n_chars", "perplexity", "threshold", "rejected")
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, read_table(spark, sf, "labels"))
@@ -68,6 +74,7 @@ def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op7_simhash": op7_simhash,
         "op9_token_counts": op9_token_counts,
