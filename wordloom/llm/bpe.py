@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, row_chunks
+from .common import byte_sizes, map_arrow, row_chunks
 
 MAX_TOKENIZER_BYTES = 64 << 20
-CHUNK_BYTES = 4 << 20
-CHUNK_TOKENS = 1 << 20
-CACHE_FRAGMENTS = 800_000
+CHUNK_BYTES = 1 << 20
+CHUNK_TOKENS = 1 << 19
+CACHE_FRAGMENTS = 400_000
 CACHE_TOKENS = 4_000_000
 
 
@@ -129,8 +130,7 @@ class Fragments:
         self.index: dict[bytes, int] = {}
         self.off, self.len, self.tok = array("q"), array("q"), array("i")
 
-    def _learn(self, fragments: list[bytes]) -> None:
-        new = list({f: None for f in fragments if f not in self.index})
+    def _learn(self, new: list[bytes]) -> None:
         for lo in range(0, len(new), 20_000):
             part = new[lo:lo + 20_000]
             encoded = self.encode_batch([f.decode("utf-8") for f in part], add_special_tokens=False)
@@ -141,6 +141,16 @@ class Fragments:
                 self.len.append(len(ids))
                 self.tok.extend(ids)
 
+    def _places(self, frags: list[bytes]) -> np.ndarray:
+        """Table place of every fragment; new ones are encoded first."""
+        k = np.fromiter(map(self.index.get, frags, repeat(-1)), dtype=np.int64, count=len(frags))
+        miss = np.flatnonzero(k < 0).tolist()
+        if miss:
+            lost = [frags[i] for i in miss]
+            self._learn(list(dict.fromkeys(lost)))
+            k[miss] = [self.index[f] for f in lost]
+        return k
+
     def boundaries(self, buf: bytes, ends: np.ndarray) -> np.ndarray:
         """Sorted fragment ends over concatenated texts (text ends included)."""
         a = np.frombuffer(buf, dtype=np.uint8)
@@ -166,8 +176,7 @@ class Fragments:
         stops = self.boundaries(buf, ends[1:])
         starts = np.concatenate(([0], stops[:-1]))
         frags = [buf[s:e] for s, e in zip(starts.tolist(), stops.tolist())]
-        self._learn(frags)
-        k = np.fromiter(map(self.index.__getitem__, frags), dtype=np.int64, count=len(frags))
+        k = self._places(frags)
         lens = np.frombuffer(self.len, dtype=np.int64)[k]
         off = np.frombuffer(self.off, dtype=np.int64)[k]
         cum = np.concatenate(([0], np.cumsum(lens)))
@@ -204,14 +213,12 @@ def load_tokenizer(path: str) -> tuple[str, str]:
     return hashlib.sha256(text.encode()).hexdigest(), text
 
 
-def _as_bytes(arr: pa.Array) -> list[bytes]:
-    return [(b"" if t is None else t) for t in arr.to_pylist()]
-
-
-def valid_utf8(texts: list[bytes]) -> list[bytes]:
-    """Invalid bytes become U+FFFD, as in the library's own string input."""
+def valid_utf8(texts: list[bytes | None]) -> list[bytes]:
+    """Nulls become empty; invalid bytes become U+FFFD, as in the library's own
+    string input."""
     out = []
     for t in texts:
+        t = t or b""
         try:
             t.decode("utf-8")
         except UnicodeDecodeError:
@@ -221,29 +228,36 @@ def valid_utf8(texts: list[bytes]) -> list[bytes]:
 
 
 def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "ids",
-           keep: Sequence[str] | None = None) -> DataFrame:
+           keep: Sequence[str] | None = None, decoded_col: str | None = None) -> DataFrame:
     """``df`` (its ``keep`` columns, default all) with ``out_col`` =
-    array<int> of the whole text's token ids."""
+    array<int> of the whole text's token ids.  With ``decoded_col`` the ids
+    are decoded again in the same pass."""
     key, text = load_tokenizer(tokenizer_path)
     shared = df.sparkSession.sparkContext.broadcast(text)
-    keep = [c for c in (df.columns if keep is None else keep) if c != out_col]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (out_col, decoded_col)]
     src = "_bpe_bytes"
     while src in df.columns:
         src += "_"
 
     def make():
         enc = _fragments(key, shared.value)
+        table = TokenBytes(shared.value) if decoded_col else None
 
         def run(batch: pa.RecordBatch):
-            texts = valid_utf8(_as_bytes(batch.column(batch.num_columns - 1)))
-            for lo, hi in row_chunks([len(t) for t in texts], CHUNK_BYTES):
-                offsets, ids = enc.encode(texts[lo:hi])
-                yield lo, hi, [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                                        pa.array(ids, pa.int32()))]
+            col = batch.column(batch.num_columns - 1)
+            for lo, hi in row_chunks(byte_sizes(col), CHUNK_BYTES):
+                offsets, ids = enc.encode(valid_utf8(col.slice(lo, hi - lo).to_pylist()))
+                arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                                   pa.array(ids, pa.int32()))]
+                if table:
+                    arrays.append(pa.array(table.decode(ids.astype(np.int64), offsets), pa.string()))
+                yield lo, hi, arrays
         return run
 
-    field = T.StructField(out_col, T.ArrayType(T.IntegerType()), False)
-    return map_arrow(df.withColumn(src, F.col(text_col).cast("string").cast("binary")), keep, [field],
+    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType()), False)]
+    if decoded_col:
+        fields.append(T.StructField(decoded_col, T.StringType(), False))
+    return map_arrow(df.withColumn(src, F.col(text_col).cast("string").cast("binary")), keep, fields,
                      make, [src])
 
 
