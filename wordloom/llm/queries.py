@@ -8,9 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, sharding, simhash, token_counts, toxicity
+from . import bpe, decontaminate, kneser_ney, sharding, simhash, token_counts, toxicity, url_filter
 from .common import read_table, scratch_path, text_or_empty, utf8_size
 
+URL_RULES = (
+    url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"),
+    url_filter.Rule("example.org/en/1", "block"), url_filter.Rule("com/fr/", "allow"),
+    url_filter.Rule("com/de/", "block"),
+)
 OVER_LIMIT = 4096
 SHARDS = 16
 
@@ -45,12 +50,34 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted"))
 
 
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    rows = decontaminate.find_overlaps(docs, read_table(spark, sf, "benchmark"), keep=["doc_id"])
+    best = F.array_max(F.transform("hits", lambda h: F.struct(
+        h["matched"].alias("matched"), (-h["item_id"]).alias("item"),
+        (h["end_word"] - h["start_word"]).alias("words"))))
+    return rows.select("doc_id", decontaminate.is_contaminated("hits").alias("contaminated"),
+                       F.size(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("n_items"),
+                       (-best["item"]).alias("item_id"), best["words"].alias("overlap_words"),
+                       best["matched"].alias("matched_words"))
+
+
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return (simhash.near_duplicates(docs, shingle=3, max_bits=3)
             .select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id"))
 
 
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Block list: host and path of every page that some URL links to with a
+    referral mark (``ref=`` in its query)."""
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    url = F.col("url").cast("string")
+    listed = (pages.where(url.contains("://") & url.rlike(r"[?&]ref="))
+              .select(F.concat(url_filter.host(url), url_filter.path(url)).alias("key")))
+    return url_filter.judge(pages, URL_RULES, listed)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     counts = token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"),
@@ -71,16 +98,50 @@ def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP8_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, url,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(rule, rule_host, rule_path, rule_verdict) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+         ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
+         ('com/de/', 'com', '/de/', 'block')
+), fits AS (
+  SELECT p.page_id, p.url, p.host, p.path, r.rule, r.rule_verdict
+  FROM parts p JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+), best AS (
+  SELECT page_id, url, max_by(rule, length(rule)) AS rule, max_by(rule_verdict, length(rule)) AS rule_verdict
+  FROM fits GROUP BY page_id, url
+), listed AS (
+  SELECT DISTINCT host || path AS key FROM parts
+  WHERE strpos(url, '://') > 0 AND regexp_matches(url, '[?&]ref=')
+)
+SELECT p.page_id, p.host, p.path, b.rule,
+       coalesce(b.rule_verdict, CASE WHEN p.host <> '' AND l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p
+LEFT JOIN best b ON p.page_id IS NOT DISTINCT FROM b.page_id AND p.url IS NOT DISTINCT FROM b.url
+LEFT JOIN listed l ON l.key = p.host || p.path
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
+        "op6_decontaminate": op6_decontaminate,
         "op7_simhash": op7_simhash,
+        "op8_url_filter": op8_url_filter,
         "op9_token_counts": op9_token_counts,
         "op10_external_shuffle": op10_external_shuffle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": OP8_SQL}
