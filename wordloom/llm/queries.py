@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, kneser_ney, sharding, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, kneser_ney, nearest, sharding, simhash, token_counts, toxicity, url_filter
 from .common import read_table, scratch_path, text_or_empty, utf8_size
 
 URL_RULES = (
@@ -37,6 +37,11 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read_table(spark, sf, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     rows = kneser_ney.classify(docs, read_table(spark, sf, "labels"))
@@ -133,6 +138,7 @@ LEFT JOIN listed l ON l.key = p.host || p.path
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_nearest": op3_nearest,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_decontaminate": op6_decontaminate,
