@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship_package, small_batches, stored, text_or_empty
 
@@ -138,6 +139,7 @@ class Block:
         self.texts = [(cols["text"][i] or b"").decode("utf-8", "replace") for i in docs]
         self.good = [grade.get(k) if k is not None else None for k in self.keys]
         self.held = [bool(cols["fold"][i] == 0) for i in docs]
+        self.rows = docs
         self.by_lang: dict[str, list[int]] = {}
         for i, lang in enumerate(self.langs):
             self.by_lang.setdefault(lang, []).append(i)
@@ -214,7 +216,7 @@ def log_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
 # --- documents -----------------------------------------------------------------
 
 def _blocks(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, lang_col: str,
-            label_col: str, block_bytes: int) -> DataFrame:
+            label_col: str, block_bytes: int, carry: tuple[str, ...]) -> DataFrame:
     """Documents and labels in one frame, dealt into blocks by key."""
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
@@ -224,11 +226,12 @@ def _blocks(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, lan
     fold = F.crc32(key.cast("string").cast("binary")) % FOLDS
     rows = docs.select(block.alias("block"), key.alias("key"), F.col(lang_col).cast("string").alias("lang"),
                        text.cast("binary").alias("text"), F.lit(None).cast("int").alias("good"),
-                       fold.alias("fold"))
+                       fold.alias("fold"), *carry)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).select(
         F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), key.alias("key"),
         F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("text"),
-        F.col(label_col).cast("int").alias("good"), fold.alias("fold"))
+        F.col(label_col).cast("int").alias("good"), fold.alias("fold"),
+        *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry])
     return rows.unionByName(marks).repartition(max(n, 2), "block")
 
 
@@ -251,7 +254,7 @@ def _grams_of_block(order: int):
     return run
 
 
-def _score_block(order: int):
+def _score_block(order: int, carry: tuple[str, ...]):
     def run(docs: pa.Table, logs: pa.Table) -> pa.Table:
         table: dict[str, dict[str, float]] = {}
         for lang, gram, logp in zip(*(logs.column(c).to_pylist() for c in ("lang", "gram", "logp"))):
@@ -268,28 +271,34 @@ def _score_block(order: int):
             "key": pa.array(block.keys, pa.int64()), "lang": pa.array(block.langs, pa.string()),
             "n_chars": pa.array([len(t) for t in block.texts], pa.int64()),
             "log_likelihood": pa.array(total), "good": pa.array(block.good, pa.int32()),
-            "held_out": pa.array(block.held, pa.bool_())})
+            "held_out": pa.array(block.held, pa.bool_()),
+            **{c: docs.column(c).take(pa.array(block.rows, pa.int64())) for c in carry}})
 
     return run
 
 
 def score(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", label_col: str = "quality", order: int = ORDER,
-          block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, lang, n_chars, log_likelihood, perplexity, good, held_out) for
-    every row; perplexity is per character, null for empty texts."""
+          block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lang, n_chars, log_likelihood, good, held_out, carry columns,
+    perplexity) for every row; perplexity is per character, null for empty
+    texts."""
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
-    blocks = _blocks(docs, labels, key_col, text_col, lang_col, label_col, block_bytes)
+    blocks = _blocks(docs, labels, key_col, text_col, lang_col, label_col, block_bytes, carry)
     asked = stored(blocks.groupBy("block").applyInArrow(
         _grams_of_block(order), "block long, lang string, gram string, c long"), "kn-grams")
     grams = stored(asked.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kn-all")
     logs = log_probabilities(grams, order)
     answers = asked.select("block", "lang", "gram").join(logs, ["lang", "gram"])
+    schema = T.StructType([
+        T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()),
+        T.StructField("n_chars", T.LongType()), T.StructField("log_likelihood", T.DoubleType()),
+        T.StructField("good", T.IntegerType()), T.StructField("held_out", T.BooleanType()),
+        *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
     scored = blocks.groupBy("block").cogroup(
         answers.select("block", "lang", "gram", "logp").groupBy("block")).applyInArrow(
-        _score_block(order), "key long, lang string, n_chars long, log_likelihood double, "
-                             "good int, held_out boolean")
+        _score_block(order, carry), schema)
     scored = stored(scored, "kn-scores")
     return scored.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(
         -F.col("log_likelihood") / F.col("n_chars"))))

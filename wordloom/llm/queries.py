@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, kneser_ney, nearest, sharding, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, kneser_ney, licences, nearest, sharding, simhash, token_counts, toxicity, url_filter
+from .licence_texts import KNOWN
 from .common import read_table, scratch_path, text_or_empty, utf8_size
 
 URL_RULES = (
@@ -19,8 +20,6 @@ URL_RULES = (
 OVER_LIMIT = 4096
 SHARDS = 16
 
-STAGES: list = []
-
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -28,6 +27,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licences(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return licences.scan(docs).select("doc_id", "digest", "licence_id",
+                                      F.array_join("notices", ",").alias("notices"))
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     path = tokenizer_path("byte_bpe_50k.json")
@@ -103,6 +108,25 @@ def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_sql() -> str:
+    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''"))
+                       for i, (n, t) in enumerate(KNOWN))
+    return f"""
+WITH known AS (
+  SELECT sha256(translate({licences.canonical_lines_sql("text")}, chr(10), ' ')) AS digest,
+         arg_min(licence_id, place) AS licence_id
+  FROM (VALUES {values}) AS t(place, licence_id, text) GROUP BY 1
+), docs AS (
+  SELECT doc_id, {licences.canonical_lines_sql("coalesce(text, '')")} AS lines FROM documents
+)
+SELECT d.doc_id, sha256(translate(d.lines, chr(10), ' ')) AS digest, k.licence_id,
+       array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(d.lines, chr(10)),
+         lambda x: m.by_digest[sha256(x)]), lambda x: x IS NOT NULL))), ',') AS notices
+FROM docs d LEFT JOIN known k ON k.digest = sha256(translate(d.lines, chr(10), ' '))
+CROSS JOIN (SELECT map(list(digest), list(licence_id)) AS by_digest FROM known) m
+"""
+
+
 OP8_SQL = r"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -137,6 +161,7 @@ LEFT JOIN listed l ON l.key = p.host || p.path
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licences": op1_licences,
         "op2_bpe": op2_bpe,
         "op3_nearest": op3_nearest,
         "op4_quality": op4_quality,
@@ -150,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op1_licences": op1_sql(), "op8_url_filter": OP8_SQL}

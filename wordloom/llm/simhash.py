@@ -310,16 +310,18 @@ def fingerprint_components(fps: DataFrame, max_bits: int = 3, node_limit: int =
 
 
 def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = 3, max_bits: int = 3, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """(key, fp, component_id) for every row of ``df``."""
-    prints = stored(fingerprints(df, text_col, [key_col], shingle, "fp"), "simhash-prints")
+                    shingle: int = 3, max_bits: int = 3, node_limit: int = NODE_LIMIT,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry columns, fp, root, component_id) for every row of ``df``:
+    ``root`` is a fingerprint that names the component."""
+    prints = stored(fingerprints(df, text_col, [key_col, *carry], shingle, "fp"), "simhash-prints")
     classes = prints.groupBy("fp").agg(F.min(key_col).alias("_least"))
     roots = fingerprint_components(classes, max_bits, node_limit)
     named = (classes.join(roots, "fp", "left")
              .select("fp", "_least", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(key_col, "fp", "component_id")
+    by_fp = named.select("fp", "root").join(least, "root")
+    return prints.join(by_fp, "fp").select(key_col, *carry, "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:

@@ -232,14 +232,15 @@ def learn(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: ToxicModel, text_col: str = "text",
-          keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default all) with ``score`` in 0..1 and ``predicted``."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list[str] | None = None,
+          score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``keep`` columns (default all) with a score in 0..1 and a prediction;
+    input columns of those two names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (score_col, predicted_col)]
     rows = _scored(docs, model, text_col, keep)
     c0, c1, c2 = (F.lit(float(c)) for c in model.coef)
     z = (c0 + c1 * F.log1p(F.col("_weight"))
          + c2 * F.log1p(100.0 * F.col("_weight") / F.greatest(F.col("_words"), F.lit(1))))
-    p = 1.0 / (1.0 + F.exp(-z))
-    return (rows.withColumn("score", p).drop("_weight", "_words")
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+    return (rows.withColumn(score_col, 1.0 / (1.0 + F.exp(-z)))
+            .withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
+            .select(*keep, score_col, predicted_col))
