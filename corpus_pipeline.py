@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.common import read_table, stored
-from wordloom.llm.queries import STAGES
+from wordloom.llm.stages import STAGES
 
 ORACLE_SQL = None    # the stages are language-model and classifier decisions; see tests/llm
 
