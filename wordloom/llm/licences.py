@@ -73,8 +73,9 @@ def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN)
     """(digest, licence_id) of the known texts; the first id of a digest counts."""
     if len(known) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known licences")
-    rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(known)],
-                                 "place int, licence_id string, text string")
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("licence_id"), F.lit(t).alias("text"))
+                       for i, (n, t) in enumerate(known)])
+    rows = spark.range(1).select(F.inline(listed))
     return (rows.select("place", "licence_id", digest(whole(canonical_lines(F.col("text")))).alias("digest"))
             .groupBy("digest").agg(F.min_by("licence_id", "place").alias("licence_id")))
 
