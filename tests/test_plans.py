@@ -1,12 +1,12 @@
 """Plan-shape guards for the tokeniser's scale properties (README "Scale
-design"): which exchanges may appear in the physical plan."""
+design"): what is read and how rows move."""
 
 import contextlib
 import io
-import re
 
 from conftest import SF001
-from wordloom.operators.wordpiece import tokenize, vocab_info
+from wordloom.operators.ordering import ordered_index
+from wordloom.operators.wordpiece import segment_words, tokenize, vocab_info
 from wordloom.sources.vocab import fixture_vocab
 
 
@@ -23,18 +23,21 @@ def _docs_vocab(spark):
     return docs, vocab, vocab_info(vocab)
 
 
-def test_small_vocabulary_path_never_shuffles_by_word(spark):
+def test_tokeniser_reads_its_input_once_and_stays_in_the_jvm(spark):
     docs, vocab, info = _docs_vocab(spark)
-    plan = _plan(tokenize(docs, vocab, carry=["lang"], clip=2048, info=info))
-    assert "hashpartitioning(word" not in plan          # occurrences never shuffled by word
-    assert "BroadcastHashJoin" in plan                  # segmentation broadcast
-    # the per-document regroup reuses the explicit partitioning by id
-    assert not re.search(r"Exchange hashpartitioning\(doc_id[^\n]*ENSURE_REQUIREMENTS", plan)
+    plan = _plan(tokenize(docs, vocab, carry=["lang"], info=info))
+    assert "documents.parquet" not in plan              # the occurrences are read instead
+    assert "Python" not in plan and "Pandas" not in plan
 
 
-def test_split_path_regroups_without_a_planner_exchange(spark):
+def test_segmentation_probes_the_vocabulary_by_broadcast_when_it_is_small(spark):
     docs, vocab, info = _docs_vocab(spark)
-    plan = _plan(tokenize(docs, vocab, carry=["lang"], clip=2048, info=info, seg_broadcast_max_rows=50))
-    assert "Union" in plan and "LeftAnti" in plan       # hot words broadcast, rare words split off
-    assert "hashpartitioning(word" in plan              # only the rare-word occurrences shuffle by word
-    assert not re.search(r"Exchange hashpartitioning\(doc_id[^\n]*ENSURE_REQUIREMENTS", plan)
+    words = docs.selectExpr("explode(split(text, ' ')) as word").where("word <> ''").distinct()
+    plan = _plan(segment_words(words, vocab, info))
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_ordered_index_has_no_python(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "source")
+    plan = _plan(ordered_index(docs, ["source"], ["doc_id"]))
+    assert "Python" not in plan and "Pandas" not in plan

@@ -50,28 +50,76 @@ def test_stream_equals_batch_with_dead_letters(spark, fx, scratch):
         assert np.max(np.abs(np.array(r["embedding"]) - vec_b[r["doc_id"]])) < 1e-5
 
 
-def test_batcher_stream_equals_batch(spark, scratch):
-    ev = spark.read.parquet(f"{SF001}/events.parquet")
-    bounds = ev.approxQuantile("value", [0.5], 0.0)  # unused split key guard
-    assert bounds
-    ts_sorted = ev.orderBy("ts", "event_id").select("ts").collect()
-    cut1, cut2 = ts_sorted[len(ts_sorted) // 3]["ts"], ts_sorted[2 * len(ts_sorted) // 3]["ts"]
-    parts = [ev.where(F.col("ts") < F.lit(cut1)),
-             ev.where((F.col("ts") >= F.lit(cut1)) & (F.col("ts") < F.lit(cut2))),
-             ev.where(F.col("ts") >= F.lit(cut2))]
-    for i, p in enumerate(parts):
-        p.coalesce(1).write.parquet(f"{scratch}/ev/part{i}")
-        import os, glob
-        for f in glob.glob(f"{scratch}/ev/part{i}/*.parquet"):
-            os.rename(f, f"{scratch}/ev/{i}-{os.path.basename(f)}")
-    s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/ev")
-    q = (batch_stream(s, "user_id", "event_id", "ts", WAIT).writeStream.format("memory")
-         .queryName("h2_out").outputMode("append")
-         .option("checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start())
+def _run_batcher(spark, scratch, frames, name, **kw):
+    """Feed ``frames`` one per trigger (file times give the order)."""
+    import glob
+    import os
+    for i, p in enumerate(frames):
+        p.coalesce(1).write.parquet(f"{scratch}/{name}-part{i}")
+    os.makedirs(f"{scratch}/{name}")
+    for i in range(len(frames)):
+        f = glob.glob(f"{scratch}/{name}-part{i}/*.parquet")[0]
+        os.rename(f, f"{scratch}/{name}/{i}.parquet")
+        os.utime(f"{scratch}/{name}/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    s = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/{name}")
+    q = (batch_stream(s, "user_id", "event_id", "ts", WAIT, **kw).writeStream.format("memory")
+         .queryName(name).outputMode("append")
+         .option("checkpointLocation", f"{scratch}/{name}-ckpt").trigger(availableNow=True).start())
     q.awaitTermination(600)
-    got = sorted(tuple(r) for r in spark.table("h2_out").collect())
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, event_id long, s long").select(
+        "user_id", "event_id", F.timestamp_seconds("s").alias("ts"))
+
+
+FLUSH = (999, 999, 4_000_000_000)          # a far later item of another key moves event time on
+
+
+def test_batcher_stream_equals_batch(spark, scratch):
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "event_id", "ts")
+    cuts = [r["ts"] for r in ev.orderBy("ts", "event_id").collect()]
+    a, b = cuts[len(cuts) // 3], cuts[2 * len(cuts) // 3]
+    end = _events(spark, [FLUSH]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    parts = [ev.where(F.col("ts") < F.lit(a)), ev.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))),
+             ev.where(F.col("ts") >= F.lit(b)), end]
+    got = _run_batcher(spark, scratch, parts, "h2_equal", idle="400 days")
     ref = sorted(tuple(r) for r in assign_batches(ev, "user_id", "event_id", "ts", WAIT).collect())
-    assert len(got) == ev.count() and got == ref
+    assert [r for r in got if r[0] != 999] == ref
+
+
+def test_idle_key_closes_by_timer_and_a_late_item_takes_its_place(spark, scratch):
+    hour = 3600
+    first = [(1, 1, 10 * hour), (1, 2, 11 * hour), (2, 5, 10 * hour)]
+    then = [(3, 7, 20 * hour)]                 # other keys move event time past both waits
+    late = [(3, 9, 20 * hour - 5), (3, 8, 20 * hour + 1)]       # 5 s late: within the delay, before event 7
+    lost = [(1, 4, 10 * hour)]                                  # ten hours late: dropped
+    got = _run_batcher(spark, scratch, [_events(spark, x) for x in (first, then, late, lost, [FLUSH])], "h2_late")
+    assert [r for r in got if r[0] != 999] == [(1, 1, 0, 0), (1, 2, 0, 1), (2, 5, 0, 0),
+                                               (3, 7, 0, 1), (3, 8, 0, 2), (3, 9, 0, 0)]
+
+
+def test_batches_do_not_depend_on_the_partitioning(spark):
+    """One hot key with most items, runs that span many partitions, equal times."""
+    rows = [(1, i, (i // 3) * 1800) for i in range(600)] + [(2, 1000 + i, i * 7200) for i in range(40)] + [(None, 5000, 7)]
+    df = spark.createDataFrame(rows, "k long, id long, s long").withColumn(
+        "ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want, state = {}, {}
+    for k, i, s in sorted(rows, key=lambda r: (r[0] or -1, r[2], r[1])):
+        no, t0, n = state.get(k, (-1, None, 8))
+        no, t0, n = (no, t0, n + 1) if t0 is not None and n < 8 and s - t0 < 3 * 3600 else (no + 1, s, 1)
+        state[k] = (no, t0, n)
+        want[i] = (no, n - 1)
+    try:
+        for parts in (1, 5, 97):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = {r["item_id"]: (r["batch_no"], r["pos_in_batch"])
+                   for r in assign_batches(df, "k", "id", "ts", WAIT).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_boundary_at_exact_wait(spark):

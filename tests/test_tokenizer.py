@@ -9,7 +9,7 @@ from wordloom.functions.pytokenizer import PyWordPiece
 from wordloom.functions.text import basic_tokenize, utf8_valid
 from wordloom.operators.wordpiece import (chunk_table, encode, segment_words,
                                           tokenize, vocab_info, validate_ids)
-from wordloom.sources.vocab import fixture_vocab, read_vocab
+from wordloom.sources.vocab import fixture_vocab, read_vocab, write_vocab
 
 # fixed values: golden ids of the published vocabulary used by the reference's tests
 GOLDEN = {"[PAD]": 0, "[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "北": 1266, "京": 776,
@@ -119,14 +119,66 @@ def test_validate_ids(spark):
     assert got == {1: None, 2: "bad_length", 3: "id_out_of_range", 4: "bad_length"}
 
 
-def test_hot_cold_split_equals_broadcast_path(spark):
-    """Forcing the large-vocabulary path (broadcast hot words, shuffle-join
-    the rare ones) must give the same tokens as the all-broadcast path."""
+def test_words_of_any_length_take_linear_time(spark):
+    """A word that splits into single characters, and one that fails early
+    beside a 16-character continuation token."""
+    import time
+
+    rows = [(0, "[UNK]"), (1, "a"), (2, "##a"), (3, "##" + "b" * 16)]
+    vocab = spark.createDataFrame(rows, "id int, token string")
+    info = vocab_info(vocab)
+
+    def run(word):
+        t = time.time()
+        got = segment_words(spark.createDataFrame([(word,)], "word string"), vocab, info).first()
+        return got, time.time() - t
+
+    run("a" * 100)
+    got, s16 = run("a" * 16_000)
+    assert got["pieces"][:2] == ["a", "##a"] and len(got["pieces"]) == 16_000 and got["piece_ids"][-1] == 2
+    got, s32 = run("a" * 32_000)
+    assert len(got["pieces"]) == 32_000 and s32 < 10
+    got, s = run("a" * 15_999 + "c" + "b" * 16_000)
+    assert got["pieces"] == ["[UNK]"] and s < 10
+    got, _ = run("a" + "b" * 512 + "a" * 3)
+    assert got["pieces"] == ["a"] + ["##" + "b" * 16] * 32 + ["##a"] * 3
+
+
+def test_supplementary_characters_are_one_character(spark):
+    vocab = spark.createDataFrame([(0, "[UNK]"), (1, "\U0001F600"), (2, "##\U0001F600"), (3, "##x")], "id int, token string")
+    words = spark.createDataFrame([("\U0001F600x\U0001F600",)], "word string")
+    assert segment_words(words, vocab).first()["piece_ids"] == [1, 3, 2]
+
+
+def test_null_bad_and_repeated_rows(spark):
+    """Null text and bytes that are not UTF-8 are refused with a reason; rows
+    with equal or null ids stay apart."""
+    vocab = spark.createDataFrame([(0, "x"), (1, "a"), (100, "[UNK]"), (101, "[CLS]"), (102, "[SEP]")],
+                                  "id int, token string")
+    rows = [(1, b"x"), (1, b"a a"), (None, b"x a"), (2, None), (3, "\u4eac".encode()[:2]), (4, b""), (1, b"x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text binary")
+    for policy in ("truncate", "reject", "fail"):
+        enc = encode(tokenize(docs, vocab), vocab_info(vocab), 512, policy)
+        got = sorted(((r["doc_id"] or -1), r["status"], r["reason"] or "", tuple(r["ids"] or ()), r["n_tokens"])
+                     for r in enc.collect())
+        assert got == sorted([
+            (1, "ok", "", (101, 0, 102), 3), (1, "ok", "", (101, 1, 1, 102), 4), (-1, "ok", "", (101, 0, 1, 102), 4),
+            (2, "rejected", "null_text", (), 0), (3, "rejected", "invalid_utf8", (), 0),
+            (4, "ok", "", (101, 102), 2), (1, "ok", "", (101, 0, 102), 3)])
+
+
+def test_a_hot_word_and_no_words(spark):
+    vocab = spark.createDataFrame([(0, "hot"), (1, "cold"), (100, "[UNK]")], "id int, token string")
+    docs = spark.range(300).selectExpr("id as doc_id", "concat(repeat('hot ', 40), if(id = 7, 'cold', '')) as text")
+    got = tokenize(docs, vocab).collect()
+    assert len(got) == 300 and all(r["body_ids"][:40] == [0] * 40 for r in got)
+    assert [r["doc_id"] for r in got if 1 in r["body_ids"]] == [7]
+    assert tokenize(docs.limit(0), vocab).count() == 0
+
+
+def test_vocabulary_file_round_trip(spark, scratch):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     vocab = fixture_vocab(docs)
-    info = vocab_info(vocab)
-    a = tokenize(docs, vocab, carry=["lang"], clip=2048, info=info)
-    b = tokenize(docs, vocab, carry=["lang"], clip=2048, info=info, seg_broadcast_max_rows=50)
-    ra = sorted((r["doc_id"], r["lang"], tuple(r["body_ids"])) for r in a.collect())
-    rb = sorted((r["doc_id"], r["lang"], tuple(r["body_ids"])) for r in b.collect())
-    assert ra == rb and len(ra) == docs.count()
+    write_vocab(vocab, f"{scratch}/vocab")
+    back = read_vocab(spark, f"{scratch}/vocab")
+    assert sorted(map(tuple, back.select("id", "token").collect())) == sorted(map(tuple, vocab.select("id", "token").collect()))

@@ -2,11 +2,13 @@
 rule, distributed row numbering on a hot key, fixed batches."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import vectors as V
-from wordloom.operators.batching import assign_fixed_batches, ragged_offsets
+from wordloom.operators.batching import assign_fixed_batches, batch_tokens, ragged_offsets
+from wordloom.operators.embed import token_embeddings
 from wordloom.operators.ordering import ordered_index
 from wordloom.operators.reports import rank_summary
 from wordloom.operators.vectors import parity_report
@@ -89,7 +91,9 @@ def test_fixed_batches_and_offsets(spark):
     rows = {r["id"]: r for r in b.collect()}
     assert rows[8]["batch_no"] == 1 and rows[8]["offset"] == 0
     assert rows[10]["offset"] == 18 + 19 and rows[19]["batch_no"] == 2
-    assert rows[0]["batch_tokens"] == sum(10 + i for i in range(8))
+    totals = {r["batch_no"]: r["batch_tokens"] for r in
+              batch_tokens(assign_fixed_batches(df, ["src"], ["id"], size=8), ["src"], "n").collect()}
+    assert totals[0] == sum(10 + i for i in range(8)) and len(totals) == 3
 
 
 def test_ordered_index_null_keys(spark):
@@ -101,3 +105,32 @@ def test_ordered_index_null_keys(spark):
     def canon(rows):
         return sorted((r["k"] is None, r["k"] or 0, r["v"], r["idx"]) for r in rows)
     assert canon(got.collect()) == canon(ref.select("k", "v", "idx").collect())
+
+
+def test_ordered_index_keeps_large_integers_hot_keys_and_gaps(spark):
+    """Null keys beside 2**53 + 1, one key with most rows, empty partitions."""
+    rows = [(None if i % 9 == 0 else 2**53 + 1 if i % 9 < 7 else 2**53 + 3, i * 7 % 500, 2**53 + i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    ref = df.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("o", "v")) - 1)
+    want = sorted(((r["k"] or -1), r["v"], r["i"]) for r in ref.collect())
+    for n in (1, 7, 64):
+        got = ordered_index(df, ["k"], ["o", "v"], name="i", num_partitions=n, count="n").collect()
+        assert sorted(((r["k"] or -1), r["v"], r["i"]) for r in got) == want
+        assert {(r["k"], r["n"]) for r in got} == {(None, 100), (2**53 + 1, 600), (2**53 + 3, 200)}
+    assert ordered_index(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_rank_summary_keeps_the_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 2.0, 3)], "g string, v double, id long")
+    got = {r["g"]: (r["n"], r["mean"], r["p50"], r["p99"]) for r in rank_summary(df, ["g"], "v", ["id"]).collect()}
+    assert got == {None: (2, 2.0, 3.0, 3.0), "a": (1, 2.0, 2.0, 2.0)}
+
+
+def test_a_token_without_an_embedding_fails_the_job(spark):
+    toks = spark.createDataFrame([(1, 0, 5), (1, 1, 100)], "doc_id long, pos int, token_id int")
+    word = spark.createDataFrame([(5, [1.0, 2.0])], "token_id int, w array<double>")
+    pos = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 1.0])], "pos int, p array<double>")
+    ok = token_embeddings(toks.where("token_id = 5"), word, pos, [0.0, 1.0]).first()
+    assert ok["x"] == [1.5, 3.5]
+    with pytest.raises(Exception, match="no embedding for token 100"):
+        token_embeddings(toks, word, pos, [0.0, 1.0]).collect()

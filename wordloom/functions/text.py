@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import (CJK_CLASS, MAX_CHUNKS, MAX_TEXT_CHARS, PUNCT_CLASS,
-                         SPACE_CLASS)
+from ..constants import CJK_CLASS, MAX_TEXT_CHARS, PUNCT_CLASS, SPACE_CLASS
 
 # One regex class per kind (B5).  Built from the fixed ranges in constants.
 CJK_RE = f"[{CJK_CLASS}]"
@@ -45,7 +44,7 @@ def count_class(text, pattern: str) -> Column:
     return F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
 
 
-def basic_tokenize(text, max_chunks: int | None = MAX_CHUNKS) -> Column:
+def basic_tokenize(text, max_chunks: int | None = None) -> Column:
     """Text -> chunks.
 
     Whitespace (space, tab, LF, CR, U+3000) separates chunks; every CJK
@@ -63,8 +62,5 @@ def basic_tokenize(text, max_chunks: int | None = MAX_CHUNKS) -> Column:
 
 
 def characters(word) -> Column:
-    """A word as an array of single code points."""
-    w = _col(word)
-    return F.when(F.length(w) > 0, F.transform(
-        F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, 1))
-    ).otherwise(F.array().cast("array<string>"))
+    """A word as an array of single code points, in one pass."""
+    return F.regexp_extract_all(_col(word), F.lit(r"(?s)."), F.lit(0))

@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 from ..constants import MAX_SEQ
 from ..operators.embed import Model, _weights
 from ..operators.encoder_math import encode_batch, limit_blas_threads
-from ..operators.wordpiece import VOCAB_BROADCAST_MAX_ROWS
 from ..session import ship_package
 from .pytokenizer import PyWordPiece
 
+VOCAB_BROADCAST_MAX_BYTES = 256 << 20
 _TOKENIZERS: dict[str, PyWordPiece] = {}
 
 
@@ -41,9 +41,10 @@ def _tokenizer(vbc) -> PyWordPiece:
 
 
 def vocab_broadcast(spark: SparkSession, vocab: DataFrame):
-    n = vocab.count()
-    if n > VOCAB_BROADCAST_MAX_ROWS:
-        raise ValueError(f"vocabulary of {n} rows is too large to broadcast")
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
+    if size > VOCAB_BROADCAST_MAX_BYTES:
+        raise ValueError(f"vocabulary of {size} bytes is too large for a per-worker table; "
+                         "use operators.wordpiece.tokenize, which joins it")
     import uuid
     return (uuid.uuid4().hex,
             spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in vocab.collect()}))
@@ -65,11 +66,13 @@ def make_embed_text(vbc, model: Model):
         limit_blas_threads(1)
         tk, w = _tokenizer(vbc), _weights(wbc, wkey)
         for texts in batches:
-            ids = [np.array(tk.encode(t, cfg.max_seq, True)) for t in texts]
-            out = np.zeros((len(ids), cfg.hidden), dtype=np.float32)
+            some = [i for i, t in enumerate(texts) if t is not None]
+            ids = [np.array(tk.encode(texts.iloc[i], cfg.max_seq, True)) for i in some]
+            out = [None] * len(texts)                   # a null text has no vector
             for s in range(0, len(ids), 64):
-                out[s:s + 64] = encode_batch(ids[s:s + 64], w, cfg)
-            yield pd.Series(list(out))
+                for i, v in zip(some[s:s + 64], encode_batch(ids[s:s + 64], w, cfg)):
+                    out[i] = v.astype(np.float32)
+            yield pd.Series(out)
     return embed_text
 
 
@@ -79,9 +82,9 @@ def make_tokenize_udtf(vbc, max_seq: int = MAX_SEQ):
             if text is None:
                 return
             tk = _tokenizer(vbc)
-            ids = tk.encode(text, max_seq, True)
-            toks = ["[CLS]"] + tk.tokens(text)[:max_seq - 2] + ["[SEP]"]
-            for pos, (tok, i) in enumerate(zip(toks, ids)):
+            body = tk.tokens(text)[:max_seq - 2]
+            ids = [tk.cls] + [tk.vocab.get(t, tk.unk) for t in body] + [tk.sep]
+            for pos, (tok, i) in enumerate(zip(["[CLS]", *body, "[SEP]"], ids)):
                 yield pos, tok, i
 
     return F.udtf(Tokenize, returnType="pos int, token string, id int")

@@ -89,28 +89,30 @@ def mat_vec(w, x, bias: Column | None = None) -> Column:
 
 
 def q8_quantize(v, block: int = Q8_BLOCK) -> Column:
-    """Blocks of ``block`` values -> array<struct<scale float, codes array<int>>>.
+    """Blocks of ``block`` values -> array<struct<scale float, codes array<tinyint>>>.
 
     scale = max|x| / 127 (stored as a 4-byte float), code = round(x / scale)
     half away from zero; an all-zero block has scale 0 and codes 0.  The
     length must be a multiple of ``block`` (otherwise the result is null).
     """
-    vv = as_double(v)
-    nb = (F.size(vv) / block).cast("int")
 
-    def one_block(b):
-        part = F.slice(vv, b * block + 1, block)
-        amax = F.array_max(F.transform(part, lambda x: F.abs(x)))
+    def blocks(vv):
+        def one_block(b):
+            def with_part(part):
+                def with_scale(scale):
+                    codes = F.transform(part, lambda x: F.when(scale > 0, F.round(x / scale, 0))
+                                        .otherwise(0).cast("tinyint"))
+                    return F.struct(scale.cast("float").alias("scale"), codes.alias("codes"))
+
+                return let(F.array_max(F.transform(part, lambda x: F.abs(x))) / F.lit(127.0), with_scale)
 
-        def with_scale(scale):
-            codes = F.transform(part, lambda x: F.when(scale > 0, F.round(x / scale, 0))
-                                .otherwise(0).cast("int"))
-            return F.struct(scale.cast("float").alias("scale"), codes.alias("codes"))
+            return let(F.slice(vv, b * block + 1, block), with_part)
 
-        return let(amax / F.lit(127.0), with_scale)
+        last = (F.size(vv) / block).cast("int") - 1
+        return F.when(((F.size(vv) % block) == 0) & (F.size(vv) > 0),
+                      F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one_block))
 
-    return F.when(((F.size(vv) % block) == 0) & (F.size(vv) > 0),
-                  F.transform(F.sequence(F.lit(0), nb - 1), one_block))
+    return let(as_double(v), blocks)
 
 
 def q8_dequantize(q) -> Column:

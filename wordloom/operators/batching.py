@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BATCH_MAX_ITEMS
-from ..session import compute_partitions
 from .ordering import ordered_index
 
 
@@ -32,12 +31,14 @@ def _batch_window(keys: Sequence[str]) -> Window:
 
 
 def ragged_offsets(batched: DataFrame, keys: Sequence[str], len_col: str = "n_tokens") -> DataFrame:
-    """start of each sentence in its batch's concatenated id buffer, and
-    F3: total tokens of the batch."""
-    w = _batch_window(keys)
-    before = w.orderBy("idx_in_batch").rowsBetween(Window.unboundedPreceding, -1)
-    return (batched.withColumn("offset", F.coalesce(F.sum(len_col).over(before), F.lit(0)).cast("long"))
-                   .withColumn("batch_tokens", F.sum(len_col).over(w).cast("long")))
+    """start of each sentence in its batch's concatenated id buffer."""
+    before = _batch_window(keys).orderBy("idx_in_batch").rowsBetween(Window.unboundedPreceding, -1)
+    return batched.withColumn("offset", F.coalesce(F.sum(len_col).over(before), F.lit(0)).cast("long"))
+
+
+def batch_tokens(batched: DataFrame, keys: Sequence[str], len_col: str = "n_tokens") -> DataFrame:
+    """total tokens of each batch (a plain aggregate)."""
+    return batched.groupBy(*keys, "batch_no").agg(F.sum(len_col).cast("long").alias("batch_tokens"))
 
 
 def batch_reject(batched: DataFrame, keys: Sequence[str], over_col: str = "over_length") -> DataFrame:
@@ -54,21 +55,22 @@ def length_bucket(len_col: str = "n_tokens", width: int = 64):
     return F.floor(F.col(len_col) / width).cast("int")
 
 
-def balance_by_length(df: DataFrame, len_col: str = "n_tokens", key_col: str | None = None,
+def balance_by_length(df: DataFrame, len_col: str = "n_tokens", key_cols: Sequence[str] = (),
                       num_partitions: int | None = None) -> DataFrame:
     """cost-balanced placement for the encoder.
 
     Attention cost grows with the square of the length, so partitions must not
-    specialise in long sentences: rows are spread by a hash of ``key_col``
-    (random order when absent) over an explicit partition count -- never
+    specialise in long sentences: rows are spread by a hash of all ``key_cols``
+    (of the whole row when absent) over an explicit partition count -- never
     coalesced by AQE, at least two tasks per core -- so every partition holds
     a like mix of lengths.  Inside each partition rows are sorted by length,
     so the encoder's token-budgeted batches hold sentences of similar length
     and equal lengths share attention groups.
     """
     spark = df.sparkSession
-    n = num_partitions or compute_partitions(spark)
-    spread_by = F.xxhash64(F.col(key_col)) if key_col else F.xxhash64(*[F.col(c) for c in df.columns])
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              2 * spark.sparkContext.defaultParallelism)
+    spread_by = F.xxhash64(*[F.col(c) for c in (key_cols or df.columns)])
     return (df.withColumn("_spread", spread_by)
               .repartition(n, "_spread")
               .sortWithinPartitions(len_col)

@@ -137,7 +137,7 @@ def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids
     narrow = encoded.select(*id_cols, *carry, F.col(ids_col).alias("_ids"),
                             F.size(ids_col).alias("_n"))
     if balance:
-        narrow = balance_by_length(narrow, "_n", key_col=id_cols[0])
+        narrow = balance_by_length(narrow, "_n", key_cols=id_cols)
     narrow = narrow.drop("_n")
     schema = T.StructType([encoded.schema[c] for c in id_cols + carry] + [
         T.StructField("n_tokens", T.IntegerType()),
@@ -146,17 +146,19 @@ def embed(encoded: DataFrame, model: Model, id_col="doc_id", ids_col: str = "ids
 
 
 def token_embeddings(tokens: DataFrame, word_emb: DataFrame, pos_emb: DataFrame,
-                     type_vec: list[float], id_col="doc_id", broadcast_word: bool = True) -> DataFrame:
+                     type_vec: list[float], id_col="doc_id") -> DataFrame:
     """``x[t] = word[id[t]] + pos[t] + type[0]`` in relational form.
 
-    ``tokens``: (*ids, pos, token_id); ``word_emb``: (token_id, w array<double>);
-    ``pos_emb``: (pos, p array<double>) -- bounded by max_seq, always broadcast.
-    ``broadcast_word``: the caller's size check (vocabulary rows x dimension);
-    otherwise the word table is joined by shuffle (AQE splits hot token ids).
+    ``tokens``: (*ids, pos, token_id); ``word_emb``: (token_id, w array<double>),
+    joined by size; ``pos_emb``: (pos, p array<double>) -- bounded by max_seq,
+    always broadcast.  A token id or position without a row fails the job, as
+    a token would otherwise be lost.
     """
     id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
-    wv = F.broadcast(word_emb) if broadcast_word else word_emb
     tv = F.array(*[F.lit(float(x)) for x in type_vec])
-    j = tokens.join(wv, "token_id").join(F.broadcast(pos_emb), "pos")
+    j = tokens.join(word_emb, "token_id", "left").join(F.broadcast(pos_emb), "pos", "left")
     x = F.zip_with(F.zip_with("w", "p", lambda a, b: a + b), tv, lambda a, b: a + b)
-    return j.select(*id_cols, "pos", "token_id", x.alias("x"))
+    lost = F.raise_error(F.format_string("no embedding for token %s at position %s", "token_id", "pos"))
+    known = F.col("w").isNotNull() & F.col("p").isNotNull()
+    return j.select(*id_cols, "pos", "token_id",
+                    F.when(known, x).otherwise(lost.cast("array<double>")).alias("x"))

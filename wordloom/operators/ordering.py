@@ -2,117 +2,69 @@
 
 ``row_number() over (partition by key order by ...)`` sends every row of a key
 to one task; one key may hold a third of the data.  ``ordered_index`` instead
-range-partitions on ``(key, order)`` so a hot key is split over many tasks,
-numbers rows inside each sorted partition, and fixes up keys that continue
-across partition boundaries with an offset table of at most one row per
-partition (bounded by the partition count, not by the data).
+range-partitions on ``(key, order)``, so a hot key is spread over many tasks,
+and numbers rows with built-in expressions only:
+
+* the sorted partitions are written once; ``monotonically_increasing_id`` gives
+  each row its partition and its place in it,
+* one aggregate gives, per (partition, key), the first place and the row count,
+* a window over that small table (per key at most one row per partition) gives
+  the rows of the key in earlier partitions,
+* position = place - first place + rows in earlier partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import checkpoint, ship_package
+from ..session import stored
 
-_PID = "_wl_pid"
-_LIDX = "_wl_lidx"
+_AT, _PID = "_wl_at", "_wl_pid"
+_PLACE_BITS = 33           # monotonically_increasing_id: partition above, place below
 
 
-def _key_tuple(row) -> tuple:
-    """Key values with nulls made comparable (null == null, as Spark groups)."""
-    return tuple(None if pd.isna(v) else v for v in row)
-
-
-def _local_index_fn(keys: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def _sorted_parts(df: DataFrame, sort_cols: Sequence[str], num_partitions: int | None) -> DataFrame:
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+    at = F.monotonically_increasing_id()
+    return stored(staged.withColumn(_AT, at), "ordered")
 
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry_n = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if keys:
-                kframe = pdf[keys]
-                prev = kframe.shift()
-                same = (kframe.eq(prev) | (kframe.isna() & prev.isna())).all(axis=1)
-                change = ~same
-                change.iloc[0] = True
-                run_id = change.cumsum()
-                lidx = pdf.groupby(run_id, sort=False).cumcount().to_numpy(dtype="int64")
-                first_key = _key_tuple(kframe.iloc[0])
-                if carry_key is not None and first_key == carry_key:
-                    first_run = (run_id == 1).to_numpy()
-                    lidx[first_run] += carry_n
-                carry_n = int(lidx[-1]) + 1
-                carry_key = _key_tuple(kframe.iloc[-1])
-            else:
-                n = len(pdf)
-                lidx = np.arange(carry_n, carry_n + n, dtype=np.int64)
-                carry_n += n
-            out = pdf.copy()
-            out[_PID] = pid
-            out[_LIDX] = lidx
-            yield out
 
-    return run
+def _same_keys(keys: Sequence[str], left: str, right: str) -> Column:
+    cond = F.col(f"{left}.{_PID}") == F.col(f"{right}.{_PID}")
+    for k in keys:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
 
 
-def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  name: str = "idx", num_partitions: int | None = None) -> DataFrame:
+def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx",
+                  num_partitions: int | None = None, count: str | None = None) -> DataFrame:
     """Append ``name`` = 0-based position of each row inside its ``keys`` group
-    in ``order`` (ascending; ``order`` must make rows unique within a key).
+    in ``order`` (ascending, nulls first; ``order`` must make rows unique within
+    a key, else equal rows are numbered in any order), and, if named, ``count``
+    = rows of the group.
 
-    Equal to ``row_number() over (partition by keys order by order) - 1``.
-    Pass a narrow frame: every column passes through one Arrow round trip.
+    Equal to ``row_number() over (partition by keys order by order) - 1``; null
+    keys are a group.
     """
     keys, order = list(keys), list(order)
-    spark = df.sparkSession
-    ship_package(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = keys + order
-    staged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    schema = T.StructType(
-        list(df.schema.fields)
-        + [T.StructField(_PID, T.IntegerType(), False),
-           T.StructField(_LIDX, T.LongType(), False)])
-    local = checkpoint(staged.mapInPandas(_local_index_fn(keys), schema))
-
-    # One row per non-empty partition: first key, last key, rows of the last key.
-    key_struct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    stats = (local.groupBy(_PID)
-             .agg(F.min(key_struct).alias("first"),
-                  F.max(F.struct(key_struct.alias("k"), F.col(_LIDX).alias("i"))).alias("last"))
-             .collect())  # <= one row per partition
-    offsets = []
-    carry_key, carry_n = None, 0
-    for row in sorted(stats, key=lambda r: r[_PID]):
-        first = row["first"]
-        last_k, last_i = row["last"]["k"], row["last"]["i"]
-        off = carry_n if (carry_key is not None and first == carry_key) else 0
-        if off:
-            offsets.append((row[_PID], off, *(tuple(first) if keys else ())))
-        carry_n = (off + last_i + 1) if last_k == first else (last_i + 1)
-        carry_key = last_k
-
-    if not offsets:
-        return local.withColumnRenamed(_LIDX, name).drop(_PID)
-    key_fields = [T.StructField(f"_wl_f{i}", df.schema[k].dataType, True)
-                  for i, k in enumerate(keys)]
-    off_schema = T.StructType([T.StructField(_PID, T.IntegerType(), False),
-                               T.StructField("_wl_off", T.LongType(), False), *key_fields])
-    off_df = spark.createDataFrame(offsets, off_schema)
-    joined = local.join(F.broadcast(off_df), _PID, "left")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_wl_f{i}"))
-    shift = F.when(F.col("_wl_off").isNotNull() & same, F.col("_wl_off")).otherwise(F.lit(0))
-    result = joined.withColumn(name, F.col(_LIDX) + shift)
-    return result.drop(_PID, _LIDX, "_wl_off", *[f.name for f in key_fields])
+    parts = _sorted_parts(df, keys + order, num_partitions)
+    pid = F.shiftright(F.col(_AT), _PLACE_BITS)
+    place = F.col(_AT).bitwiseAND((1 << _PLACE_BITS) - 1)
+    runs = parts.groupBy(pid.alias(_PID), *keys).agg(F.min(place).alias("_wl_first"),
+                                                     F.count(F.lit(1)).alias("_wl_rows"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_wl_rows").over(before), F.lit(0)) - F.col("_wl_first")
+    runs = runs.withColumn("_wl_shift", shift)
+    extra = []
+    if count is not None:
+        runs = runs.withColumn("_wl_count", F.sum("_wl_rows").over(group))
+        extra = [F.col("r._wl_count").alias(count)]
+    rows = parts.withColumn(_PID, pid).withColumn("_wl_place", place)
+    joined = rows.alias("l").join(runs.alias("r"), _same_keys(keys, "l", "r"))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns],
+                         (F.col("l._wl_place") + F.col("r._wl_shift")).alias(name), *extra)

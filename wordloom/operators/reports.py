@@ -13,36 +13,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 from .ordering import ordered_index
 
-# per-group statistics above this many groups are joined by shuffle
-GROUP_STATS_BROADCAST_MAX_ROWS = 1_000_000
-
 
 def micros_since_epoch(ts_col: str) -> Column:
     """Microseconds of a TIMESTAMP_NTZ (independent of the session time zone)."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})")
 
 
-def rank_summary(samples: DataFrame, keys: Sequence[str], value_col: str,
-                 tiebreak: Sequence[str]) -> DataFrame:
-    """Per group n, mean, p50, p99 (rank rule above)."""
+def rank_summary(samples: DataFrame, keys: Sequence[str], value_col: str, tiebreak: Sequence[str],
+                 also: Sequence[Column] = ()) -> DataFrame:
+    """Per group n, mean, p50, p99 (rank rule above) and the ``also``
+    aggregates (over columns of ``samples``).  Null keys are a group.  The
+    samples are sorted once; everything else is one grouping of that table."""
     keys = list(keys)
-    stats = broadcast_if_small(
-        samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean")),
-        GROUP_STATS_BROADCAST_MAX_ROWS)
-    ranked = ordered_index(samples.select(*keys, value_col, *tiebreak), keys,
-                           [value_col, *tiebreak], name="_rank")
-    n = F.col("n")
+    ranked = ordered_index(samples, keys, [value_col, *tiebreak], name="_rank", count="_n")
+    n = F.col("_n")
     p50_at = F.floor(n / 2)
     p99_at = F.least(F.floor(n.cast("double") * F.lit(0.99)), n - 1)
-    picked = (ranked.join(stats, keys)
-              .where((F.col("_rank") == p50_at) | (F.col("_rank") == p99_at))
-              .groupBy(*keys, "n", "mean")
-              .agg(F.max(F.when(F.col("_rank") == p50_at, F.col(value_col))).alias("p50"),
-                   F.max(F.when(F.col("_rank") == p99_at, F.col(value_col))).alias("p99")))
-    return picked
+    return ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean"),
+        F.max(F.when(F.col("_rank") == p50_at, F.col(value_col))).alias("p50"),
+        F.max(F.when(F.col("_rank") == p99_at, F.col(value_col))).alias("p99"), *also)
 
 
 def usage_totals(per_text: DataFrame, request_key: Sequence[str], tokens_col: str = "n_tokens") -> DataFrame:
@@ -52,14 +44,13 @@ def usage_totals(per_text: DataFrame, request_key: Sequence[str], tokens_col: st
     ).withColumn("prompt_tokens", F.col("total_tokens"))
 
 
-def throughput_by_level(samples: DataFrame, level_col: str, start_us: Column,
-                        end_us: Column, value_col: str, tiebreak: Sequence[str]) -> DataFrame:
+def throughput_by_level(samples: DataFrame, level_col: str, start_col: str, end_col: str,
+                        value_col: str, tiebreak: Sequence[str]) -> DataFrame:
     """E5: n / wall seconds (max end - min start) per concurrency level, with
     p50/p99 of the latency samples."""
-    span = samples.groupBy(level_col).agg(
-        ((F.max(end_us) - F.min(start_us)) / F.lit(1e6)).alias("wall_s"))
-    summ = rank_summary(samples, [level_col], value_col, tiebreak)
-    return summ.join(span, level_col).withColumn("throughput", F.col("n") / F.col("wall_s"))
+    wall = ((F.max(end_col) - F.min(start_col)) / F.lit(1e6)).alias("wall_s")
+    return (rank_summary(samples, [level_col], value_col, tiebreak, also=[wall])
+            .withColumn("throughput", F.col("n") / F.col("wall_s")))
 
 
 def batch_throughput(samples: DataFrame, batch_col: str, value_ms_col: str) -> DataFrame:

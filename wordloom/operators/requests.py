@@ -16,20 +16,18 @@ from ..constants import MODEL_NAME
 
 
 def request_bodies(texts: DataFrame, key: Sequence[str], order_col: str, text_col: str = "text",
-                   model: str = MODEL_NAME, max_inputs: int = 1024) -> DataFrame:
-    """Build request bodies from text rows: texts of a key, in ``order_col``
-    order, at most ``max_inputs`` per request (``part`` numbers the pieces).
-    A request with a single text sends it as a plain string."""
+                   model: str = MODEL_NAME) -> DataFrame:
+    """Build request bodies from text rows: the texts of a key, in ``order_col``
+    order.  A request with a single text sends it as a plain string."""
     key = list(key)
-    parts = texts.withColumn("part", F.floor(F.col(order_col) / max_inputs).cast("long"))
-    grouped = parts.groupBy(*key, "part").agg(
+    grouped = texts.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
                                              F.col(text_col).alias("t")))).alias("_l"))
     inputs = F.transform("_l", lambda x: x["t"])
     body = F.when(F.size(inputs) == 1,
                   F.to_json(F.struct(F.element_at(inputs, 1).alias("input"), F.lit(model).alias("model"))))\
         .otherwise(F.to_json(F.struct(inputs.alias("input"), F.lit(model).alias("model"))))
-    return grouped.select(*key, "part", body.alias("body"))
+    return grouped.select(*key, body.alias("body"))
 
 
 def parse_request(body: Column) -> Column:
@@ -37,6 +35,7 @@ def parse_request(body: Column) -> Column:
 
     ``input`` may be a string (becomes a list of one) or a list of strings;
     anything else (missing, numbers, nested values) is an error, never coerced.
+    ``model`` may be left out; if given it must be a string.
     """
     v = F.try_parse_json(body)
     inp = F.try_variant_get(v, "$.input", "variant")
@@ -46,11 +45,16 @@ def parse_request(body: Column) -> Column:
     inputs = (F.when(kind == "STRING", F.array(F.try_variant_get(v, "$.input", "string")))
               .when(kind.startswith("ARRAY") & all_strings,
                     F.try_variant_get(v, "$.input", "array<string>")))
-    model = F.coalesce(F.try_variant_get(v, "$.model", "string"), F.lit(MODEL_NAME))
+    named = F.try_variant_get(v, "$.model", "variant")
+    is_text = F.coalesce(F.schema_of_variant(named) == "STRING", F.lit(False))
+    # a JSON null is a value of its own: only a body without the field takes the default
+    has_model = F.coalesce(F.array_contains(F.json_object_keys(body), "model"), F.lit(False))
+    model = F.when(is_text, F.try_variant_get(v, "$.model", "string")).otherwise(F.lit(MODEL_NAME))
     error = (F.when(v.isNull(), "invalid json")
              .when(inp.isNull(), "missing input")
              .when(inputs.isNull(), "input must be a string or a list of strings")
-             .when(F.size(inputs) == 0, "input must not be empty"))
+             .when(F.size(inputs) == 0, "input must not be empty")
+             .when(has_model & ~is_text, "model must be a string"))
     return F.struct(inputs.alias("inputs"), model.alias("model"), error.alias("error"))
 
 

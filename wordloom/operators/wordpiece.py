@@ -1,25 +1,23 @@
 """WordPiece tokenisation as a relational plan.
 
 Plan (all Catalyst, no Python):
-  1. chunks = explode(basic_tokenize(text))            -- C1, capped at 512
-  2. distinct chunks with their counts (map-side partial aggregation
-     collapses hot words before the shuffle)
-  3. candidates (start s, length l) with l bounded by the vocabulary's longest
-     token, ``##``-prefixed when s > 1, probed against the vocabulary with a
-     broadcast join (the vocabulary is size-checked; shuffle join beyond)
-  4. all hits of a word in one list sorted by (start, longest first)
-  5. greedy walk with ``aggregate`` over that list: take the longest hit at the
-     current position; a position without a hit turns the whole word into
-     ``[UNK]``
-  6. documents hash-partitioned by id once; the frequent words' segmentation
-     is broadcast (so hot words never shuffle), only rare-word occurrences are
-     joined by shuffle and hashed back by document id
-  7. regroup per document in chunk order without a further exchange (a
-     document has at most 512 chunks)
-
-Bounding candidates by the longest vocabulary token (not by word length) keeps
-the plan exact and linear in word length.  Slicing chunks to 512 *before* the
-join never changes the first 510 body tokens (every chunk yields >= 1 token).
+  1. one pass over the texts: every row gets a key of its own and explodes into
+     (row, pos, word) occurrences, which are written once
+  2. distinct words (map-side partial aggregation collapses hot words) are cut
+     into windows of characters; each window yields the candidates that start in
+     it, bounded by the vocabulary's longest token and ``##``-prefixed past the
+     word's first character
+  3. candidates are probed against the vocabulary and reduced to the longest
+     hit per start
+  4. the greedy walk takes the longest hit at the current position; it runs
+     window by window, so its lists stay short and the work is linear in the
+     length of the word; a position without a hit makes the word ``[UNK]``
+  5. occurrences join the segmentation of their word and regroup by row
+
+Joins are left to Spark: it broadcasts a side whose known size (Parquet, vocabulary
+file) is under its threshold and splits skewed keys of shuffle joins, so a word
+that makes up a third of all occurrences is neither one task nor a special case.
+Rows are told apart by their own key: equal or null ids never mix.
 """
 
 from __future__ import annotations
@@ -33,15 +31,11 @@ from pyspark.sql import functions as F
 from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
                          MAX_CHUNKS, MAX_SEQ, SEP_FALLBACK_ID, SEP_TOKEN,
                          UNK_FALLBACK_ID, UNK_TOKEN)
-from ..functions.text import basic_tokenize, clip_chars
-from ..session import checkpoint, compute_partitions, spread
+from ..functions.text import basic_tokenize, clip_chars, utf8_valid
+from ..functions.vectors import let
+from ..session import stored
 
-# A vocabulary above this many rows is joined by shuffle instead of broadcast.
-VOCAB_BROADCAST_MAX_ROWS = 2_000_000
-# A word segmentation table above this many rows (or estimated bytes) is split:
-# frequent words broadcast, rare words joined by shuffle.
-SEG_BROADCAST_MAX_ROWS = 1_000_000
-SEG_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+WINDOW = 256          # starts per window of a word
 
 
 @dataclass(frozen=True)
@@ -56,10 +50,6 @@ class VocabInfo:
     # longest continuation token ("##..."), counted without the prefix
     max_cont_chars: int = 0
 
-    @property
-    def broadcastable(self) -> bool:
-        return self.rows <= VOCAB_BROADCAST_MAX_ROWS
-
 
 def vocab_info(vocab: DataFrame) -> VocabInfo:
     def special(tok: str) -> Column:
@@ -82,180 +72,178 @@ def vocab_info(vocab: DataFrame) -> VocabInfo:
         max_cont_chars=int(r["Lc"] or 0))
 
 
-def _vocab_side(vocab: DataFrame, info: VocabInfo) -> DataFrame:
-    v = vocab.select(F.col("token").alias("_cand"), F.col("id").alias("_vid"))
-    return F.broadcast(v) if info.broadcastable else v
+def _word_key(word: Column) -> list[Column]:
+    """Two independent 64-bit hashes stand for a word in the tables below."""
+    return [F.xxhash64(word).alias("_k1"), F.xxhash64(F.lit(CONTINUATION_PREFIX), word).alias("_k2")]
+
+
+KEY = ["_k1", "_k2"]
+
+
+def _candidates(words: DataFrame, info: VocabInfo) -> DataFrame:
+    """(key, w, s, l, _cand): every piece that could start at character ``s``
+    (from 1) of a word; ``w`` numbers the windows of the word."""
+    longest = max(info.max_token_chars, info.max_cont_chars, 1)
+    # the characters are taken apart once; a window holds its starts and the
+    # characters that a piece may reach beyond them
+    windows = let(F.regexp_extract_all(F.col("word"), F.lit(r"(?s)."), F.lit(0)), lambda chars: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / WINDOW).cast("int")),
+        lambda w: F.struct(w.alias("w"), F.slice(chars, w * WINDOW + 1, WINDOW + longest - 1).alias("c"))))
+    cut = words.where(F.length("word") > 0).select(*KEY, F.explode(windows).alias("x")).select(
+        *KEY, F.col("x.w").alias("w"), F.col("x.c").alias("c"))
+
+    def piece(i: Column, n: Column) -> Column:
+        start = F.col("w") * WINDOW + i
+        return F.struct(start.alias("s"), n.alias("l"), F.concat(
+            F.when(start > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
+            F.array_join(F.slice("c", i, n), "")).alias("cand"))
+
+    def pieces_at(i: Column) -> Column:
+        first = (F.col("w") == 0) & (i == 1)
+        most = F.least(F.when(first, F.lit(max(info.max_token_chars, 1))).otherwise(F.lit(info.max_cont_chars)),
+                       F.size("c") - i + 1)
+        return F.when(most >= 1, F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))),
+                                             lambda n: piece(i, n)))
+
+    starts = F.sequence(F.lit(1), F.least(F.size("c"), F.lit(WINDOW)))
+    lists = F.filter(F.transform(starts, pieces_at), lambda x: x.isNotNull())
+    return cut.select(*KEY, "w", F.explode(F.flatten(lists)).alias("x")).select(
+        *KEY, "w", F.col("x.s").alias("s"), F.col("x.l").alias("l"), F.col("x.cand").alias("_cand"))
+
+
+def _walk(windows: Column) -> Column:
+    """Greedy walk over ``windows`` (array of arrays of (s, l, id), in order):
+    struct(nxt, ok, parts array<array<struct<s,l,id>>>)."""
+    hit = "struct<s:int,l:int,id:int>"
+
+    def step(acc: Column, e: Column) -> Column:
+        at = acc["ok"] & (e["s"] == acc["nxt"])
+        return F.struct(
+            F.when(at, e["s"] + e["l"]).otherwise(acc["nxt"]).alias("nxt"),
+            (acc["ok"] & (e["s"] <= acc["nxt"])).alias("ok"),
+            F.when(at, F.concat(acc["taken"], F.array(e))).otherwise(acc["taken"]).alias("taken"))
+
+    def window(acc: Column, hits: Column) -> Column:
+        inner = F.aggregate(hits, F.struct(acc["nxt"].alias("nxt"), acc["ok"].alias("ok"),
+                                           F.array().cast(f"array<{hit}>").alias("taken")), step)
+        return let(inner, lambda r: F.struct(r["nxt"].alias("nxt"), r["ok"].alias("ok"),
+                                             F.concat(acc["parts"], F.array(r["taken"])).alias("parts")))
+
+    start = F.struct(F.lit(1).alias("nxt"), F.lit(True).alias("ok"),
+                     F.array().cast(f"array<array<{hit}>>").alias("parts"))
+    return F.aggregate(windows, start, window)
 
 
 def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = None,
-                  word_col: str = "word", carry: Sequence[str] = ()) -> DataFrame:
-    """Distinct words -> ``(word, *carry, pieces array<string>, piece_ids array<int>)``.
+                  word_col: str = "word") -> DataFrame:
+    """Distinct words -> ``(word, pieces array<string>, piece_ids array<int>)``.
 
     Greedy longest match from the left; non-first pieces carry ``##``; a
     position without any match turns the whole word into one ``[UNK]``.
-    ``words`` must hold each word once; ``carry`` columns (e.g. a word's
-    count) depend on the word alone and are passed through.
+    ``words`` must hold each word once.  Words are stored once; hits are
+    grouped by word key, so a word's text is read, not carried along.
     """
-    carry = list(carry)
     info = info or vocab_info(vocab)
-    L = max(info.max_token_chars, 1)
-    # the distinct-word table is small in bytes but expands ~len*L fold below:
-    # pin its partition count so AQE cannot coalesce the expansion into one task
-    words = words.repartition(compute_partitions(words.sparkSession), word_col)
-    w = F.col(word_col)
-    n = F.length(w)
-    starts = words.select(w.alias("word"), *carry, F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    # longest possible piece at s: any token at s = 1; past it the candidate
-    # carries "##", so only continuation tokens can match (exact bound)
-    lmax = F.least(F.when(F.col("s") > 1, F.lit(info.max_cont_chars)).otherwise(F.lit(L)),
-                   F.length("word") - F.col("s") + 1)
-    cands = (starts.where(lmax >= 1)
-             .select("word", *carry, "s", F.explode(F.sequence(F.lit(1), lmax)).alias("l"))
-             .withColumn("_cand", F.concat(
-                 F.when(F.col("s") > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
-                 F.substring("word", F.col("s"), F.col("l")))))
-    # left join keeps the first candidate of every word, so a word without any
-    # hit is still present; no union, so the word partitioning is kept and the
-    # per-word aggregate below needs no exchange
-    hits = (cands.join(_vocab_side(vocab, info), "_cand", "left")
-            .where(F.col("_vid").isNotNull() | ((F.col("s") == 1) & (F.col("l") == 1))))
-    # every vocabulary hit of a word, sorted by (start, longest first)
-    # (the piece text is rebuilt from the word in the walk, so the collected
-    # hits are fixed-width integer structs)
-    entry = F.when(F.col("_vid").isNotNull(), F.struct(
-        F.col("s"), (-F.col("l")).alias("nl"), F.col("l"), F.col("_vid").alias("id")))
-    grouped = hits.groupBy("word", *carry).agg(F.array_sort(F.collect_list(entry)).alias("hs"))
-
-    def piece(e: Column) -> Column:
-        return F.concat(F.when(e["s"] > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
-                        F.substring(F.col("word"), e["s"], e["l"]))
-
-    def step(acc: Column, e: Column) -> Column:
-        # take the longest hit at the current position, skip hits inside the
-        # piece just taken, fail when the current position has no hit
-        return (F.when(acc["ok"] & (e["s"] == acc["nxt"]),
-                       F.struct((e["s"] + e["l"]).alias("nxt"), F.lit(True).alias("ok"),
-                                F.concat(acc["ids"], F.array(e["id"])).alias("ids"),
-                                F.concat(acc["toks"], F.array(piece(e))).alias("toks")))
-                .when(acc["ok"] & (e["s"] > acc["nxt"]),
-                      F.struct(acc["nxt"].alias("nxt"), F.lit(False).alias("ok"),
-                               acc["ids"].alias("ids"), acc["toks"].alias("toks")))
-                .otherwise(acc))
-
-    init = F.struct(F.lit(1).alias("nxt"), F.lit(True).alias("ok"),
-                    F.array().cast("array<int>").alias("ids"),
-                    F.array().cast("array<string>").alias("toks"))
-    walked = grouped.withColumn("_st", F.aggregate("hs", init, step))
-    ok = F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1)
-    return walked.select(
-        F.col("word").alias(word_col), *carry,
-        F.when(ok, F.col("_st.toks")).otherwise(F.array(F.lit(UNK_TOKEN))).alias("pieces"),
-        F.when(ok, F.col("_st.ids")).otherwise(F.array(F.lit(info.unk_id))).alias("piece_ids"))
+    own = stored(words.select(F.col(word_col).alias("word"), *_word_key(F.col(word_col))), "words")
+    side = vocab.select(F.col("token").alias("_cand"), F.col("id").alias("_vid"))
+    hits = _candidates(own, info).join(side, "_cand")
+    # one longest hit per start: length above, id below, in one long
+    best = (hits.groupBy(*KEY, "w", "s")
+            .agg(F.max(F.col("l").cast("long") * (1 << 32) + F.col("_vid")).alias("_b")))
+    entry = F.struct(F.col("s").cast("int").alias("s"), F.shiftright("_b", 32).cast("int").alias("l"),
+                     F.col("_b").bitwiseAND((1 << 32) - 1).cast("int").alias("id"))
+    by_window = best.groupBy(*KEY, "w").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
+    by_word = by_window.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("w", "hits"))).alias("ws"))
+    # a window without any hit ends the walk: windows must be numbered without gaps up to it
+    walked = by_word.select(*KEY, _walk(F.transform("ws", lambda x: x["hits"])).alias("_st"))
+    joined = own.join(walked, KEY, "left")
+    ok = F.coalesce(F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1), F.lit(False))
+    taken = F.when(ok, F.flatten("_st.parts"))
+    cut = let(F.regexp_extract_all(F.col("word"), F.lit(r"(?s)."), F.lit(0)), lambda chars: F.transform(
+        F.col("_taken"), lambda e: F.concat(
+            F.when(e["s"] > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
+            F.array_join(F.slice(chars, e["s"], e["l"]), ""))))
+    return joined.withColumn("_taken", taken).select(
+        F.col("word").alias(word_col),
+        F.when(F.col("_taken").isNotNull(), cut).otherwise(F.array(F.lit(UNK_TOKEN))).alias("pieces"),
+        F.when(F.col("_taken").isNotNull(), F.transform("_taken", lambda e: e["id"]))
+         .otherwise(F.array(F.lit(info.unk_id))).alias("piece_ids"))
 
 
 def _ids(id_col) -> list[str]:
     return [id_col] if isinstance(id_col, str) else list(id_col)
 
 
+def text_error(text: Column) -> Column:
+    """Reason why a text is refused: ``null_text``, ``invalid_utf8`` or null."""
+    return (F.when(text.isNull(), "null_text")
+            .when(~utf8_valid(text), "invalid_utf8"))
+
+
 def chunk_table(docs: DataFrame, text_col: str = "text", id_col="doc_id",
                 carry: Sequence[str] = (), clip: int | None = None,
-                max_chunks: int = MAX_CHUNKS) -> DataFrame:
+                max_chunks: int | None = None) -> DataFrame:
     """C1 exploded: ``(*ids, *carry, pos, word)``; documents without chunks keep
     one row with null ``pos``/``word`` so they are not lost."""
     text = F.col(text_col)
     if clip is not None:
         text = clip_chars(text, clip)
-    if not docs.isStreaming:
-        docs = spread(docs.select(*_ids(id_col), *carry, text_col))
     return docs.select(*_ids(id_col), *carry,
                        F.posexplode_outer(basic_tokenize(text, max_chunks)).alias("pos", "word"))
 
 
-def _row_bytes() -> Column:
-    """Upper estimate of a segmentation row in a broadcast hash relation."""
-    return (F.length("word") * 3 + F.size("piece_ids") * 8 + F.lit(48)).cast("long")
-
-
-def _count_threshold(seg: DataFrame, max_rows: int, max_bytes: int) -> int:
-    """Smallest power-of-two count ``t`` such that the words occurring ``>= t``
-    times number at most ``max_rows`` and weigh at most ``max_bytes``, from a
-    log-scale histogram (<= 64 rows)."""
-    hist = (seg.groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("b"))
-            .agg(F.count(F.lit(1)).alias("words"), F.sum(_row_bytes()).alias("bytes")).collect())
-    rows = size = 0
-    for row in sorted(hist, key=lambda r: -r["b"]):
-        if rows + row["words"] > max_rows or size + row["bytes"] > max_bytes:
-            return 2 ** (row["b"] + 1)
-        rows += row["words"]
-        size += row["bytes"]
-    return 1
-
-
 def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
              id_col="doc_id", carry: Sequence[str] = (), clip: int | None = None,
-             info: VocabInfo | None = None, max_chunks: int = MAX_CHUNKS,
-             seg_broadcast_max_rows: int | None = None, with_tokens: bool = True) -> DataFrame:
-    """``(id, *carry, body_tokens array<string>, body_ids array<int>)``:
-    pieces of all (first ``max_chunks``) chunks, in order, without CLS/SEP.
-    ``with_tokens=False`` regroups ids only (``body_tokens`` is null), which
-    keeps strings out of the per-document aggregation when only ids count.
-
-    Distinct words are counted (map-side partial counts collapse hot words)
-    and segmented once; the segmentation is checkpointed.  The clipped
-    documents are hash-partitioned by id once and exploded in place.
-    Segmentations of the words occurring at least ``t`` times -- ``t`` chosen
-    so at most ``seg_broadcast_max_rows`` words (and ``SEG_BROADCAST_MAX_BYTES``
-    estimated bytes) qualify, all of them when the table is that small -- are
-    broadcast, so the most frequent words (the hot
-    keys) never enter a shuffle.  Only occurrences of the rarer words are
-    joined by shuffle (their counts are below ``t``, so no key is hot) and
-    hashed back by document id; the per-document regroup then needs no
-    further exchange.  Streams (per micro-batch) use the plain shuffle join.
+             info: VocabInfo | None = None, max_chunks: int | None = MAX_CHUNKS,
+             with_tokens: bool = True) -> DataFrame:
+    """``(id, *carry, body_tokens array<string>, body_ids array<int>,
+    text_error string)``: pieces of the first ``max_chunks`` chunks (None: of
+    all), in order, without CLS/SEP.  ``with_tokens=False`` regroups ids only
+    (``body_tokens`` is null).
+
+    A null text or one that is not valid UTF-8 (a string or binary column) has
+    null tokens and ids and its ``text_error``.  Each input row gives one output
+    row, whatever its id.
+
+    ``docs`` is read once: the occurrences are written to the shared folder and
+    the distinct words, the join and the regrouping read that table.
     """
     info = info or vocab_info(vocab)
     ids = _ids(id_col)
-    limit = SEG_BROADCAST_MAX_ROWS if seg_broadcast_max_rows is None else seg_broadcast_max_rows
-    chunks = chunk_table(docs, text_col, id_col, carry, clip, max_chunks)
-    word_counts = (chunks.where(F.col("word").isNotNull())
-                   .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    seg = segment_words(word_counts, vocab, info, carry=["n"])
-    if docs.isStreaming:
-        joined = chunks.join(seg.drop("n"), "word", "left")
-    else:
-        seg = checkpoint(seg)
-        spark = docs.sparkSession
-        n_parts = compute_partitions(spark)
-        text = F.col(text_col) if clip is None else clip_chars(text_col, clip)
-        by_doc = docs.select(*ids, *carry, text.alias("_text")).repartition(n_parts, *ids)
-        occ = by_doc.select(*ids, *carry, F.posexplode_outer(
-            basic_tokenize(F.col("_text"), max_chunks)).alias("pos", "word"))
-        size = seg.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes()).alias("bytes")).first()
-        if size["rows"] <= limit and (size["bytes"] or 0) <= SEG_BROADCAST_MAX_BYTES:
-            joined = occ.join(F.broadcast(seg.drop("n")), "word", "left")
-        else:
-            t = _count_threshold(seg, limit, SEG_BROADCAST_MAX_BYTES)
-            hot = F.broadcast(seg.where(F.col("n") >= t).drop("n"))
-            cold = seg.where(F.col("n") < t).drop("n")
-            hot_part = occ.join(hot, "word", "inner")
-            cold_occ = occ.join(hot.select("word"), "word", "left_anti")
-            cold_part = cold_occ.join(cold, "word", "left").repartition(n_parts, *ids)
-            joined = hot_part.unionByName(cold_part)
+    raw = F.col(text_col)
+    text = raw.cast("string")
+    bad = text_error(text)
+    shown = text if clip is None else clip_chars(text, clip)
+    chunks = F.when(F.col("text_error").isNull(), basic_tokenize(F.col("_text"), max_chunks))
+    head = F.struct(*[F.col(c) for c in [*ids, *carry]], F.col("text_error"))
+    rows = (docs.select(F.monotonically_increasing_id().alias("_row"), *ids, *carry, bad.alias("text_error"),
+                        shown.alias("_text"))
+            .select("_row", head.alias("_head"), F.posexplode_outer(chunks).alias("pos", "word")))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    occ = stored(rows.select("_row", "pos", "word", F.when(first, F.col("_head")).alias("_head")), "occurrences")
+    words = occ.where(F.col("word").isNotNull()).select("word").distinct()
+    seg = segment_words(words, vocab, info)
     part_fields = ["pos", "piece_ids"] + (["pieces"] if with_tokens else [])
-    grouped = joined.groupBy(*ids, *carry).agg(
-        F.array_sort(F.collect_list(
-            F.when(F.col("pos").isNotNull(),
-                   F.struct(*part_fields)))).alias("_parts"))
-    toks = (F.flatten(F.transform("_parts", lambda x: x["pieces"])) if with_tokens
+    seg = seg.select("word", "piece_ids", *(["pieces"] if with_tokens else []))
+    joined = occ.join(seg, "word", "left")
+    grouped = joined.groupBy("_row").agg(
+        F.first("_head", ignorenulls=True).alias("_head"),
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(*part_fields)))).alias("_parts"))
+    fine = F.col("_head.text_error").isNull()
+    toks = (F.when(fine, F.flatten(F.transform("_parts", lambda x: x["pieces"]))) if with_tokens
             else F.lit(None).cast("array<string>"))
     return grouped.select(
-        *ids, *carry, toks.alias("body_tokens"),
-        F.flatten(F.transform("_parts", lambda x: x["piece_ids"])).alias("body_ids"))
+        *[F.col("_head")[c].alias(c) for c in [*ids, *carry]], toks.alias("body_tokens"),
+        F.when(fine, F.flatten(F.transform("_parts", lambda x: x["piece_ids"]))).alias("body_ids"),
+        F.col("_head.text_error").alias("text_error"))
 
 
 def encode(tokenized: DataFrame, info: VocabInfo, max_seq: int = MAX_SEQ,
            policy: str = "truncate") -> DataFrame:
     """C5 + B6: ``[CLS] + body[:max_seq-2] + [SEP]`` with an over-length policy.
 
+    A text refused by ``tokenize`` is ``rejected`` with its reason, null ids and
+    0 tokens under every policy.
     ``truncate`` keeps the first max_seq-2 body tokens (SEP always last);
     ``reject`` keeps over-length rows with ``status='rejected'`` and null ids
     (route them to a rejects table); ``fail`` raises on the first one.
@@ -267,32 +255,31 @@ def encode(tokenized: DataFrame, info: VocabInfo, max_seq: int = MAX_SEQ,
     if policy not in ("truncate", "reject", "fail"):
         raise ValueError(f"unknown over-length policy {policy!r}")
     cap = max_seq - 2
+    if "text_error" not in tokenized.columns:
+        tokenized = tokenized.withColumn("text_error", F.lit(None).cast("string"))
     body_ids, body_toks = F.col("body_ids"), F.col("body_tokens")
-    over = F.size(body_ids) > cap
+    refused = F.col("text_error").isNotNull()
+    over = ~refused & F.coalesce(F.size(body_ids) > cap, F.lit(False))
     ids = F.concat(F.array(F.lit(info.cls_id)), F.slice(body_ids, 1, cap), F.array(F.lit(info.sep_id)))
     toks = F.concat(F.array(F.lit(CLS_TOKEN)), F.slice(body_toks, 1, cap), F.array(F.lit(SEP_TOKEN)))
-    out = tokenized.withColumn("n_body", F.size(body_ids)).withColumn("over_length", over)
-    if policy == "truncate":
-        out = out.withColumn("ids", ids).withColumn("tokens", toks) \
-                 .withColumn("status", F.lit("ok")).withColumn("reason", F.lit(None).cast("string"))
-    elif policy == "reject":
-        out = (out.withColumn("ids", F.when(~over, ids))
-                  .withColumn("tokens", F.when(~over, toks))
-                  .withColumn("status", F.when(over, "rejected").otherwise("ok"))
-                  .withColumn("reason", F.when(over, F.lit("over_length"))))
-    else:
-        out = (out.withColumn("ids", F.when(over, F.raise_error(F.lit(
-                    f"text longer than {cap} body tokens"))).otherwise(ids))
-                  .withColumn("tokens", toks)
-                  .withColumn("status", F.lit("ok")).withColumn("reason", F.lit(None).cast("string")))
+    keep = ~refused
+    if policy == "reject":
+        keep = keep & ~over
+    if policy == "fail":
+        ids = F.when(over, F.raise_error(F.lit(f"text longer than {cap} body tokens"))).otherwise(ids)
+    out = (tokenized.withColumn("n_body", F.when(~refused, F.size(body_ids)).otherwise(0))
+           .withColumn("over_length", over)
+           .withColumn("ids", F.when(keep, ids)).withColumn("tokens", F.when(keep, toks))
+           .withColumn("status", F.when(keep, "ok").otherwise("rejected"))
+           .withColumn("reason", F.when(refused, F.col("text_error")).when(~keep, F.lit("over_length"))))
     return (out.withColumn("truncated", over & F.lit(policy == "truncate"))
-               .withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
-               .drop("body_ids", "body_tokens"))
+               .withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0))
+               .drop("body_ids", "body_tokens", "text_error"))
 
 
 def token_count(encoded: DataFrame) -> Column:
     """Encoded length after truncation, CLS and SEP included; null -> 0."""
-    return F.coalesce(F.size(F.col("ids")), F.lit(0))
+    return F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0)
 
 
 def token_table(encoded: DataFrame, id_col="doc_id") -> DataFrame:

@@ -21,7 +21,6 @@ from .text_queries import encoded_docs
 
 _MODELS: dict[tuple[str, str], Model] = {}
 J2_DIM = 8
-WORD_TABLE_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def tiny_model(spark: SparkSession, sf: str) -> Model:
@@ -86,10 +85,7 @@ def _token_vectors(spark, sf):
     enc = encoded_docs(spark, sf, carry=())
     toks = token_table(enc).select("doc_id", F.col("pos").cast("int").alias("pos"), "token_id")
     word, pos, typ = _weights_tables(spark, sf)
-    _, info = vocab(spark, sf)
-    # broadcast the word table only when rows x dimension x 8 bytes is bounded
-    small = info.rows * J2_DIM * 8 <= WORD_TABLE_BROADCAST_MAX_BYTES
-    return token_embeddings(toks, word, pos, typ, broadcast_word=small)
+    return token_embeddings(toks, word, pos, typ)
 
 
 def j2_token_embeddings(spark, sf):
@@ -99,38 +95,53 @@ def j2_token_embeddings(spark, sf):
 
 
 def d3_first_token_pool(spark, sf):
-    pooled = first_token_pool(_token_vectors(spark, sf))
-    return pooled.select("doc_id", V.fmt(V.l2_normalize("pooled")).alias("pooled"))
+    """Pooling over sentences of vectors whose first vectors differ: each group of
+    eight ``embeddings`` rows is a sentence, in id order."""
+    rows = table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 8).alias("sentence"), (F.col("vec_id") % 8).cast("int").alias("pos"),
+        F.col("embedding").alias("x"))
+    pooled = first_token_pool(rows, id_col="sentence")
+    return pooled.select("sentence", V.fmt(V.l2_normalize("pooled")).alias("pooled"))
 
 
 def _responses(spark, sf):
-    texts, _ = explode_requests(_requests(spark, sf), ["conv_id", "part"])
+    """Each text of a request takes the vector whose id is a hash-like mix of its
+    place, out of the given ``embeddings`` (ids 0..n-1): results arrive in any
+    order and are put back by request and index."""
+    texts, _ = explode_requests(_requests(spark, sf), ["conv_id"])
     v, info = vocab(spark, sf)
-    keys = ["conv_id", "part", "index"]
-    tok = tokenize(texts, v, id_col=keys, carry=["model"], clip=MAX_TEXT_CHARS, info=info,
-                   with_tokens=False)
+    keys = ["conv_id", "index"]
+    tok = tokenize(texts, v, id_col=keys, carry=["model"], clip=MAX_TEXT_CHARS, info=info, with_tokens=False)
     enc = encode(tok, info, MAX_SEQ, "truncate")
-    res = embed(enc.select(*keys, "model", "ids"), tiny_model(spark, sf), id_col=keys, carry=["model"])
-    return assemble_responses(res, ["conv_id", "part"])
+    vectors = table(spark, sf, "embeddings")
+    n = vectors.count()
+    given = (F.col("conv_id") * 31 + F.col("index") * 7) % n
+    res = enc.select(*keys, "model", "n_tokens", given.cast("long").alias("vec_id")).join(
+        vectors.select("vec_id", "embedding"), "vec_id")
+    return assemble_responses(res, ["conv_id"])
 
 
 def e2_response_assembly(spark, sf):
     r = _responses(spark, sf)
-    return r.select("conv_id", "part", F.size("data").cast("long").alias("n_data"),
+    vecs = F.transform("data", lambda d: V.fmt(V.head(d["embedding"], 4)))
+    return r.select("conv_id", F.size("data").cast("long").alias("n_data"),
                     F.array_join(F.transform("data", lambda d: d["index"]), ",").alias("indexes"),
                     F.array_join(F.transform("data", lambda d: F.size(d["embedding"])), ",").alias("dims"),
-                    "total_tokens")
+                    F.array_join(vecs, ";").alias("vectors"), "total_tokens")
 
 
 def a7_response_json(spark, sf):
-    doc = response_json(_responses(spark, sf), ["conv_id", "part"])
+    doc = response_json(_responses(spark, sf), ["conv_id"])
     j = F.col("response")
-    return doc.select(
-        "conv_id", "part",
+    last = F.from_json(F.get_json_object(j, "$.data"), "array<struct<index:bigint,embedding:array<float>>>")
+    return doc.withColumn("_last", F.element_at(last, -1)).select(
+        "conv_id",
         F.get_json_object(j, "$.object").alias("object"),
         F.get_json_object(j, "$.model").alias("model"),
         F.json_array_length(F.get_json_object(j, "$.data")).cast("long").alias("n_data"),
         F.get_json_object(j, "$.data[0].object").alias("first_object"),
         F.json_array_length(F.get_json_object(j, "$.data[0].embedding")).cast("long").alias("dim"),
+        F.col("_last.index").alias("last_index"),
+        V.fmt(V.head("_last.embedding", 4)).alias("last_vector"),
         F.get_json_object(j, "$.usage.prompt_tokens").cast("long").alias("prompt_tokens"),
         F.get_json_object(j, "$.usage.total_tokens").cast("long").alias("total_tokens"))

@@ -4,6 +4,7 @@ from .oracle_text import seg_cte
 
 DOC_SEG = seg_cte()
 CONV_SEG = seg_cte("SELECT conv_id * 100000 + turn AS tid, role AS lang, left(text, 2048) AS text FROM conversations")
+EVENT_SEG = seg_cte("SELECT event_id AS tid, user_id % 4 AS lang, props AS text FROM events")
 
 BATCHED = f"""
 WITH RECURSIVE {DOC_SEG},
@@ -59,30 +60,32 @@ SELECT doc_id, source, CAST(batch_no AS BIGINT) AS batch_no,
 FROM (SELECT *, max(CASE WHEN n_body > 510 THEN 1 ELSE 0 END) OVER (PARTITION BY source, batch_no) > 0 AS bad FROM bb)""",
 
     "a2_request_explode": """
-SELECT conv_id, CAST(turn // 1024 AS BIGINT) AS part,
-       CAST(row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY turn) - 1 AS BIGINT) AS "index",
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS "index",
        'bge-small-zh-v1.5' AS model, text
 FROM conversations""",
 
     "b1_empty_request": """
-SELECT conv_id, CAST(n AS BIGINT) AS n_inputs, CASE WHEN n > 0 THEN 'ok' ELSE 'rejected' END AS status,
-       CASE WHEN n = 0 THEN 'input must not be empty' END AS reason
-FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'system') AS n FROM conversations GROUP BY conv_id)""",
+SELECT conv_id, CAST(CASE WHEN conv_id % 7 = 0 THEN 0 ELSE n END AS BIGINT) AS n_inputs,
+       CASE WHEN conv_id % 7 = 0 THEN 'rejected' ELSE 'ok' END AS status,
+       CASE WHEN conv_id % 7 = 0 THEN 'input must not be empty' END AS reason
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)""",
 
     "e1_usage_totals": f"""
 WITH RECURSIVE {CONV_SEG}
-SELECT CAST(tid // 100000 AS BIGINT) AS conv_id, CAST((tid % 100000) // 1024 AS BIGINT) AS part,
+SELECT CAST(tid // 100000 AS BIGINT) AS conv_id,
        CAST(sum(len(ids)) AS BIGINT) AS total_tokens, CAST(sum(len(ids)) AS BIGINT) AS prompt_tokens
-FROM enc GROUP BY 1, 2""",
+FROM enc GROUP BY 1""",
 
     "s2_restore_order": """
-SELECT conv_id, CAST(turn // 1024 AS BIGINT) AS part,
-       CAST(row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY turn) - 1 AS BIGINT) AS "index",
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS "index",
        CAST(length(text) AS BIGINT) AS text_chars
 FROM conversations""",
 
     "e3_latency_summary": _summary("event_type", "event_type"),
-    "e4_latency_by_class": _summary("user_id % 4", "text_class"),
+    "e4_latency_by_class": f"""
+WITH RECURSIVE {EVENT_SEG},
+s AS ({_summary("user_id % 4", "text_class")})
+SELECT s.*, (SELECT CAST(max(len(e.ids)) AS BIGINT) FROM enc e WHERE e.lang = s.text_class) AS n_tokens FROM s""",
 
     "e5_throughput_by_level": f"""
 WITH s AS ({_summary('user_id % 6', 'level')}),

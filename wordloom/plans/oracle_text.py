@@ -5,22 +5,24 @@ same rules written as plain SQL; the WordPiece walk is a recursive CTE)."""
 ISO = r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}!-/:-@\[-`{-~])"
 SPACES = r"[ \t\n\r\x{3000}]+"
 
-CHUNKS_ALL = (f"list_filter(regexp_split_to_array(regexp_replace(left(text, 2048), '{ISO}', "
+CHUNKS_ALL = (f"list_filter(regexp_split_to_array(regexp_replace(text, '{ISO}', "
               f"' \\1 ', 'g'), '{SPACES}'), lambda x: x <> '')")
 
 VOCAB_CTE = f"""
 words0 AS (
-  SELECT unnest(({CHUNKS_ALL})[1:512]) AS w FROM documents
+  SELECT unnest({CHUNKS_ALL}) AS w FROM documents
 ), fw AS (
   SELECT w AS token FROM words0 GROUP BY w HAVING count(*) >= 30
 ), ch AS (
   SELECT c FROM (SELECT unnest(list_transform(range(1, length(w) + 1), lambda i: substring(w, i, 1))) AS c
                  FROM words0)
-  GROUP BY c HAVING count(*) >= 20
+  GROUP BY c
 ), toks AS (
   SELECT token FROM fw UNION SELECT c FROM ch UNION SELECT '##' || c FROM ch
 ), vocab AS (
-  SELECT 100 AS id, '[UNK]' AS token UNION ALL SELECT 101, '[CLS]' UNION ALL SELECT 102, '[SEP]'
+  SELECT 0 AS id, '[PAD]' AS token
+  UNION ALL SELECT CAST(i AS INTEGER), '[unused' || i || ']' FROM range(1, 100) t(i)
+  UNION ALL SELECT 100, '[UNK]' UNION ALL SELECT 101, '[CLS]' UNION ALL SELECT 102, '[SEP]'
   UNION ALL
   SELECT CAST(102 + row_number() OVER (ORDER BY token) AS INTEGER) AS id, token FROM toks
 ), vinfo AS (
@@ -35,12 +37,13 @@ words0 AS (
 DOC_TEXTS = "SELECT doc_id AS tid, lang, text FROM documents"
 
 
-def seg_cte(texts_sql: str = DOC_TEXTS) -> str:
-    """Vocabulary + WordPiece + encode over ``texts_sql`` -> (tid, lang, text)."""
+def seg_cte(texts_sql: str = DOC_TEXTS, cap: str = "[1:512]") -> str:
+    """Vocabulary + WordPiece + encode over ``texts_sql`` -> (tid, lang, text);
+    ``cap`` is the chunk cap of the reference's tokeniser ('' for none)."""
     return VOCAB_CTE + f""",
 texts AS ({texts_sql}
 ), dchunks AS (
-  SELECT tid, lang, ({CHUNKS_ALL})[1:512] AS chunks FROM texts
+  SELECT tid, lang, ({CHUNKS_ALL}){cap} AS chunks FROM texts
 ), occ AS (
   SELECT tid, lang, unnest(chunks) AS word, unnest(generate_series(1, len(chunks))) AS pos FROM dchunks
 ), words AS (
@@ -82,10 +85,11 @@ texts AS ({texts_sql}
 
 
 SEG_CTE = seg_cte()
+SEG_ALL = seg_cte(cap="")
 
 SQL = {
     "flagship_tokens_per_lang": f"""
-WITH RECURSIVE {SEG_CTE}
+WITH RECURSIVE {SEG_ALL}
 SELECT lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens,
        CAST(sum(CASE WHEN truncated THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated,
        CAST(max(n_body) AS BIGINT) AS max_body
@@ -116,7 +120,7 @@ SELECT doc_id, CAST(len(c) AS BIGINT) AS n_chunks_all, CAST(len(c[1:512]) AS BIG
 FROM (SELECT doc_id, {CHUNKS_ALL} AS c FROM documents)""",
 
     "c2_wordpiece": f"""
-WITH RECURSIVE {SEG_CTE}
+WITH RECURSIVE {SEG_ALL}
 SELECT word, array_to_string(pieces, ' ') AS pieces, array_to_string(piece_ids, ',') AS piece_ids,
        CAST(len(pieces) AS BIGINT) AS n_pieces
 FROM seg""",
@@ -149,16 +153,41 @@ FROM enc""",
     "b8_validate_ids": f"""
 WITH RECURSIVE {SEG_CTE}
 SELECT doc_id,
-  CASE WHEN len(ids) < 1 OR len(ids) > 512 OR NOT list_bool_and(list_transform(ids, lambda x: x >= 0 AND x <= mx))
+  CASE WHEN len(ids) < 1 OR len(ids) > 512 OR NOT list_bool_and(list_transform(given, lambda x: x >= 0 AND x <= mx))
        THEN 'rejected' ELSE 'ok' END AS status,
   CASE WHEN len(ids) < 1 OR len(ids) > 512 THEN 'bad_length'
-       WHEN NOT list_bool_and(list_transform(ids, lambda x: x >= 0 AND x <= mx)) THEN 'id_out_of_range' END AS reason
-FROM enc CROSS JOIN (SELECT max_id AS mx FROM vinfo)""",
+       WHEN NOT list_bool_and(list_transform(given, lambda x: x >= 0 AND x <= mx)) THEN 'id_out_of_range' END AS reason
+FROM (SELECT doc_id, ids, mx, CASE WHEN doc_id % 10 = 0 THEN [mx + 1] || ids[2:] ELSE ids END AS given
+      FROM enc CROSS JOIN (SELECT max_id AS mx FROM vinfo))""",
 
     "j1_vocab_lookup": f"""
-WITH RECURSIVE {SEG_CTE}
+WITH RECURSIVE {SEG_ALL}
 SELECT w.word, CAST(coalesce(v.id, (SELECT unk FROM vinfo)) AS BIGINT) AS token_id
 FROM words w LEFT JOIN vocab v ON v.token = w.word""",
 }
 
-SQL["h1_stream_tokenize"] = SQL["c6_token_count"]
+CLIPPED = seg_cte("SELECT doc_id AS tid, lang, left(text, 2048) AS text FROM documents")
+SQL["h1_stream_tokenize"] = f"""
+WITH RECURSIVE {CLIPPED}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens FROM enc"""
+
+# a cut is inside a character when the next byte continues one (10xxxxxx)
+CUT_INSIDE = ("(octet_length(encode(text)) > doc_id % 40 + 1 AND "
+              "substr(hex(encode(text)), CAST(2 * (doc_id % 40 + 1) + 1 AS BIGINT), 1) IN ('8', '9', 'A', 'B'))")
+
+SQL["b4_invalid_utf8"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR {CUT_INSIDE} THEN 'rejected' ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 9 = 0 THEN 'null_text' WHEN {CUT_INSIDE} THEN 'invalid_utf8' END AS reason
+FROM documents"""
+
+SQL["h4_dead_letters"] = f"""
+WITH RECURSIVE {CLIPPED}
+SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason
+FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN 'null_text'
+                            WHEN d.doc_id % 9 = 1 AND {CUT_INSIDE.replace("doc_id", "d.doc_id").replace("text", "d.text")}
+                              THEN 'invalid_utf8'
+                            WHEN d.doc_id % 9 > 1 AND e.n_body > 510 THEN 'over_length' END AS reason
+      FROM documents d LEFT JOIN enc e ON e.doc_id = d.doc_id)"""
+
+SQL["h3_admission"] = """
+SELECT CAST(count(*) AS HUGEINT) AS n_docs, CAST(1 AS BIGINT) AS most_files_at_once FROM documents"""

@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "a3_fixture_vocab": tq.a3_fixture_vocab,
         "b2_char_clip": tq.b2_clip,
         "b3_nul_cut": tq.b3_nul_cut,
+        "b4_invalid_utf8": tq.b4_invalid_utf8,
         "b5_char_classes": tq.b5_char_classes,
         "b6_over_length_reject": tq.b6_reject_policy,
         "b8_validate_ids": tq.b8_validate_ids,
@@ -34,6 +35,8 @@ def queries() -> dict[str, Query]:
         "c6_token_count": tq.c6_token_count,
         "j1_vocab_lookup": tq.j1_vocab_lookup,
         "h1_stream_tokenize": tq.h1_stream_tokenize,
+        "h3_admission": tq.h3_admission,
+        "h4_dead_letters": tq.h4_dead_letters,
         "j3_baseline_join": vq.j3_baseline_join,
         "b9_vector_health": vq.b9_vector_health,
         "d4_l2_normalize": vq.d4_l2_normalize,

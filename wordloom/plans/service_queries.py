@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_SEQ, MAX_TEXT_CHARS
 from ..operators.batching import (assign_fixed_batches, batch_reject,
-                                  length_bucket, ragged_offsets)
+                                  batch_tokens, length_bucket, ragged_offsets)
 from ..operators.ordering import ordered_index
 from ..operators.reports import (batch_throughput, micros_since_epoch,
                                  rank_summary, throughput_by_level,
@@ -23,9 +23,11 @@ from .text_queries import encoded_docs
 
 
 def _batched_docs(spark, sf, policy="truncate") -> DataFrame:
-    enc = encoded_docs(spark, sf, policy=policy, carry=("source",))
-    narrow = enc.select("doc_id", "source", "n_tokens", "over_length", "n_body")
-    return assign_fixed_batches(narrow, ["source"], ["doc_id"])
+    """Positions come from the raw table; token counts join them by document."""
+    narrow = table(spark, sf, "documents").select("doc_id", "source")
+    batched = assign_fixed_batches(narrow, ["source"], ["doc_id"])
+    enc = encoded_docs(spark, sf, policy=policy, carry=())
+    return batched.join(enc.select("doc_id", "n_tokens", "over_length", "n_body"), "doc_id")
 
 
 def f2_fixed_batches(spark, sf):
@@ -41,8 +43,7 @@ def f1_ragged_offsets(spark, sf):
 
 
 def f3_batch_tokens(spark, sf):
-    b = ragged_offsets(_batched_docs(spark, sf), ["source"])
-    return b.select("source", "batch_no", "batch_tokens").distinct()
+    return batch_tokens(_batched_docs(spark, sf), ["source"])
 
 
 def f4_length_buckets(spark, sf):
@@ -65,18 +66,14 @@ def _requests(spark, sf):
 
 
 def a2_request_explode(spark, sf):
-    texts, _ = explode_requests(_requests(spark, sf), ["conv_id", "part"])
-    return texts.select("conv_id", "part", F.col("index").cast("long").alias("index"), "model", "text")
+    texts, _ = explode_requests(_requests(spark, sf), ["conv_id"])
+    return texts.select("conv_id", F.col("index").cast("long").alias("index"), "model", "text")
 
 
 def b1_empty_request(spark, sf):
-    conv = table(spark, sf, "conversations")
-    # one request per conversation holding its system turns (often none), built
-    # and checked in a single grouping: collect_list skips the other turns
-    sys_turn = F.when(F.col("role") == "system", F.struct("turn", "text"))
-    bodies = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(sys_turn)).alias("l")).select(
-        "conv_id", F.to_json(F.struct(F.transform("l", lambda x: x["text"]).alias("input"),
-                                      F.lit("m").alias("model"))).alias("body"))
+    """All turns as requests; every seventh conversation sends an empty list."""
+    bodies = _requests(spark, sf).select("conv_id", F.when(
+        F.col("conv_id") % 7 == 0, F.lit('{"input": [], "model": "m"}')).otherwise(F.col("body")).alias("body"))
     r = parse_request(F.col("body"))
     return bodies.select("conv_id", r.alias("r")).select(
         "conv_id",
@@ -86,22 +83,22 @@ def b1_empty_request(spark, sf):
 
 
 def _request_tokens(spark, sf):
-    texts, _ = explode_requests(_requests(spark, sf), ["conv_id", "part"])
+    texts, _ = explode_requests(_requests(spark, sf), ["conv_id"])
     v, info = vocab(spark, sf)
-    tok = tokenize(texts, v, id_col=["conv_id", "part", "index"], clip=MAX_TEXT_CHARS, info=info,
+    tok = tokenize(texts, v, id_col=["conv_id", "index"], clip=MAX_TEXT_CHARS, info=info,
                    with_tokens=False)
     return encode(tok, info, MAX_SEQ, "truncate")
 
 
 def e1_usage_totals(spark, sf):
     enc = _request_tokens(spark, sf)
-    return usage_totals(enc, ["conv_id", "part"])
+    return usage_totals(enc, ["conv_id"])
 
 
 def s2_restore_order(spark, sf):
-    texts, _ = explode_requests(_requests(spark, sf), ["conv_id", "part"])
-    return restore_order(texts, ["conv_id", "part"]).select(
-        "conv_id", "part", F.col("index").cast("long").alias("index"),
+    texts, _ = explode_requests(_requests(spark, sf), ["conv_id"])
+    return restore_order(texts, ["conv_id"]).select(
+        "conv_id", F.col("index").cast("long").alias("index"),
         F.length("text").cast("long").alias("text_chars"))
 
 
@@ -112,22 +109,30 @@ def _events(spark, sf):
 
 
 def e3_latency_summary(spark, sf):
-    s = rank_summary(_events(spark, sf), ["event_type"], "value", ["event_id"])
+    ev = _events(spark, sf).select("event_type", "value", "event_id")
+    s = rank_summary(ev, ["event_type"], "value", ["event_id"])
     return s.select("event_type", "n", F.round("mean", 6).alias("mean"), "p50", "p99")
 
 
 def e4_latency_by_class(spark, sf):
+    """Latency per text class, with the class's largest token count (the
+    props of an event stand for its text)."""
+    v, info = vocab(spark, sf)
     ev = _events(spark, sf).withColumn("text_class", (F.col("user_id") % 4).cast("long"))
-    s = rank_summary(ev, ["text_class"], "value", ["event_id"])
-    return s.select("text_class", "n", F.round("mean", 6).alias("mean"), "p50", "p99")
+    tok = tokenize(ev, v, text_col="props", id_col="event_id", carry=["text_class", "value"], info=info,
+                   with_tokens=False)
+    enc = encode(tok, info, MAX_SEQ, "truncate").select("event_id", "text_class", "value", "n_tokens")
+    s = rank_summary(enc, ["text_class"], "value", ["event_id"],
+                     also=[F.max("n_tokens").cast("long").alias("n_tokens")])
+    return s.select("text_class", "n", F.round("mean", 6).alias("mean"), "p50", "p99", "n_tokens")
 
 
 def e5_throughput_by_level(spark, sf):
     ev = _events(spark, sf).withColumn("level", (F.col("user_id") % 6).cast("long"))
     start = micros_since_epoch("ts")
-    end = start + F.col("value") * F.lit(1000.0)
-    ev = ev.withColumn("_start", start).withColumn("_end", end)
-    t = throughput_by_level(ev, "level", F.col("_start"), F.col("_end"), "value", ["event_id"])
+    ev = ev.select("level", "value", "event_id", start.alias("_start"),
+                   (start + F.col("value") * F.lit(1000.0)).alias("_end"))
+    t = throughput_by_level(ev, "level", "_start", "_end", "value", ["event_id"])
     return t.select("level", "n", F.round("throughput", 6).alias("throughput"), "p50", "p99")
 
 

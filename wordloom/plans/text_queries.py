@@ -11,7 +11,9 @@ from ..functions.text import (CJK_RE, PUNCT_RE, SPACE_RE, basic_tokenize,
                               clip_chars, count_class, cut_at_nul)
 from ..operators.wordpiece import (chunk_table, encode, segment_words,
                                    token_table, tokenize, validate_ids)
+from ..session import scratch_path
 from ..sources.corpus import read_corpus
+from ..streaming.pipeline import read_document_stream
 from .context import table, vocab
 
 
@@ -21,16 +23,18 @@ def _docs(spark, sf):
 
 def encoded_docs(spark: SparkSession, sf: str, policy: str = "truncate",
                  carry=("lang",), with_tokens: bool = False) -> DataFrame:
-    """Service path: clip -> basic tokenise -> WordPiece -> encode."""
+    """Library path: basic tokenise (512 chunks) -> WordPiece -> encode."""
     v, info = vocab(spark, sf)
-    tok = tokenize(_docs(spark, sf), v, carry=list(carry), clip=MAX_TEXT_CHARS, info=info,
-                   with_tokens=with_tokens)
+    tok = tokenize(_docs(spark, sf), v, carry=list(carry), info=info, with_tokens=with_tokens)
     return encode(tok, info, MAX_SEQ, policy)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Token ids, token count and truncation per document; tokens per language."""
-    enc = encoded_docs(spark, sf)
+    """Token ids, token count and truncation per document; tokens per language.
+    ``max_body`` is the longest whole text in tokens (no chunk cap)."""
+    v, info = vocab(spark, sf)
+    tok = tokenize(_docs(spark, sf), v, carry=["lang"], info=info, max_chunks=None, with_tokens=False)
+    enc = encode(tok, info, MAX_SEQ, "truncate")
     return enc.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -61,6 +65,59 @@ def b3_nul_cut(spark, sf):
     return d.select("doc_id", F.length(cut_at_nul("text")).cast("long").alias("chars_before_nul"))
 
 
+def cut_bytes():
+    """Bytes of a text cut after doc_id mod 40 + 1 of them, often inside a character."""
+    return F.substring(F.col("text").cast("binary"), F.lit(1), (F.col("doc_id") % 40 + 1).cast("int"))
+
+
+def b4_invalid_utf8(spark, sf):
+    """Byte strings cut at fixed places; the bad ones are refused, with a reason."""
+    v, info = vocab(spark, sf)
+    docs = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 9 != 0, cut_bytes()).alias("text"))
+    enc = encode(tokenize(docs, v, info=info, with_tokens=False), info)
+    return enc.select("doc_id", "status", "reason")
+
+
+def h4_dead_letters(spark, sf):
+    """H4: rows that a stream refuses, by reason, beside the rows it accepts."""
+    from ..streaming.pipeline import start_tokenize_stream
+    v, info = vocab(spark, sf)
+    stream = (spark.readStream.schema(table(spark, sf, "documents").schema)
+              .option("pathGlobFilter", "documents.parquet*").parquet(sf))
+    stream = stream.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.lit(None))
+                               .when(F.col("doc_id") % 9 == 1, cut_bytes())
+                               .otherwise(F.col("text").cast("binary")))
+    out, dead, ck = (scratch_path(spark, n) for n in ("h4-out", "h4-dead", "h4-ckpt"))
+    run_to_end(start_tokenize_stream(stream, v, info, out, dead, ck, policy="reject"))
+    ok = spark.read.parquet(out).select("doc_id", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
+    return ok.unionByName(spark.read.parquet(dead).select("doc_id", "status", "reason"))
+
+
+def h3_admission(spark, sf):
+    """H3: the corpus as 8 files, one admitted per trigger; rows per micro-batch."""
+    files = scratch_path(spark, "h3-files")
+    docs = _docs(spark, sf).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.repartition(8).write.parquet(files)
+    counts = scratch_path(spark, "h3-counts")
+
+    def count(batch: DataFrame, epoch: int) -> None:
+        (batch.agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct("file").alias("n_files"))
+         .write.mode("overwrite").parquet(f"{counts}/epoch={epoch}"))
+
+    stream = read_document_stream(spark, files, max_files=1).withColumn("file", F.input_file_name())
+    q = (stream.writeStream.foreachBatch(count)
+         .option("checkpointLocation", scratch_path(spark, "h3-ckpt")).trigger(availableNow=True).start())
+    run_to_end(q)
+    rows = spark.read.parquet(counts)
+    return rows.agg(F.sum("n_docs").alias("n_docs"), F.max("n_files").alias("most_files_at_once"))
+
+
+def run_to_end(q) -> None:
+    q.awaitTermination()               # availableNow ends by itself
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def b5_char_classes(spark, sf):
     d = _docs(spark, sf)
     return d.select("doc_id",
@@ -71,7 +128,7 @@ def b5_char_classes(spark, sf):
 
 def c1_basic_tokenize(spark, sf):
     d = _docs(spark, sf)
-    all_chunks = basic_tokenize(clip_chars("text", MAX_TEXT_CHARS), None)
+    all_chunks = basic_tokenize("text")
     capped = F.slice(all_chunks, 1, MAX_CHUNKS)
     return d.select("doc_id",
                     F.size(all_chunks).cast("long").alias("n_chunks_all"),
@@ -81,7 +138,7 @@ def c1_basic_tokenize(spark, sf):
 
 def c2_wordpiece(spark, sf):
     v, info = vocab(spark, sf)
-    words = (chunk_table(_docs(spark, sf), clip=MAX_TEXT_CHARS)
+    words = (chunk_table(_docs(spark, sf))
              .where(F.col("word").isNotNull()).select("word").distinct())
     seg = segment_words(words, v, info)
     return seg.select("word", F.array_join("pieces", " ").alias("pieces"),
@@ -91,7 +148,7 @@ def c2_wordpiece(spark, sf):
 
 def c3_tokenize(spark, sf):
     v, info = vocab(spark, sf)
-    tok = tokenize(_docs(spark, sf), v, clip=MAX_TEXT_CHARS, info=info)
+    tok = tokenize(_docs(spark, sf), v, info=info)
     return tok.select("doc_id", F.size("body_tokens").cast("long").alias("n_body"),
                       F.array_join("body_tokens", " ").alias("body"))
 
@@ -121,17 +178,19 @@ def b8_validate_ids(spark, sf):
     v, info = vocab(spark, sf)
     enc = encoded_docs(spark, sf, carry=())
     # the id entry point takes ids as given; check them against the vocabulary
-    checked = validate_ids(enc.select("doc_id", "ids"), info.max_id + 1)
+    # one id of every tenth document is moved out of range
+    given = F.when(F.col("doc_id") % 10 == 0, F.concat(F.array(F.lit(info.max_id + 1)), F.slice(
+        "ids", 2, MAX_SEQ))).otherwise(F.col("ids"))
+    checked = validate_ids(enc.select("doc_id", given.alias("ids")), info.max_id + 1)
     return checked.select("doc_id", "status", "reason")
 
 
 def j1_vocab_lookup(spark, sf):
-    """Whole-chunk lookup with the UNK fallback (broadcast left join)."""
+    """Whole-chunk lookup with the UNK fallback (left join, broadcast by size)."""
     v, info = vocab(spark, sf)
-    words = (chunk_table(_docs(spark, sf), clip=MAX_TEXT_CHARS)
+    words = (chunk_table(_docs(spark, sf))
              .where(F.col("word").isNotNull()).select("word").distinct())
     side = v.select(F.col("token").alias("word"), F.col("id"))
-    side = F.broadcast(side) if info.broadcastable else side
     return words.join(side, "word", "left").select(
         "word", F.coalesce(F.col("id"), F.lit(info.unk_id)).cast("long").alias("token_id"))
 
@@ -139,17 +198,12 @@ def j1_vocab_lookup(spark, sf):
 def h1_stream_tokenize(spark, sf):
     """H1: the documents file read as a stream (one file per trigger), the
     same tokenise/encode per micro-batch, written to the shared folder."""
-    from ..session import scratch_path
     from ..streaming.pipeline import start_tokenize_stream
     v, info = vocab(spark, sf)
     stream = (spark.readStream.schema(table(spark, sf, "documents").schema)
-              .option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "documents.parquet*").option("maxFilesPerTrigger", 1)
               .parquet(sf))
     out, dead, ck = (scratch_path(spark, n) for n in ("h1-out", "h1-dead", "h1-ckpt"))
     q = start_tokenize_stream(stream, v, info, out, dead, ck, policy="truncate")
-    if not q.awaitTermination(3600):   # availableNow ends by itself; never wait forever
-        q.stop()
-        raise TimeoutError("stream did not drain within an hour")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    run_to_end(q)
     return spark.read.parquet(out).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))

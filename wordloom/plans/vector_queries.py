@@ -55,7 +55,7 @@ def d7_q8_quantize(spark, sf):
     codes = F.flatten(F.transform("q8", lambda b: b["codes"]))
     return q.select(
         "vec_id", F.size("q8").cast("long").alias("n_blocks"),
-        F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c * c).alias("sum_sq_codes"),
+        F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c.cast("long") * c.cast("long")).alias("sum_sq_codes"),
         F.array_join(codes, ",").alias("codes"),
         V.fmt(F.transform("q8", lambda b: b["scale"])).alias("scales"))
 

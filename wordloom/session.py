@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.split("[")[0] == "local":
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; a cluster needs a shared folder "
                 "for checkpoints")
@@ -75,8 +77,45 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for intermediate tables."""
-    base = shared_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    for held in _SCOPES:
+        held.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: a
+    lineage cut that any executor can reread, with column pruning and known
+    sizes.  The shuffle files behind it are dropped at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end: for work whose
+    results are written before the scope ends (a micro-batch)."""
+    held: list[str] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(held)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in held:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 _SHIPPED: set[str] = set()
@@ -112,35 +151,3 @@ def ship_package(spark: SparkSession) -> None:
         out.close()
     sc.addPyFile(target)
     _SHIPPED.add(app)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores
-    (e.g. one large row group).  A scan over many files already has enough
-    splits and is returned unchanged, so no shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-def compute_partitions(spark: SparkSession) -> int:
-    """Partition count for compute-heavy stages that follow a byte-small
-    shuffle: AQE coalesces such shuffles by bytes and would serialise the
-    work; ``repartition(n)`` is never coalesced.  The count differs from
-    ``spark.sql.shuffle.partitions`` on purpose: an aggregate's own exchange
-    already hashes by the same key into that many partitions, and the planner
-    would drop an identical repartition."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(shuffle, 2 * spark.sparkContext.defaultParallelism)
-    return n + 1 if n == shuffle else n
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only behind a checked bound: it is checkpointed (so the
-    count and the join read the same, already computed rows) and counted;
-    above ``max_rows`` it is returned as is for a shuffle join, where AQE can
-    still split a skewed key."""
-    from pyspark.sql import functions as F
-    frozen = checkpoint(df)
-    return F.broadcast(frozen) if frozen.count() <= max_rows else frozen

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
-                         MAX_CHUNKS, SEP_FALLBACK_ID,
-                         SEP_TOKEN, UNK_FALLBACK_ID, UNK_TOKEN)
-from ..functions.text import basic_tokenize, characters, clip_chars
+                         SEP_FALLBACK_ID, SEP_TOKEN, UNK_FALLBACK_ID, UNK_TOKEN)
+from ..functions.text import basic_tokenize, characters
 from ..operators.ordering import ordered_index
-from ..session import checkpoint, spread
+from ..session import stored
 
 
 def vocab_from_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
@@ -41,20 +40,21 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return vocab_from_lines(spark.read.text(path, wholetext=True))
 
 
-def fixture_vocab(documents: DataFrame, char_min: int = 20, word_min: int = 30) -> DataFrame:
-    """Fixture vocabulary from ``documents`` (same rule as the DuckDB oracle):
+def fixture_vocab(documents: DataFrame, char_min: int = 1, word_min: int = 30) -> DataFrame:
+    """Fixture vocabulary from the whole texts of ``documents`` (same rule as
+    the DuckDB oracle): ``[PAD]`` 0, ``[unused1]`` to ``[unused99]``, ``[UNK]``
+    100, ``[CLS]`` 101, ``[SEP]`` 102; then ``c`` and ``##c`` for every character
+    seen at least ``char_min`` times and every chunk seen at least ``word_min``
+    times, distinct, id = 102 + rank by token in binary order.
 
-    clip to 2048 chars, basic-tokenise, keep the first 512 chunks; ``c`` and
-    ``##c`` for every character seen at least ``char_min`` times, plus every
-    chunk seen at least ``word_min`` times; distinct; id = 102 + rank by token
-    in binary order; ``[UNK]`` 100, ``[CLS]`` 101, ``[SEP]`` 102.
+    ``word_min`` is what makes it a vocabulary: rarer words are what WordPiece
+    cuts into pieces.
     """
-    words = spread(documents.select("text")).select(
-        F.explode(basic_tokenize(clip_chars("text"), MAX_CHUNKS)).alias("w"))
+    words = documents.select(F.explode(basic_tokenize("text")).alias("w"))
     # occurrences per distinct word (map-side partial counts); characters are
     # counted from the distinct words weighted by their counts -- the same
     # totals as exploding every occurrence, with a far smaller explode
-    word_counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    word_counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     frequent_words = word_counts.where(F.col("n") >= word_min).select(F.col("w").alias("token"))
     chars = (word_counts.select(F.explode(characters("w")).alias("c"), "n")
              .groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= char_min).select("c"))
@@ -62,9 +62,16 @@ def fixture_vocab(documents: DataFrame, char_min: int = 20, word_min: int = 30)
         F.col("c"), F.concat(F.lit(CONTINUATION_PREFIX), F.col("c")))).alias("token"))
     tokens = frequent_words.unionByName(char_tokens).distinct()
     ranked = ordered_index(tokens, [], ["token"], name="rank0")
-    body = ranked.select((F.col("rank0") + 103).cast("int").alias("id"), "token")
+    body = ranked.select((F.col("rank0") + SEP_FALLBACK_ID + 1).cast("int").alias("id"), "token")
     spark = documents.sparkSession
+    reserved = [(0, "[PAD]")] + [(i, f"[unused{i}]") for i in range(1, UNK_FALLBACK_ID)]
     specials = spark.createDataFrame(
-        [(UNK_FALLBACK_ID, UNK_TOKEN), (CLS_FALLBACK_ID, CLS_TOKEN), (SEP_FALLBACK_ID, SEP_TOKEN)],
+        reserved + [(UNK_FALLBACK_ID, UNK_TOKEN), (CLS_FALLBACK_ID, CLS_TOKEN), (SEP_FALLBACK_ID, SEP_TOKEN)],
         "id int, token string")
-    return checkpoint(specials.unionByName(body))
+    return stored(specials.unionByName(body), "fixture-vocab")
+
+
+def write_vocab(vocab: DataFrame, path: str) -> None:
+    """Write a vocabulary with ids 0..n-1 as one text file, line = id (a
+    vocabulary file is one file by its format)."""
+    vocab.orderBy("id").select("token").coalesce(1).write.mode("overwrite").text(path)

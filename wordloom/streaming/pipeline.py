@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_SEQ, MAX_TEXT_CHARS
 from ..operators.embed import Model, embed
 from ..operators.wordpiece import VocabInfo, encode, tokenize
+from ..session import scratch_scope, stored
 from ..sources.corpus import DOCUMENT_SCHEMA
 
 
@@ -42,20 +43,20 @@ def start_tokenize_stream(stream: DataFrame, vocab: DataFrame, info: VocabInfo,
                           policy: str = "reject", available_now: bool = True):
     """H1 + H4: accepted rows -> ``out_dir`` (ids, counts and, with a model,
     embeddings); rejected rows with their ``reason`` -> ``dead_letter_dir``.
-    A bad row never fails its neighbours (per-row status instead of a
-    batch-wide exception)."""
+    A bad row (null text, invalid UTF-8, over-length) never fails its neighbours
+    (per-row status instead of a batch-wide exception).  What a micro-batch
+    writes in between is deleted when it is done."""
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        enc = tokenize_microbatch(batch, vocab, info, policy)
-        enc = enc.persist()
-        ok = enc.where(F.col("status") == "ok")
-        if model is not None:
-            vecs = embed(ok.select("doc_id", "ids"), model)
-            ok = ok.join(vecs.drop("n_tokens"), "doc_id")
-        ok.drop("status", "reason").write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
-        (enc.where(F.col("status") != "ok").select("doc_id", "lang", "status", "reason", "n_body")
-            .write.mode("overwrite").parquet(f"{dead_letter_dir}/epoch={epoch}"))
-        enc.unpersist()
+        with scratch_scope(batch.sparkSession):
+            enc = stored(tokenize_microbatch(batch, vocab, info, policy), "microbatch")
+            ok = enc.where(F.col("status") == "ok")
+            if model is not None:
+                vecs = embed(ok.select("doc_id", "ids"), model)
+                ok = ok.join(vecs.drop("n_tokens"), "doc_id")
+            ok.drop("status", "reason").write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+            (enc.where(F.col("status") != "ok").select("doc_id", "lang", "status", "reason", "n_body")
+                .write.mode("overwrite").parquet(f"{dead_letter_dir}/epoch={epoch}"))
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
