@@ -133,3 +133,33 @@ def test_published_shape_full_length_batch():
     # a short sentence in the same ragged batch does not change the long ones
     mixed = M.encode_batch(seqs[:2] + [np.array([101, 7, 102])], w, cfg)
     assert np.max(np.abs(mixed[:2] - out[:2])) < 1e-5
+
+
+def test_bad_files_are_reported_and_missing_tensors_found_per_file(spark, tmp_path):
+    import struct
+
+    good = {"a": np.ones((2, 3), np.float32), "b": np.zeros(4, np.float32)}
+    (tmp_path / "m1.safetensors").write_bytes(safetensors_bytes(good))
+    (tmp_path / "m2.safetensors").write_bytes(safetensors_bytes({"a": good["a"]}))
+    rows = {(r["path"].rsplit("/", 1)[1], r["name"]): r["reason"] for r in scan_models(spark, str(tmp_path)).collect()}
+    assert rows == {("m1.safetensors", "a"): None, ("m1.safetensors", "b"): None, ("m2.safetensors", "a"): None}
+    with pytest.raises(ValueError, match=r"m2\.safetensors: missing tensors: \['b'\]"):
+        weight_rows(spark, str(tmp_path), ["a", "b"])
+    assert weight_rows(spark, str(tmp_path), ["a"]).count() == 4
+
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "short.safetensors").write_bytes(b"abc")
+    (bad / "long.safetensors").write_bytes(struct.pack("<Q", 2**63 + 5) + b"{}")
+    (bad / "text.safetensors").write_bytes(struct.pack("<Q", 5) + b"nope!")
+    (bad / "empty.safetensors").write_bytes(struct.pack("<Q", 2) + b"{}")
+    head = b'{"x":{"dtype":"F32","shape":[2],"data_offsets":[0,99]},"y":{"dtype":"F32","shape":[3],"data_offsets":[0,8]}}'
+    (bad / "offsets.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + bytes(8))
+    got = {(r["path"].rsplit("/", 1)[1], r["name"]): (r["status"], r["reason"])
+           for r in scan_models(spark, str(bad)).collect()}
+    assert {k[0] for k in got} == {f"{n}.safetensors" for n in ("short", "long", "text", "empty", "offsets")}
+    assert all(s == "rejected" for s, _r in got.values())
+    assert got[("offsets.safetensors", "x")][1] == "tensor lies outside the data"
+    assert got[("offsets.safetensors", "y")][1] == "offsets do not agree with the shape"
+    with pytest.raises(ValueError, match="short"):
+        weight_rows(spark, str(bad))

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from ..constants import REQUIRED_MODEL_FILES
 from ..session import ship_package
 
+# fixed values: bytes of one element
+DTYPE_BYTES = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1}
 HEADER_SCHEMA = "map<string,struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>>"
 
 
@@ -28,23 +30,50 @@ def header_length(content: Column) -> Column:
     on the hex text, so no byte is ever decoded as a character)."""
     hx = F.hex(F.substring(content, 1, 8))
     big_endian = F.concat(*[F.substring(hx, 2 * i + 1, 2) for i in range(7, -1, -1)])
-    return F.conv(big_endian, 16, 10).cast("long")
+    return F.conv(big_endian, 16, 10).try_cast("long")
 
 
 def catalogue(files: DataFrame) -> DataFrame:
     """A4: binaryFile rows -> one row per tensor: ``(path, header_len, name,
-    dtype, shape, numel, begin_off, end_off, data_start)``; ``__metadata__``
-    (no dtype) is skipped."""
-    hl = header_length(F.col("content"))
-    header = F.decode(F.substring(F.col("content"), F.lit(9), hl.cast("int")), "UTF-8")
-    parsed = files.select("path", hl.alias("header_len"), (F.lit(8) + hl).alias("data_start"),
-                          F.explode(F.from_json(header, HEADER_SCHEMA)).alias("name", "t"))
-    return (parsed.where(F.col("t.dtype").isNotNull())
-            .select("path", "header_len", "name",
-                    F.col("t.dtype").alias("dtype"), F.col("t.shape").alias("shape"),
-                    F.aggregate("t.shape", F.lit(1).cast("long"), lambda a, x: a * x).alias("numel"),
-                    F.col("t.data_offsets")[0].alias("begin_off"),
-                    F.col("t.data_offsets")[1].alias("end_off"), "data_start"))
+    dtype, shape, numel, begin_off, end_off, data_start, status, reason)``;
+    ``__metadata__`` (no dtype) is skipped.
+
+    A file that is too short, whose header does not fit in it or is no JSON
+    object of tensors gives one row with null ``name``, status ``rejected`` and a
+    reason; so does a tensor whose offsets lie outside the data or do not agree
+    with its shape.  Nothing is dropped silently.
+    """
+    size = F.octet_length("content").cast("long")
+    # an unsigned length above the file's own is refused before it is used
+    hl = F.when(size >= 8, header_length(F.col("content")))
+    fits = hl.isNotNull() & (hl >= 0) & (hl <= size - 8)
+    header = F.when(fits, F.substring(F.col("content"), F.lit(9), hl.cast("int")))
+    text = F.when(F.call_function("is_valid_utf8", header.cast("string")), header.cast("string"))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    parsed = files.select(
+        "path", hl.alias("header_len"), (F.lit(8) + hl).alias("data_start"), (size - 8 - hl).alias("_data"),
+        F.when(is_object, F.from_json(text, HEADER_SCHEMA)).alias("_tensors"),
+        F.when(size < 8, "file shorter than its length field")
+         .when(~fits, "header longer than the file")
+         .when(~is_object, "header is not a JSON object").alias("_file"))
+    rows = parsed.select("path", "header_len", "data_start", "_data", "_file",
+                         F.explode_outer("_tensors").alias("name", "t"))
+    rows = rows.where(F.col("_file").isNotNull() | F.col("name").isNull() | F.col("t.dtype").isNotNull()
+                      | (F.col("name") != "__metadata__"))
+    numel = F.when(F.col("t.shape").isNotNull(),
+                   F.aggregate("t.shape", F.lit(1).cast("long"), lambda a, x: a * x))
+    begin, end = F.get("t.data_offsets", F.lit(0)), F.get("t.data_offsets", F.lit(1))
+    width = F.create_map(*[F.lit(x) for k, v in DTYPE_BYTES.items() for x in (k, v)])[F.col("t.dtype")]
+    reason = (F.when(F.col("_file").isNotNull(), F.col("_file"))
+              .when(F.col("name").isNull(), "no tensors in the header")
+              .when(F.col("t.dtype").isNull() | numel.isNull() | begin.isNull() | end.isNull(),
+                    "tensor entry is incomplete")
+              .when((begin < 0) | (end < begin) | (end > F.col("_data")), "tensor lies outside the data")
+              .when(F.exists("t.shape", lambda x: x < 0) | (numel * width != end - begin),
+                    "offsets do not agree with the shape"))
+    return rows.select("path", "header_len", "name", F.col("t.dtype").alias("dtype"), F.col("t.shape").alias("shape"),
+                       numel.alias("numel"), begin.alias("begin_off"), end.alias("end_off"), "data_start",
+                       F.when(reason.isNull(), "ok").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 
 def scan_models(spark: SparkSession, path: str) -> DataFrame:
@@ -54,48 +83,54 @@ def scan_models(spark: SparkSession, path: str) -> DataFrame:
     return catalogue(files)
 
 
-def _rows_fn(names: list[str] | None):
+SLICE_ROWS = 4096
+
+
+def _rows_fn():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, f in pdf.iterrows():
                 buf = f["content"]
                 for t in f["tensors"]:
-                    if names is not None and t["name"] not in names:
-                        continue
                     if t["dtype"] != "F32":
                         raise ValueError(f"tensor {t['name']} is {t['dtype']}, not F32")
                     start = int(f["data_start"]) + int(t["begin_off"])
-                    n = int(t["numel"])
-                    arr = np.frombuffer(buf, dtype="<f4", count=n, offset=start)
                     shape = [int(s) for s in t["shape"]]
-                    cols = shape[-1] if shape else 1
-                    mat = arr.reshape(-1, cols)
-                    yield pd.DataFrame({"path": f["path"], "name": t["name"],
-                                        "row": np.arange(mat.shape[0], dtype=np.int64),
-                                        "vec": list(mat.astype(np.float32))})
+                    flat = np.frombuffer(buf, dtype="<f4", count=int(t["numel"]), offset=start)
+                    mat = flat.reshape(-1, shape[-1] if shape else 1)
+                    for lo in range(0, len(mat), SLICE_ROWS):
+                        part = mat[lo:lo + SLICE_ROWS]
+                        yield pd.DataFrame({"path": f["path"], "name": t["name"],
+                                            "row": np.arange(lo, lo + len(part), dtype=np.int64),
+                                            "vec": list(part.astype(np.float32))})
     return run
 
 
 def weight_rows(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
     """A5: tensors as rows ``(path, name, row, vec array<float>)`` (row-major;
-    a 1-D tensor is one row).  Missing or non-F32 requested tensors fail.
-    Each file is handled by one task (binaryFile holds a file in one row)."""
+    a 1-D tensor is one row).  A bad file, a tensor that any one file lacks and
+    a non-F32 tensor fail.  Spark's Python API reads a binary file as one
+    value, so a file is one task; its rows leave in slices of ``SLICE_ROWS``."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors")
              .option("recursiveFileLookup", "true").load(path))
     ship_package(spark)
     cat = catalogue(files)
-    if names is not None:
-        found = {r["name"] for r in cat.where(F.col("name").isin(list(names))).select("name").collect()}
-        missing = sorted(set(names) - found)
-        if missing:
-            raise ValueError(f"missing tensors: {missing}")
-    per_file = cat.groupBy("path", "data_start").agg(F.collect_list(F.struct(
+    wanted = F.array(*[F.lit(n) for n in (names or [])]).cast("array<string>")
+    per_file = cat.groupBy("path").agg(
+        F.max("reason").alias("bad"),
+        F.collect_set(F.when(F.array_contains(wanted, F.col("name")), F.col("name"))).alias("have"))
+    wrong = (per_file.select("path", "bad", F.array_sort(F.array_except(wanted, "have")).alias("missing"))
+             .where(F.col("bad").isNotNull() | (F.size("missing") > 0)).orderBy("path").limit(5).collect())
+    if wrong:
+        raise ValueError("; ".join(f"{r['path']}: {r['bad'] or 'missing tensors: ' + str(r['missing'])}" for r in wrong))
+    some = cat if names is None else cat.where(F.array_contains(wanted, F.col("name")))
+    tensors = some.groupBy("path", "data_start").agg(F.collect_list(F.struct(
         "name", "dtype", "shape", "numel", "begin_off")).alias("tensors"))
-    joined = files.select("path", "content").join(per_file, "path")
+    joined = files.select("path", "content").join(tensors, "path")
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()),
                            T.StructField("row", T.LongType()),
                            T.StructField("vec", T.ArrayType(T.FloatType()))])
-    return joined.mapInPandas(_rows_fn(list(names) if names is not None else None), schema)
+    return joined.mapInPandas(_rows_fn(), schema)
 
 
 def read_tensors(spark: SparkSession, path: str, max_bytes: int) -> dict[str, np.ndarray]:
