@@ -3,9 +3,10 @@ n-grams, trained per language on trusted text, gives every document a
 perplexity; language-specific quantiles of it decide.
 
 1. Documents and their labels are dealt into blocks of a bounded number of
-   bytes by a hash of the key.  Each block reduces its whole texts to their
-   distinct n-grams, with the counts from trusted training documents
-   (map-side combine: a block sends each n-gram once).
+   bytes by a hash of the key; the documents of a task travel in compressed
+   packs.  Each block reduces its whole texts to their distinct n-grams, with
+   the counts from trusted training documents (map-side combine: a block sends
+   each n-gram once).
 2. The n-grams of all blocks are joined into one count table per order
    (continuation counts below the highest), sharded by (language, n-gram).
    Grouped sums give each history's total and discounted mass, and a chain of
@@ -27,7 +28,8 @@ Nulls: a null or empty text has no perplexity and is not rejected.  A null
 language is a language of its own.  A language without held-out good documents
 has no threshold and rejects nothing.  A key with several labels is trusted
 only if all are good; rows with a null key are scored and never trusted.
-U+0002 marks text starts, so it is read as U+FFFD inside texts.
+U+0002 marks text starts, so it is read as U+FFFD inside texts.  Inside a block
+n-grams are told apart by a 64-bit hash of their characters.
 """
 
 from __future__ import annotations
@@ -39,12 +41,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ship_package, small_batches, stored, text_or_empty
+from .common import ship_package, small_batches, stored
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
-CHUNK_CHARS = 2 << 20
+BLOCK_BYTES = 48 << 20
+PACK_BYTES = 1 << 20
+PENDING_BYTES = 24 << 20
+CHUNK_BYTES = 4 << 20
+CHUNK_CHARS = 1 << 20
 DENSE_KEYS = 1 << 25
 START = "\x02"
 QUANTILE = 0.995
@@ -54,14 +60,26 @@ FOLDS = 5
 
 # --- n-grams of a chunk of texts -------------------------------------------
 
+def gram_keys(chars: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of code points."""
+    key = np.full(len(chars), np.uint64(len(START)))
+    for i in range(chars.shape[1]):
+        key = (key ^ chars[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+
+
 class Chunk:
-    """Distinct n-grams of a few texts: ``names`` and, per position, their
-    number; ``starts``/``stops`` delimit each text's positions."""
+    """The distinct n-grams of a few texts (``grams``: their code points) and, per
+    position, their number; ``starts``/``stops`` delimit each text's positions."""
 
     def __init__(self, texts: list[str], order: int):
         pad = START * (order - 1)
-        line = "".join(pad + t.replace(START, "�") for t in texts)
-        a = np.frombuffer(line.encode("utf-32-le", "replace"), dtype="<u4")
+        a = code_points("".join(pad + t.replace(START, "\ufffd") for t in texts))
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes + order - 1)[:-1])).astype(np.int64)
         self.stops = self.starts + sizes
@@ -70,26 +88,23 @@ class Chunk:
         ids, count = char, width
         for k in range(1, order):
             ids, count = _renumber(ids[:len(ids) - 1] * width + char[k:])
-        inside = np.zeros(n + 1, dtype=np.int32)
-        full = sizes > 0
-        np.add.at(inside, self.starts[full], 1)
-        np.add.at(inside, self.stops[full], -1)
-        self.inside = np.cumsum(inside[:n]) > 0
-        self.ids, self.count = ids, count
+        self.size, self.ids, self.count = n, ids, count
+        self.inside = self._positions(np.ones(len(texts), dtype=bool))
         at = np.zeros(count, dtype=np.int64)
-        at[ids[self.inside]] = np.flatnonzero(self.inside)
-        grams = a[at[:, None] + np.arange(order)].astype("<u4")
-        text = grams.tobytes().decode("utf-32-le")
-        self.names = [text[i * order:(i + 1) * order] for i in range(count)]
+        at[ids] = np.arange(n)
+        self.grams = a[at[:, None] + np.arange(order)]
         self.used = np.bincount(ids[self.inside], minlength=count)
 
+    def _positions(self, chosen: np.ndarray) -> np.ndarray:
+        mark = np.zeros(self.size + 1, dtype=np.int32)
+        on = chosen & (self.stops > self.starts)
+        np.add.at(mark, self.starts[on], 1)
+        np.add.at(mark, self.stops[on], -1)
+        return np.cumsum(mark[:-1]) > 0
+
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """Occurrences of every n-gram in the chosen texts."""
-        pick = np.zeros(len(self.inside) + 1, dtype=np.int32)
-        on = chosen & (self.stops > self.starts)
-        np.add.at(pick, self.starts[on], 1)
-        np.add.at(pick, self.stops[on], -1)
-        return np.bincount(self.ids[np.cumsum(pick[:-1]) > 0], minlength=self.count)
+        return np.bincount(self.ids[self._positions(chosen)], minlength=self.count)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of ``values[n-gram]`` over each text."""
@@ -112,53 +127,120 @@ def _renumber(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return ids.reshape(-1).astype(np.int64), len(names)
 
 
-def _chunks(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
-    held, chars = [], 0
-    for i in rows:
-        if held and chars + len(texts[i]) > CHUNK_CHARS:
-            yield held
-            held, chars = [], 0
-        held.append(i)
-        chars += len(texts[i])
-    if held:
-        yield held
+# --- blocks --------------------------------------------------------------------
+
+def _pack(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
+def _pack_rows(schema: pa.Schema):
+    """Documents of a task, gathered by block and compressed; a pack closes at
+    PACK_BYTES of text, all of them when PENDING_BYTES wait."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: dict[int, list[pa.Table]] = {}
+        sizes: dict[int, int] = {}
+
+        def close(blocks: list[int]) -> pa.RecordBatch:
+            packs = [_pack(pa.concat_tables(pending.pop(b))) for b in blocks]
+            for b in blocks:
+                sizes.pop(b)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array(packs, pa.binary()),
+                 pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int32())], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            number = np.asarray(batch.column(0))
+            order = np.argsort(number, kind="stable")
+            edges = np.flatnonzero(np.diff(number[order])) + 1
+            for rows in np.split(order, edges):
+                b = int(number[rows[0]])
+                part = table.take(pa.array(rows)).drop(["block"])
+                pending.setdefault(b, []).append(part)
+                sizes[b] = sizes.get(b, 0) + part.nbytes
+            full = [b for b, n in sizes.items() if n >= PACK_BYTES]
+            if sum(sizes.values()) >= PENDING_BYTES:
+                full = list(pending)
+            if full:
+                yield close(full)
+        if pending:
+            yield close(list(pending))
+
+    return run
 
 
 class Block:
-    """Rows of one block: documents by language, and which are trusted."""
+    """One block: its packs of documents, and which keys are good."""
 
     def __init__(self, table: pa.Table):
-        cols = {c: table.column(c).to_pylist() for c in ("key", "lang", "text", "good", "fold")}
-        grade: dict[int, int] = {}
-        for k, g in zip(cols["key"], cols["good"]):
-            if g is not None and k is not None:
-                grade[k] = min(g, grade.get(k, g))
-        docs = [i for i, g in enumerate(cols["good"]) if g is None]
-        self.keys = [cols["key"][i] for i in docs]
-        self.langs = [cols["lang"][i] or "" for i in docs]
-        self.texts = [(cols["text"][i] or b"").decode("utf-8", "replace") for i in docs]
-        self.good = [grade.get(k) if k is not None else None for k in self.keys]
-        self.held = [bool(cols["fold"][i] == 0) for i in docs]
-        self.rows = docs
-        self.by_lang: dict[str, list[int]] = {}
-        for i, lang in enumerate(self.langs):
-            self.by_lang.setdefault(lang, []).append(i)
-
-    def trained(self, i: int) -> bool:
-        return self.good[i] == 1 and not self.held[i]
-
-
-def block_grams(block: Block, order: int) -> Iterator[tuple[str, dict[str, int]]]:
-    """Per language, every distinct n-gram and its count in training texts."""
-    for lang, rows in block.by_lang.items():
-        found: dict[str, int] = {}
-        for part in _chunks(rows, block.texts):
-            chunk = Chunk([block.texts[i] for i in part], order)
-            train = np.array([block.trained(i) for i in part])
-            for name, used, n in zip(chunk.names, chunk.used.tolist(), chunk.counts(train).tolist()):
-                if used:
-                    found[name] = found.get(name, 0) + n
-        yield lang, found
+        self.packs = [p for p in table.column("payload") if p.is_valid]
+        self.grade: dict[int, int] = {}
+        for k, g in zip(table.column("key").to_pylist(), table.column("good").to_pylist()):
+            if g is not None:
+                self.grade[k] = min(g, self.grade.get(k, g))
+
+    def parts(self) -> Iterator[tuple[pa.Table, list[str], list[int | None], np.ndarray]]:
+        """(rows, languages, labels, trained) of a few packs at a time."""
+        held, size = [], 0
+        for i, p in enumerate(self.packs):
+            held.append(_unpack(p.as_py()))
+            size += held[-1].nbytes
+            if size >= CHUNK_BYTES or i + 1 == len(self.packs):
+                rows = pa.concat_tables(held)
+                good = [None if k is None else self.grade.get(k) for k in rows.column("key").to_pylist()]
+                held_out = np.asarray(rows.column("held_out"), dtype=bool)
+                yield (rows, [x or "" for x in rows.column("lang").to_pylist()], good,
+                       np.array([g == 1 for g in good], dtype=bool) & ~held_out)
+                held, size = [], 0
+
+
+def _chunks(rows: pa.Table, langs: list[str], order: int) -> Iterator[tuple[str, np.ndarray, Chunk]]:
+    """(language, row numbers, chunk) of bounded groups of rows of a language."""
+    by: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        by.setdefault(lang, []).append(i)
+    column = rows.column("text")
+    for lang, members in by.items():
+        texts, held, chars = [], [], 0
+        for j, i in enumerate(members):
+            t = (column[i].as_py() or b"").decode("utf-8", "replace")
+            texts.append(t)
+            held.append(i)
+            chars += len(t)
+            if chars >= CHUNK_CHARS or j + 1 == len(members):
+                yield lang, np.array(held), Chunk(texts, order)
+                texts, held, chars = [], [], 0
+
+
+def block_grams(block: Block, order: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Per language: code points of every distinct n-gram, and its count in
+    training texts."""
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        grams = np.concatenate([g for g, _n in found[lang]])
+        _keys, first, ids = np.unique(gram_keys(grams), return_index=True, return_inverse=True)
+        total = np.bincount(ids.reshape(-1), weights=np.concatenate([n for _g, n in found[lang]]))
+        return grams[first], total.astype(np.int64)
+
+    for rows, langs, _good, trained in block.parts():
+        for lang, members, chunk in _chunks(rows, langs, order):
+            on = chunk.used > 0
+            found.setdefault(lang, []).append((chunk.grams[on], chunk.counts(trained[members])[on]))
+            if len(found[lang]) >= 16:
+                found[lang] = [merged(lang)]
+    for lang in found:
+        yield lang, *merged(lang)
 
 
 # --- model -------------------------------------------------------------------
@@ -217,36 +299,37 @@ def log_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _blocks(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, lang_col: str,
             label_col: str, block_bytes: int, carry: tuple[str, ...]) -> DataFrame:
-    """Documents and labels in one frame, dealt into blocks by key."""
+    """Packs of documents, and labels, dealt into blocks by key."""
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     key = F.col(key_col).cast("long")
     text = F.col(text_col).cast("string")
-    block = F.pmod(F.coalesce(F.xxhash64(key) + F.lit(0) * key, F.xxhash64(text), F.lit(0)), F.lit(n))
-    fold = F.crc32(key.cast("string").cast("binary")) % FOLDS
-    rows = docs.select(block.alias("block"), key.alias("key"), F.col(lang_col).cast("string").alias("lang"),
-                       text.cast("binary").alias("text"), F.lit(None).cast("int").alias("good"),
-                       fold.alias("fold"), *carry)
+    # rows without a key are dealt by their text
+    number = F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n))
+    held_out = F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+    rows = docs.select(number.alias("block"), key.alias("key"), F.col(lang_col).cast("string").alias("lang"),
+                       held_out.alias("held_out"), text.cast("binary").alias("text"), *carry)
+    out = "block long, payload binary, key long, good int"
+    schema = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("key", pa.int64()), ("good", pa.int32())])
+    packs = rows.mapInArrow(_pack_rows(schema), out)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).select(
-        F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), key.alias("key"),
-        F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("text"),
-        F.col(label_col).cast("int").alias("good"), fold.alias("fold"),
-        *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry])
-    return rows.unionByName(marks).repartition(max(n, 2), "block")
+        F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.lit(None).cast("binary").alias("payload"),
+        key.alias("key"), F.col(label_col).cast("int").alias("good"))
+    return packs.unionByName(marks).repartition(max(n, 2), "block")
 
 
 def _grams_of_block(order: int):
     def run(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
-        block = Block(table)
         parts = []
-        for lang, found in block_grams(block, order):
-            n = len(found)
+        for lang, grams, counts in block_grams(Block(table), order):
+            n = len(grams)
+            text = grams.astype("<u4").tobytes().decode("utf-32-le")
             parts.append(pa.table({
                 "block": pa.array(np.full(n, number, dtype=np.int64)),
                 "lang": pa.array([lang] * n, pa.string()),
-                "gram": pa.array(list(found), pa.string()),
-                "c": pa.array(np.fromiter(found.values(), dtype=np.int64, count=n))}))
+                "gram": pa.array([text[i * order:(i + 1) * order] for i in range(n)], pa.string()),
+                "c": pa.array(counts)}))
         schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.string()),
                             ("c", pa.int64())])
         return pa.concat_tables(parts) if parts else schema.empty_table()
@@ -254,25 +337,42 @@ def _grams_of_block(order: int):
     return run
 
 
-def _score_block(order: int, carry: tuple[str, ...]):
+def _log_tables(logs: pa.Table, order: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language, sorted n-gram hashes and their log-probabilities."""
+    out = {}
+    lang = logs.column("lang").combine_chunks().dictionary_encode() if logs.num_rows else None
+    if lang is None:
+        return out
+    code = np.asarray(lang.indices)
+    values = np.asarray(logs.column("logp"), dtype=np.float64)
+    gram = logs.column("gram").combine_chunks()
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        rows = np.flatnonzero(code == i)
+        chars = code_points("".join(gram.take(pa.array(rows)).to_pylist())).reshape(-1, order)
+        keys = gram_keys(chars)
+        by = np.argsort(keys)
+        out[name] = keys[by], values[rows][by]
+    return out
+
+
+def _score_block(order: int, carry: tuple[str, ...], schema: pa.Schema):
     def run(docs: pa.Table, logs: pa.Table) -> pa.Table:
-        table: dict[str, dict[str, float]] = {}
-        for lang, gram, logp in zip(*(logs.column(c).to_pylist() for c in ("lang", "gram", "logp"))):
-            table.setdefault(lang, {})[gram] = logp
-        block = Block(docs)
-        total = np.zeros(len(block.keys))
-        for lang, rows in block.by_lang.items():
-            logp = table.get(lang, {})
-            for part in _chunks(rows, block.texts):
-                chunk = Chunk([block.texts[i] for i in part], order)
-                values = np.array([logp.get(g, 0.0) for g in chunk.names])
-                total[part] = chunk.sums(values) if chunk.count else 0.0
-        return pa.table({
-            "key": pa.array(block.keys, pa.int64()), "lang": pa.array(block.langs, pa.string()),
-            "n_chars": pa.array([len(t) for t in block.texts], pa.int64()),
-            "log_likelihood": pa.array(total), "good": pa.array(block.good, pa.int32()),
-            "held_out": pa.array(block.held, pa.bool_()),
-            **{c: docs.column(c).take(pa.array(block.rows, pa.int64())) for c in carry}})
+        tables = _log_tables(logs, order)
+        parts = []
+        for rows, langs, good, _trained in Block(docs).parts():
+            total, chars = np.zeros(len(langs)), np.zeros(len(langs), dtype=np.int64)
+            for lang, members, chunk in _chunks(rows, langs, order):
+                chars[members] = chunk.stops - chunk.starts
+                if not chunk.used.any():
+                    continue
+                keys, logp = tables[lang]
+                at = np.searchsorted(keys, gram_keys(chunk.grams))
+                total[members] = chunk.sums(logp[np.minimum(at, len(logp) - 1)])
+            parts.append(pa.table({
+                "key": rows.column("key"), "lang": pa.array(langs, pa.string()), "n_chars": pa.array(chars),
+                "log_likelihood": pa.array(total), "good": pa.array(good, pa.int32()),
+                "held_out": rows.column("held_out"), **{c: rows.column(c) for c in carry}}))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
 
@@ -290,15 +390,15 @@ def score(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
         _grams_of_block(order), "block long, lang string, gram string, c long"), "kn-grams")
     grams = stored(asked.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kn-all")
     logs = log_probabilities(grams, order)
-    answers = asked.select("block", "lang", "gram").join(logs, ["lang", "gram"])
+    answers = stored(asked.select("block", "lang", "gram").join(logs, ["lang", "gram"])
+                     .select("block", "lang", "gram", F.col("logp").cast("float").alias("logp")), "kn-answers")
     schema = T.StructType([
         T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()),
         T.StructField("n_chars", T.LongType()), T.StructField("log_likelihood", T.DoubleType()),
         T.StructField("good", T.IntegerType()), T.StructField("held_out", T.BooleanType()),
         *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
-    scored = blocks.groupBy("block").cogroup(
-        answers.select("block", "lang", "gram", "logp").groupBy("block")).applyInArrow(
-        _score_block(order, carry), schema)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _score_block(order, carry, to_arrow_schema(schema)), schema)
     scored = stored(scored, "kn-scores")
     return scored.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(
         -F.col("log_likelihood") / F.col("n_chars"))))
