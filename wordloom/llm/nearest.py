@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import ship_package, stored
 
 SAMPLE = 20_000
-SHARE = 0.5
+SHARE = 0.55
 MIN_RERANK = 2_000
 BLOCK = 4096
 CHUNK = 4096

@@ -42,7 +42,7 @@ from .common import byte_sizes, map_arrow, row_chunks, stored
 CHUNK_BYTES = 1 << 20
 MAX_LABELLED = 12_000
 MAX_LEXICON = 20_000
-MIN_DOCS = 4
+MIN_DOCS = 3
 MIN_PRECISION = 0.95
 STEM_LENGTHS = (4, 5, 6)
 
