@@ -33,7 +33,7 @@ from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
                          UNK_FALLBACK_ID, UNK_TOKEN)
 from ..functions.text import basic_tokenize, clip_chars, utf8_valid
 from ..functions.vectors import let
-from ..session import stored
+from ..session import spread, stored
 
 WINDOW = 256          # starts per window of a word
 
@@ -216,8 +216,9 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     shown = text if clip is None else clip_chars(text, clip)
     chunks = F.when(F.col("text_error").isNull(), basic_tokenize(F.col("_text"), max_chunks))
     head = F.struct(*[F.col(c) for c in [*ids, *carry]], F.col("text_error"))
-    rows = (docs.select(F.monotonically_increasing_id().alias("_row"), *ids, *carry, bad.alias("text_error"),
-                        shown.alias("_text"))
+    given = spread(docs.select(*ids, *carry, text_col))
+    rows = (given.select(F.monotonically_increasing_id().alias("_row"), *ids, *carry, bad.alias("text_error"),
+                         shown.alias("_text"))
             .select("_row", head.alias("_head"), F.posexplode_outer(chunks).alias("pos", "word")))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     occ = stored(rows.select("_row", "pos", "word", F.when(first, F.col("_head")).alias("_head")), "occurrences")

@@ -151,3 +151,21 @@ def ship_package(spark: SparkSession) -> None:
         out.close()
     sc.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan that has fewer splits than the cluster has cores (one small
+    file, say) over all cores.  Decided from file names and sizes alone: no job
+    runs, and larger inputs come back unchanged, so no shuffle is added at scale."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    splits = 0
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        splits += -(-path.getFileSystem(conf).getFileStatus(path).getLen() // split)
+    return df if splits >= cores else df.repartition(cores)
