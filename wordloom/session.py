@@ -78,8 +78,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for intermediate tables."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    for held in _SCOPES:
-        held.append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
@@ -103,15 +103,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def scratch_scope(spark: SparkSession) -> Iterator[None]:
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Intermediate tables made inside are deleted at the end: for work whose
-    results are written before the scope ends (a micro-batch)."""
+    results are written before the scope ends.  Yields their paths, newest last;
+    a path taken out of the list (``pop()``) stays."""
     held: list[str] = []
     _SCOPES.append(held)
     try:
-        yield
+        yield held
     finally:
-        _SCOPES.remove(held)
+        _SCOPES[:] = [x for x in _SCOPES if x is not held]
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in held:
             p = jvm.org.apache.hadoop.fs.Path(path)
