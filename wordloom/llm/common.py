@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint, read_table, scratch_path, ship_package
+from ..session import read_table, scratch_path, scratch_scope, ship_package, stored
 
-__all__ = ["checkpoint", "read_table", "scratch_path", "ship_package", "map_arrow",
-           "text_or_empty", "utf8_size", "stored", "row_chunks", "byte_sizes"]
+__all__ = ["read_table", "scratch_path", "scratch_scope", "ship_package", "stored", "map_arrow",
+           "text_or_empty", "utf8_size", "row_chunks", "byte_sizes", "small_batches"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -86,21 +86,3 @@ def row_chunks(sizes, limit: int) -> Iterator[tuple[int, int]]:
         acc += int(n)
     if start < len(sizes):
         yield start, len(sizes)
-
-
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: a
-    lineage cut that any executor can reread, with column pruning.  The
-    shuffle files behind it are dropped at once, as nothing reads them again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)

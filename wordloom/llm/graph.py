@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch_scope, stored
 
 MAX_ROUNDS = 64
 
@@ -33,14 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Groups are only ever reduced to their minimum, so no neighbourhood is
     gathered in a task; each round is written to the shared folder."""
-    now = (edges.where("u != v")
-           .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    now = stored(now, "cc-edges")
-    state = None
-    for _ in range(MAX_ROUNDS):
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row[0] == 0 or tuple(row) == state:
-            return now.select("u", F.col("v").alias("root"))
-        state = tuple(row)
-        now = stored(_small_star(_large_star(now)), "cc-edges")
+    with scratch_scope(edges.sparkSession) as scratch:
+        now = (edges.where("u != v")
+               .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = stored(now, "cc-edges")
+        state = None
+        for _ in range(MAX_ROUNDS):
+            row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if row[0] == 0 or tuple(row) == state:
+                scratch.pop()
+                return now.select("u", F.col("v").alias("root"))
+            state = tuple(row)
+            now = stored(_small_star(_large_star(now)), "cc-edges")
     raise RuntimeError("components did not settle")

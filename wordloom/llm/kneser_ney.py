@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ship_package, small_batches, stored
+from .common import scratch_scope, ship_package, small_batches, stored
 
 ORDER = 5
 BLOCK_BYTES = 48 << 20
@@ -385,21 +385,22 @@ def score(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     texts."""
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
-    blocks = _blocks(docs, labels, key_col, text_col, lang_col, label_col, block_bytes, carry)
-    asked = stored(blocks.groupBy("block").applyInArrow(
-        _grams_of_block(order), "block long, lang string, gram string, c long"), "kn-grams")
-    grams = stored(asked.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kn-all")
-    logs = log_probabilities(grams, order)
-    answers = stored(asked.select("block", "lang", "gram").join(logs, ["lang", "gram"])
-                     .select("block", "lang", "gram", F.col("logp").cast("float").alias("logp")), "kn-answers")
     schema = T.StructType([
         T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()),
         T.StructField("n_chars", T.LongType()), T.StructField("log_likelihood", T.DoubleType()),
         T.StructField("good", T.IntegerType()), T.StructField("held_out", T.BooleanType()),
         *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block(order, carry, to_arrow_schema(schema)), schema)
-    scored = stored(scored, "kn-scores")
+    with scratch_scope(docs.sparkSession) as scratch:
+        blocks = _blocks(docs, labels, key_col, text_col, lang_col, label_col, block_bytes, carry)
+        asked = stored(blocks.groupBy("block").applyInArrow(
+            _grams_of_block(order), "block long, lang string, gram string, c long"), "kn-grams")
+        grams = stored(asked.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kn-all")
+        logs = log_probabilities(grams, order)
+        answers = stored(asked.select("block", "lang", "gram").join(logs, ["lang", "gram"])
+                         .select("block", "lang", "gram", F.col("logp").cast("float").alias("logp")), "kn-answers")
+        scored = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+            _score_block(order, carry, to_arrow_schema(schema)), schema), "kn-scores")
+        scratch.pop()
     return scored.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(
         -F.col("log_likelihood") / F.col("n_chars"))))
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_sizes, map_arrow, row_chunks, ship_package, stored
+from .common import byte_sizes, map_arrow, row_chunks, scratch_scope, ship_package, stored
 from .graph import components
 
 SEED = 42
@@ -314,14 +314,17 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
                     carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carry columns, fp, root, component_id) for every row of ``df``:
     ``root`` is a fingerprint that names the component."""
-    prints = stored(fingerprints(df, text_col, [key_col, *carry], shingle, "fp"), "simhash-prints")
-    classes = prints.groupBy("fp").agg(F.min(key_col).alias("_least"))
-    roots = fingerprint_components(classes, max_bits, node_limit)
-    named = (classes.join(roots, "fp", "left")
-             .select("fp", "_least", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root")
-    return prints.join(by_fp, "fp").select(key_col, *carry, "fp", "root", "component_id")
+    with scratch_scope(df.sparkSession) as scratch:
+        prints = stored(fingerprints(df, text_col, [key_col, *carry], shingle, "fp"), "simhash-prints")
+        classes = prints.groupBy("fp").agg(F.min(key_col).alias("_least"))
+        roots = fingerprint_components(classes, max_bits, node_limit)
+        named = (classes.join(roots, "fp", "left")
+                 .select("fp", "_least", F.coalesce("root", "fp").alias("root")))
+        least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
+        by_fp = named.select("fp", "root").join(least, "root")
+        out = stored(prints.join(by_fp, "fp").select(key_col, *carry, "fp", "root", "component_id"), "simhash")
+        scratch.pop()
+    return out
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:

@@ -136,7 +136,8 @@ def token_counts(df: DataFrame, model_path: str, cache_path: str, key_col: str =
     (counted.select("content_sha256", F.lit(tok_digest).alias("tokenizer_sha256"), "n_tokens")
      .write.mode("append").parquet(cache_path))
 
-    counts = (read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == tok_digest)
-              .groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens")))
+    # written, so that the join below reads both sides from exchanges and a hot digest can be split
+    counts = stored(read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == tok_digest)
+                    .groupBy("content_sha256").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
     return (keyed.join(counts, "content_sha256", "left")
             .select(F.col("_key").alias(key_col), "n_bytes", "content_sha256", "n_tokens"))

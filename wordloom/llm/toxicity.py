@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_sizes, map_arrow, row_chunks, stored
+from .common import byte_sizes, map_arrow, row_chunks, scratch_scope, stored
 
 CHUNK_BYTES = 1 << 20
 MAX_LABELLED = 12_000
@@ -184,6 +184,12 @@ def learn(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
           max_lexicon: int = MAX_LEXICON) -> ToxicModel:
     """Learn entries, weights and calibration from labelled rows outside the
     held-out fold, at most ``max_labelled`` of them."""
+    with scratch_scope(docs.sparkSession):
+        return _learn(docs, labels, key_col, text_col, label_col, folds, max_labelled, max_lexicon)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, label_col: str, folds: int,
+           max_labelled: int, max_lexicon: int) -> ToxicModel:
     model = ToxicModel()
     sample = (labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()
                            & ~held_out(key_col, folds))

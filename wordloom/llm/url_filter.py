@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, ship_package, stored
+from .common import ASCII_LOWER, ASCII_UPPER, scratch_scope, ship_package, stored
 
 SLICE_BITS = 1 << 27          # 16 MB of filter per slice and level at most
 MIN_BITS = 64
@@ -148,6 +148,11 @@ def _level(keys: DataFrame, n: int, fpp: float, level: int) -> Level:
 
 def build_cascade(universe: DataFrame, listed: str = "listed", slice_bits: int = SLICE_BITS) -> Cascade:
     """Cascade over distinct keys (h1, h2, ``listed`` boolean)."""
+    with scratch_scope(universe.sparkSession):
+        return _build(universe, listed, slice_bits)
+
+
+def _build(universe: DataFrame, listed: str, slice_bits: int) -> Cascade:
     spark = universe.sparkSession
     ship_package(spark)
     keys = stored(universe.select("h1", "h2", F.col(listed).alias("listed")), "url-keys")
