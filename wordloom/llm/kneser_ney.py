@@ -48,9 +48,9 @@ from .common import scratch_scope, ship_package, small_batches, stored
 ORDER = 5
 BLOCK_BYTES = 48 << 20
 PACK_BYTES = 1 << 20
-PENDING_BYTES = 24 << 20
-CHUNK_BYTES = 4 << 20
-CHUNK_CHARS = 1 << 20
+PENDING_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+CHUNK_CHARS = 1 << 19
 DENSE_KEYS = 1 << 25
 START = "\x02"
 QUANTILE = 0.995
