@@ -51,6 +51,12 @@ def test_written_shards_keep_the_order(spark, scratch):
     sharding.write_shards(sharding.external_shuffle(df, 3, bucket_bytes=400), f"{scratch}/s")
     back = spark.read.parquet(f"{scratch}/s")
     assert back.count() == 300 and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+    import glob
+
+    import pyarrow.parquet as pq
+    for f in glob.glob(f"{scratch}/s/shard=*/*.parquet"):
+        slots = pq.ParquetFile(f).read(columns=["slot"]).column("slot").to_pylist()
+        assert slots == sorted(slots)
 
 
 def test_query(spark):

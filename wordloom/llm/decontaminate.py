@@ -23,7 +23,8 @@ null keys are kept.  Items with equal words count as their smallest id.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 from itertools import repeat
 
 import numpy as np
@@ -165,16 +166,26 @@ class Seeds:
         return [sorted(set(x)) for x in out]
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in slices of at most about ``SLICE_BYTES``."""
+_WORKER: dict[str, Seeds] = {}
+
+
+def _worker_seeds(key: str, shared, masks: Sequence[str], min_words: int) -> Seeds:
+    """The slice's seed table, built once per worker."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Seeds(shared.value, masks, min_words)
+    return _WORKER[key]
+
+
+def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, DataFrame]:
+    """(number of slices, rows with their slice): at most about ``SLICE_BYTES``
+    of distinct texts each."""
     rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.groupBy("text").agg(F.min("id").alias("id"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // SLICE_BYTES))
-    part = F.pmod(F.xxhash64("text"), F.lit(n))
-    for i in range(n):
-        yield [(r["id"], r["text"]) for r in rows.where(part == i).collect()]     # one slice
+    return n, rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(n)))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id",
@@ -186,14 +197,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     src = "_seed_bytes"
     df = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias(src))
     parts: list[str] = []
-    slices = list(_slices(benchmark, id_col, item_text_col))
-    for i, items in enumerate(slices):
-        more = [src] if i + 1 < len(slices) else []
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        name = f"_seed_hits_{len(parts)}"
-
-        def make(shared=shared):
-            seeds = Seeds(shared.value, masks, min_words)
+    n, benchmark_rows = _slices(benchmark, id_col, item_text_col)
+    for i in range(n):
+        more = [src] if i + 1 < n else []
+        items = benchmark_rows.where(F.col("part") == i).select("id", "text").collect()      # one slice
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items])
+        key, name = uuid.uuid4().hex, f"_seed_hits_{i}"
+
+        def make(shared=shared, key=key):
+            seeds = _worker_seeds(key, shared, masks, min_words)
 
             def run(batch: pa.RecordBatch):
                 col = batch.column(batch.schema.get_field_index(src))

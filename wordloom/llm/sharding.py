@@ -135,5 +135,5 @@ def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key_col: s
 
 def write_shards(df: DataFrame, path: str) -> None:
     """Write the records as Parquet files under ``shard=<n>`` folders, each
-    file in permutation order."""
-    df.write.mode("overwrite").partitionBy("shard").parquet(path)
+    file in permutation order (a bucket may lie across two shards)."""
+    df.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
