@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from wordloom.operators.requests import (assemble_responses, explode_requests,
-                                         response_json)
+from wordloom.constants import MODEL_NAME
+from wordloom.operators.requests import (assemble_responses, explode_requests, parse_request,
+                                         request_bodies, response_json)
 
 
 def test_parse_request_cases(spark):
@@ -49,3 +50,21 @@ def test_response_assembly_order_and_usage(spark):
     assert all(x["object"] == "embedding" for x in d["data"])
     assert d["usage"] == {"prompt_tokens": 18, "total_tokens": 18}
     assert docs[8]["usage"]["total_tokens"] == 3
+
+
+def test_model_must_be_a_string_or_left_out(spark):
+    bodies = [(1, '{"input": "a", "model": "m"}'), (2, '{"input": "a"}'), (3, '{"input": "a", "model": 5}'),
+              (4, '{"input": "a", "model": null}'), (5, '{"input": ["a"], "model": ["m"]}')]
+    df = spark.createDataFrame(bodies, "id long, body string")
+    got = {r["id"]: (r["r"]["model"], r["r"]["error"]) for r in df.select("id", parse_request(F.col("body")).alias("r")).collect()}
+    assert got[1] == ("m", None) and got[2] == (MODEL_NAME, None)
+    assert {got[i][1] for i in (3, 4, 5)} == {"model must be a string"}
+
+
+def test_a_request_holds_all_its_inputs(spark):
+    texts = spark.range(3000).selectExpr("id % 2 as k", "id as o", "concat('t', id) as text")
+    bodies = request_bodies(texts, ["k"], "o")
+    rows, rejects = explode_requests(bodies, ["k"])
+    assert bodies.count() == 2 and rejects.count() == 0
+    got = rows.where("k = 1").orderBy("index").select("text").collect()
+    assert [r["text"] for r in got] == [f"t{i}" for i in range(1, 3000, 2)]

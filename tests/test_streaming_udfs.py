@@ -162,3 +162,26 @@ def test_admission_by_bytes(spark, scratch):
     q.awaitTermination(300)
     assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 4
     assert spark.table("h3_bytes").count() == docs.count()
+
+
+def test_micro_batches_leave_no_intermediate_tables(spark, fx, scratch):
+    import glob
+
+    from wordloom.session import shared_dir
+
+    docs, vocab, info, _model = fx
+    docs.repartition(3, "doc_id").write.parquet(f"{scratch}/in")
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    q = start_tokenize_stream(read_document_stream(spark, f"{scratch}/in", max_files=1), vocab, info,
+                              f"{scratch}/out", f"{scratch}/dead", f"{scratch}/ckpt", policy="reject")
+    q.awaitTermination(600)
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 3
+    assert set(glob.glob(f"{folder}/*")) == before
+
+
+def test_embed_text_of_null_is_null(spark, fx):
+    docs, vocab, info, model = fx
+    register_udfs(spark, vocab, model)
+    got = spark.sql("SELECT embed_text(t) AS v, token_count(t) AS n FROM VALUES ('a'), (CAST(NULL AS STRING)) AS x(t)").collect()
+    assert got[0]["v"] is not None and got[1]["v"] is None and got[1]["n"] == 0
