@@ -47,7 +47,7 @@ from .common import scratch_scope, ship_package, small_batches, stored
 
 ORDER = 5
 BLOCK_BYTES = 48 << 20
-PACK_BYTES = 1 << 20
+PACK_BYTES = 1 << 19          # raw text; compressed packs stay far below half a heap region
 PENDING_BYTES = 16 << 20
 CHUNK_BYTES = 2 << 20
 CHUNK_CHARS = 1 << 19
