@@ -318,9 +318,10 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
         prints = stored(fingerprints(df, text_col, [key_col, *carry], shingle, "fp"), "simhash-prints")
         classes = prints.groupBy("fp").agg(F.min(key_col).alias("_least"))
         roots = fingerprint_components(classes, max_bits, node_limit)
-        named = (classes.join(roots, "fp", "left")
-                 .select("fp", "_least", F.coalesce("root", "fp").alias("root")))
-        least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
+        named = stored(classes.join(roots, "fp", "left")
+                       .select("fp", "_least", F.coalesce("root", "fp").alias("root")), "simhash-classes")
+        # written, so that a component with many fingerprints can be split in the join on its root
+        least = stored(named.groupBy("root").agg(F.min("_least").alias("component_id")), "simhash-least")
         by_fp = named.select("fp", "root").join(least, "root")
         out = stored(prints.join(by_fp, "fp").select(key_col, *carry, "fp", "root", "component_id"), "simhash")
         scratch.pop()
