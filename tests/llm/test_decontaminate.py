@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from wordloom.llm import decontaminate as D
 from wordloom.llm import queries
 from tests.llm.conftest import rows
@@ -92,3 +94,43 @@ def test_query_equals_brute_force(spark):
             if any(i in norm(r["text"]) for i in items)}
     got = queries.op6_decontaminate(spark, sf).collect()
     assert {r["doc_id"] for r in got if r["contaminated"]} == want and want
+
+
+def test_spread_changes_of_whole_items_are_found():
+    for n, at, end, same in ((20, (4, 9, 14), 21, 17), (15, (4, 9), 16, 13), (50, range(4, 50, 5), 50, 40)):
+        item = [f"w{i}" for i in range(n)]
+        text = ["changed" if i in at else w for i, w in enumerate(item)]
+        assert search("before " + " ".join(text) + " after", ((1, " ".join(item)),)) == [(1, 1, end, same)]
+
+
+def test_every_alignment_is_judged_like_brute_force():
+    def allowed(equal, least):
+        return any(5 * sum(equal[s:e]) >= 4 * (e - s)
+                   for s in range(len(equal)) for e in range(s + least, len(equal) + 1))
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        n, share = rng.randint(5, 40), rng.randint(1, 20) / 100
+        equal = [rng.random() >= share for _ in range(n)]
+        least = min(D.MIN_WORDS, n)
+        run = D.best_run(np.array(equal), least)
+        assert (run is not None) == allowed(equal, least)
+        if run:
+            s, e, same = run
+            assert e - s >= least and same == sum(equal[s:e]) and 5 * same >= 4 * (e - s)
+    assert D.best_run(np.ones(9, dtype=bool), 10) is None
+
+
+def test_seed_hits_are_reported_for_1_to_20_percent_changes():
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    for percent in range(1, 21):
+        for n in (10, 15, 20, 50):
+            item = rng.choices(words, k=n)
+            text = list(item)
+            for i in rng.sample(range(n), n * percent // 100):
+                text[i] = "changed"
+            seeds = D.Seeds([(1, " ".join(item))])
+            ids = np.array([seeds.vocab.get(w.encode(), 0) for w in text])
+            whole = any(offset == 0 for offset, _k in seeds.alignments(ids).tolist())
+            assert not whole or seeds.search([" ".join(text)])[0]

@@ -4,9 +4,10 @@ A seed is a fixed mask over consecutive words: its care positions are hashed,
 the others ignored, so a changed word hides only the seeds that look at it.
 Every window of every document is hashed under every mask and joined with the
 hashes of the benchmark's windows; each hit fixes an alignment of document and
-item, and the words around it are compared position by position.  The best run
-of the alignment (+1 for an equal word, -4 for a changed one, so at least 80 %
-are equal) must span ``min_words`` words, or the whole item if it is shorter.
+item, and the words around it are compared position by position.  The alignment
+is an overlap if any of its windows of ``min_words`` words or more (of the whole
+item if it is shorter) has at least 80 % equal words; the window with the best
+score (+1 for an equal word, -4 for a changed one) is reported.
 
 The benchmark is distinct normalised texts, cut into slices of a bounded number
 of bytes; a slice's seed table goes to all tasks, which probe it while scanning
@@ -63,12 +64,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_ASCII_BREAKS).split()
 
 
-def best_run(equal: np.ndarray, changed: int = CHANGED) -> tuple[int, int, int]:
-    """(start, stop, equal words) of the best-scoring run of an alignment."""
+def best_run(equal: np.ndarray, least: int, changed: int = CHANGED) -> tuple[int, int, int] | None:
+    """(start, stop, equal words) of the best-scoring window of at least ``least``
+    words, the longest of equal ones; None if all score below zero."""
+    if len(equal) < least:
+        return None
     cum = np.concatenate(([0], np.cumsum(np.where(equal, 1, -changed))))
-    low = np.minimum.accumulate(cum)
-    stop = int(np.argmax(cum - low))
-    start = int(np.flatnonzero(cum[:stop + 1] == low[stop])[-1])
+    low = np.minimum.accumulate(cum[:len(cum) - least])      # of the starts that each stop may have
+    gain = cum[least:] - low
+    if gain.max() < 0:
+        return None
+    at = np.flatnonzero(gain == gain.max())
+    starts = np.searchsorted(-low, -low[at], "left")         # the first start with that sum
+    i = int(np.argmax(at + least - starts))
+    start, stop = int(starts[i]), int(at[i]) + least
     return start, stop, int(equal[start:stop].sum())
 
 
@@ -160,8 +169,9 @@ class Seeds:
                 a, b = max(lo, int(starts[d])), min(hi, int(starts[d]) + sizes[d])
                 if b <= a:
                     continue
-                s, e, same = best_run(ids[a:b] == item[a - offset:b - offset])
-                if e - s >= min(self.min_words, len(item)):
+                run = best_run(ids[a:b] == item[a - offset:b - offset], min(self.min_words, len(item)))
+                if run:
+                    s, e, same = run
                     out[d].append((item_id, a - int(starts[d]) + s, a - int(starts[d]) + e, same))
         return [sorted(set(x)) for x in out]
 
