@@ -97,3 +97,19 @@ def test_recall_of_a_partial_visit(spark, monkeypatch):
     got = run(spark, df, k=20, every=20, share=0.6)
     hit = sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
     assert hit >= 0.9 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("norms", ["unit", "few long", "log-normal"])
+def test_recall_at_the_production_share_whatever_the_norms(spark, monkeypatch, norms):
+    monkeypatch.setattr(N, "MIN_RERANK", 0)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "few long":
+        x[rng.choice(len(x), 40, replace=False)] *= 5
+    elif norms == "log-normal":
+        x *= rng.lognormal(0, 0.5, size=(len(x), 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = run(spark, table(spark, rows), k=20, every=20), brute(rows, 20, 20)
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items())
+    assert hit >= 0.9 * sum(map(len, want.values()))

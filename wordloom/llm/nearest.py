@@ -1,5 +1,10 @@
 """Approximate nearest neighbours by inner product: an inverted multi-index.
 
+The index works on distances, so inner product is reduced to distance first:
+every entry gets the component sqrt(M^2 - |x|^2), M the largest norm, and every
+query a zero.  Entries then all have norm M, and the nearest by distance are
+those with the largest inner product, whatever the norms.
+
 Vectors are cut in two halves; each half is quantised by its own k-means
 codebook, so a pair of centroids names one of K*K cells.  For a query, centroid
 pairs are visited in order of summed distance with a heap (multi-sequence
@@ -60,6 +65,11 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :cut], x[:, cut:]
 
 
+def lifted(x: np.ndarray, norm: float) -> np.ndarray:
+    """Entries with the component that brings each to ``norm``."""
+    return np.column_stack([x, np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0.0))])
+
+
 def kmeans(x: np.ndarray, k: int, seed: int = SEED, steps: int = LLOYD_STEPS) -> np.ndarray:
     """Lloyd's algorithm from distinct random rows; empty centroids stay."""
     rng = np.random.default_rng(seed)
@@ -88,10 +98,11 @@ def codebook_size(n: int) -> int:
 
 
 class MultiIndex:
-    """Codebooks, entry counts per cell and block numbers."""
+    """Codebooks, entry counts per cell and block numbers; ``norm`` is the
+    largest of the entries."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second = first, second
+    def __init__(self, first: np.ndarray, second: np.ndarray, norm: float = 0.0):
+        self.first, self.second, self.norm = first, second, norm
         self.k2 = len(second)
         self.counts = np.zeros(len(first) * len(second), dtype=np.int64)
 
@@ -153,7 +164,7 @@ def _assign(shared):
         index: MultiIndex = shared.value
         for b in batches:
             if b.num_rows:
-                cells = index.cells(_matrix(b.column(2)))
+                cells = index.cells(lifted(_matrix(b.column(2)), index.norm))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells)], names=["entry", "ids", "vec", "cell"])
     return run
 
@@ -168,7 +179,7 @@ def _route(shared, wanted: int, chunks: int):
                 continue
             entries, x = b.column(0).to_pylist(), _matrix(b.column(1))
             for i, entry in enumerate(entries):
-                cells = np.array(index.visit(x[i], wanted), dtype=np.int64)
+                cells = np.array(index.visit(np.append(x[i], 0.0), wanted), dtype=np.int64)
                 order = np.argsort(index.block[cells], kind="stable")
                 blocks, at = np.unique(index.block[cells[order]], return_index=True)
                 groups = np.split(cells[order], at[1:])
@@ -247,12 +258,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                .groupBy("h", "vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
                .select("h", F.col("ids")[0].alias("entry"), "ids", "vec"))
     entries = stored(entries, "ann-entries")
-    n = entries.count()
+    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    n, norm = entries.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).first()
     drawn = entries.select("entry", "vec").orderBy(F.xxhash64("entry"), "entry").limit(sample)
     drawn = np.array([r["vec"] for r in drawn.collect()], dtype=np.float64)      # at most ``sample`` vectors
     size_k = codebook_size(n)
-    a, b = halves(drawn)
-    index = MultiIndex(kmeans(a, size_k), kmeans(b, size_k) if b.shape[1] else np.zeros((1, 0)))
+    a, b = halves(lifted(drawn, norm))
+    index = MultiIndex(kmeans(a, size_k), kmeans(b, size_k), norm)
     books = spark.sparkContext.broadcast(index)
     filed = stored(entries.select("entry", "ids", "vec").mapInArrow(
         _assign(books), "entry long, ids array<long>, vec array<float>, cell long"), "ann-index")
