@@ -126,3 +126,25 @@ def test_query_against_labels(spark):
     good = [r["rejected"] for r in rows_ if r["quality"] == 1]
     bad = [r["rejected"] for r in rows_ if r["quality"] == 0]
     assert sum(good) <= 0.02 * len(good) and sum(bad) >= 0.75 * len(bad)
+
+
+def scored(spark, parts):
+    """Rows of ``thresholds``: held-out good documents and others of each language."""
+    rows = [(lang, float(x), g, h) for lang, held, others in parts
+            for x, g, h in [(x, 1, True) for x in held] + [(x, None, False) for x in others]]
+    return spark.createDataFrame(rows, "lang string, perplexity double, good int, held_out boolean")
+
+
+def test_one_odd_good_document_does_not_decide(spark):
+    usual = [4 + i / 100 for i in range(106)]
+    limit = {r["lang"]: r["threshold"] for r in K.thresholds(scored(spark, [("de", usual + [126.0], [])])).collect()}
+    assert max(usual) < limit["de"] < 20
+
+
+def test_languages_with_few_held_out_documents_take_the_pooled_bound(spark):
+    usual = [4 + i / 100 for i in range(100)]
+    df = scored(spark, [("de", usual, []), ("fr", [120.0], [8 + i / 50 for i in range(50)]), ("xx", [], [9.0, 9.0, 9.5])])
+    limit = {r["lang"]: r["threshold"] for r in K.thresholds(df).collect()}
+    assert 9 < limit["fr"] < 20 and 9.5 < limit["xx"] < 20
+    few = K.thresholds(scored(spark, [("de", usual[:5], usual)])).collect()
+    assert [r["threshold"] for r in few] == [None]

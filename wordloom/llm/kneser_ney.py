@@ -18,15 +18,19 @@ perplexity; language-specific quantiles of it decide.
 Trusted text is the text of documents labelled good outside the held-out fold;
 thresholds are quantiles of the held-out good documents, so they are not
 measured on the training text.  A document is rejected when its perplexity is
-above the larger of two such bounds: the ``quantile`` of its language, and the
-median plus ``spread`` times the distance to the 95 % quantile (which steadies
-the bound where a language has few labels).
+above the smaller of two such bounds: the ``quantile`` of its language, and the
+median plus ``spread`` times the distance to the 95 % quantile (logs; with few
+documents the quantile is their maximum, and one odd document would decide).
+A language with fewer than ``MIN_HELD`` held-out good documents takes the
+median of its documents outside the training text, and the distance to the
+bound from the held-out good documents of all languages.
 
 Python touches text only to turn it into n-grams and to add up their logs.
 
 Nulls: a null or empty text has no perplexity and is not rejected.  A null
-language is a language of its own.  A language without held-out good documents
-has no threshold and rejects nothing.  A key with several labels is trusted
+language is a language of its own.  With fewer than ``MIN_HELD`` held-out good
+documents in all there is no pooled bound, and a language without a bound
+rejects nothing.  A key with several labels is trusted
 only if all are good; rows with a null key are scored and never trusted.
 U+0002 marks text starts, so it is read as U+FFFD inside texts.  Inside a block
 n-grams are told apart by a 64-bit hash of their characters.
@@ -55,6 +59,7 @@ DENSE_KEYS = 1 << 25
 START = "\x02"
 QUANTILE = 0.995
 SPREAD = 4.0
+MIN_HELD = 20                 # from here on the 95 % quantile is not the maximum
 FOLDS = 5
 
 
@@ -406,12 +411,29 @@ def score(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, spread: float = SPREAD) -> DataFrame:
-    """(lang, threshold) from the held-out good documents of each language."""
-    q = F.percentile_approx(F.log("perplexity"), F.array(F.lit(0.5), F.lit(0.95), F.lit(quantile)), F.lit(10000))
-    rows = (scores.where("good = 1 and held_out and perplexity is not null")
-            .groupBy("lang").agg(q.alias("_q")))
-    wide = F.col("_q")[0] + spread * (F.col("_q")[1] - F.col("_q")[0])
-    return rows.select("lang", F.exp(F.greatest(F.col("_q")[2], wide)).alias("threshold"))
+    """(lang, threshold) from the held-out good documents of each language, or
+    of all where a language has few."""
+    log = F.log("perplexity")
+    good = F.coalesce(F.col("good") == 1, F.lit(False))
+    held = good & F.col("held_out")
+
+    def quantiles(value: Column) -> Column:
+        return F.percentile_approx(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(quantile)), F.lit(10000))
+
+    def bound(q: str) -> Column:
+        q = F.col(q)
+        return F.least(q[2], q[0] + spread * (q[1] - q[0]))
+
+    rows = scores.where("perplexity is not null")
+    own = rows.groupBy("lang").agg(
+        (F.count(F.when(held, 1)) >= MIN_HELD).alias("_many"), quantiles(F.when(held, log)).alias("_q"),
+        F.percentile_approx(F.when(~(good & ~F.col("held_out")), log), 0.5, F.lit(10000)).alias("_mid"))
+    own = own.withColumn("_centre", F.when(F.col("_many"), F.col("_q")[0]).otherwise(F.col("_mid")))
+    pooled = (rows.where(held).join(own.select("lang", "_centre"), "lang")
+              .agg(F.count(F.lit(1)).alias("_n"), quantiles(log - F.col("_centre")).alias("_all")))
+    width = F.when(F.col("_n") >= MIN_HELD, bound("_all"))
+    return own.crossJoin(pooled).select("lang", F.exp(
+        F.when(F.col("_many"), bound("_q")).otherwise(F.col("_centre") + width)).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, spread: float = SPREAD,
