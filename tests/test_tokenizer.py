@@ -182,3 +182,25 @@ def test_vocabulary_file_round_trip(spark, scratch):
     write_vocab(vocab, f"{scratch}/vocab")
     back = read_vocab(spark, f"{scratch}/vocab")
     assert sorted(map(tuple, back.select("id", "token").collect())) == sorted(map(tuple, vocab.select("id", "token").collect()))
+
+
+def test_b4_judges_whole_texts(spark, monkeypatch):
+    from conftest import SF001
+    from wordloom.plans import text_queries as Q
+
+    seen, plain = [], Q.tokenize
+    monkeypatch.setattr(Q, "tokenize", lambda docs, *a, **kw: seen.append(docs) or plain(docs, *a, **kw))
+    Q.b4_invalid_utf8(spark, SF001)
+    got = {r["doc_id"]: r["text"] for r in seen[0].collect()}
+    docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    assert set(got) == set(docs) and max(map(len, docs.values())) > 1000
+    for i, raw in docs.items():
+        at = i % 40 + 1
+        assert got[i] is None if i % 9 == 0 else bytes(got[i]) == raw[:at] + b" " + raw[at:]
+
+
+def test_invalid_bytes_at_any_place_are_found(spark):
+    good = ("naïve café " * 400).encode()
+    bad = [good[:at] + b"\xc3" + good[at:] for at in (0, 41, 2500)] + [good + b"\xc3"]
+    df = spark.createDataFrame([(bytearray(x),) for x in [good, *bad]], "b binary")
+    assert [r[0] for r in df.select(utf8_valid("b")).collect()] == [True, False, False, False, False]
