@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +119,17 @@ def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
             p.getFileSystem(conf).delete(p, True)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build()`` makes, written; every intermediate table made
+    on the way is deleted, the result belongs to the scope around (if any)."""
+    with scratch_scope(spark) as held:
+        out = stored(build(), name)
+        path = held.pop()
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return out
+
+
 _SHIPPED: set[str] = set()
 
 
