@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, kneser_ney, licences, nearest, sharding, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, kneser_ney, licences, nearest, sharding, simhash, token_counts, toxicity, url_filter
 from .licence_texts import KNOWN
-from .common import read_table, scratch_path, text_or_empty, utf8_size
+from .common import read_table, scratch_path, settled, text_or_empty, utf8_size
 
 URL_RULES = (
     url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"),
@@ -108,6 +108,21 @@ def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return settled(spark, "op12", lambda: exact_dedup.exact_duplicates(docs))
+
+
+OP12_SQL = r"""
+WITH n AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY t)
+"""
+
+
 def op1_sql() -> str:
     values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''"))
                        for i, (n, t) in enumerate(KNOWN))
@@ -171,8 +186,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_token_counts": op9_token_counts,
         "op10_external_shuffle": op10_external_shuffle,
+        "op12_exact_dedup": op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": op1_sql(), "op8_url_filter": OP8_SQL}
+    return {"op1_licences": op1_sql(), "op8_url_filter": OP8_SQL, "op12_exact_dedup": OP12_SQL}
