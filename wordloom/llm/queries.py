@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, kneser_ney, licences, nearest, sharding, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, kneser_ney, licences, nearest, prefix_trie, ranked_search, sharding, simhash, token_counts, toxicity, url_filter
 from .licence_texts import KNOWN
 from .common import read_table, scratch_path, settled, text_or_empty, utf8_size
 
@@ -108,6 +108,41 @@ def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return settled(spark, "op11", lambda: ranked_search.ranked_search(docs, read_table(spark, sf, "benchmark")))
+
+
+OP11_SQL = r"""
+WITH dt AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), qt AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), len AS (
+  SELECT doc_id, count(*) AS n FROM dt GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM len
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM tf, total GROUP BY term, nn
+), m AS (
+  SELECT doc_id, 25 + (75 * n * nn) // ll AS m FROM len, total
+), scored AS (
+  SELECT q.item_id, t.doc_id, CAST(sum(q.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM qt q JOIN tf t USING (term) JOIN w USING (term) JOIN m ON m.doc_id = t.doc_id GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return settled(spark, "op12", lambda: exact_dedup.exact_duplicates(docs))
@@ -123,6 +158,53 @@ FROM n WINDOW same AS (PARTITION BY t)
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return settled(spark, "op13", lambda: prefix_trie.conversation_trie(turns))
+
+
+# CRC-32 of the decimal id, a bit at a time
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, n, c - c % 5 AS base, xor(list_reduce(list_concat([4294967295::BIGINT],
+           list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+  FROM (SELECT c, count(*) AS n FROM own GROUP BY c)
+), rebuilt AS (
+  SELECT v.c, v.h, 0 AS part, o.pos, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.pos < v.h
+  UNION ALL
+  SELECT v.c, v.h, 1, o.pos, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.pos >= v.h
+), seqs AS (
+  SELECT v.c, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.part, r.pos) FILTER (WHERE r.c IS NOT NULL), []) AS seq
+  FROM convs v LEFT JOIN rebuilt r ON r.c = v.c GROUP BY v.c
+), prefixes AS (
+  SELECT c, len(seq) AS n, d, seq[1:d] AS prefix FROM seqs, unnest(range(0, len(seq) + 1)) AS t(d)
+), nodes AS (
+  SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(prefix[d].text)) END AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, prefix
+), children AS (
+  SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2
+), full_nodes AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN children k ON k.d = n.d AND k.prefix = n.prefix
+), below AS (
+  SELECT a AS d, f.prefix[1:a] AS prefix, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(f.saved) AS saved_tokens
+  FROM full_nodes f, unnest(range(0, f.d + 1)) AS t(a) GROUP BY 1, 2
+)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs,
+       CAST(f.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below b ON b.d = f.d AND b.prefix = f.prefix
+LEFT JOIN nodes p ON p.d = f.d - 1 AND p.prefix = f.prefix[1:f.d - 1]
+"""
+
+
 def op1_sql() -> str:
     values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''"))
                        for i, (n, t) in enumerate(KNOWN))
@@ -186,9 +268,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_token_counts": op9_token_counts,
         "op10_external_shuffle": op10_external_shuffle,
+        "op11_ranked_search": op11_ranked_search,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": op1_sql(), "op8_url_filter": OP8_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op1_licences": op1_sql(), "op8_url_filter": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_exact_dedup": OP12_SQL,
+            "op13_prefix_trie": OP13_SQL}
