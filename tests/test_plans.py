@@ -34,7 +34,9 @@ def test_segmentation_probes_the_vocabulary_by_broadcast_when_it_is_small(spark)
     docs, vocab, info = _docs_vocab(spark)
     words = docs.selectExpr("explode(split(text, ' ')) as word").where("word <> ''").distinct()
     plan = _plan(segment_words(words, vocab, info))
-    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    assert "BroadcastHashJoin" in plan and "Python" not in plan and "SortMergeJoin" not in plan
+    # the exchange that makes the words distinct is the only one
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") - plan.count("BroadcastExchange") == 1
 
 
 def test_ordered_index_has_no_python(spark):

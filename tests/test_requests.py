@@ -68,3 +68,21 @@ def test_a_request_holds_all_its_inputs(spark):
     assert bodies.count() == 2 and rejects.count() == 0
     got = rows.where("k = 1").orderBy("index").select("text").collect()
     assert [r["text"] for r in got] == [f"t{i}" for i in range(1, 3000, 2)]
+
+
+def test_batches_of_null_and_repeated_ids(spark):
+    """A batch member is its place, not its id."""
+    from wordloom.operators.batching import batch_reject, batch_tokens, ragged_offsets
+    from wordloom.operators.wordpiece import vocab_info
+    from wordloom.plans.service_queries import batched_tokens
+
+    vocab = spark.createDataFrame([(0, "a"), (100, "[UNK]"), (101, "[CLS]"), (102, "[SEP]")], "id int, token string")
+    docs = spark.createDataFrame([(1, "a", "s"), (1, "a a", "s"), (None, "a a a", "s"), (2, "a a a a", "s"), (3, "", None)],
+                                 "doc_id long, text string, source string")
+    got = batched_tokens(docs, vocab, vocab_info(vocab))
+    offsets = sorted((r["source"] or "", r["idx_in_batch"], r["doc_id"], r["offset"], r["n_tokens"])
+                     for r in ragged_offsets(got, ["source"]).collect())
+    assert offsets == [("", 0, 3, 0, 2), ("s", 0, None, 0, 5), ("s", 1, 1, 5, 3), ("s", 2, 1, 8, 4), ("s", 3, 2, 12, 6)]
+    assert sorted((r["source"] or "", r["batch_tokens"]) for r in batch_tokens(got, ["source"]).collect()) == [("", 2), ("s", 18)]
+    rejected = batch_reject(got, ["source"])
+    assert rejected.count() == 5 and rejected.where("batch_status = 'ok'").count() == 5

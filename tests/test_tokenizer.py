@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from wordloom.functions.pytokenizer import PyWordPiece
-from wordloom.functions.text import basic_tokenize, utf8_valid
+from wordloom.functions.text import basic_tokenize, utf8_faults, utf8_valid
 from wordloom.operators.wordpiece import (chunk_table, encode, segment_words,
                                           tokenize, vocab_info, validate_ids)
 from wordloom.sources.vocab import fixture_vocab, read_vocab, write_vocab
@@ -112,6 +112,43 @@ def test_wordpiece_matches_brute_force(spark):
         assert list(r["pieces"]) == py.word(r["word"])
 
 
+@pytest.mark.parametrize("longest", [3, 40, 300])
+def test_longest_prefix_search_matches_brute_force(spark, longest):
+    """Random vocabularies of nested tokens over two letters, words beyond a window."""
+    import random
+
+    rng = random.Random(longest)
+    def word(n):
+        return "".join(rng.choices("ab", [5, 1], k=n))
+    tokens = {word(rng.randrange(1, longest + 1)) for _ in range(60)} | {"a" * longest, "b"}
+    tokens |= {"##" + word(rng.randrange(1, longest + 1)) for _ in range(60)} | {"##a", "##" + "a" * longest}
+    if longest != 40:
+        tokens.add("##b")
+    ids = {t: i for i, t in enumerate(sorted(tokens))}
+    vocab = spark.createDataFrame([(i, t) for t, i in ids.items()] + [(900, "[UNK]")], "id int, token string")
+    words = sorted({word(rng.randrange(1, 40)) for _ in range(300)} | {word(n) for n in (255, 256, 257, 600, 1500)} | {"é", "##a", "ac"})
+    py = PyWordPiece({**ids, "[UNK]": 900})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for r in segment_words(df, vocab).collect():
+        assert list(r["pieces"]) == py.word(r["word"]), r["word"]
+        assert list(r["piece_ids"]) == [py.vocab[t] for t in r["pieces"]]
+
+
+def test_vocabulary_of_several_splits(spark, scratch):
+    """Line numbers go on over splits, wherever they fall."""
+    path = f"{scratch}/vocab.txt"
+    lines = [f"w{i}" * (i % 9 + 1) for i in range(5000)]
+    with open(path, "w") as f:
+        f.write("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
+        assert {r["token"]: r["id"] for r in read_vocab(spark, path).collect()} == {t: i for i, t in enumerate(lines)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_validate_ids(spark):
     df = spark.createDataFrame([(1, [101, 5, 102]), (2, []), (3, [101, 900, 102]), (4, [1] * 513)],
                                "doc_id long, ids array<int>")
@@ -184,19 +221,54 @@ def test_vocabulary_file_round_trip(spark, scratch):
     assert sorted(map(tuple, back.select("id", "token").collect())) == sorted(map(tuple, vocab.select("id", "token").collect()))
 
 
+def faults(raw: bytes):
+    """(first bad offset, number of bad bytes): a lead byte with its continuation
+    bytes is a character, any other byte above 0x7F is bad and skipped."""
+    at, bad = 0, []
+    while at < len(raw):
+        c = raw[at]
+        more = 0 if c < 0x80 else 1 if c >> 5 == 6 else 2 if c >> 4 == 14 else 3 if c >> 3 == 30 else None
+        if more is None or len(raw[at + 1:at + 1 + more]) < more or any(x >> 6 != 2 for x in raw[at + 1:at + 1 + more]):
+            bad.append(at)
+            at += 1
+        else:
+            at += 1 + more
+    return (bad[0] if bad else None), len(bad)
+
+
 def test_b4_judges_whole_texts(spark, monkeypatch):
     from conftest import SF001
     from wordloom.plans import text_queries as Q
 
     seen, plain = [], Q.tokenize
     monkeypatch.setattr(Q, "tokenize", lambda docs, *a, **kw: seen.append(docs) or plain(docs, *a, **kw))
-    Q.b4_invalid_utf8(spark, SF001)
+    answers = {r["doc_id"]: r for r in Q.b4_invalid_utf8(spark, SF001).collect()}
     got = {r["doc_id"]: r["text"] for r in seen[0].collect()}
     docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
-    assert set(got) == set(docs) and max(map(len, docs.values())) > 1000
+    assert set(got) == set(docs) == set(answers) and max(map(len, docs.values())) > 1000
+    places = []
     for i, raw in docs.items():
-        at = i % 40 + 1
-        assert got[i] is None if i % 9 == 0 else bytes(got[i]) == raw[:at] + b" " + raw[at:]
+        at, more = (i * 7919 + 13) % (len(raw) + 1), Q.DAMAGE[i % 5]
+        if i % 9 == 0:
+            assert got[i] is None and answers[i]["reason"] == "null_text" and answers[i]["n_bad"] is None
+            continue
+        assert bytes(got[i]) == raw[:at] + more + raw[at:]
+        first, n = faults(bytes(got[i]))
+        assert (answers[i]["first_bad"], answers[i]["n_bad"]) == (first, n)
+        assert (answers[i]["reason"] == "invalid_utf8") == (n > 0) and (n > 0) == bool(more)
+        places.append(at)
+    assert max(places) > 1000          # late damage too
+
+
+def test_bad_bytes_are_counted_as_read(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = [b"a", b"\n", "é".encode(), "中".encode(), "😀".encode(), b"\xc3", b"\xe4\xb8", b"\xf0\x9f\x98", b"\x80", b"\xff", b"\xf8", b"\xc0"]
+    texts = [b"".join(rng.choices(pool, k=rng.randrange(12))) for _ in range(400)] + [b"x" * 100_000 + b"\x80"]
+    df = spark.createDataFrame([(bytearray(t),) for t in texts] + [(None,)], "b binary").select(utf8_faults("b").alias("f"))
+    got = [(r["f"]["first_bad"], r["f"]["n_bad"]) for r in df.collect()]
+    assert got == [faults(t) for t in texts] + [(None, None)]
 
 
 def test_invalid_bytes_at_any_place_are_found(spark):

@@ -38,6 +38,25 @@ def utf8_valid(text) -> Column:
     return F.call_function("is_valid_utf8", _col(text))
 
 
+def utf8_faults(text) -> Column:
+    """struct(first_bad, n_bad) of a text's bytes: offset of the first bad byte
+    (null: none) and their number.
+
+    A lead byte with its one, two or three continuation bytes is a character;
+    any other byte from 0x80 on is bad, and reading goes on with the next byte.
+    Characters cannot overlap, so the bytes are read as characters U+0000 to
+    U+00FF and every well-formed one is replaced by as many ASCII letters: what is
+    left above U+007F is bad.
+    """
+    one = F.decode(_col(text).cast("binary"), "ISO-8859-1")
+    for lead, n in (("\\xF0-\\xF7", 3), ("\\xE0-\\xEF", 2), ("\\xC0-\\xDF", 1)):
+        one = F.regexp_replace(one, f"[{lead}][\\x80-\\xBF]{{{n}}}", "a" * (n + 1))
+    bad = "[\\x80-\\xFF]"
+    n_bad = F.length(F.regexp_replace(one, "[\\x00-\\x7F]+", ""))
+    return F.struct(F.when(n_bad > 0, F.regexp_instr(one, F.lit(bad)) - 1).cast("long").alias("first_bad"),
+                    n_bad.cast("long").alias("n_bad"))
+
+
 def count_class(text, pattern: str) -> Column:
     """B5 helper: number of characters of one class in a text."""
     t = _col(text)

@@ -3,16 +3,14 @@
 Plan (all Catalyst, no Python):
   1. one pass over the texts: every row gets a key of its own and explodes into
      (row, pos, word) occurrences, which are written once
-  2. distinct words (map-side partial aggregation collapses hot words) are cut
-     into windows of characters; each window yields the candidates that start in
-     it, bounded by the vocabulary's longest token and ``##``-prefixed past the
-     word's first character
-  3. candidates are probed against the vocabulary and reduced to the longest
-     hit per start
-  4. the greedy walk takes the longest hit at the current position; it runs
-     window by window, so its lists stay short and the work is linear in the
-     length of the word; a position without a hit makes the word ``[UNK]``
-  5. occurrences join the segmentation of their word and regroup by row
+  2. the longest token at the beginning of each distinct word (map-side partial
+     aggregation collapses hot words) and at every later character is searched by
+     halving over token lengths in a table of token prefixes: log2(longest token)
+     joins with a small table instead of one candidate per length
+  3. the greedy walk takes the longest hit at the current position, in runs of
+     ``WINDOW`` hits, so its work is linear in the length of the word; a position
+     without a hit makes the word ``[UNK]``
+  4. occurrences join the segmentation of their word and regroup by row
 
 Joins are left to Spark: it broadcasts a side whose known size (Parquet, vocabulary
 file) is under its threshold and splits skewed keys of shuffle joins, so a word
@@ -23,7 +21,7 @@ Rows are told apart by their own key: equal or null ids never mix.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +33,7 @@ from ..functions.text import basic_tokenize, clip_chars, utf8_valid
 from ..functions.vectors import let
 from ..session import spread, stored
 
-WINDOW = 256          # starts per window of a word
+WINDOW = 256          # characters per window of a word
 
 
 @dataclass(frozen=True)
@@ -49,6 +47,8 @@ class VocabInfo:
     max_id: int = 0
     # longest continuation token ("##..."), counted without the prefix
     max_cont_chars: int = 0
+    # marker table of the vocabulary, if it is kept (``with_index``)
+    index: DataFrame | None = field(default=None, compare=False, repr=False)
 
 
 def vocab_info(vocab: DataFrame) -> VocabInfo:
@@ -72,49 +72,79 @@ def vocab_info(vocab: DataFrame) -> VocabInfo:
         max_cont_chars=int(r["Lc"] or 0))
 
 
-def _word_key(word: Column) -> list[Column]:
-    """Two independent 64-bit hashes stand for a word in the tables below."""
-    return [F.xxhash64(word).alias("_k1"), F.xxhash64(F.lit(CONTINUATION_PREFIX), word).alias("_k2")]
-
-
-KEY = ["_k1", "_k2"]
-
-
-def _candidates(words: DataFrame, info: VocabInfo) -> DataFrame:
-    """(key, w, s, l, _cand): every piece that could start at character ``s``
-    (from 1) of a word; ``w`` numbers the windows of the word."""
-    longest = max(info.max_token_chars, info.max_cont_chars, 1)
-    # the characters are taken apart once; a window holds its starts and the
-    # characters that a piece may reach beyond them
-    windows = let(F.regexp_extract_all(F.col("word"), F.lit(r"(?s)."), F.lit(0)), lambda chars: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / WINDOW).cast("int")),
-        lambda w: F.struct(w.alias("w"), F.slice(chars, w * WINDOW + 1, WINDOW + longest - 1).alias("c"))))
-    cut = words.where(F.length("word") > 0).select(*KEY, F.explode(windows).alias("x")).select(
-        *KEY, F.col("x.w").alias("w"), F.col("x.c").alias("c"))
-
-    def piece(i: Column, n: Column) -> Column:
-        start = F.col("w") * WINDOW + i
-        return F.struct(start.alias("s"), n.alias("l"), F.concat(
-            F.when(start > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
-            F.array_join(F.slice("c", i, n), "")).alias("cand"))
-
-    def pieces_at(i: Column) -> Column:
-        first = (F.col("w") == 0) & (i == 1)
-        most = F.least(F.when(first, F.lit(max(info.max_token_chars, 1))).otherwise(F.lit(info.max_cont_chars)),
-                       F.size("c") - i + 1)
-        return F.when(most >= 1, F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))),
-                                             lambda n: piece(i, n)))
-
-    starts = F.sequence(F.lit(1), F.least(F.size("c"), F.lit(WINDOW)))
-    lists = F.filter(F.transform(starts, pieces_at), lambda x: x.isNotNull())
-    return cut.select(*KEY, "w", F.explode(F.flatten(lists)).alias("x")).select(
-        *KEY, "w", F.col("x.s").alias("s"), F.col("x.l").alias("l"), F.col("x.cand").alias("_cand"))
-
-
-def _walk(windows: Column) -> Column:
-    """Greedy walk over ``windows`` (array of arrays of (s, l, id), in order):
-    struct(nxt, ok, parts array<array<struct<s,l,id>>>)."""
-    hit = "struct<s:int,l:int,id:int>"
+def with_index(vocab: DataFrame, info: VocabInfo | None = None) -> VocabInfo:
+    """``info`` with the stored marker table, for a vocabulary that is used repeatedly."""
+    info = info or vocab_info(vocab)
+    return replace(info, index=stored(prefix_index(vocab, info), "prefix-index"))
+
+
+# ---------------------------------------------------------------- longest prefix search
+
+def _halvings(longest: int) -> list[tuple[int, int]]:
+    """(n, m): on its way to length ``n`` a search by halving over 1..longest looks at ``m <= n``."""
+    out = []
+    for n in range(1, longest + 1):
+        lo, hi = 1, longest
+        while lo <= hi:
+            m = (lo + hi) // 2
+            if m <= n:
+                out.append((n, m))
+                lo = m + 1
+            else:
+                hi = m - 1
+    return out
+
+
+def prefix_index(vocab: DataFrame, info: VocabInfo) -> DataFrame:
+    """Markers for a longest-prefix search by halving over token lengths.
+
+    Rows ``(mark, best)``: ``mark`` is a kind (``a`` the beginning of a word, ``b`` a
+    later place) and a prefix of a token at which the search may look; ``best``
+    (length * 2^32 + id, or null) is the longest token that begins the prefix.  A
+    hit says that longer tokens may fit and which one fits already, a miss that
+    only shorter ones can.  A token has at most log2(longest) markers.
+    """
+    cont = F.col("token").startswith(CONTINUATION_PREFIX) & (F.length("token") > len(CONTINUATION_PREFIX))
+    bare = F.substring(F.col("token"), F.lit(len(CONTINUATION_PREFIX) + 1), F.length("token"))
+    tokens = (vocab.where(F.length("token") > 0).select(F.lit("a").alias("kind"), F.col("token").alias("piece"), "id")
+              .unionByName(vocab.where(cont).select(F.lit("b").alias("kind"), bare.alias("piece"), "id"))
+              .withColumn("n", F.length("piece")))
+    steps = [("a", *x) for x in _halvings(info.max_token_chars)] + [("b", *x) for x in _halvings(info.max_cont_chars)]
+    looks = vocab.sparkSession.createDataFrame(steps, "kind string, n int, m int")
+    marks = (tokens.join(looks, ["kind", "n"])
+             .select("kind", F.substring(F.col("piece"), F.lit(1), F.col("m")).alias("mark")).distinct())
+    begins = F.transform(F.sequence(F.lit(1), F.length("mark")), lambda k: F.substring(F.col("mark"), F.lit(1), k))
+    value = (F.col("n").cast("long") * (1 << 32) + F.col("id")).alias("value")
+    best = (marks.select("kind", "mark", F.explode(begins).alias("piece"))
+            .join(tokens.select("kind", "piece", value), ["kind", "piece"], "left")
+            .groupBy("kind", "mark").agg(F.max("value").alias("best")))
+    return best.select(F.concat("kind", "mark").alias("mark"), "best")
+
+
+def _search(rows: DataFrame, index: DataFrame, kind: str, text: Column, longest: int, out: str) -> DataFrame:
+    """``rows`` with ``out`` = ``best`` of the longest token that begins ``text`` (null:
+    none).  One left join per halving; Spark broadcasts an index of known small
+    size, so the rows keep their place and partitioning."""
+    own = list(rows.columns)
+    rows = rows.select(*own, F.substring(text, F.lit(1), F.lit(longest)).alias("_t"), F.lit(1).alias("_lo"),
+                       F.lit(longest).alias("_hi"), F.lit(None).cast("long").alias(out))
+    for _ in range(longest.bit_length()):
+        m = F.when(F.col("_lo") <= F.col("_hi"), F.shiftright(F.col("_lo") + F.col("_hi"), 1))
+        rows = rows.withColumn("_m", m)
+        look = F.when(F.col("_m") <= F.length("_t"), F.concat(F.lit(kind), F.substring(F.col("_t"), F.lit(1), F.col("_m"))))
+        marks = index.select(F.col("mark").alias("_mark"), F.col("best").alias("_best"))
+        rows = rows.withColumn("_look", look).join(marks, F.col("_look") == F.col("_mark"), "left")
+        hit = F.col("_mark").isNotNull()
+        rows = rows.select(*own, "_t", F.when(hit, F.col("_m") + 1).otherwise(F.col("_lo")).alias("_lo"),
+                           F.when(hit | F.col("_m").isNull(), F.col("_hi")).otherwise(F.col("_m") - 1).alias("_hi"),
+                           F.when(hit, F.col("_best")).otherwise(F.col(out)).alias(out))
+    return rows.select(*own, out)
+
+
+def _walk(hits: Column, start: Column, kind: str) -> Column:
+    """Greedy walk from character ``start`` over ``hits`` (sorted structs with s, l):
+    struct(nxt, ok, parts array of arrays of the hits taken).  Hits are taken in
+    runs of ``WINDOW``, so a list that grows stays short."""
 
     def step(acc: Column, e: Column) -> Column:
         at = acc["ok"] & (e["s"] == acc["nxt"])
@@ -123,51 +153,69 @@ def _walk(windows: Column) -> Column:
             (acc["ok"] & (e["s"] <= acc["nxt"])).alias("ok"),
             F.when(at, F.concat(acc["taken"], F.array(e))).otherwise(acc["taken"]).alias("taken"))
 
-    def window(acc: Column, hits: Column) -> Column:
-        inner = F.aggregate(hits, F.struct(acc["nxt"].alias("nxt"), acc["ok"].alias("ok"),
-                                           F.array().cast(f"array<{hit}>").alias("taken")), step)
+    def run(acc: Column, w: Column) -> Column:
+        inner = F.aggregate(F.slice(hits, w * WINDOW + 1, F.lit(WINDOW)),
+                            F.struct(acc["nxt"].alias("nxt"), acc["ok"].alias("ok"),
+                                     F.array().cast(f"array<{kind}>").alias("taken")), step)
         return let(inner, lambda r: F.struct(r["nxt"].alias("nxt"), r["ok"].alias("ok"),
                                              F.concat(acc["parts"], F.array(r["taken"])).alias("parts")))
 
-    start = F.struct(F.lit(1).alias("nxt"), F.lit(True).alias("ok"),
-                     F.array().cast(f"array<array<{hit}>>").alias("parts"))
-    return F.aggregate(windows, start, window)
+    runs = F.sequence(F.lit(0), F.floor(F.size(hits) / WINDOW).cast("int"))
+    return F.aggregate(runs, F.struct(start.alias("nxt"), F.lit(True).alias("ok"),
+                                      F.array().cast(f"array<array<{kind}>>").alias("parts")), run)
 
 
 def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = None,
-                  word_col: str = "word") -> DataFrame:
-    """Distinct words -> ``(word, pieces array<string>, piece_ids array<int>)``.
+                  word_col: str = "word", with_pieces: bool = True) -> DataFrame:
+    """Distinct words -> ``(word, pieces array<string>, piece_ids array<int>)``
+    (``with_pieces=False``: ids only).
 
     Greedy longest match from the left; non-first pieces carry ``##``; a
     position without any match turns the whole word into one ``[UNK]``.
-    ``words`` must hold each word once.  Words are stored once; hits are
-    grouped by word key, so a word's text is read, not carried along.
+    ``words`` must hold each word once.
+
+    The longest token at a word's beginning is searched once per word; what it
+    leaves is cut into windows and searched at every character.  Each search
+    takes log2 of the longest token many probes of a marker table (``prefix_index``).
+    All of it runs where the word is: words that come partitioned by themselves
+    (out of ``distinct``) are grouped again without another exchange.
     """
     info = info or vocab_info(vocab)
-    own = stored(words.select(F.col(word_col).alias("word"), *_word_key(F.col(word_col))), "words")
-    side = vocab.select(F.col("token").alias("_cand"), F.col("id").alias("_vid"))
-    hits = _candidates(own, info).join(side, "_cand")
-    # one longest hit per start: length above, id below, in one long
-    best = (hits.groupBy(*KEY, "w", "s")
-            .agg(F.max(F.col("l").cast("long") * (1 << 32) + F.col("_vid")).alias("_b")))
-    entry = F.struct(F.col("s").cast("int").alias("s"), F.shiftright("_b", 32).cast("int").alias("l"),
-                     F.col("_b").bitwiseAND((1 << 32) - 1).cast("int").alias("id"))
-    by_window = best.groupBy(*KEY, "w").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
-    by_word = by_window.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("w", "hits"))).alias("ws"))
-    # a window without any hit ends the walk: windows must be numbered without gaps up to it
-    walked = by_word.select(*KEY, _walk(F.transform("ws", lambda x: x["hits"])).alias("_st"))
-    joined = own.join(walked, KEY, "left")
-    ok = F.coalesce(F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1), F.lit(False))
-    taken = F.when(ok, F.flatten("_st.parts"))
-    cut = let(F.regexp_extract_all(F.col("word"), F.lit(r"(?s)."), F.lit(0)), lambda chars: F.transform(
-        F.col("_taken"), lambda e: F.concat(
-            F.when(e["s"] > 1, F.lit(CONTINUATION_PREFIX)).otherwise(F.lit("")),
-            F.array_join(F.slice(chars, e["s"], e["l"]), ""))))
-    return joined.withColumn("_taken", taken).select(
-        F.col("word").alias(word_col),
-        F.when(F.col("_taken").isNotNull(), cut).otherwise(F.array(F.lit(UNK_TOKEN))).alias("pieces"),
-        F.when(F.col("_taken").isNotNull(), F.transform("_taken", lambda e: e["id"]))
-         .otherwise(F.array(F.lit(info.unk_id))).alias("piece_ids"))
+    index = info.index if info.index is not None else stored(prefix_index(vocab, info), "prefix-index")
+    cont = info.max_cont_chars
+    window = max(WINDOW, cont)
+    own = _search(words.select(F.col(word_col).alias("word")), index, "a", F.col("word"), info.max_token_chars, "_first")
+    taken = F.coalesce(F.shiftright("_first", 32), F.lit(0)).cast("int")
+    rest = F.when(F.col("_first").isNotNull() & (F.length("word") > taken),
+                  F.substring(F.col("word"), taken + 1, F.length("word")))
+    # windows of the rest, each with the characters that a token may reach beyond it
+    windows = let(F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{window}}}"), F.lit(0)), lambda parts: F.transform(
+        parts, lambda x, w: F.struct((taken + w * window).alias("before"), F.length(x).alias("n"), F.concat(
+            x, F.substring(F.coalesce(F.get(parts, w + 1), F.lit("")), F.lit(1), F.lit(max(cont - 1, 0)))).alias("c"))))
+    cut = own.select("word", "_first", F.explode_outer(windows).alias("x"))
+    at = cut.select("word", "_first", "x.before", "x.c", F.explode_outer(
+        F.when(F.col("x.n") > 0, F.sequence(F.lit(1), F.col("x.n")))).alias("i"))
+    found = _search(at.select("word", "_first", (F.col("before") + F.col("i")).alias("_s"),
+                              F.substring(F.col("c"), F.col("i"), F.lit(max(cont, 1))).alias("_c")),
+                    index, "b", F.col("_c"), cont, "_b")
+    size = F.shiftright("_b", 32).cast("int")
+    low = F.lit((1 << 32) - 1)
+    fields = [F.col("_s").alias("s"), size.alias("l"), F.col("_b").bitwiseAND(low).cast("int").alias("id")]
+    kind = "struct<s:int,l:int,id:int>"
+    if with_pieces:
+        fields.append(F.concat(F.lit(CONTINUATION_PREFIX), F.substring(F.col("_c"), F.lit(1), size)).alias("piece"))
+        kind = "struct<s:int,l:int,id:int,piece:string>"
+    hits = F.array_sort(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct(*fields))))
+    by_word = found.groupBy("word", "_first").agg(hits.alias("_hits"))
+    walked = by_word.withColumn("_st", _walk(F.col("_hits"), taken + 1, kind))
+    ok = F.col("_first").isNotNull() & F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1)
+    parts = F.flatten("_st.parts")
+    ids = F.concat(F.array(F.col("_first").bitwiseAND(low).cast("int")), F.transform(parts, lambda e: e["id"]))
+    out = [F.col("word").alias(word_col)]
+    if with_pieces:
+        pieces = F.concat(F.array(F.substring(F.col("word"), F.lit(1), taken)), F.transform(parts, lambda e: e["piece"]))
+        out.append(F.when(ok, pieces).otherwise(F.array(F.lit(UNK_TOKEN))).alias("pieces"))
+    return walked.select(*out, F.when(ok, ids).otherwise(F.array(F.lit(info.unk_id))).alias("piece_ids"))
 
 
 def _ids(id_col) -> list[str]:
@@ -223,9 +271,8 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     occ = stored(rows.select("_row", "pos", "word", F.when(first, F.col("_head")).alias("_head")), "occurrences")
     words = occ.where(F.col("word").isNotNull()).select("word").distinct()
-    seg = segment_words(words, vocab, info)
+    seg = segment_words(words, vocab, info, with_pieces=with_tokens)
     part_fields = ["pos", "piece_ids"] + (["pieces"] if with_tokens else [])
-    seg = seg.select("word", "piece_ids", *(["pieces"] if with_tokens else []))
     joined = occ.join(seg, "word", "left")
     grouped = joined.groupBy("_row").agg(
         F.first("_head", ignorenulls=True).alias("_head"),

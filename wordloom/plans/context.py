@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.wordpiece import VocabInfo, vocab_info
+from ..operators.wordpiece import VocabInfo, with_index
 from ..session import read_table, scratch_path, stored
 from ..sources.vocab import fixture_vocab, read_vocab, write_vocab
 
@@ -23,5 +23,5 @@ def vocab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, VocabInfo]:
         path = scratch_path(spark, "vocab-file")
         write_vocab(fixture_vocab(table(spark, sf_dir, "documents")), path)
         v = stored(read_vocab(spark, path), "vocab")
-        _VOCABS[key] = (v, vocab_info(v))
+        _VOCABS[key] = (v, with_index(v))
     return _VOCABS[key]

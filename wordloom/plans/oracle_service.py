@@ -6,12 +6,16 @@ DOC_SEG = seg_cte()
 CONV_SEG = seg_cte("SELECT conv_id * 100000 + turn AS tid, role AS lang, left(text, 2048) AS text FROM conversations")
 EVENT_SEG = seg_cte("SELECT event_id AS tid, user_id % 4 AS lang, props AS text FROM events")
 
+ROWS = "SELECT row_number() OVER () AS tid, doc_id, source, lang, text FROM documents"
+
 BATCHED = f"""
-WITH RECURSIVE {DOC_SEG},
+WITH RECURSIVE rws AS MATERIALIZED ({ROWS}),
+{seg_cte("SELECT tid, lang, text FROM rws").lstrip()},
 b AS (
-  SELECT e.doc_id, d.source, CAST(len(e.ids) AS BIGINT) AS n_tokens, e.n_body,
-         row_number() OVER (PARTITION BY d.source ORDER BY e.doc_id) - 1 AS idx
-  FROM enc e JOIN documents d ON d.doc_id = e.doc_id
+  SELECT r.doc_id, r.source, CAST(CASE WHEN r.text IS NULL THEN 0 ELSE coalesce(len(e.ids), 2) END AS BIGINT) AS n_tokens,
+         coalesce(e.n_body, 0) AS n_body,
+         row_number() OVER (PARTITION BY r.source ORDER BY r.doc_id NULLS FIRST, coalesce(e.n_body, 0)) - 1 AS idx
+  FROM rws r LEFT JOIN enc e ON e.tid = r.tid
 ), bb AS (
   SELECT *, idx // 8 AS batch_no, idx % 8 AS idx_in_batch FROM b
 )"""

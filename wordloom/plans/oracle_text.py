@@ -12,7 +12,7 @@ VOCAB_CTE = f"""
 words0 AS (
   SELECT unnest({CHUNKS_ALL}) AS w FROM documents
 ), fw AS (
-  SELECT w AS token FROM words0 GROUP BY w HAVING count(*) >= 30
+  SELECT w AS token FROM words0 GROUP BY w ORDER BY count(*) DESC, w LIMIT 8192
 ), ch AS (
   SELECT c FROM (SELECT unnest(list_transform(range(1, length(w) + 1), lambda i: substring(w, i, 1))) AS c
                  FROM words0)
@@ -171,21 +171,37 @@ SQL["h1_stream_tokenize"] = f"""
 WITH RECURSIVE {CLIPPED}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens FROM enc"""
 
-# a cut is inside a character when the next byte continues one (10xxxxxx)
-CUT_INSIDE = ("(octet_length(encode(text)) > doc_id % 40 + 1 AND "
-              "substr(hex(encode(text)), CAST(2 * (doc_id % 40 + 1) + 1 AS BIGINT), 1) IN ('8', '9', 'A', 'B'))")
-
-SQL["b4_invalid_utf8"] = f"""
-SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR {CUT_INSIDE} THEN 'rejected' ELSE 'ok' END AS status,
-       CASE WHEN doc_id % 9 = 0 THEN 'null_text' WHEN {CUT_INSIDE} THEN 'invalid_utf8' END AS reason
-FROM documents"""
+# the bytes of a text with others put in after (doc_id * 7919 + 13) mod (bytes + 1) of them, as
+# characters U+0000..U+00FF; bytes that belong to a character become 'a'
+SQL["b4_invalid_utf8"] = r"""
+WITH cut AS (
+  SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN hex(encode(text)) END AS h,
+         CAST((doc_id * 7919 + 13) % (octet_length(encode(text)) + 1) AS BIGINT) AS spot,
+         list_extract(['', 'C3', 'FF', 'E4B8', '8080'], CAST(doc_id % 5 + 1 AS BIGINT)) AS more
+  FROM documents
+), bytes AS (
+  SELECT doc_id, array_to_string(list_transform(regexp_extract_all(
+           substr(h, 1, 2 * spot) || more || substr(h, 2 * spot + 1), '..'), lambda x: chr(CAST('0x' || x AS INTEGER))), '') AS b
+  FROM cut
+), judged AS (
+  SELECT doc_id, b, regexp_replace(regexp_replace(regexp_replace(b, '[\x{F0}-\x{F7}][\x{80}-\x{BF}]{3}', 'aaaa', 'g'),
+    '[\x{E0}-\x{EF}][\x{80}-\x{BF}]{2}', 'aaa', 'g'), '[\x{C0}-\x{DF}][\x{80}-\x{BF}]', 'aa', 'g') AS m
+  FROM bytes
+), counted AS (
+  SELECT doc_id, b, CAST(length(regexp_replace(m, '[^\x{80}-\x{FF}]', '', 'g')) AS BIGINT) AS n_bad,
+         CAST(length(regexp_extract(m, '^[^\x{80}-\x{FF}]*')) AS BIGINT) AS clean
+  FROM judged
+)
+SELECT doc_id, CASE WHEN b IS NULL OR n_bad > 0 THEN 'rejected' ELSE 'ok' END AS status,
+       CASE WHEN b IS NULL THEN 'null_text' WHEN n_bad > 0 THEN 'invalid_utf8' END AS reason,
+       CASE WHEN n_bad > 0 THEN clean END AS first_bad, n_bad
+FROM counted"""
 
 SQL["h4_dead_letters"] = f"""
 WITH RECURSIVE {CLIPPED}
 SELECT doc_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason
 FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN 'null_text'
-                            WHEN d.doc_id % 9 = 1 AND {CUT_INSIDE.replace("doc_id", "d.doc_id").replace("text", "d.text")}
-                              THEN 'invalid_utf8'
+                            WHEN d.doc_id % 9 = 1 THEN 'invalid_utf8'
                             WHEN d.doc_id % 9 > 1 AND e.n_body > 510 THEN 'over_length' END AS reason
       FROM documents d LEFT JOIN enc e ON e.doc_id = d.doc_id)"""
 

@@ -22,12 +22,18 @@ from .text_queries import encoded_docs
 # ---------------------------------------------------------------- batching
 
 
+def batched_tokens(docs: DataFrame, v: DataFrame, info, policy: str = "truncate") -> DataFrame:
+    """Every row of ``docs`` with its token counts, put into batches by source: a
+    member is its place in the batch, so null and repeated ids are rows like
+    others.  Tokenising gives one row per row, and the places are numbered after
+    it: no join, and texts are not sorted."""
+    tok = tokenize(docs, v, carry=["source"], info=info, with_tokens=False)
+    enc = encode(tok, info, MAX_SEQ, policy).select("doc_id", "source", "n_tokens", "over_length", "n_body")
+    return assign_fixed_batches(enc, ["source"], ["doc_id", "n_body"])
+
+
 def _batched_docs(spark, sf, policy="truncate") -> DataFrame:
-    """Positions come from the raw table; token counts join them by document."""
-    narrow = table(spark, sf, "documents").select("doc_id", "source")
-    batched = assign_fixed_batches(narrow, ["source"], ["doc_id"])
-    enc = encoded_docs(spark, sf, policy=policy, carry=())
-    return batched.join(enc.select("doc_id", "n_tokens", "over_length", "n_body"), "doc_id")
+    return batched_tokens(table(spark, sf, "documents"), *vocab(spark, sf), policy)
 
 
 def f2_fixed_batches(spark, sf):

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_CHUNKS, MAX_SEQ, MAX_TEXT_CHARS
 from ..functions.text import (CJK_RE, PUNCT_RE, SPACE_RE, basic_tokenize,
-                              clip_chars, count_class, cut_at_nul)
+                              clip_chars, count_class, cut_at_nul, utf8_faults)
 from ..operators.wordpiece import (chunk_table, encode, segment_words,
                                    token_table, tokenize, validate_ids)
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources.corpus import read_corpus
 from ..streaming.pipeline import read_document_stream
 from .context import table, vocab
@@ -65,24 +65,28 @@ def b3_nul_cut(spark, sf):
     return d.select("doc_id", F.length(cut_at_nul("text")).cast("long").alias("chars_before_nul"))
 
 
-def cut_bytes():
-    """Bytes of a text cut after doc_id mod 40 + 1 of them, often inside a character."""
-    return F.substring(F.col("text").cast("binary"), F.lit(1), (F.col("doc_id") % 40 + 1).cast("int"))
+def with_bytes_put_in(more):
+    """All bytes of a text with those of ``more`` put in after (doc_id * 7919 + 13)
+    mod (bytes + 1) of them: anywhere in the text, also inside a character."""
+    raw = F.col("text").cast("binary")
+    at = ((F.col("doc_id") * 7919 + 13) % (F.octet_length(raw) + 1)).cast("int")
+    return F.concat(F.substring(raw, F.lit(1), at), more, F.substring(raw, at + 1, F.octet_length(raw)))
 
 
-def split_bytes():
-    """All bytes of a text with a blank put in after doc_id mod 40 + 1 of them,
-    often inside a character."""
-    raw, at = F.col("text").cast("binary"), (F.col("doc_id") % 40 + 1).cast("int")
-    return F.concat(F.substring(raw, F.lit(1), at), F.lit(b" "), F.substring(raw, at + 1, F.octet_length("text")))
+# fixed test bytes: nothing, a lone lead byte, no lead byte at all, a lead byte that lacks one byte, two stray ones
+DAMAGE = (b"", b"\xc3", b"\xff", b"\xe4\xb8", b"\x80\x80")
 
 
 def b4_invalid_utf8(spark, sf):
-    """Whole texts with a blank put in at fixed places; the bad ones are refused, with a reason."""
+    """Whole texts with bytes put in; the bad ones are refused, with a reason,
+    the place of the first bad byte and their number."""
     v, info = vocab(spark, sf)
-    docs = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 9 != 0, split_bytes()).alias("text"))
-    enc = encode(tokenize(docs, v, info=info, with_tokens=False), info)
-    return enc.select("doc_id", "status", "reason")
+    kinds = F.array(*[F.lit(bytearray(x)) for x in DAMAGE])
+    more = F.element_at(kinds, (F.col("doc_id") % len(DAMAGE) + 1).cast("int"))
+    docs = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 9 != 0, with_bytes_put_in(more)).alias("text"))
+    docs = spread(docs).withColumn("faults", utf8_faults("text"))
+    enc = encode(tokenize(docs, v, carry=["faults"], info=info, with_tokens=False), info)
+    return enc.select("doc_id", "status", "reason", "faults.first_bad", "faults.n_bad")
 
 
 def h4_dead_letters(spark, sf):
@@ -92,7 +96,7 @@ def h4_dead_letters(spark, sf):
     stream = (spark.readStream.schema(table(spark, sf, "documents").schema)
               .option("pathGlobFilter", "documents.parquet*").parquet(sf))
     stream = stream.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.lit(None))
-                               .when(F.col("doc_id") % 9 == 1, cut_bytes())
+                               .when(F.col("doc_id") % 9 == 1, with_bytes_put_in(F.lit(bytearray(DAMAGE[1]))))
                                .otherwise(F.col("text").cast("binary")))
     out, dead, ck = (scratch_path(spark, n) for n in ("h4-out", "h4-dead", "h4-ckpt"))
     run_to_end(start_tokenize_stream(stream, v, info, out, dead, ck, policy="reject"))
@@ -145,7 +149,7 @@ def c1_basic_tokenize(spark, sf):
 
 def c2_wordpiece(spark, sf):
     v, info = vocab(spark, sf)
-    words = (chunk_table(_docs(spark, sf))
+    words = (chunk_table(spread(_docs(spark, sf).select("doc_id", "text")))
              .where(F.col("word").isNotNull()).select("word").distinct())
     seg = segment_words(words, v, info)
     return seg.select("word", F.array_join("pieces", " ").alias("pieces"),
@@ -195,7 +199,7 @@ def b8_validate_ids(spark, sf):
 def j1_vocab_lookup(spark, sf):
     """Whole-chunk lookup with the UNK fallback (left join, broadcast by size)."""
     v, info = vocab(spark, sf)
-    words = (chunk_table(_docs(spark, sf))
+    words = (chunk_table(spread(_docs(spark, sf).select("doc_id", "text")))
              .where(F.col("word").isNotNull()).select("word").distinct())
     side = v.select(F.col("token").alias("word"), F.col("id"))
     return words.join(side, "word", "left").select(

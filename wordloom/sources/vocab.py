@@ -4,6 +4,8 @@ available offline)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +13,16 @@ from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
                          SEP_FALLBACK_ID, SEP_TOKEN, UNK_FALLBACK_ID, UNK_TOKEN)
 from ..functions.text import basic_tokenize, characters
 from ..operators.ordering import ordered_index
-from ..session import stored
+from ..session import spread, stored
 
 
-def vocab_from_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """Turn whole-file rows into ``(id, token)``: line number from 0 is the id,
-    trailing CR/LF stripped, blank lines still consume an id, a final newline
-    creates no row, and a duplicated token keeps its lowest id."""
-    body = F.col(text_col)
-    no_final_nl = F.regexp_replace(body, r"\n\z", "")
-    parts = F.split(no_final_nl, "\n")
-    rows = (lines.where(F.length(body) > 0)
-            .select(F.posexplode(parts).alias("id", "token"))
-            .select(F.col("id").cast("int").alias("id"),
-                    F.regexp_replace("token", r"[\r\n]+$", "").alias("token")))
-    return dedup_vocab(rows)
+def vocab_from_lines(lines: DataFrame, order: Sequence[str], text_col: str = "value") -> DataFrame:
+    """Turn the lines of a vocabulary file into ``(id, token)``: line number from 0
+    in ``order`` is the id, trailing CR/LF stripped, blank lines still consume
+    an id, and a duplicated token keeps its lowest id."""
+    numbered = ordered_index(lines, [], order, name="id")
+    return dedup_vocab(numbered.select(F.col("id").cast("int").alias("id"),
+                                       F.regexp_replace(text_col, r"[\r\n]+$", "").alias("token")))
 
 
 def dedup_vocab(vocab: DataFrame) -> DataFrame:
@@ -34,28 +31,30 @@ def dedup_vocab(vocab: DataFrame) -> DataFrame:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """A3: read a ``vocab.txt`` (one token per line).  The file is read whole
-    (a vocabulary is a bounded, small file) so that line numbers never depend
-    on split boundaries or row order."""
-    return vocab_from_lines(spark.read.text(path, wholetext=True))
+    """A3: read a ``vocab.txt`` (one token per line), split by split: a line's place
+    is its split's first byte and its place in the split, so line numbers depend
+    neither on split boundaries nor on row order, and no task holds the file.  A
+    final newline creates no row."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    return vocab_from_lines(lines, ["split", "place"])
 
 
-def fixture_vocab(documents: DataFrame, char_min: int = 1, word_min: int = 30) -> DataFrame:
+def fixture_vocab(documents: DataFrame, char_min: int = 1, max_words: int = 8192) -> DataFrame:
     """Fixture vocabulary from the whole texts of ``documents`` (same rule as
     the DuckDB oracle): ``[PAD]`` 0, ``[unused1]`` to ``[unused99]``, ``[UNK]``
     100, ``[CLS]`` 101, ``[SEP]`` 102; then ``c`` and ``##c`` for every character
-    seen at least ``char_min`` times and every chunk seen at least ``word_min``
-    times, distinct, id = 102 + rank by token in binary order.
+    seen at least ``char_min`` times and the ``max_words`` most frequent chunks
+    (equal counts in binary order), distinct, id = 102 + rank by token in binary order.
 
-    ``word_min`` is what makes it a vocabulary: rarer words are what WordPiece
-    cuts into pieces.
+    A vocabulary has a size: rarer words are what WordPiece cuts into pieces.
     """
-    words = documents.select(F.explode(basic_tokenize("text")).alias("w"))
+    words = spread(documents.select("text")).select(F.explode(basic_tokenize("text")).alias("w"))
     # occurrences per distinct word (map-side partial counts); characters are
     # counted from the distinct words weighted by their counts -- the same
     # totals as exploding every occurrence, with a far smaller explode
     word_counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    frequent_words = word_counts.where(F.col("n") >= word_min).select(F.col("w").alias("token"))
+    frequent_words = word_counts.orderBy(F.desc("n"), "w").limit(max_words).select(F.col("w").alias("token"))
     chars = (word_counts.select(F.explode(characters("w")).alias("c"), "n")
              .groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= char_min).select("c"))
     char_tokens = chars.select(F.explode(F.array(
