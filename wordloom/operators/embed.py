@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, stored
 from .batching import balance_by_length
 from .encoder_math import (ModelConfig, check_weights, encode_batch,
                            limit_blas_threads, seeded_weights)
+from .heavy import heavy_join
 
 # Weights above this size are refused for broadcast (the model is a bounded
 # parameter, not data; 2 GB is also the binaryFile per-file limit).
@@ -149,14 +150,15 @@ def token_embeddings(tokens: DataFrame, word_emb: DataFrame, pos_emb: DataFrame,
                      type_vec: list[float], id_col="doc_id") -> DataFrame:
     """``x[t] = word[id[t]] + pos[t] + type[0]`` in relational form.
 
-    ``tokens``: (*ids, pos, token_id); ``word_emb``: (token_id, w array<double>),
-    joined by size; ``pos_emb``: (pos, p array<double>) -- bounded by max_seq,
+    ``tokens``: (*ids, pos, token_id), written once; ``word_emb``: (token_id, w
+    array<double>), one row per id, joined by broadcast for ids that hold more than
+    1e-4 of all tokens and by size for the rest (``heavy_join``); ``pos_emb``: (pos, p array<double>) -- bounded by max_seq,
     always broadcast.  A token id or position without a row fails the job, as
     a token would otherwise be lost.
     """
     id_cols = [id_col] if isinstance(id_col, str) else list(id_col)
     tv = F.array(*[F.lit(float(x)) for x in type_vec])
-    j = tokens.join(word_emb, "token_id", "left").join(F.broadcast(pos_emb), "pos", "left")
+    j = heavy_join(stored(tokens, "tokens"), word_emb, "token_id").join(F.broadcast(pos_emb), "pos", "left")
     x = F.zip_with(F.zip_with("w", "p", lambda a, b: a + b), tv, lambda a, b: a + b)
     lost = F.raise_error(F.format_string("no embedding for token %s at position %s", "token_id", "pos"))
     known = F.col("w").isNotNull() & F.col("p").isNotNull()

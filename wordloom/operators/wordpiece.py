@@ -10,11 +10,11 @@ Plan (all Catalyst, no Python):
   3. the greedy walk takes the longest hit at the current position, in runs of
      ``WINDOW`` hits, so its work is linear in the length of the word; a position
      without a hit makes the word ``[UNK]``
-  4. occurrences join the segmentation of their word and regroup by row
-
-Joins are left to Spark: it broadcasts a side whose known size (Parquet, vocabulary
-file) is under its threshold and splits skewed keys of shuffle joins, so a word
-that makes up a third of all occurrences is neither one task nor a special case.
+  4. occurrences join the segmentation of their word and regroup by row.  Of many
+     occurrences (counted), words that hold more than 1e-4 of all (at most 10,000
+     words) are joined by broadcast and the rest by a join that Spark chooses, so a
+     word that makes up a third of all occurrences is not shuffled; of few, all by
+     the latter
 Rows are told apart by their own key: equal or null ids never mix.
 """
 
@@ -32,8 +32,12 @@ from ..constants import (CLS_FALLBACK_ID, CLS_TOKEN, CONTINUATION_PREFIX,
 from ..functions.text import basic_tokenize, clip_chars, utf8_valid
 from ..functions.vectors import let
 from ..session import spread, stored
+from .heavy import SUPPORT, split_join
 
 WINDOW = 256          # characters per window of a word
+# up to so many occurrences one plain join costs less than the preparation of a split one
+PLAIN_JOIN_ROWS = 20_000_000
+HEAVY_PIECES = 64     # a word of more pieces is never broadcast: bounds the rows that are
 
 
 @dataclass(frozen=True)
@@ -130,10 +134,9 @@ def _search(rows: DataFrame, index: DataFrame, kind: str, text: Column, longest:
                        F.lit(longest).alias("_hi"), F.lit(None).cast("long").alias(out))
     for _ in range(longest.bit_length()):
         m = F.when(F.col("_lo") <= F.col("_hi"), F.shiftright(F.col("_lo") + F.col("_hi"), 1))
-        rows = rows.withColumn("_m", m)
-        look = F.when(F.col("_m") <= F.length("_t"), F.concat(F.lit(kind), F.substring(F.col("_t"), F.lit(1), F.col("_m"))))
+        look = F.when(m <= F.length("_t"), F.concat(F.lit(kind), F.substring(F.col("_t"), F.lit(1), m)))
         marks = index.select(F.col("mark").alias("_mark"), F.col("best").alias("_best"))
-        rows = rows.withColumn("_look", look).join(marks, F.col("_look") == F.col("_mark"), "left")
+        rows = rows.select("*", m.alias("_m"), look.alias("_look")).join(marks, F.col("_look") == F.col("_mark"), "left")
         hit = F.col("_mark").isNotNull()
         rows = rows.select(*own, "_t", F.when(hit, F.col("_m") + 1).otherwise(F.col("_lo")).alias("_lo"),
                            F.when(hit | F.col("_m").isNull(), F.col("_hi")).otherwise(F.col("_m") - 1).alias("_hi"),
@@ -166,8 +169,8 @@ def _walk(hits: Column, start: Column, kind: str) -> Column:
 
 
 def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = None,
-                  word_col: str = "word", with_pieces: bool = True) -> DataFrame:
-    """Distinct words -> ``(word, pieces array<string>, piece_ids array<int>)``
+                  word_col: str = "word", with_pieces: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Distinct words -> ``(word, *carry, pieces array<string>, piece_ids array<int>)``
     (``with_pieces=False``: ids only).
 
     Greedy longest match from the left; non-first pieces carry ``##``; a
@@ -184,7 +187,8 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     index = info.index if info.index is not None else stored(prefix_index(vocab, info), "prefix-index")
     cont = info.max_cont_chars
     window = max(WINDOW, cont)
-    own = _search(words.select(F.col(word_col).alias("word")), index, "a", F.col("word"), info.max_token_chars, "_first")
+    keys = ["word", *carry, "_first"]
+    own = _search(words.select(F.col(word_col).alias("word"), *carry), index, "a", F.col("word"), info.max_token_chars, "_first")
     taken = F.coalesce(F.shiftright("_first", 32), F.lit(0)).cast("int")
     rest = F.when(F.col("_first").isNotNull() & (F.length("word") > taken),
                   F.substring(F.col("word"), taken + 1, F.length("word")))
@@ -192,10 +196,10 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
     windows = let(F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{window}}}"), F.lit(0)), lambda parts: F.transform(
         parts, lambda x, w: F.struct((taken + w * window).alias("before"), F.length(x).alias("n"), F.concat(
             x, F.substring(F.coalesce(F.get(parts, w + 1), F.lit("")), F.lit(1), F.lit(max(cont - 1, 0)))).alias("c"))))
-    cut = own.select("word", "_first", F.explode_outer(windows).alias("x"))
-    at = cut.select("word", "_first", "x.before", "x.c", F.explode_outer(
+    cut = own.select(*keys, F.explode_outer(windows).alias("x"))
+    at = cut.select(*keys, "x.before", "x.c", F.explode_outer(
         F.when(F.col("x.n") > 0, F.sequence(F.lit(1), F.col("x.n")))).alias("i"))
-    found = _search(at.select("word", "_first", (F.col("before") + F.col("i")).alias("_s"),
+    found = _search(at.select(*keys, (F.col("before") + F.col("i")).alias("_s"),
                               F.substring(F.col("c"), F.col("i"), F.lit(max(cont, 1))).alias("_c")),
                     index, "b", F.col("_c"), cont, "_b")
     size = F.shiftright("_b", 32).cast("int")
@@ -206,12 +210,12 @@ def segment_words(words: DataFrame, vocab: DataFrame, info: VocabInfo | None = N
         fields.append(F.concat(F.lit(CONTINUATION_PREFIX), F.substring(F.col("_c"), F.lit(1), size)).alias("piece"))
         kind = "struct<s:int,l:int,id:int,piece:string>"
     hits = F.array_sort(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct(*fields))))
-    by_word = found.groupBy("word", "_first").agg(hits.alias("_hits"))
+    by_word = found.groupBy(*keys).agg(hits.alias("_hits"))
     walked = by_word.withColumn("_st", _walk(F.col("_hits"), taken + 1, kind))
     ok = F.col("_first").isNotNull() & F.col("_st.ok") & (F.col("_st.nxt") == F.length("word") + 1)
     parts = F.flatten("_st.parts")
     ids = F.concat(F.array(F.col("_first").bitwiseAND(low).cast("int")), F.transform(parts, lambda e: e["id"]))
-    out = [F.col("word").alias(word_col)]
+    out = [F.col("word").alias(word_col), *carry]
     if with_pieces:
         pieces = F.concat(F.array(F.substring(F.col("word"), F.lit(1), taken)), F.transform(parts, lambda e: e["piece"]))
         out.append(F.when(ok, pieces).otherwise(F.array(F.lit(UNK_TOKEN))).alias("pieces"))
@@ -270,10 +274,16 @@ def tokenize(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
             .select("_row", head.alias("_head"), F.posexplode_outer(chunks).alias("pos", "word")))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     occ = stored(rows.select("_row", "pos", "word", F.when(first, F.col("_head")).alias("_head")), "occurrences")
-    words = occ.where(F.col("word").isNotNull()).select("word").distinct()
-    seg = segment_words(words, vocab, info, with_pieces=with_tokens)
+    known = occ.where(F.col("word").isNotNull())
     part_fields = ["pos", "piece_ids"] + (["pieces"] if with_tokens else [])
-    joined = occ.join(seg, "word", "left")
+    if occ.count() <= PLAIN_JOIN_ROWS:
+        joined = occ.join(segment_words(known.select("word").distinct(), vocab, info, with_pieces=with_tokens), "word", "left")
+    else:
+        words = known.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+        seg = stored(segment_words(words, vocab, info, with_pieces=with_tokens, carry=["_n"]), "segments")
+        total = seg.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        heavy = (F.col("_n") > SUPPORT * total) & (F.size("piece_ids") <= HEAVY_PIECES)
+        joined = split_join(occ, seg, "word", heavy)
     grouped = joined.groupBy("_row").agg(
         F.first("_head", ignorenulls=True).alias("_head"),
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(*part_fields)))).alias("_parts"))
