@@ -67,7 +67,7 @@ def test_baseline_vector_read(spark, scratch):
 def test_rank_rule(spark):
     df = spark.createDataFrame([("a", float(v), i) for i, v in enumerate([4, 1, 3, 2])],
                                "g string, ms double, id long")
-    r = rank_summary(df, ["g"], "ms", ["id"]).first()
+    r = rank_summary(df, ["g"], "ms").first()
     assert (r["n"], r["p50"], r["p99"], r["mean"]) == (4, 3.0, 4.0, 2.5)
 
 
@@ -122,7 +122,7 @@ def test_ordered_index_keeps_large_integers_hot_keys_and_gaps(spark):
 
 def test_rank_summary_keeps_the_null_group(spark):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 2.0, 3)], "g string, v double, id long")
-    got = {r["g"]: (r["n"], r["mean"], r["p50"], r["p99"]) for r in rank_summary(df, ["g"], "v", ["id"]).collect()}
+    got = {r["g"]: (r["n"], r["mean"], r["p50"], r["p99"]) for r in rank_summary(df, ["g"], "v").collect()}
     assert got == {None: (2, 2.0, 3.0, 3.0), "a": (1, 2.0, 2.0, 2.0)}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BATCH_MAX_ITEMS
-from .ordering import ordered_index
+from .ordering import ordered_index, running_total
 
 
 def assign_fixed_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -55,6 +55,27 @@ def length_bucket(len_col: str = "n_tokens", width: int = 64):
     return F.floor(F.col(len_col) / width).cast("int")
 
 
+def cost_groups(df: DataFrame, len_col: str, key_cols: Sequence[str], groups: int) -> DataFrame:
+    """``cost_group`` 0..groups-1 of each row so that groups cost about the same.
+
+    A batch costs the square of its lengths.  Rows sorted by (length, keys) have a
+    running total of squared lengths; the group is the one of ``groups`` equal
+    shares of the total in which the middle of a row's own share lies.  So rows of
+    a group are of like length, and a group is off by one row's cost at most.
+    Null lengths cost nothing.
+    """
+    n = F.coalesce(F.col(len_col).cast("long"), F.lit(0).cast("long"))
+    rows, total = running_total(df, [len_col, *key_cols], n * n, "_before")
+    middle = (2 * F.col("_before") + n * n) * groups
+    share = F.floor(middle / F.lit(2 * max(total, 1)))
+    return (rows.withColumn("cost_group", F.least(F.lit(groups - 1), share).cast("int")).drop("_before"))
+
+
+def place_by_cost(df: DataFrame, groups: int, group_col: str = "cost_group", len_col: str = "n_tokens") -> DataFrame:
+    """One partition per cost group, sorted by length."""
+    return df.repartitionById(groups, F.col(group_col)).sortWithinPartitions(len_col)
+
+
 def balance_by_length(df: DataFrame, len_col: str = "n_tokens", key_cols: Sequence[str] = (),
                       num_partitions: int | None = None) -> DataFrame:
     """cost-balanced placement for the encoder.

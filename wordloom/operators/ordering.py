@@ -68,3 +68,19 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     joined = rows.alias("l").join(runs.alias("r"), _same_keys(keys, "l", "r"))
     return joined.select(*[F.col(f"l.{c}") for c in df.columns],
                          (F.col("l._wl_place") + F.col("r._wl_shift")).alias(name), *extra)
+
+
+def running_total(df: DataFrame, order: Sequence[str], weight: Column, name: str = "before",
+                  num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """(``df`` with ``name`` = sum of ``weight`` over the rows before each row in
+    ``order``, total of all weights).  Rows are sorted in range partitions; each is
+    summed by itself, and the partitions' totals are few."""
+    parts = _sorted_parts(df.withColumn("_wl_w", weight.cast("long")), list(order), num_partitions)
+    parts = parts.withColumn(_PID, F.shiftright(F.col(_AT), _PLACE_BITS))
+    sums = parts.groupBy(_PID).agg(F.sum("_wl_w").alias("_wl_sum"))
+    upto = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
+    starts = sums.select(_PID, F.coalesce(F.sum("_wl_sum").over(upto), F.lit(0)).alias("_wl_start"))
+    inside = Window.partitionBy(_PID).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumn("_wl_inside", F.coalesce(F.sum("_wl_w").over(inside), F.lit(0)))
+    total = sums.agg(F.coalesce(F.sum("_wl_sum"), F.lit(0))).first()[0]
+    return rows.join(starts, _PID).select(*df.columns, (F.col("_wl_start") + F.col("_wl_inside")).alias(name)), int(total)

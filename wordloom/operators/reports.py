@@ -2,8 +2,9 @@
 
 Percentiles follow the reference's rank rule, not SQL's percentile functions:
 on the ascending list of n samples, p50 is element ``n div 2`` and p99 is
-element ``min(int(n * 0.99), n - 1)`` (0-based).  Ranks come from
-``ordered_index`` so a large group is never gathered into one task.
+element ``min(int(n * 0.99), n - 1)`` (0-based).  They come from counting passes over
+the digits of the values (``selection``): no sort, and a large group is never
+gathered into one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import ordered_index
+from .selection import select_ranks
 
 
 def micros_since_epoch(ts_col: str) -> Column:
@@ -21,20 +22,13 @@ def micros_since_epoch(ts_col: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts_col})")
 
 
-def rank_summary(samples: DataFrame, keys: Sequence[str], value_col: str, tiebreak: Sequence[str],
-                 also: Sequence[Column] = ()) -> DataFrame:
+def rank_summary(samples: DataFrame, keys: Sequence[str], value_col: str, also: Sequence[Column] = ()) -> DataFrame:
     """Per group n, mean, p50, p99 (rank rule above) and the ``also``
-    aggregates (over columns of ``samples``).  Null keys are a group.  The
-    samples are sorted once; everything else is one grouping of that table."""
-    keys = list(keys)
-    ranked = ordered_index(samples, keys, [value_col, *tiebreak], name="_rank", count="_n")
-    n = F.col("_n")
-    p50_at = F.floor(n / 2)
-    p99_at = F.least(F.floor(n.cast("double") * F.lit(0.99)), n - 1)
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean"),
-        F.max(F.when(F.col("_rank") == p50_at, F.col(value_col))).alias("p50"),
-        F.max(F.when(F.col("_rank") == p99_at, F.col(value_col))).alias("p99"), *also)
+    aggregates (over columns of ``samples``).  Null keys are a group."""
+    n = F.col("n")
+    return select_ranks(samples, keys, value_col, {
+        "p50": F.floor(n / 2), "p99": F.least(F.floor(n.cast("double") * F.lit(0.99)), n - 1)},
+        also=[F.avg(value_col).alias("mean"), *also])
 
 
 def usage_totals(per_text: DataFrame, request_key: Sequence[str], tokens_col: str = "n_tokens") -> DataFrame:
@@ -45,11 +39,11 @@ def usage_totals(per_text: DataFrame, request_key: Sequence[str], tokens_col: st
 
 
 def throughput_by_level(samples: DataFrame, level_col: str, start_col: str, end_col: str,
-                        value_col: str, tiebreak: Sequence[str]) -> DataFrame:
+                        value_col: str) -> DataFrame:
     """E5: n / wall seconds (max end - min start) per concurrency level, with
     p50/p99 of the latency samples."""
     wall = ((F.max(end_col) - F.min(start_col)) / F.lit(1e6)).alias("wall_s")
-    return (rank_summary(samples, [level_col], value_col, tiebreak, also=[wall])
+    return (rank_summary(samples, [level_col], value_col, also=[wall])
             .withColumn("throughput", F.col("n") / F.col("wall_s")))
 
 

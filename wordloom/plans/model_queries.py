@@ -1,5 +1,5 @@
 """Registered queries that run the encoder or the token-embedding lookup:
-D1, D2, D3, J2, E2, A7, A6.  The encoder uses seeded weights (the published
+D1, D2, D3, J2, E2, A7.  The encoder uses seeded weights (the published
 weights are not available offline) sized to the fixture vocabulary."""
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from ..operators.encoder_math import ModelConfig
 from ..operators.requests import assemble_responses, explode_requests, response_json
 from ..operators.vectors import first_token_pool
 from ..operators.wordpiece import encode, token_table, tokenize, validate_ids
-from ..session import scratch_path
 from .context import table, vocab
 from .service_queries import _requests
 from .text_queries import encoded_docs
@@ -63,12 +62,6 @@ def d2_embed_ids(spark, sf):
     return embed(checked.where(F.col("status") == "ok"), tiny_model(spark, sf))
 
 
-def a6_embedding_sink(spark, sf):
-    out = scratch_path(spark, "embeddings")
-    d1_embed_documents(spark, sf).write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
-
-
 def _weights_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[float]]:
     """Deterministic embedding tables (exact in binary floating point)."""
     v, _ = vocab(spark, sf)

@@ -57,6 +57,19 @@ SELECT CAST(len(ids) // 64 AS INTEGER) AS bucket, CAST(count(*) AS BIGINT) AS n_
        CAST(sum(len(ids)) AS BIGINT) AS n_tokens
 FROM enc GROUP BY 1""",
 
+    "f4_cost_placement": f"""
+WITH RECURSIVE {DOC_SEG},
+c AS (
+  SELECT doc_id, len(ids) AS n, len(ids) * len(ids) AS cost,
+         coalesce(sum(len(ids) * len(ids)) OVER (ORDER BY len(ids), doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(len(ids) * len(ids)) OVER () AS total
+  FROM enc
+)
+SELECT CAST(least(15, (2 * before + cost) * 16 // (2 * total)) AS BIGINT) AS cost_group, CAST(count(*) AS BIGINT) AS n_docs,
+       CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(cost) AS BIGINT) AS cost
+FROM c GROUP BY 1""",
+
     "b7_batch_reject": BATCHED + """
 SELECT doc_id, source, CAST(batch_no AS BIGINT) AS batch_no,
        CASE WHEN bad THEN 'rejected' ELSE 'ok' END AS batch_status,

@@ -97,3 +97,15 @@ SQL["j3_baseline_join"] = f"""
 SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim_a, CAST(len(d) AS BIGINT) AS dim_b,
        round({_dot('embedding', 'd')}, 6) AS dot
 FROM (SELECT vec_id, embedding, {_deq(_q8('embedding'))} AS d FROM embeddings)"""
+
+SQL["a6_embedding_sink"] = SQL["d8_parity_report"]
+
+SQL["d6_projection_by_table"] = """
+WITH cells AS (
+  SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS c FROM embeddings
+), w AS (
+  SELECT label, c, avg(x::DOUBLE) AS w, dense_rank() OVER (ORDER BY label) - 1 AS r FROM cells GROUP BY label, c
+), z AS (
+  SELECT v.vec_id, w.r, sum(v.x::DOUBLE * w.w) AS z FROM cells v JOIN w ON w.c = v.c GROUP BY v.vec_id, w.r
+)
+SELECT vec_id, string_agg(printf('%.4f', z), ',' ORDER BY r) AS z FROM z GROUP BY vec_id"""

@@ -42,6 +42,7 @@ def queries() -> dict[str, Query]:
         "d4_l2_normalize": vq.d4_l2_normalize,
         "d5_layer_norm": vq.d5_layer_norm,
         "d6_linear_projection": vq.d6_linear_projection,
+        "d6_projection_by_table": vq.d6_projection_by_table,
         "d7_q8_quantize": vq.d7_q8_quantize,
         "d8_parity_report": vq.d8_parity_report,
         "d9_pair_cosine_drift": vq.d9_pair_cosine_drift,
@@ -50,6 +51,7 @@ def queries() -> dict[str, Query]:
         "f2_fixed_batches": sq.f2_fixed_batches,
         "f3_batch_tokens": sq.f3_batch_tokens,
         "f4_length_buckets": sq.f4_length_buckets,
+        "f4_cost_placement": sq.f4_cost_placement,
         "b7_batch_reject": sq.b7_batch_reject,
         "a2_request_explode": sq.a2_request_explode,
         "b1_empty_request": sq.b1_empty_request,
@@ -66,7 +68,7 @@ def queries() -> dict[str, Query]:
         "d1_embed_documents": mq.d1_embed_documents,
         "d1_embed_benchmark": mq.d1_embed_benchmark,
         "d2_embed_ids": mq.d2_embed_ids,
-        "a6_embedding_sink": mq.a6_embedding_sink,
+        "a6_embedding_sink": vq.a6_embedding_sink,
         "e2_response_assembly": mq.e2_response_assembly,
         "a7_response_json": mq.a7_response_json,
     }

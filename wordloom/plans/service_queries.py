@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_SEQ, MAX_TEXT_CHARS
 from ..operators.batching import (assign_fixed_batches, batch_reject,
-                                  batch_tokens, length_bucket, ragged_offsets)
+                                  batch_tokens, cost_groups, length_bucket, ragged_offsets)
 from ..operators.ordering import ordered_index
 from ..operators.reports import (batch_throughput, micros_since_epoch,
                                  rank_summary, throughput_by_level,
@@ -58,6 +58,18 @@ def f4_length_buckets(spark, sf):
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
 
 
+COST_GROUPS = 16
+
+
+def f4_cost_placement(spark, sf):
+    """Documents in groups of like cost: rows, tokens and cost of every group."""
+    enc = encoded_docs(spark, sf, carry=()).select("doc_id", "n_tokens")
+    placed = cost_groups(enc, "n_tokens", ["doc_id"], COST_GROUPS)
+    cost = F.col("n_tokens").cast("long") * F.col("n_tokens")
+    return placed.groupBy(F.col("cost_group").cast("long").alias("cost_group")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"), F.sum(cost).alias("cost"))
+
+
 def b7_batch_reject(spark, sf):
     # truncation off: the over-length flag comes from the untruncated body
     b = batch_reject(_batched_docs(spark, sf, policy="reject"), ["source"])
@@ -116,7 +128,7 @@ def _events(spark, sf):
 
 def e3_latency_summary(spark, sf):
     ev = _events(spark, sf).select("event_type", "value", "event_id")
-    s = rank_summary(ev, ["event_type"], "value", ["event_id"])
+    s = rank_summary(ev, ["event_type"], "value")
     return s.select("event_type", "n", F.round("mean", 6).alias("mean"), "p50", "p99")
 
 
@@ -128,7 +140,7 @@ def e4_latency_by_class(spark, sf):
     tok = tokenize(ev, v, text_col="props", id_col="event_id", carry=["text_class", "value"], info=info,
                    with_tokens=False)
     enc = encode(tok, info, MAX_SEQ, "truncate").select("event_id", "text_class", "value", "n_tokens")
-    s = rank_summary(enc, ["text_class"], "value", ["event_id"],
+    s = rank_summary(enc, ["text_class"], "value",
                      also=[F.max("n_tokens").cast("long").alias("n_tokens")])
     return s.select("text_class", "n", F.round("mean", 6).alias("mean"), "p50", "p99", "n_tokens")
 
@@ -138,7 +150,7 @@ def e5_throughput_by_level(spark, sf):
     start = micros_since_epoch("ts")
     ev = ev.select("level", "value", "event_id", start.alias("_start"),
                    (start + F.col("value") * F.lit(1000.0)).alias("_end"))
-    t = throughput_by_level(ev, "level", "_start", "_end", "value", ["event_id"])
+    t = throughput_by_level(ev, "level", "_start", "_end", "value")
     return t.select("level", "n", F.round("throughput", 6).alias("throughput"), "p50", "p99")
 
 

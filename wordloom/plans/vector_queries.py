@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PARITY_TOLERANCE
 from ..functions import vectors as V
-from ..operators.vectors import pair_drift, parity_report, quantize_table
+from ..operators.vectors import (bucketed_sink, pair_drift, parity_report,
+                                 project_by_table, quantize_table)
+from ..session import scratch_path
 from .context import table
 
 DIM = 64
@@ -50,6 +54,30 @@ def d6_linear_projection(spark, sf):
     return e.select("vec_id", V.fmt(z).alias("z"))
 
 
+def d6_projection_by_table(spark, sf):
+    """D6 with a W that is data: row r holds the means of the r-th label's vectors,
+    so z tells how near a vector is to every label."""
+    e = _emb(spark, sf).select("vec_id", "embedding", "label")
+    cells = e.select("label", F.posexplode("embedding").alias("c", "x"))
+    means = cells.groupBy("label", "c").agg(F.avg(F.col("x").cast("decimal(30,20)")).cast("double").alias("w"))
+    labels = means.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("r"))
+    w = means.join(labels, "label").select("r", "c", "w")
+    z = project_by_table(e.select("vec_id", "embedding"), w)
+    return z.select("vec_id", V.fmt("z", 4).alias("z"))
+
+
+def a6_embedding_sink(spark, sf):
+    """Vectors and their quantised form in two sinks, read back and joined on
+    their id (J3, D8) without an exchange."""
+    e = _emb(spark, sf)
+    name, path = f"wl_{uuid.uuid4().hex[:12]}", scratch_path(spark, "embedding-sink")
+    given = bucketed_sink(e.select("vec_id", F.col("embedding").alias("vec")), f"{name}_f32", f"{path}/f32")
+    coded = bucketed_sink(quantize_table(e).select("vec_id", V.q8_dequantize("q8").alias("vec")), f"{name}_q8", f"{path}/q8")
+    rep = parity_report(given, coded, "vec_id", PARITY_TOLERANCE)
+    return rep.select("vec_id", F.round("max_abs_err", 6).alias("max_abs_err"),
+                      F.col("n_over_tol").cast("long").alias("n_over_tol"), "status")
+
+
 def d7_q8_quantize(spark, sf):
     q = quantize_table(_emb(spark, sf))
     codes = F.flatten(F.transform("q8", lambda b: b["codes"]))
