@@ -31,7 +31,9 @@ def test_whole_part_and_changed_words():
 def test_short_overlaps_and_short_items():
     assert search("a " + " ".join(ITEM.split()[:8]) + " b") == []
     assert search("so: red green blue white black.", ((1, "Red green blue white black"),)) == [(1, 1, 6, 5)]
-    assert search("red green blue white", ((1, "Red green blue white"),)) == []          # under MIN_ITEM_WORDS
+    # items of a few words are found whole
+    assert search("red green blue white", ((1, "Red green blue white"),)) == [(1, 0, 4, 4)]
+    assert search("so red, green: blue", ((1, "Red green"), (2, "red blue"), (3, "..."))) == [(1, 1, 3, 2)]
     assert search("red green blue white pink", ((1, "Red green blue white black"),)) == []
 
 
@@ -134,3 +136,54 @@ def test_seed_hits_are_reported_for_1_to_20_percent_changes():
             ids = np.array([seeds.vocab.get(w.encode(), 0) for w in text])
             whole = any(offset == 0 for offset, _k in seeds.alignments(ids).tolist())
             assert not whole or seeds.search([" ".join(text)])[0]
+
+
+def test_repeated_words_take_linear_time():
+    import time
+
+    for item, text in ((["a"] * 1000, ["a"] * 20_000), ("a b c".split() * 300, "a b c".split() * 6000)):
+        seeds = D.Seeds([(1, " ".join(item))])
+        t = time.time()
+        hits = seeds.search([" ".join(text)])[0]
+        assert time.time() - t < 1 and hits and hits[0][3] >= len(item) - 3
+
+
+def test_partial_repeated_and_changed_items_equal_brute_force():
+    """Documents made of pieces of items with short periods, changed words and runs
+    of one word: an item is found where some aligned window is 80 % equal and
+    holds a seed."""
+    rng = random.Random(21)
+    letters = "a b c d".split()
+    for trial in range(300):
+        item = [rng.choice(letters + [f"w{rng.randrange(30)}"]) for _ in range(rng.randint(10, 30))]
+        if trial % 2:
+            i = rng.randrange(len(item))
+            item[i:i] = [rng.choice(letters)] * rng.randint(8, 40)
+        lo = rng.randrange(len(item) - 9)
+        part = item[lo:lo + rng.randint(10, 30)]
+        text = ["x1"] * rng.randrange(3) + part + ["x2"] * rng.randrange(3) + part[:rng.randrange(len(part))]
+        for i in range(len(text)):
+            if rng.random() < 0.05:
+                text[i] = "changed"
+        seeds = D.Seeds([(1, " ".join(item))])
+        hits = seeds.search([" ".join(text)])[0]
+        ids = [seeds.vocab.get(w.encode(), 0) for w in text]
+        own = seeds.items[0][1].tolist()
+        want = False
+        for offset in range(-len(own), len(ids)):       # brute force: every alignment, seeds where a mask fits
+            equal = [0 <= offset + j < len(ids) and ids[offset + j] == own[j] for j in range(len(own))]
+            inside = [j for j in range(len(own)) if 0 <= offset + j < len(ids)]
+            if not inside:
+                continue
+            window = np.array(equal[inside[0]:inside[-1] + 1])
+            seeded = any(all(equal[j + c] for c in care) for m, care in enumerate(seeds.care[:len(D.MASKS)])
+                         for j in range(len(own) - int(care[-1])))
+            want |= seeded and D.best_run(window, min(D.MIN_WORDS, len(own))) is not None
+        assert bool(hits) == want, (item, text, hits)
+
+
+def test_clashing_names_and_long_repeated_text(spark):
+    df = spark.createDataFrame([(1, ITEM, "a", "b", "c", 1)], "doc_id long, text string, _seed_bytes string, own string, hits string, row int")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    r = D.find_overlaps(df, bench, out_col="found").first()
+    assert (r["_seed_bytes"], r["own"], r["hits"], r["row"]) == ("a", "b", "c", 1) and len(r["found"]) == 1

@@ -91,7 +91,6 @@ def test_query_recall(spark):
 
 
 def test_recall_of_a_partial_visit(spark, monkeypatch):
-    monkeypatch.setattr(N, "MIN_RERANK", 0)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r["vec_id"], r["embedding"]) for r in df.collect()], 20, 20)
     got = run(spark, df, k=20, every=20, share=0.6)
@@ -101,7 +100,6 @@ def test_recall_of_a_partial_visit(spark, monkeypatch):
 
 @pytest.mark.parametrize("norms", ["unit", "few long", "log-normal"])
 def test_recall_at_the_production_share_whatever_the_norms(spark, monkeypatch, norms):
-    monkeypatch.setattr(N, "MIN_RERANK", 0)
     rng = np.random.default_rng(8)
     x = rng.normal(size=(2000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

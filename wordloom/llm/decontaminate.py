@@ -9,16 +9,26 @@ is an overlap if any of its windows of ``min_words`` words or more (of the whole
 item if it is shorter) has at least 80 % equal words; the window with the best
 score (+1 for an equal word, -4 for a changed one) is reported.
 
+Words that repeat with a short period give the same hash at every turn.  Of
+places (in an item) and of hits (in a text) that follow each other in equal
+steps of at most ``PERIOD`` words only the two ends of the row are looked at: the
+alignments between them compare the same words.  Of the overlaps of one item
+that share words the best is reported.  So 1,000 equal words against 20,000
+are a few alignments.
+
 The benchmark is distinct normalised texts, cut into slices of a bounded number
 of bytes; a slice's seed table goes to all tasks, which probe it while scanning
-whole texts (a broadcast hash join, one pass per slice).  Documents are not
-shuffled, and a text or passage that repeats in a third of all rows costs what
-any other row costs.
+whole texts (a broadcast hash join).  Documents are not shuffled, and a text or
+passage that repeats in a third of all rows costs what any other row costs.  With
+several slices each is a pass of its own: its hits are written and its seed
+table dropped before the next, and the hits of a document meet in one narrow join.
 
 Words are lower-cased runs of characters other than white space and
-punctuation.  Items with fewer than ``MIN_ITEM_WORDS`` words are not searched;
-items shorter than a mask are hashed whole.  Null and empty texts have no hits;
-null keys are kept.  Items with equal words count as their smallest id.
+punctuation.  Items shorter than a mask are hashed whole and found unchanged
+only.  Null and empty texts, items without words and empty tables give no hits;
+null keys are kept, rows that repeat are rows of their own, very long texts are
+searched whole.  Items with equal words count as their smallest id.  Carried
+columns may have any name; one named like ``out_col`` is replaced.
 """
 
 from __future__ import annotations
@@ -34,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_sizes, map_arrow, row_chunks
+from .common import byte_sizes, map_arrow, row_chunks, stored
 
 # fixed values: care positions (1) of the seeds, six each
 MASKS = ("1110111", "11010111", "110011011", "1101000111")
-MIN_ITEM_WORDS = 5
+PERIOD = 16
 MIN_WORDS = 10
 CHANGED = 4
 SLICE_BYTES = 16 << 20
@@ -81,6 +91,17 @@ def best_run(equal: np.ndarray, least: int, changed: int = CHANGED) -> tuple[int
     return start, stop, int(equal[start:stop].sum())
 
 
+def row_ends(group: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` (ascending in each ``group``) are not inside a row
+    of places of the same group in equal steps of at most ``PERIOD``."""
+    inner = np.zeros(len(at), dtype=bool)
+    if len(at) > 2:
+        step = np.diff(at)
+        same = (group[1:] == group[:-1]) & (step <= PERIOD)
+        inner[1:-1] = same[1:] & same[:-1] & (step[1:] == step[:-1])
+    return ~inner
+
+
 class Seeds:
     """Seed table of one benchmark slice."""
 
@@ -89,7 +110,7 @@ class Seeds:
         least: dict[tuple[bytes, ...], int] = {}
         for item_id, text in items:
             w = tuple(words_of(text or ""))
-            if len(w) >= MIN_ITEM_WORDS:
+            if w:
                 least[w] = min(item_id, least.get(w, item_id))
         self.min_words = min_words
         self.vocab: dict[bytes, int] = {}
@@ -108,8 +129,10 @@ class Seeds:
                 if whole and len(ids) != len(care):
                     continue
                 h = self.hash(ids, m)
-                hashes.append(h)
-                places.append(np.column_stack([np.full(len(h), k), np.arange(len(h))]))
+                by = np.lexsort((np.arange(len(h)), h))
+                by = by[row_ends(h[by], by)]
+                hashes.append(h[by])
+                places.append(np.column_stack([np.full(len(by), k), by]))
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         p = np.concatenate(places) if places else np.empty((0, 2), np.int64)
         order = np.argsort(h, kind="stable")
@@ -144,8 +167,11 @@ class Seeds:
             if not len(at):
                 continue
             row = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            item, place = self.places[row].T
-            found.append(np.column_stack([np.repeat(at, n) - place, item]))
+            at = np.repeat(at, n)
+            by = np.lexsort((at, row))           # by seed, in text order
+            by = by[row_ends(row[by], at[by])]
+            item, place = self.places[row[by]].T
+            found.append(np.column_stack([at[by] - place, item]))
         if not found:
             return np.empty((0, 2), np.int64)
         return np.unique(np.concatenate(found), axis=0)
@@ -173,7 +199,23 @@ class Seeds:
                 if run:
                     s, e, same = run
                     out[d].append((item_id, a - int(starts[d]) + s, a - int(starts[d]) + e, same))
-        return [sorted(set(x)) for x in out]
+        return [_best_of_regions(x) for x in out]
+
+
+def _best_of_regions(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """One hit per item and stretch of text: of hits of an item that share words
+    the one with most equal words (then the first) stays."""
+    out: list[tuple[int, int, int, int]] = []
+    end = -1
+    for h in sorted(set(hits)):
+        if out and out[-1][0] == h[0] and h[1] < end:
+            end = max(end, h[2])
+            if h[3] > out[-1][3]:
+                out[-1] = h
+        else:
+            out.append(h)
+            end = h[2]
+    return out
 
 
 _WORKER: dict[str, Seeds] = {}
@@ -204,31 +246,45 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` (its ``keep`` columns, default all) with ``out_col`` = array of
     (item_id, start_word, end_word, matched) overlaps with benchmark items."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out_col]
-    src = "_seed_bytes"
-    df = docs.select(*keep, F.col(text_col).cast("string").cast("binary").alias(src))
-    parts: list[str] = []
     n, benchmark_rows = _slices(benchmark, id_col, item_text_col)
-    for i in range(n):
-        more = [src] if i + 1 < n else []
-        items = benchmark_rows.where(F.col("part") == i).select("id", "text").collect()      # one slice
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items])
-        key, name = uuid.uuid4().hex, f"_seed_hits_{i}"
-
-        def make(shared=shared, key=key):
-            seeds = _worker_seeds(key, shared, masks, min_words)
-
-            def run(batch: pa.RecordBatch):
-                col = batch.column(batch.schema.get_field_index(src))
-                for lo, hi in row_chunks(byte_sizes(col), CHUNK_BYTES):
-                    texts = [(t or b"").decode("utf-8", "replace") for t in col.slice(lo, hi - lo).to_pylist()]
-                    hits = [[dict(zip(("item_id", "start_word", "end_word", "matched"), h)) for h in x]
-                            for x in seeds.search(texts)]
-                    yield lo, hi, [pa.array(hits, _HIT_ARROW)]
-            return run
-
-        df = map_arrow(df, [*keep, *parts, *more], [T.StructField(name, HIT, False)], make, [src])
-        parts.append(name)
-    return df.select(*keep, F.flatten(F.array(*parts)).alias(out_col))
+    # the carried columns travel as one struct, so their names cannot clash
+    own = F.struct(*[F.col(c) for c in keep], F.lit(True).alias("__"))
+    df = docs.select(own.alias("own"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    if n == 1:
+        found = _one_slice(df, benchmark_rows, 0, ["own"], masks, min_words)[0]
+    else:
+        rows = stored(df.withColumn("row", F.monotonically_increasing_id()), "seed-rows")
+        every = None
+        for i in range(n):
+            hits, shared = _one_slice(rows.select("row", "text"), benchmark_rows, i, ["row"], masks, min_words)
+            hits = stored(hits.where(F.size("hits") > 0), "seed-hits")
+            shared.unpersist()
+            every = hits if every is None else every.unionByName(hits)
+        each = every.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+        found = (rows.select("row", "own").join(each, "row", "left")
+                 .withColumn("hits", F.coalesce("hits", F.array().cast(HIT))))
+    return found.select(*[F.col("own")[c].alias(c) for c in keep], F.col("hits").alias(out_col))
+
+
+def _one_slice(df: DataFrame, benchmark_rows: DataFrame, i: int, keep: list[str], masks: Sequence[str], min_words: int):
+    """(``keep`` columns of ``df`` with ``hits`` of slice ``i``, the slice's broadcast)."""
+    items = benchmark_rows.where(F.col("part") == i).select("id", "text").collect()
+    shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in items])
+    key = uuid.uuid4().hex
+
+    def make():
+        seeds = _worker_seeds(key, shared, masks, min_words)
+
+        def run(batch: pa.RecordBatch):
+            col = batch.column(batch.num_columns - 1)
+            for lo, hi in row_chunks(byte_sizes(col), CHUNK_BYTES):
+                texts = [(t or b"").decode("utf-8", "replace") for t in col.slice(lo, hi - lo).to_pylist()]
+                hits = [[dict(zip(("item_id", "start_word", "end_word", "matched"), h)) for h in x]
+                        for x in seeds.search(texts)]
+                yield lo, hi, [pa.array(hits, _HIT_ARROW)]
+        return run
+
+    return map_arrow(df, keep, [T.StructField("hits", HIT, False)], make, ["text"]), shared
 
 
 def is_contaminated(hits: str = "hits"):

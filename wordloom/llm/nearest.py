@@ -19,7 +19,8 @@ entries are reranked by the exact inner product in double precision.
   up a third of the table costs one entry and one search.
 * Entries are stored in blocks of cells of at most ``BLOCK`` entries (a fuller
   cell takes several blocks) and queries in chunks; a task reranks one chunk
-  against one block, and per-query bests are merged by a grouped top-k.
+  against one block that some query of it visits, and per-query bests are merged
+  by a grouped top-k.
 * The codebooks, the cells' entry counts and the block numbers go to all tasks:
   at most 1024 * 1024 cells, whatever the input.
 
@@ -46,7 +47,6 @@ from .common import ship_package, stored
 
 SAMPLE = 20_000
 SHARE = 0.55
-MIN_RERANK = 2_000
 BLOCK = 4096
 CHUNK = 4096
 LLOYD_STEPS = 12
@@ -94,7 +94,7 @@ def nearest_centroid(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def codebook_size(n: int) -> int:
     """Centroids per half for ``n`` entries (64 up to a million, 1024 at most)."""
-    return int(max(min(max(4, math.sqrt(n) / 2), 64), min(math.sqrt(n) / 16, 1024)))
+    return int(max(64, min(math.sqrt(n) / 16, 1024)))
 
 
 class MultiIndex:
@@ -279,16 +279,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                    .select("query_id", "entry").distinct(), "ann-queries")
     searched = named.select("entry").distinct().join(entries.select("entry", "vec"), "entry")
     chunks = max(1, -(-named.select("entry").distinct().count() // CHUNK))
-    wanted = min(n, max(math.ceil(share * n), MIN_RERANK, k + 1))
-    routed = searched.repartition(spark.sparkContext.defaultParallelism * 2, "entry").mapInArrow(
-        _route(shared, wanted, chunks), "block long, part long, chunk long, query long, q array<double>, cells array<long>")
+    wanted = min(n, max(math.ceil(share * n), k + 1))
+    routed = stored(searched.repartition(spark.sparkContext.defaultParallelism * 2, "entry").mapInArrow(
+        _route(shared, wanted, chunks), "block long, part long, chunk long, query long, q array<double>, cells array<long>"),
+        "ann-routed")
 
     block = F.pandas_udf(lambda c: _series(shared.value.block[c.to_numpy()]), "long")
     parts = F.pandas_udf(lambda c: _series(np.array(shared.value.parts)[c.to_numpy()]), "long")
     placed = (filed.withColumn("block", block("cell"))
-              .withColumn("part", F.pmod(F.xxhash64("entry"), parts("block")))
-              .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))))
+              .withColumn("part", F.pmod(F.xxhash64("entry"), parts("block"))))
     keys = ("block", "part", "chunk")
+    # an entry goes only to the chunks of which some query asked for its block
+    placed = placed.join(routed.select(*[F.col(c).alias(c) for c in keys]).distinct(), ["block", "part"])
     best = placed.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(
         _rerank(k + 1), "query long, vec_id long, score double")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, kneser_ney, licences, nearest, prefix_trie, ranked_search, sharding, simhash, token_counts, toxicity, url_filter
 from .licence_texts import KNOWN
-from .common import read_table, scratch_path, settled, text_or_empty, utf8_size
+from .common import read_table, scratch_path, scratch_scope, settled, text_or_empty, utf8_size
 
 URL_RULES = (
     url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"),
@@ -44,13 +44,14 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read_table(spark, sf, "embeddings")
-    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+    return settled(spark, "op3", lambda: nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20))
 
 
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
-    rows = kneser_ney.classify(docs, read_table(spark, sf, "labels"))
-    return rows.select(F.col("key").alias("doc_id"), "lang", "n_chars", "perplexity", "threshold", "rejected")
+    labels = read_table(spark, sf, "labels")
+    return settled(spark, "op4", lambda: kneser_ney.classify(docs, labels).select(
+        F.col("key").alias("doc_id"), "lang", "n_chars", "perplexity", "threshold", "rejected"))
 
 
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,8 +75,8 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return (simhash.near_duplicates(docs, shingle=3, max_bits=3)
-            .select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id"))
+    return settled(spark, "op7", lambda: simhash.near_duplicates(docs, shingle=3, max_bits=3).select(
+        "doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id"))
 
 
 def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,16 +91,16 @@ def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
-    counts = token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"),
-                                       scratch_path(spark, "token-count-cache"))
-    return counts.select("doc_id", "n_bytes", "n_tokens",
-                         (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"))
+    return settled(spark, "op9", lambda: token_counts.token_counts(
+        docs, tokenizer_path("piece_bpe_32k.model"), scratch_path(spark, "token-count-cache")).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit")))
 
 
 def op10_external_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     out = scratch_path(spark, "shards")
-    sharding.write_shards(sharding.external_shuffle(docs, SHARDS), out)
+    with scratch_scope(spark):
+        sharding.write_shards(sharding.external_shuffle(docs, SHARDS), out)
     shards = spark.read.parquet(out)
     return shards.select("doc_id", (utf8_size("text") + 1).alias("size"),
                          F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"),
