@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.llm import kneser_ney as K
 from wordloom.llm import queries
@@ -30,18 +31,20 @@ def brute(docs, labels, order=5):
         for n in range(order - 1, 0, -1):
             level[n] = Counter(g[1:] for g in level[n + 1])
         tables[lang] = level
-    cut = {}
-    for n in range(1, order + 1):
-        n1, n2, n3, n4 = (sum(v == i for lv in tables.values() for v in lv[n].values()) for i in (1, 2, 3, 4))
-        if not n1 or not n2:
-            cut[n] = (0, 0.5, 1.0, 1.5)
-            continue
-        y = n1 / (n1 + 2 * n2)
-        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-        cut[n] = (0, *(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)))
+    cuts = {}
+    for lang, level in tables.items():
+        cut = cuts[lang] = {}
+        for n in range(1, order + 1):
+            n1, n2, n3, n4 = (sum(v == i for v in level[n].values()) for i in (1, 2, 3, 4))
+            if not n1 or not n2:
+                cut[n] = (0, 0.5, 1.0, 1.5)
+                continue
+            y = n1 / (n1 + 2 * n2)
+            raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+            cut[n] = (0, *(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)))
     out = {}
     for lang, part in langs.items():
-        level = tables[lang]
+        level, cut = tables[lang], cuts[lang]
         history = {n: {} for n in level}
         for n, lv in level.items():
             for g, v in lv.items():
@@ -114,10 +117,53 @@ def test_empty_tables(spark, no_docs, no_labels, edge_docs):
 
 
 def test_discounts_stay_within_their_counts(spark):
-    df = spark.createDataFrame([(1,)] * 5 + [(2,)] * 9 + [(3,)] * 20 + [(4,)] * 90, "k long")
-    d = K.discounts(df, 3)
-    assert all(0 < x < i + 1 for i, x in enumerate(d))
-    assert K.discounts(df.where("k > 2"), 3) == (0.5, 1.0, 1.5)
+    rows_ = [("de", k) for k, n in ((1, 5), (2, 9), (3, 20), (4, 90)) for _ in range(n)] + [("fr", 3), ("fr", 4)]
+    got = {r["lang"]: (r["d1"], r["d2"], r["d3"]) for r in K.discounts(spark.createDataFrame(rows_, "lang string, k long")).collect()}
+    assert all(0 < x < i + 1 for i, x in enumerate(got["de"])) and got["fr"] == (0.5, 1.0, 1.5)
+
+
+def test_blocks_have_partitions_of_their_own(spark):
+    n = 13
+    names = K._block_names(spark, n)
+    df = spark.range(n).select(names(F.col("id")).alias("block")).repartition(n, "block")
+    assert df.select("block").distinct().count() == n
+    assert df.groupBy(F.spark_partition_id()).count().count() == n
+
+
+def brute_thresholds(rows_, quantile=K.QUANTILE, spread=K.SPREAD):
+    """{language: threshold}; nearest-rank quantiles over plain lists."""
+    def at(values, q):
+        values = sorted(values)
+        return values[max(0, math.ceil(q * len(values)) - 1)]
+
+    def bound(values):
+        lo, hi, top = at(values, 0.5), at(values, 0.95), at(values, quantile)
+        return min(top, lo + spread * (hi - lo))
+
+    logs = {}
+    for lang, x, good, held in rows_:
+        logs.setdefault(lang, []).append((math.log(x), good == 1, held))
+    held = {lang: [x for x, g, h in v if g and h] for lang, v in logs.items()}
+    centre = {lang: at(held[lang], 0.5) if len(held[lang]) >= K.MIN_HELD else
+              at([x for x, g, h in v if not (g and not h)], 0.5) for lang, v in logs.items()}
+    pooled = [x - centre[lang] for lang, v in held.items() for x in v]
+    return {lang: math.exp(bound(held[lang])) if len(held[lang]) >= K.MIN_HELD else
+            math.exp(centre[lang] + bound(pooled)) if len(pooled) >= K.MIN_HELD else None for lang in logs}
+
+
+def test_thresholds_and_rejections_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows_ = [(lang, math.exp(rng.gauss(1.5, 0.2) if rng.random() < 0.9 else rng.gauss(4, 1)), rng.choice([1, 1, 0, None]),
+              rng.random() < 0.3) for lang, n in (("de", 400), ("en", 900), ("fr", 30)) for _ in range(n)]
+    df = spark.createDataFrame(rows_, "lang string, perplexity double, good int, held_out boolean")
+    want = brute_thresholds(rows_)
+    limit = K.thresholds(df)
+    got = {r["lang"]: r["threshold"] for r in limit.collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    rejected = df.join(limit, "lang").where("perplexity > threshold").count()
+    assert rejected == sum(x > want[lang] for lang, x, _g, _h in rows_) > 0
 
 
 def test_query_against_labels(spark):

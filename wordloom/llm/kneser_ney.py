@@ -9,8 +9,9 @@ perplexity; language-specific quantiles of it decide.
    each n-gram once).
 2. The n-grams of all blocks are joined into one count table per order
    (continuation counts below the highest), sharded by (language, n-gram).
-   Grouped sums give each history's total and discounted mass, and a chain of
-   joins interpolates the probability of every n-gram that any document needs.
+   Grouped sums give each history's total and discounted mass (the discounts come
+   from the language's own counts of counts), and a chain of joins interpolates
+   the probability of every n-gram that any document needs.
    All of it grows with the corpus and none of it meets in one task.
 3. Each block gets the log-probabilities of the n-grams it asked for and sums
    them over its documents.
@@ -61,6 +62,8 @@ QUANTILE = 0.995
 SPREAD = 4.0
 MIN_HELD = 20                 # from here on the 95 % quantile is not the maximum
 FOLDS = 5
+MANY_LANGUAGES = 100_000
+NAMED_BLOCKS = 4096
 
 
 # --- n-grams of a chunk of texts -------------------------------------------
@@ -259,16 +262,23 @@ def levels(grams: DataFrame, order: int) -> dict[int, DataFrame]:
     return out
 
 
-def discounts(level: DataFrame, order: int) -> tuple[float, float, float]:
-    """The three discounts of an order from its counts of counts, each kept
-    within what the count can give."""
-    n1, n2, n3, n4 = level.agg(*[F.coalesce(F.sum((F.col("k") == i).cast("long")), F.lit(0))
-                                 for i in (1, 2, 3, 4)]).first()
-    if not n1 or not n2:
-        return 0.5, 1.0, 1.5
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of one row per language, to be broadcast if its counted rows
+    allow it (a corpus of more languages has no hot one)."""
+    return F.broadcast(df) if df.count() <= MANY_LANGUAGES else df
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): the discounts of an order in each language, from its
+    counts of counts, each kept within what the count can give."""
+    n = {i: F.sum((F.col("k") == i).cast("long")).cast("double") for i in (1, 2, 3, 4)}
+    rows = level.groupBy("lang").agg(*[v.alias(f"n{i}") for i, v in n.items()])
+    n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(1.5))
+    few = (n1 == 0) | (n2 == 0)
+    return rows.select("lang", *[F.when(few, usual).otherwise(F.least(F.greatest(d, F.lit(0.05)), F.lit(i + 0.95))).alias(f"d{i + 1}")
+                                 for i, (d, usual) in enumerate(zip(raw, (0.5, 1.0, 1.5)))])
 
 
 def log_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -279,13 +289,13 @@ def log_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     letters = tables[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("_v"))
     out = grams.select("lang", "gram").withColumn("p", F.lit(None).cast("double"))
     for n in range(1, order + 1):
-        d1, d2, d3 = discounts(tables[n], n)
-        cut = F.when(F.col("k") == 1, d1).when(F.col("k") == 2, d2).otherwise(d3)
-        history = (tables[n].groupBy("lang", F.substring("gram", 1, n - 1).alias("_h"))
+        level = tables[n].join(small(stored(discounts(tables[n]), "kn-discounts")), "lang")
+        cut = F.when(F.col("k") == 1, F.col("d1")).when(F.col("k") == 2, F.col("d2")).otherwise(F.col("d3"))
+        history = (level.groupBy("lang", F.substring("gram", 1, n - 1).alias("_h"))
                    .agg(F.sum("k").alias("_total"), F.sum(cut).alias("_mass")))
         if n == 1:
             history = history.join(letters, "lang")
-        here = tables[n].select("lang", F.col("gram").alias("_g"), (F.col("k") - cut).alias("_a"))
+        here = level.select("lang", F.col("gram").alias("_g"), (F.col("k") - cut).alias("_a"))
         # lower orders are interpolated once per distinct suffix
         wanted = grams.select("lang", F.substring("gram", order - n + 1, n).alias("_g")).distinct() \
             if n < order else grams.select("lang", F.col("gram").alias("_g"))
@@ -302,15 +312,28 @@ def log_probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 # --- documents -----------------------------------------------------------------
 
+def _block_names(spark, n: int):
+    """Names for blocks 0..n-1 that Spark's hash partitioning deals into n different
+    partitions, so that no task gets two blocks and another none.  With very many
+    blocks the hash is even enough by itself."""
+    if not 1 < n <= NAMED_BLOCKS:
+        return lambda number: number
+    drawn = spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    found = {r["p"]: r["id"] for r in drawn.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    names = F.array(*[F.lit(found.get(b, 32 * n + b)).cast("long") for b in range(n)])
+    return lambda number: F.get(names, number.cast("int"))
+
+
 def _blocks(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, lang_col: str,
             label_col: str, block_bytes: int, carry: tuple[str, ...]) -> DataFrame:
     """Packs of documents, and labels, dealt into blocks by key."""
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
+    names = _block_names(docs.sparkSession, n)
     key = F.col(key_col).cast("long")
     text = F.col(text_col).cast("string")
     # rows without a key are dealt by their text
-    number = F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n))
+    number = names(F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n)))
     held_out = F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     rows = docs.select(number.alias("block"), key.alias("key"), F.col(lang_col).cast("string").alias("lang"),
                        held_out.alias("held_out"), text.cast("binary").alias("text"), *carry)
@@ -318,7 +341,7 @@ def _blocks(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, lan
     schema = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("key", pa.int64()), ("good", pa.int32())])
     packs = rows.mapInArrow(_pack_rows(schema), out)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).select(
-        F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.lit(None).cast("binary").alias("payload"),
+        names(F.pmod(F.xxhash64(key), F.lit(n))).alias("block"), F.lit(None).cast("binary").alias("payload"),
         key.alias("key"), F.col(label_col).cast("int").alias("good"))
     return packs.unionByName(marks).repartition(max(n, 2), "block")
 
@@ -429,7 +452,8 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE, spread: float = SP
         (F.count(F.when(held, 1)) >= MIN_HELD).alias("_many"), quantiles(F.when(held, log)).alias("_q"),
         F.percentile_approx(F.when(~(good & ~F.col("held_out")), log), 0.5, F.lit(10000)).alias("_mid"))
     own = own.withColumn("_centre", F.when(F.col("_many"), F.col("_q")[0]).otherwise(F.col("_mid")))
-    pooled = (rows.where(held).join(own.select("lang", "_centre"), "lang")
+    own = stored(own, "kn-quantiles")
+    pooled = (rows.where(held).join(small(own).select("lang", "_centre"), "lang")
               .agg(F.count(F.lit(1)).alias("_n"), quantiles(log - F.col("_centre")).alias("_all")))
     width = F.when(F.col("_n") >= MIN_HELD, bound("_all"))
     return own.crossJoin(pooled).select("lang", F.exp(
@@ -440,6 +464,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, spr
              **columns) -> DataFrame:
     """``score`` with the language's threshold and ``rejected``."""
     scores = score(docs, labels, **columns)
-    limit = thresholds(scores, quantile, spread)
+    limit = small(stored(thresholds(scores, quantile, spread), "kn-thresholds"))
     return (scores.join(limit, "lang", "left")
             .withColumn("rejected", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))))
