@@ -72,3 +72,36 @@ def test_query(spark):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "rows", None)
     for s in range(16):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(by.get(s, 0)))
+
+
+def test_a_third_of_all_rows_alike(spark):
+    """Rows that agree in key and text do not fill one bucket."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'same text', concat('t', id)) as text")
+    rows_ = sharding.external_shuffle(df, 4, bucket_bytes=1000).collect()
+    check_law(rows_, 3000, 4)
+    by = Counter(r["bucket"] for r in rows_)
+    assert max(by.values()) < 500 and len([b for b in by if any(r["text"] == "same text" for r in rows_ if r["bucket"] == b)]) > 5
+    alike = [r for r in rows_ if r["text"] == "same text"]
+    assert len(alike) == 1000 and all(150 < n < 350 for n in Counter(r["shard"] for r in alike).values())
+
+
+def test_fisher_yates_is_recomputed(spark):
+    """The order of a bucket: canonical rows in the order that a plain Fisher-Yates draws."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    df = spark.range(200).selectExpr("id as doc_id", "concat('t', id) as text")
+    rows_ = sharding.external_shuffle(df, 3, seed=5, bucket_bytes=300).withColumn(
+        "h", sharding.scatter_hash(F.col("doc_id"), F.col("text"), 5)).collect()
+    for b in {r["bucket"] for r in rows_}:
+        part = sorted((r for r in rows_ if r["bucket"] == b), key=lambda r: (r["h"], r["doc_id"]))
+        order = list(range(len(part)))
+        np.random.Generator(np.random.PCG64([5, b])).shuffle(order)
+        got = [r["doc_id"] for r in sorted(part, key=lambda r: r["bucket_slot"])]
+        assert got == [part[i]["doc_id"] for i in order]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6, 7, "x")], "doc_id long, text string, _h int, _size int, slot int, own string")
+    r = sharding.external_shuffle(df, 2).first()
+    assert (r["_h"], r["_size"], r["slot"], r["own"]) == (5, 6, 0, "x")

@@ -60,3 +60,31 @@ def test_query(spark):
     for r in docs:
         n = count(r["text"])
         assert (out[r["doc_id"]]["n_tokens"], out[r["doc_id"]]["over_limit"]) == (n, n > 4096)
+
+
+def test_repeated_keys_are_encoded_once_per_text(spark, scratch, monkeypatch):
+    """A third of all rows share one key (and two texts); nulls keys repeat texts."""
+    from wordloom.llm import token_counts as TC
+
+    df = spark.range(600).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then null else id end as doc_id",
+                                     "concat('some text ', id % 2) as text")
+    seen = []
+    plain = TC.count_texts
+    monkeypatch.setattr(TC, "count_texts", lambda d, *a, **k: seen.append(d.count()) or plain(d, *a, **k))
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    one = TC.token_counts(df, path, f"{scratch}/cache").collect()
+    two = TC.token_counts(df, path, f"{scratch}/cache").collect()      # all stored now
+    assert seen == [2, 0] and len(one) == len(two) == 600
+    assert sorted(map(str, one)) == sorted(map(str, two)) and {r["n_tokens"] for r in one} == {one[0]["n_tokens"]}
+
+
+def test_the_query_over_one_cache_twice(spark, scratch, monkeypatch):
+    from wordloom.llm import token_counts as TC
+
+    path = f"{scratch}/kept"
+    monkeypatch.setattr(queries, "scratch_path", lambda _s, _n: path)
+    seen = []
+    plain = TC.count_texts
+    monkeypatch.setattr(TC, "count_texts", lambda d, *a, **k: seen.append(d.count()) or plain(d, *a, **k))
+    runs = [sorted(map(tuple, queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and seen[0] > 100 and seen[1] == 0

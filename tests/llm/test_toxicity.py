@@ -74,3 +74,74 @@ def test_query_accuracy_on_held_out_rows(spark):
     assert len(rows_) > 500 and wrong <= 0.02 * len(rows_)
     found = [r["predicted"] for r in rows_ if r["toxic"] == 1]
     assert sum(found) >= 0.9 * len(found)
+
+
+def plain_scan(model, text):
+    """What ``match`` should find, by looking at every place of both readings."""
+    best, safe, words = {}, [], 0
+    texts = [X.fold(text), X.fold(text, True)]
+    for t in texts:
+        for i in range(len(t)):
+            if i and t[i - 1].isalpha():
+                continue
+            for entry, w in model.weights.items():
+                end = i + len(entry) - 1
+                if t.startswith(entry[1:], i) and (entry[0] == "^" or not t[end:end + 1].isalpha()):
+                    if i not in best or w > best[i][1]:
+                        best[i] = (end - 1, w)
+            safe += [(i, i + len(p) - 1) for p in model.exceptions if t.startswith(p, i) and not t[i + len(p):i + len(p) + 1].isalpha()]
+    spans = [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in safe)]
+    return sum(w for _s, _e, w in spans), spans
+
+
+def test_match_equals_a_plain_scan():
+    import random
+
+    rng = random.Random(9)
+    model = X.ToxicModel(weights={"=bad": 1.0, "^bad": 0.5, "=lid": 2.0, "^li": 0.25, "=oil": 3.0, "=so": 1.5, "^abad": 4.0},
+                         exceptions=("bad lid", "so bad", "lid", "oil so bad"))
+    a = model.automaton()
+    pieces = ["bad", "b4d", "lid", "1id", "l1d", "oil", "0i1", "so", "5o", "abad", "x", "é", " ", "  ", ".", "badly", "\u200b", "ﬁ", "Ｂad"]
+    for _ in range(5000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", "-"]) for _ in range(rng.randrange(9)))
+        got = X.match(a, text)
+        want = plain_scan(model, text)
+        assert (got[0], got[2]) == want, text
+
+
+def test_ones_are_read_both_ways():
+    assert hits("1oser")[0] > 0 and hits("id1ot")[0] > 0 and hits("wor7h1ess")[0] > 0
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    docs = [(i, f"what a clown nose it was number {i}") for i in range(40)] + \
+           [(100 + i, f"you are a clown and a fool {i}") for i in range(200)]
+    labels = [(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(200)]
+    model = X.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    if "=clown" in model.weights:
+        assert "clown nose" in model.exceptions and hits("a clown nose", model)[0] == 0 < hits("a clown", model)[0]
+
+
+def test_repeated_keys_stay_within_the_bound(spark):
+    """A third of all rows share one labelled id."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "concat('you l0ser ', id % 3) as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    seen = []
+    plain = X.stored
+    try:
+        def counted(df, name):
+            out = plain(df, name)
+            seen.append((name, out.count()))
+            return out
+
+        X.stored = counted
+        X.learn(docs, labels, max_labelled=500)
+    finally:
+        X.stored = plain
+    assert 0 < dict(seen)["toxic-sample"] <= 500
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "you loser", 1, 2, 3, "x")], "doc_id long, text string, _weight int, _words int, weight int, own string")
+    r = X.score(df, X.ToxicModel()).first()
+    assert (r["_weight"], r["_words"], r["weight"], r["own"]) == (1, 2, 3, "x") and r["score"] > 0.5

@@ -13,9 +13,17 @@ from bucket counts, summed in two levels (within blocks of buckets, then over
 the blocks), never over all buckets in one task, and reaches the tasks as a
 broadcast of at most 2**20 rows.
 
+Rows that agree in key and text have one hash.  Where they alone would fill a
+bucket (counted; at most one such group per bucket), they are numbered, and
+every run of them that fits into a share of a bucket gets a hash of its own.
+
 Everything is a function of the data and the seed: a lost task is recomputed
 with the same buckets and the same order.  Rows that agree in key and text are
-interchangeable.  Null keys and texts are hashed as such and keep their rows.
+interchangeable.  Null keys and texts are hashed as such and keep their rows;
+empty and very long texts are rows like others (a text above a bucket's size is
+a bucket by itself); an empty table gives an empty result.  Input columns may have
+any name; those named like the result's (bucket, bucket_slot, position, shard,
+slot) are replaced.
 """
 
 from __future__ import annotations
@@ -28,13 +36,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import ordered_index
 from .common import ship_package, stored, utf8_size
 
 BUCKET_BYTES = 32 << 20
 MAX_BUCKETS = 1 << 20      # bounds the table of bucket starts that every task gets
 BLOCK = 1024
 OUT_BYTES = 4 << 20
-POSITION = ("bucket", "bucket_slot")
+RESULT = ("bucket", "bucket_slot", "position", "shard", "slot")
 
 
 def scatter_hash(key: Column, text: Column, seed: int) -> Column:
@@ -88,15 +97,21 @@ def _shuffle_buckets(seed: int, size_at: int, bucket_at: int):
 def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key_col: str = "doc_id",
                      text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every row of ``df`` with bucket, bucket_slot, position (in the whole
-    permutation), shard and slot.  Columns of those names are replaced."""
+    permutation), shard and slot."""
     spark = df.sparkSession
     ship_package(spark)
-    own = ("bucket", "bucket_slot", "position", "shard", "slot", "_h", "_size")
-    df = df.drop(*own)
-    hashed = scatter_hash(F.col(key_col), F.col(text_col), seed)
+    named = [c for c in df.columns if c not in RESULT]
+    # the carried columns travel as one struct, so their names cannot clash
+    rows = df.select(F.struct(*[F.col(c) for c in named]).alias("own"), (utf8_size(text_col) + 1).alias("_size"),
+                     scatter_hash(F.col(key_col), F.col(text_col), seed).alias("_h"))
 
-    slim = stored(df.select(hashed.alias("_h"), (utf8_size(text_col) + 1).alias("_size")), "shard-keys")
+    slim = stored(rows.select("_h", "_size"), "shard-keys")
     n, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    alike = slim.groupBy("_h").agg(F.sum("_size").alias("_b"), F.count(F.lit(1)).alias("_c"))
+    hot = stored(alike.where((F.col("_b") > bucket_bytes) & (F.col("_c") > 1)), "shard-hot")
+    if not hot.isEmpty():
+        rows = _spread_alike(rows, hot, seed, bucket_bytes)
+        slim = rows.select("_h", "_size")
     buckets = min(MAX_BUCKETS, max(1, -(-int(total) // bucket_bytes)))
     bucket = F.pmod(F.col("_h"), F.lit(buckets))
 
@@ -111,10 +126,8 @@ def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key_col: s
               .select("bucket", (F.col("_bs") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_start")))
 
     # pass 1: scatter; pass 2: shuffle each bucket
-    rows = (df.withColumn("_size", utf8_size(text_col) + 1).withColumn("_h", hashed)
-            .withColumn("bucket", bucket))
-    scattered = (rows.repartitionById(buckets, F.col("bucket").cast("int"))
-                 .sortWithinPartitions("bucket", "_h", F.col(key_col)))
+    scattered = (rows.withColumn("bucket", bucket).repartitionById(buckets, F.col("bucket").cast("int"))
+                 .sortWithinPartitions("bucket", "_h", F.col(f"own.`{key_col}`")))
     schema = T.StructType([*scattered.schema.fields, T.StructField("bucket_slot", T.LongType(), False)])
     shuffled = scattered.mapInArrow(
         _shuffle_buckets(seed, scattered.columns.index("_size"), scattered.columns.index("bucket")), schema)
@@ -130,7 +143,19 @@ def external_shuffle(df: DataFrame, shards: int = 16, seed: int = 42, key_col: s
              .otherwise(edge + (F.col("shard") - big) * small))
     return (placed.withColumn("shard", shard.cast("int"))
             .withColumn("slot", (p - first).cast("long"))
-            .drop("_h", "_size", "_start"))
+            .select(*[F.col("own")[c].alias(c) for c in named], *RESULT))
+
+
+def _spread_alike(rows: DataFrame, hot: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
+    """Rows of ``hot`` hashes (at most one per bucket) numbered, and hashed again with
+    their number in steps of an eighth of a bucket."""
+    near = F.broadcast(hot.select("_h", F.greatest(F.floor(F.lit(bucket_bytes / 8) * F.col("_c") / F.col("_b")), F.lit(1))
+                                  .alias("_step")))
+    some = rows.join(near, "_h").withColumn("_row", F.monotonically_increasing_id())
+    some = ordered_index(some, ["_h"], ["_row"], "_nth")
+    again = F.xxhash64(F.lit(seed), F.col("_h"), F.floor(F.col("_nth") / F.col("_step")))
+    rest = rows.join(F.broadcast(hot.select("_h")), "_h", "left_anti")
+    return rest.select("own", "_size", "_h").unionByName(some.select("own", "_size", again.alias("_h")))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -4,11 +4,10 @@ The cache is a Parquet table of (content digest, tokenizer digest, n_tokens) in
 a shared folder.  Counting a corpus takes four steps:
 
 1. one scan reduces every document to its key, size and content digest;
-2. digests are grouped (map-side combined, so a text held by a third of all
-   rows sends one row per task) and those already stored are removed;
-3. one representative text per missing digest is fetched by a join on the
-   document key (unique, so no group of copies meets in one task), encoded in
-   Arrow batches and appended to the cache;
+2. rows whose digest is stored already are left out;
+3. the rest is grouped by digest, with map-side combine: a text held by a third of
+   all rows, with whatever keys, is one row per task and then one.  It is encoded
+   in Arrow batches and appended to the cache;
 4. every document takes its count from the cache by a join on the digest
    (the stored side is unique; a hot digest is split by adaptive execution).
 
@@ -18,8 +17,9 @@ never reads old counts.  Concurrent or repeated appends may store a digest
 twice with the same count; readers group by digest.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens).  Null or repeated
-document keys keep their rows.  Columns of the input other than key and text
-are ignored, so clashing names do no harm.
+document keys keep their rows; very long texts are encoded whole; an empty table
+gives an empty result.  Columns of the input other than key and text are
+ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -120,19 +120,13 @@ def token_counts(df: DataFrame, model_path: str, cache_path: str, key_col: str =
         "token-keys")
 
     known = (read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == tok_digest)
-             .select("content_sha256"))
-    missing = (keyed.groupBy("content_sha256").agg(F.min("_key").alias("_key"))
-               .join(known, "content_sha256", "left_anti"))
-    texts = df.select(F.col(key_col).alias("_key"), F.col(text_col).alias("_text"))
-    # texts whose copies all lack a key have no representative: they are fetched as they are
-    wanted = (texts.where(F.col("_key").isNotNull())
-              .join(missing.select("_key"), "_key", "left_semi")
-              .unionByName(texts.where(F.col("_key").isNull())))
-    counted = count_texts(
-        wanted.select(
-            F.unhex(F.sha2(text_or_empty("_text").cast("binary"), 256)).alias("content_sha256"),
-            "_text"),
-        model_path, "_text", ["content_sha256"])
+             .select("content_sha256").distinct())
+    digest = F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)).alias("content_sha256")
+    texts = df.select(digest, text_or_empty(text_col).alias("_text"))
+    if not known.isEmpty():
+        texts = texts.join(known, "content_sha256", "left_anti")
+    distinct = texts.groupBy("content_sha256").agg(F.first("_text").alias("_text"))
+    counted = count_texts(distinct, model_path, "_text", ["content_sha256"])
     (counted.select("content_sha256", F.lit(tok_digest).alias("tokenizer_sha256"), "n_tokens")
      .write.mode("append").parquet(cache_path))
 

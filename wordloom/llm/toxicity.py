@@ -3,23 +3,27 @@
 Texts are folded first (NFKC, lower case, look-alike letters, digit and sign
 substitutions, invisible characters dropped), then every letter run is looked
 up with an Aho-Corasick automaton that holds whole words, word stems and
-exception phrases.  A word counts with its best entry's weight unless it lies
-inside an exception phrase.  The score is a logistic function of the summed
+exception phrases.  A one is read as an i and as an l.  A word counts with its
+best entry's weight unless it lies inside an exception phrase.  The score is a logistic function of the summed
 weight and of the weight per word (length normalised).
 
 Entries and weights are learned from labelled rows: document frequencies of
 folded words and word stems in toxic and in clean texts give smoothed log-odds;
 entries that are rare or not clearly toxic are left out; built-in words stay
-unless the labels speak against them.  The labelled sample is
+unless the labels speak against them.  Phrases of two words around an entry that
+clean texts have and toxic ones do not become exceptions beside the built-in
+ones.  The labelled sample is
 bounded (``max_labelled`` rows, the first by a hash of the key), which bounds
 the lexicon and the calibration data; every document is scored whole.
 
 The driver's training data are the sample's (weight, length, label) rows and
 the lexicon, both bounded by parameters.  Scoring runs in the scan's tasks.
 
-Nulls and empty texts score as texts without entries.  Labels that are null
-are ignored; a key with several labels is toxic if one of them is.  Rows with
-a null key are scored and count as not held out.  Without labelled rows of both
+Nulls and empty texts score as texts without entries, an empty table gives an
+empty result, equal texts have equal scores, very long texts are scored whole.
+Labels that are null are ignored; a key with several labels is toxic if one of
+them is; of rows that repeat a key one is learned from.  Rows with a null key are
+scored and count as not held out.  Carried columns may have any name.  Without labelled rows of both
 kinds the built-in word list and default calibration are used.
 """
 
@@ -28,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -45,6 +50,8 @@ MAX_LEXICON = 20_000
 MIN_DOCS = 3
 MIN_PRECISION = 0.95
 STEM_LENGTHS = (4, 5, 6)
+MAX_EXCEPTIONS = 5_000
+MAX_PHRASE = 80          # characters
 
 # fixed values: letters that look like Latin ones, and signs used for letters
 HOMOGLYPHS = {
@@ -68,10 +75,20 @@ _FOLD.update({ord(c): None for c in INVISIBLE})
 _RUN = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str) -> str:
+_OTHER = {**_FOLD, ord("1"): "l"}      # a one may stand for an i or an l
+
+
+def fold(text: str, other: bool = False) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return text.lower().translate(_FOLD)
+    return text.lower().translate(_OTHER if other else _FOLD)
+
+
+def readings(text: str) -> list[str]:
+    """The folded texts of equal length: one, or two if ones can be read in two ways."""
+    first = fold(text)
+    other = fold(text, True)
+    return [first] if other == first else [first, other]
 
 
 def features(text: str, stems: Sequence[int] = STEM_LENGTHS) -> list[str]:
@@ -116,30 +133,68 @@ def design(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def match(automaton, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
     """(summed weight, words, matched spans of the folded text)."""
-    t = fold(text)
-    words = len(_RUN.findall(t))
+    texts = readings(text)
+    words = len(_RUN.findall(texts[0]))
     if not len(automaton):
         return 0.0, words, []
     best: dict[int, tuple[int, float]] = {}
     safe: list[tuple[int, int]] = []
-    size = len(t)
-    for last, entries in automaton.iter(t):
-        for kind, n, w in entries:
-            start = last - n + 1
-            if start and t[start - 1].isalpha():
-                continue
-            if kind != "^" and last + 1 < size and t[last + 1].isalpha():
-                continue
-            if kind == "!":
-                safe.append((start, last))
-            elif start not in best or w > best[start][1]:
-                best[start] = (last, w)
-    spans = [(s, e, w) for s, (e, w) in sorted(best.items())
-             if not any(a <= s and e <= b for a, b in safe)]
+    for t in texts:
+        size = len(t)
+        for last, entries in automaton.iter(t):
+            for kind, n, w in entries:
+                start = last - n + 1
+                if start and t[start - 1].isalpha():
+                    continue
+                if kind != "^" and last + 1 < size and t[last + 1].isalpha():
+                    continue
+                if kind == "!":
+                    safe.append((start, last))
+                elif start not in best or w > best[start][1]:
+                    best[start] = (last, w)
+    safe = _joined(safe)
+    firsts = [a for a, _b in safe]
+    spans = []
+    for s, (e, w) in sorted(best.items()):
+        i = bisect_right(firsts, s) - 1
+        if i < 0 or safe[i][1] < e:
+            spans.append((s, e, w))
     return sum(w for _s, _e, w in spans), words, spans
 
 
-def _scored(df: DataFrame, model: ToxicModel, text_col: str, keep: list[str]) -> DataFrame:
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, each with the furthest end of those that start up to it."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        e = max(e, out[-1][1]) if out and out[-1][1] >= s else e
+        if out and out[-1][0] == s:
+            out[-1] = (s, max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def neighbours(automaton, text: str) -> list[str]:
+    """Two-word phrases of a text, folded, that hold a matched word: what could
+    make the word harmless."""
+    t = fold(text)
+    runs = [(m.start(), m.end()) for m in _RUN.finditer(t)]
+    at = {s: i for i, (s, _e) in enumerate(runs)}
+    found = set()
+    for s, _e, _w in match(automaton, text)[2]:
+        i = at.get(s)
+        for j in (i - 1, i) if i is not None else ():
+            if 0 <= j and j + 1 < len(runs):
+                phrase = t[runs[j][0]:runs[j + 1][1]]
+                if phrase.count(" ") == 1 and len(phrase) <= MAX_PHRASE:
+                    found.add(phrase)
+    return sorted(found)
+
+
+def _by_text(df: DataFrame, model: ToxicModel, text_col: str, keep: list[str], fields: list[T.StructField],
+             each) -> DataFrame:
+    """``own`` (struct of the ``keep`` columns, so that their names cannot clash) and
+    the ``fields`` that ``each`` makes of (automaton, texts)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -148,16 +203,22 @@ def _scored(df: DataFrame, model: ToxicModel, text_col: str, keep: list[str]) ->
         def run(batch: pa.RecordBatch):
             col = batch.column(batch.num_columns - 1)
             for lo, hi in row_chunks(byte_sizes(col), CHUNK_BYTES):
-                texts = [t or b"" for t in col.slice(lo, hi - lo).to_pylist()]
-                found = [match(automaton, t.decode("utf-8", "replace"))[:2] for t in texts]
-                yield lo, hi, [pa.array([float(w) for w, _n in found], pa.float64()),
-                               pa.array([n for _w, n in found], pa.int64())]
+                yield lo, hi, each(automaton, [(t or b"").decode("utf-8", "replace")
+                                               for t in col.slice(lo, hi - lo).to_pylist()])
         return run
 
-    src = "_toxic_bytes"
-    fields = [T.StructField("_weight", T.DoubleType(), False), T.StructField("_words", T.LongType(), False)]
-    return map_arrow(df.withColumn(src, F.col(text_col).cast("string").cast("binary")), keep, fields,
-                     make, [src])
+    own = F.struct(*[F.col(c) for c in keep], F.lit(True).alias("__")).alias("own")
+    return map_arrow(df.select(own, F.col(text_col).cast("string").cast("binary").alias("text")), ["own"], fields, make, ["text"])
+
+
+def _scored(df: DataFrame, model: ToxicModel, text_col: str, keep: list[str]) -> DataFrame:
+    """``own``, weight and words of every row."""
+    def each(automaton, texts):
+        found = [match(automaton, t)[:2] for t in texts]
+        return [pa.array([float(w) for w, _n in found], pa.float64()), pa.array([n for _w, n in found], pa.int64())]
+
+    return _by_text(df, model, text_col, keep, [T.StructField("weight", T.DoubleType(), False),
+                                                T.StructField("words", T.LongType(), False)], each)
 
 
 def held_out(key: str | Column, folds: int = 5) -> Column:
@@ -195,9 +256,10 @@ def _learn(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, labe
                            & ~held_out(key_col, folds))
               .groupBy(F.col(key_col).alias("_key")).agg(F.max(label_col).cast("int").alias("_toxic"))
               .orderBy(F.xxhash64("_key"), "_key").limit(max_labelled))
-    texts = (docs.select(F.col(key_col).alias("_key"), F.col(text_col).alias("_text"))
-             .join(F.broadcast(sample), "_key"))      # at most max_labelled rows
-    texts = stored(texts, "toxic-sample")
+    texts = (docs.select(F.col(key_col).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+             .join(F.broadcast(sample), "_key"))
+    # a key that repeats counts once, with its least text: at most max_labelled rows
+    texts = stored(texts.groupBy("_key", "_toxic").agg(F.min("_text").alias("_text")), "toxic-sample")
 
     def make():
         def run(batch: pa.RecordBatch):
@@ -206,8 +268,8 @@ def _learn(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, labe
                 yield lo, hi, [pa.array([features(t) for t in rows[lo:hi]], pa.list_(pa.string()))]
         return run
 
-    listed = map_arrow(texts, ["_toxic"], [T.StructField("_f", T.ArrayType(T.StringType()), False)],
-                       make, ["_text"])
+    listed = stored(map_arrow(texts, ["_toxic"], [T.StructField("_f", T.ArrayType(T.StringType()), False)],
+                              make, ["_text"]), "toxic-features")
     n_toxic, n_clean = (texts.agg(F.coalesce(F.sum("_toxic"), F.lit(0)),
                                   F.coalesce(F.sum(1 - F.col("_toxic")), F.lit(0))).first())
     if not n_toxic or not n_clean:
@@ -229,7 +291,9 @@ def _learn(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, labe
     base = {e: w for e, w in model.weights.items()
             if e not in seen or seen[e][0] * n_clean > seen[e][1] * n_toxic}
     model.weights = base | {r[0]: float(r[1]) for r in kept}
-    rows = _scored(texts, model, "_text", ["_toxic"]).collect()      # at most max_labelled rows
+    model.exceptions = tuple(sorted({*model.exceptions, *_harmless(texts, model)}))
+    rows = (_scored(texts, model, "_text", ["_toxic"]).select("own._toxic", "weight", "words")
+            .collect())                                              # at most max_labelled rows
     y = np.array([r[0] for r in rows], float)
     x = design(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
     model.coef = tuple(float(v) for v in _fit_logistic(x, y))
@@ -238,6 +302,18 @@ def _learn(docs: DataFrame, labels: DataFrame, key_col: str, text_col: str, labe
     return model
 
 
+def _harmless(texts: DataFrame, model: ToxicModel) -> list[str]:
+    """Phrases around an entry that ``MIN_DOCS`` clean texts of the sample or more
+    have and no toxic one, the most frequent ``MAX_EXCEPTIONS``."""
+    def each(automaton, rows):
+        return [pa.array([neighbours(automaton, t) for t in rows], pa.list_(pa.string()))]
+
+    listed = _by_text(texts, model, "_text", ["_toxic"], [T.StructField("p", T.ArrayType(T.StringType()), False)], each)
+    counts = (listed.select("own._toxic", F.explode("p").alias("phrase")).groupBy("phrase")
+              .agg(F.sum("_toxic").alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("t") == 0) & (F.col("n") >= MIN_DOCS)))
+    return [r["phrase"] for r in counts.orderBy(F.desc("n"), "phrase").limit(MAX_EXCEPTIONS).collect()]
+
+
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list[str] | None = None,
           score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """``keep`` columns (default all) with a score in 0..1 and a prediction;
@@ -245,8 +321,8 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (score_col, predicted_col)]
     rows = _scored(docs, model, text_col, keep)
     c0, c1, c2 = (F.lit(float(c)) for c in model.coef)
-    z = (c0 + c1 * F.log1p(F.col("_weight"))
-         + c2 * F.log1p(100.0 * F.col("_weight") / F.greatest(F.col("_words"), F.lit(1))))
-    return (rows.withColumn(score_col, 1.0 / (1.0 + F.exp(-z)))
-            .withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
-            .select(*keep, score_col, predicted_col))
+    z = (c0 + c1 * F.log1p(F.col("weight"))
+         + c2 * F.log1p(100.0 * F.col("weight") / F.greatest(F.col("words"), F.lit(1))))
+    value = 1.0 / (1.0 + F.exp(-z))
+    return rows.select(*[F.col("own")[c].alias(c) for c in keep], value.alias(score_col),
+                       (value >= 0.5).cast("int").alias(predicted_col))
