@@ -9,22 +9,28 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import REQUIRED_MODEL_FILES
 from ..session import ship_package
+from .tensor_files import HeaderSource, TensorSource
 
 # fixed values: bytes of one element
 DTYPE_BYTES = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1}
 HEADER_SCHEMA = "map<string,struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>>"
 
 
+def _source(spark: SparkSession, source, path: str, **options) -> DataFrame:
+    ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")     # Spark wants it for sources that take filters
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).options(**options).load(path)
+
+
 def header_length(content: Column) -> Column:
     """First 8 bytes as an unsigned little-endian integer (byte order reversed
     on the hex text, so no byte is ever decoded as a character)."""
@@ -34,7 +40,8 @@ def header_length(content: Column) -> Column:
 
 
 def catalogue(files: DataFrame) -> DataFrame:
-    """A4: binaryFile rows -> one row per tensor: ``(path, header_len, name,
+    """A4: files (path, length, content: the whole file or its header at least) ->
+    one row per tensor: ``(path, header_len, name,
     dtype, shape, numel, begin_off, end_off, data_start, status, reason)``;
     ``__metadata__`` (no dtype) is skipped.
 
@@ -43,7 +50,7 @@ def catalogue(files: DataFrame) -> DataFrame:
     reason; so does a tensor whose offsets lie outside the data or do not agree
     with its shape.  Nothing is dropped silently.
     """
-    size = F.octet_length("content").cast("long")
+    size = F.col("length").cast("long")
     # an unsigned length above the file's own is refused before it is used
     hl = F.when(size >= 8, header_length(F.col("content")))
     fits = hl.isNotNull() & (hl >= 0) & (hl <= size - 8)
@@ -77,60 +84,32 @@ def catalogue(files: DataFrame) -> DataFrame:
 
 
 def scan_models(spark: SparkSession, path: str) -> DataFrame:
-    """A4 over a directory (or glob) of many safetensors files."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors")
-             .option("recursiveFileLookup", "true").load(path))
-    return catalogue(files)
-
-
-SLICE_ROWS = 4096
-
-
-def _rows_fn():
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, f in pdf.iterrows():
-                buf = f["content"]
-                for t in f["tensors"]:
-                    if t["dtype"] != "F32":
-                        raise ValueError(f"tensor {t['name']} is {t['dtype']}, not F32")
-                    start = int(f["data_start"]) + int(t["begin_off"])
-                    shape = [int(s) for s in t["shape"]]
-                    flat = np.frombuffer(buf, dtype="<f4", count=int(t["numel"]), offset=start)
-                    mat = flat.reshape(-1, shape[-1] if shape else 1)
-                    for lo in range(0, len(mat), SLICE_ROWS):
-                        part = mat[lo:lo + SLICE_ROWS]
-                        yield pd.DataFrame({"path": f["path"], "name": t["name"],
-                                            "row": np.arange(lo, lo + len(part), dtype=np.int64),
-                                            "vec": list(part.astype(np.float32))})
-    return run
-
-
-def weight_rows(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
+    """A4 over a directory of many safetensors files (or one file): a task reads
+    the header of a file, never its tensors."""
+    return catalogue(_source(spark, HeaderSource, path))
+
+
+def weight_rows(spark: SparkSession, path: str, names: Sequence[str] | None = None,
+                range_bytes: int = 32 << 20) -> DataFrame:
     """A5: tensors as rows ``(path, name, row, vec array<float>)`` (row-major;
     a 1-D tensor is one row).  A bad file, a tensor that any one file lacks and
-    a non-F32 tensor fail.  Spark's Python API reads a binary file as one
-    value, so a file is one task; its rows leave in slices of ``SLICE_ROWS``."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors")
-             .option("recursiveFileLookup", "true").load(path))
-    ship_package(spark)
-    cat = catalogue(files)
+    a non-F32 tensor fail.  A task reads one byte range of a file: the rows that
+    begin in it, of the wanted tensors only."""
+    cat = scan_models(spark, path)
     wanted = F.array(*[F.lit(n) for n in (names or [])]).cast("array<string>")
+    chosen = F.lit(True) if names is None else F.array_contains(wanted, F.col("name"))
     per_file = cat.groupBy("path").agg(
         F.max("reason").alias("bad"),
+        F.max(F.when(chosen & (F.col("dtype") != "F32"), F.concat_ws(" ", "name", F.lit("is"), "dtype"))).alias("other"),
         F.collect_set(F.when(F.array_contains(wanted, F.col("name")), F.col("name"))).alias("have"))
-    wrong = (per_file.select("path", "bad", F.array_sort(F.array_except(wanted, "have")).alias("missing"))
-             .where(F.col("bad").isNotNull() | (F.size("missing") > 0)).orderBy("path").limit(5).collect())
+    wrong = (per_file.select("path", "bad", "other", F.array_sort(F.array_except(wanted, "have")).alias("missing"))
+             .where(F.col("bad").isNotNull() | F.col("other").isNotNull() | (F.size("missing") > 0))
+             .orderBy("path").limit(5).collect())
     if wrong:
-        raise ValueError("; ".join(f"{r['path']}: {r['bad'] or 'missing tensors: ' + str(r['missing'])}" for r in wrong))
-    some = cat if names is None else cat.where(F.array_contains(wanted, F.col("name")))
-    tensors = some.groupBy("path", "data_start").agg(F.collect_list(F.struct(
-        "name", "dtype", "shape", "numel", "begin_off")).alias("tensors"))
-    joined = files.select("path", "content").join(tensors, "path")
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()),
-                           T.StructField("row", T.LongType()),
-                           T.StructField("vec", T.ArrayType(T.FloatType()))])
-    return joined.mapInPandas(_rows_fn(), schema)
+        raise ValueError("; ".join(f"{r['path']}: {r['bad'] or (r['other'] and r['other'] + ', not F32') or 'missing tensors: ' + str(r['missing'])}"
+                                   for r in wrong))
+    rows = _source(spark, TensorSource, path, range_bytes=range_bytes)
+    return rows if names is None else rows.where(F.col("name").isin(list(names)))
 
 
 def read_tensors(spark: SparkSession, path: str, max_bytes: int) -> dict[str, np.ndarray]:
