@@ -185,3 +185,24 @@ def test_embed_text_of_null_is_null(spark, fx):
     register_udfs(spark, vocab, model)
     got = spark.sql("SELECT embed_text(t) AS v, token_count(t) AS n FROM VALUES ('a'), (CAST(NULL AS STRING)) AS x(t)").collect()
     assert got[0]["v"] is not None and got[1]["v"] is None and got[1]["n"] == 0
+
+
+def test_a_stream_goes_on_from_a_batch_run(spark, scratch):
+    """Open batches take items of the stream, full and over ones do not, a key
+    without further items closes by its timer, and new keys start at 0."""
+    from wordloom.streaming.batcher import handover
+
+    hour = 3600
+    history = [(1, i, 10 * hour + i) for i in range(10)] + [(2, 20, 9 * hour)] + [(4, 40 + i, 10 * hour) for i in range(8)]
+    rest = [(1, 12, 11 * hour), (1, 13, 14 * hour), (3, 30, 12 * hour), (4, 50, 10 * hour + 30), (1, 14, 14 * hour + 5)]
+    whole = _events(spark, history + rest)
+    want = sorted(tuple(r) for r in assign_batches(whole.withColumn("ts", F.col("ts").cast("timestamp_ntz")),
+                                                   "user_id", "event_id", "ts", WAIT).collect())
+    old = _events(spark, history + [(None, 70, 5)]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    over, state = handover(old, "user_id", "event_id", "ts", WAIT)
+    assert sorted((r["k"], r["batch"], r["item"]) for r in state.collect()) == \
+        [(1, 1, 8), (1, 1, 9), (2, 0, 20)] + [(4, 0, 40 + i) for i in range(8)]
+    got = _run_batcher(spark, scratch, [_events(spark, rest), _events(spark, [FLUSH])], "h2_handover", initial=state,
+                       idle="100000 days")
+    done = sorted(tuple(r) for r in over.collect() if r["key"] is not None)
+    assert sorted(done + [r for r in got if r[0] != 999]) == want

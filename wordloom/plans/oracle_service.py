@@ -142,3 +142,5 @@ WITH RECURSIVE ev AS (
 )
 SELECT ev.user_id, ev.event_id, CAST(c.b AS BIGINT) AS batch_no, CAST(ev.i - c.s AS BIGINT) AS pos_in_batch
 FROM ev JOIN chain c ON c.user_id = ev.user_id AND ev.i >= c.s AND ev.i < c.e"""
+
+SQL["h2_handover"] = SQL["h2_size_or_time_batches"]

@@ -63,6 +63,7 @@ def queries() -> dict[str, Query]:
         "e6_batch_throughput": sq.e6_batch_throughput,
         "s1_sorted_latencies": sq.s1_sorted_latencies,
         "h2_size_or_time_batches": sq.h2_size_or_time_batches,
+        "h2_handover": sq.h2_handover,
         "j2_token_embeddings": mq.j2_token_embeddings,
         "d3_first_token_pool": mq.d3_first_token_pool,
         "d1_embed_documents": mq.d1_embed_documents,

@@ -178,3 +178,27 @@ def h2_size_or_time_batches(spark, sf):
     b = assign_batches(_events(spark, sf), "user_id", "event_id", "ts", H2_WAIT_US, H2_SIZE)
     return b.select(F.col("key").alias("user_id"), F.col("item_id").alias("event_id"),
                     "batch_no", F.col("pos_in_batch").cast("long").alias("pos_in_batch"))
+
+
+def h2_handover(spark, sf):
+    """The first half of the time as a batch run, the rest as a stream that goes on
+    from its open batches; a far later item of another key moves event time on."""
+    import datetime
+
+    from ..session import scratch_path
+    from ..streaming.batcher import batch_stream, handover
+    from .text_queries import run_to_end
+    ev = _events(spark, sf).select("user_id", "event_id", "ts")
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    cut = F.lit(lo + (hi - lo) / 2)
+    over, state = handover(ev.where(F.col("ts") < cut), "user_id", "event_id", "ts", H2_WAIT_US, H2_SIZE)
+    path, out = scratch_path(spark, "h2-rest"), scratch_path(spark, "h2-stream")
+    end = spark.createDataFrame([(-1, -1, hi + datetime.timedelta(days=3650))], ev.schema)
+    ev.where(F.col("ts") >= cut).unionByName(end).write.parquet(path)
+    stream = batch_stream(spark.readStream.schema(ev.schema).parquet(path), "user_id", "event_id", "ts", H2_WAIT_US, H2_SIZE,
+                          idle="4000 days", initial=state)
+    run_to_end(stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "h2-ckpt"))
+               .outputMode("append").trigger(availableNow=True).start(out))
+    every = over.unionByName(spark.read.schema(over.schema).parquet(out).where("key <> -1"))
+    return every.select(F.col("key").alias("user_id"), F.col("item_id").alias("event_id"), "batch_no",
+                        F.col("pos_in_batch").cast("long").alias("pos_in_batch"))

@@ -5,7 +5,7 @@ same key iff it holds fewer than ``size`` items and ``t - t0 < wait`` (at
 exactly the limit the item opens a new batch).
 
 Batch form (``assign_batches``): a fold over a key's items in time order, done
-in one shuffle and a fixed number of jobs whatever the length of a key:
+with one sort and a fixed number of jobs whatever the length of a key:
   1. items are range-partitioned and sorted by (key, time, item) and written
      once, so a key that holds a third of all items is spread over many tasks;
   2. only the key that a partition shares with the one before it is open: its
@@ -15,11 +15,13 @@ in one shuffle and a fixed number of jobs whatever the length of a key:
   3. the driver chains these reports (a few numbers per partition) and gives
      every partition the batch that is open when it begins;
   4. each partition folds its items once more, from that state, and numbers them.
+The sorted table is dealt out by partition number again for steps 2 and 4.
 
 Stream form (``batch_stream``): ``transformWithStateInPandas`` keeps per key the
 open batch (number, opening time, items), in event time.  A timer closes a
 batch when its wait ends although nothing more arrives; the watermark bounds
-how late an item may be, and a key that stays idle loses its state.
+how late an item may be, and a key that stays idle loses its state.  A stream can
+go on where a batch run over the history ends (``handover``).
 """
 
 from __future__ import annotations
@@ -144,8 +146,8 @@ def _number(states: dict[int, tuple[int, int, int]], wait_us: int, size: int):
                 numbers.append(now.batch)
                 places.append(now.held - 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(3), pa.array(numbers, pa.int64()), pa.array(places, pa.int32())],
-                names=["key", "item_id", "batch_no", "pos_in_batch"])
+                [b.column(1), b.column(3), pa.array(numbers, pa.int64()), pa.array(places, pa.int32()), b.column(2)],
+                names=["key", "item_id", "batch_no", "pos_in_batch", "t"])
     return run
 
 
@@ -153,6 +155,25 @@ def assign_batches(items: DataFrame, key: str, item_id: str, ts: str,
                    wait_us: int = DEFAULT_WAIT_US, size: int = BATCH_MAX_ITEMS) -> DataFrame:
     """-> ``(key, item_id, batch_no, pos_in_batch)``; order within a key is
     ``(ts, item_id)``.  Keys and items are longs; null keys are a key."""
+    return _assigned(items, key, item_id, ts, wait_us, size).drop("t")
+
+
+def handover(items: DataFrame, key: str, item_id: str, ts: str, wait_us: int = DEFAULT_WAIT_US,
+             size: int = BATCH_MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """History for a stream to go on from: (batches that are over, state).  A key's
+    last batch may still take items of the stream, so its items (at most ``size``)
+    are the state ``(k, batch, t, item)`` that ``batch_stream`` takes as ``initial``;
+    all earlier batches are over.  Items of the stream must not be earlier than the
+    history's.  Rows without a key stay in the history."""
+    rows = stored(_assigned(items, key, item_id, ts, wait_us, size), "h2-history")
+    last = rows.where("key is not null").groupBy("key").agg(F.max("batch_no").alias("batch_no"))
+    state = rows.join(last, ["key", "batch_no"]).select(
+        F.col("key").alias("k"), F.col("batch_no").alias("batch"), "t", F.col("item_id").alias("item"))
+    over = rows.join(last, ["key", "batch_no"], "left_anti").select("key", "item_id", "batch_no", "pos_in_batch")
+    return over, state
+
+
+def _assigned(items: DataFrame, key: str, item_id: str, ts: str, wait_us: int, size: int) -> DataFrame:
     spark = items.sparkSession
     ship_package(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -166,16 +187,18 @@ def assign_batches(items: DataFrame, key: str, item_id: str, ts: str,
     report = rows.mapInArrow(_report(wait_us, size), "pid long, first_key long, last_key long, whole boolean, "
                              "times array<long>, exits array<array<long>>, last array<long>").collect()
     states = _chain(report, wait_us, size)            # a few numbers per partition
-    return rows.mapInArrow(_number(states, wait_us, size), OUTPUT)
+    return rows.mapInArrow(_number(states, wait_us, size), OUTPUT + ", t long")
 
 
 def batch_stream(items: DataFrame, key: str, item_id: str, ts: str, wait_us: int = DEFAULT_WAIT_US,
-                 size: int = BATCH_MAX_ITEMS, late: str = "10 seconds", idle: str = "1 hour") -> DataFrame:
+                 size: int = BATCH_MAX_ITEMS, late: str = "10 seconds", idle: str = "1 hour",
+                 initial: DataFrame | None = None) -> DataFrame:
     """Streaming H2: items are numbered when their batch closes (it is full, an
     item past its wait arrives, or event time passes its end), so an item
     within the watermark delay ``late`` takes its place in time order; later
     ones are dropped by the watermark.  A key without items for ``idle`` of event
-    time loses its state and starts again at batch 0.
+    time loses its state and starts again at batch 0.  ``initial`` is the state that
+    ``handover`` leaves: batch numbers go on and open batches take further items.
 
     -> ``(key, item_id, batch_no, pos_in_batch)``; ``ts`` is a timestamp column.
     """
@@ -187,7 +210,7 @@ def batch_stream(items: DataFrame, key: str, item_id: str, ts: str, wait_us: int
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return base.groupBy("k").transformWithStateInPandas(
         statefulProcessor=make_processor(wait_us, size, idle_ms), outputStructType=OUTPUT,
-        outputMode="append", timeMode="eventTime")
+        outputMode="append", timeMode="eventTime", initialState=None if initial is None else initial.groupBy("k"))
 
 
 def make_processor(wait_us: int, size: int, idle_ms: int):
@@ -232,6 +255,13 @@ def make_processor(wait_us: int, size: int, idle_ms: int):
             return pd.DataFrame(out, columns=["key", "item_id", "batch_no", "pos_in_batch"]).astype(
                 {"key": "int64", "item_id": "int64", "batch_no": "int64", "pos_in_batch": "int32"})
 
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+            held += list(zip(initialState["t"].tolist(), initialState["item"].tolist()))
+            self.next.update((int(initialState["batch"].min()),))
+            self.waiting.put(sorted((int(t), int(i)) for t, i in held))
+            self._timer(-(-(min(held)[0] + wait_us) // 1000))
+
         def handleInputRows(self, key, rows, timerValues):
             held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
             for pdf in rows:
