@@ -3,7 +3,10 @@
 ``register_udfs`` registers, for use in ``spark.sql``:
   * ``token_count(text)``  -- Arrow-batched pandas UDF (U2)
   * ``embed_text(text)``   -- iterator pandas UDF, weights loaded once per worker (U1)
-  * ``tokenize(text)``     -- Python UDTF: rows ``(pos, token, id)`` via LATERAL (U3)
+  * ``token_rows(TABLE(encoded) [PARTITION BY ...])`` -- Arrow UDTF over a table of
+    encoded texts (doc_id, tokens, ids): rows ``(doc_id, pos, token, id)``, whole
+    Arrow batches at a time (U3)
+  * ``tokenize(text)``     -- Python UDTF for a single text: rows ``(pos, token, id)`` via LATERAL
 The vocabulary reaches workers as a size-checked broadcast.  For whole tables
 prefer the relational functions (``operators.wordpiece.tokenize`` + ``embed``),
 which keep tokenisation inside Catalyst.
@@ -15,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,10 +95,30 @@ def make_tokenize_udtf(vbc, max_seq: int = MAX_SEQ):
     return F.udtf(Tokenize, returnType="pos int, token string, id int")
 
 
+def make_token_rows():
+    """The token table as a table function.  Tokenising is the relational plan's
+    work (``tokenize`` and ``encode``); a batch of encoded texts becomes its tokens by
+    flattening its lists, without a Python object per token."""
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        given = batch.filter(pc.is_valid(batch.column("ids")))
+        ids, tokens = given.column("ids"), given.column("tokens")
+        lens = np.asarray(pc.list_value_length(ids), dtype=np.int64)
+        pos = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+        yield pa.table({"doc_id": given.column("doc_id").take(pc.list_parent_indices(ids)),
+                        "pos": pa.array(pos, pa.int32()), "token": pc.list_flatten(tokens), "id": pc.list_flatten(ids)})
+
+    # Spark reads the types themselves, not their names
+    eval.__annotations__ = {"batch": pa.RecordBatch, "return": Iterator[pa.Table]}
+    handler = type("TokenRows", (), {"eval": eval, "__module__": __name__})
+    return F.arrow_udtf(handler, returnType="doc_id bigint, pos int, token string, id int")
+
+
 def register_udfs(spark: SparkSession, vocab: DataFrame, model: Model | None = None) -> None:
     ship_package(spark)
     vbc = vocab_broadcast(spark, vocab)
     spark.udf.register("token_count", make_token_count(vbc))
     spark.udtf.register("tokenize", make_tokenize_udtf(vbc))
+    spark.udtf.register("token_rows", make_token_rows())
     if model is not None:
         spark.udf.register("embed_text", make_embed_text(vbc, model))

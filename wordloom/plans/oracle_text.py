@@ -207,3 +207,5 @@ FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN 'null_text'
 
 SQL["h3_admission"] = """
 SELECT CAST(count(*) AS HUGEINT) AS n_docs, CAST(1 AS BIGINT) AS most_files_at_once FROM documents"""
+
+SQL["u3_token_rows"] = SQL["c4_token_table"]

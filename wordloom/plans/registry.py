@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "c2_wordpiece": tq.c2_wordpiece,
         "c3_tokenize": tq.c3_tokenize,
         "c4_token_table": tq.c4_token_table,
+        "u3_token_rows": tq.u3_token_rows,
         "c5_encode": tq.c5_encode,
         "c6_token_count": tq.c6_token_count,
         "j1_vocab_lookup": tq.j1_vocab_lookup,

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +172,21 @@ def c4_token_table(spark, sf):
                                    "token", F.col("token_id").cast("long").alias("token_id"))
 
 
+def u3_token_rows(spark, sf):
+    """The token table out of a table function over the encoded documents."""
+    from ..functions.udfs import make_token_rows
+    from ..session import ship_package
+    ship_package(spark)
+    spark.udtf.register("token_rows", make_token_rows())
+    enc = encoded_docs(spark, sf, carry=(), with_tokens=True)
+    buckets = F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bucket")
+    name = f"wl_encoded_{uuid.uuid4().hex[:12]}"
+    enc.select("doc_id", "tokens", "ids", buckets).createOrReplaceTempView(name)
+    rows = spark.sql(f"SELECT * FROM token_rows(TABLE({name}) PARTITION BY bucket)")
+    spark.catalog.dropTempView(name)
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "token", F.col("id").cast("long").alias("token_id"))
+
+
 def c5_encode(spark, sf):
     enc = encoded_docs(spark, sf, carry=())
     return enc.select("doc_id", F.array_join("ids", ",").alias("ids"), "truncated")
