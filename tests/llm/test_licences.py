@@ -53,3 +53,21 @@ def test_query_equals_sql(spark):
     got = sorted((tuple(r[c] for c in cols) for r in queries.op1_licences(spark, "/root/testdata/sf0.001").collect()),
                  key=str)
     assert got == want
+
+
+def test_spellings_are_replaced_at_word_beginnings_only(spark):
+    df = spark.createDataFrame([("demand organic", "d emanorganic"), ("x and or y", "x or y"), ("sales per centre", "sales per center"),
+                                ("ten per cent\nand or", "ten percent\nor"), ("unauthorised", "unauthorized")], "a string, b string")
+    from pyspark.sql import functions as F
+    got = [tuple(r) for r in df.select(licences.canonical_lines(F.col("a")), licences.canonical_lines(F.col("b"))).collect()]
+    assert got[0][0] == "demand organic" and [a == b for a, b in got] == [False, True, True, True, False]
+
+
+def test_licences_from_a_folder(spark, scratch):
+    for name, text in (("MIT.txt", MIT), ("MIT.title.txt", "MIT License\n" + MIT), ("Own-2.0.txt", "You may do as you like.\nTwice.")):
+        with open(f"{scratch}/{name}", "w") as f:
+            f.write(text)
+    known = licences.read_known(spark, scratch)
+    assert sorted({n for n, _t in known}) == ["MIT", "Own-2.0"] and len(known) == 3
+    df = spark.createDataFrame([(1, "you may do, as you like -- twice"), (2, MIT.lower())], "doc_id long, text string")
+    assert [r["licence_id"] for r in licences.scan(df, known=known).orderBy("doc_id").collect()] == ["Own-2.0", "MIT"]

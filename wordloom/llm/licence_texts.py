@@ -92,7 +92,8 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Licensed under CC0 1.0."),
 )
 
-# spelling -> canonical spelling, applied to lower-case text
+# spelling -> canonical spelling, applied to lower-case text at the beginnings of words; those that end
+# in a blank are whole words
 EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"),
     ("artefact", "artifact"), ("authoris", "authoriz"), ("calibre", "caliber"), ("cancelled", "canceled"),
@@ -102,6 +103,6 @@ EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("maximis", "maximiz"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"),
     ("optimis", "optimiz"), ("organis", "organiz"), ("practise", "practice"), ("programme", "program"),
     ("realis", "realiz"), ("recognis", "recogniz"), ("signalling", "signaling"), ("utilis", "utiliz"),
-    ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("sub license", "sublicense"),
-    ("non infringement", "noninfringement"), ("and or", "or"), ("https", "http"),
+    ("whilst", "while"), ("wilful", "willful"), ("per cent ", "percent "), ("sub license", "sublicense"),
+    ("non infringement", "noninfringement"), ("and or ", "or "), ("https", "http"),
 )

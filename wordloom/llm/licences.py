@@ -8,7 +8,8 @@ joined with the digests of the known licences: an entire text is a known licence
 or it is not.  Every line of a text is looked up the same way (in a map of the
 known digests), which finds notices such as ``Released under the MIT License.``
 
-The known licences are a parameter (at most ``MAX_KNOWN`` texts), so their side
+The known licences are a parameter (at most ``MAX_KNOWN`` texts; ``read_known`` reads
+them from a folder), so their side
 of the join is broadcast; documents are scanned once and never shuffled, which
 no group of copies can skew.
 
@@ -18,6 +19,7 @@ canonical form and match nothing.  Null or repeated keys keep their rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,7 @@ from .common import text_or_empty
 from .licence_texts import EQUIVALENT, KNOWN
 
 MAX_KNOWN = 5_000
+MAX_KNOWN_BYTES = 64 << 20
 # fixed patterns, shared with the SQL form
 COPYRIGHT_LINE = (r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)"
                   r"(?:[ \t:.,-]*(?:\(c\)|©|copyright|[0-9<\[{]|by[ \t]|$))[^\n]*$")
@@ -40,9 +43,10 @@ def canonical_lines(text: Column) -> Column:
     t = F.lower(text)
     t = F.regexp_replace(t, COPYRIGHT_LINE, "")
     t = F.regexp_replace(t, RIGHTS_LINE, "")
-    t = F.regexp_replace(t, BREAKS, " ")
+    # blanks around every line, so that words are bounded by them
+    t = F.concat(F.lit(" "), F.replace(F.regexp_replace(t, BREAKS, " "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in EQUIVALENT:
-        t = F.replace(t, F.lit(a), F.lit(b))
+        t = F.replace(t, F.lit(" " + a), F.lit(" " + b))
     return F.regexp_replace(F.regexp_replace(t, LINE_ENDS, "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -54,8 +58,9 @@ def canonical_lines_sql(text: str) -> str:
     t = f"lower({text})"
     for pattern, to in ((COPYRIGHT_LINE, "''"), (RIGHTS_LINE, "''"), (BREAKS, "' '")):
         t = f"regexp_replace({t}, {quoted(pattern)}, {to}, 'g')"
+    t = f"(' ' || replace({t}, chr(10), ' ' || chr(10) || ' ') || ' ')"
     for a, b in EQUIVALENT:
-        t = f"replace({t}, {quoted(a)}, {quoted(b)})"
+        t = f"replace({t}, {quoted(' ' + a)}, {quoted(' ' + b)})"
     return (f"regexp_replace(regexp_replace({t}, {quoted(LINE_ENDS)}, chr(10), 'g'), "
             f"{quoted('^[ ' + chr(92) + 'n]+|[ ' + chr(92) + 'n]+$')}, '', 'g')")
 
@@ -69,6 +74,18 @@ def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
+def read_known(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(licence id, text) of the ``<licence id>.txt`` files of a folder, in order of
+    their names; ``<licence id>.<anything>.txt`` is another text of the same licence."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(
+        F.col("_metadata.file_name").alias("name"), "value")
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    if n > MAX_KNOWN or size > MAX_KNOWN_BYTES:
+        raise ValueError(f"{n} licences of {size} bytes; at most {MAX_KNOWN} of {MAX_KNOWN_BYTES} bytes")
+    rows = sorted((r["name"], r["value"]) for r in files.collect())
+    return [(re.sub(r"(\.[^.0-9][^.]*)?\.txt$", "", name), text) for name, text in rows]
+
+
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """(digest, licence_id) of the known texts; the first id of a digest counts."""
     if len(known) > MAX_KNOWN:
