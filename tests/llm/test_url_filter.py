@@ -72,3 +72,19 @@ def test_cascade_is_exact_over_the_universe(spark, share, slice_bits):
 
 def test_no_listed_keys(spark):
     assert not U.Cascade([[]]).contains(np.array([1, 2]), np.array([3, 4])).any()
+
+
+def test_one_slice_at_a_time_equals_one_cascade(spark):
+    """A list cut into many slices, with nulls, long URLs and repeated rows."""
+    urls = [f"https://h{i % 90}.example.org/p{i % 37}/{'x' * (i % 5)}?q={i}" for i in range(600)]
+    urls += [None, "no scheme", "http://", "https://LONG.org/" + "y" * 20_000, "https://LONG.org/" + "y" * 20_000]
+    pages = spark.createDataFrame([(i if i % 50 else None, u) for i, u in enumerate(urls)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.example.org/p{j}/",) for i in range(0, 90, 2) for j in range(37)] + [("long.org/" + "y" * 20_000,)],
+                                   "key string")
+    rules = [U.Rule("org/", "allow"), U.Rule("h4.example.org/p1", "block")][1:]
+
+    def out(bits):
+        return sorted(map(str, U.judge(pages, rules, listed, slice_bits=bits).collect()))
+
+    one = out(1 << 20)
+    assert out(2000) == one and len(one) == len(urls) and any("block" in r for r in one) and any("allow" in r for r in one)

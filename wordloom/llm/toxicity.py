@@ -73,22 +73,25 @@ EXCEPTIONS = ("class clown", "clown fish", "clown car", "idiot proof", "pond scu
 _FOLD = {ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTIONS}.items()}
 _FOLD.update({ord(c): None for c in INVISIBLE})
 _RUN = re.compile(r"[^\W\d_]+")
+_ONE = re.compile(r"1[0-9@$]*[^\W\d_]|[^\W\d_][0-9@$]*1")       # a one in a run that has a letter
 
 
 _OTHER = {**_FOLD, ord("1"): "l"}      # a one may stand for an i or an l
 
 
+def _plain(text: str) -> str:
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+
+
 def fold(text: str, other: bool = False) -> str:
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return text.lower().translate(_OTHER if other else _FOLD)
+    return _plain(text).translate(_OTHER if other else _FOLD)
 
 
 def readings(text: str) -> list[str]:
-    """The folded texts of equal length: one, or two if ones can be read in two ways."""
-    first = fold(text)
-    other = fold(text, True)
-    return [first] if other == first else [first, other]
+    """The folded texts of equal length: one, or two if a one in a word can be read in two ways."""
+    t = _plain(text)
+    first = t.translate(_FOLD)
+    return [first, t.translate(_OTHER)] if "1" in t and _ONE.search(t) else [first]
 
 
 def features(text: str, stems: Sequence[int] = STEM_LENGTHS) -> list[str]:

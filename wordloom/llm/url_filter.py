@@ -13,7 +13,9 @@ set by a grouped bitwise OR, and the survivors of a level are written as a
 table in the shared folder.  The size of a level follows from the number of its
 keys; together the levels take a few bits per listed key, not per key of the
 universe.  Filters go to the tasks in slices of at most ``SLICE_BITS`` bits
-each: a larger list is split by key hash into several cascades.
+each: a larger list is split by key hash into several cascades, and one slice at a
+time is built, sent to the tasks, used to judge the rows whose key falls into it
+(their verdicts are written) and dropped.
 
 ``judge`` applies host/path rules first.  A rule ``host/path`` fits its host and
 all subdomains if the path starts with the rule's; the longest fitting rule
@@ -21,13 +23,14 @@ wins (rules are keys, so the cascade finds them too).  Other URLs are blocked
 when their host and path is listed, and allowed otherwise.
 
 Null URLs and URLs without ``://`` have empty host and path, fit no rule and are
-never listed.  Repeated URLs and null ids keep their rows.
+never listed.  Repeated URLs and null ids keep their rows; very long URLs are keys
+like others; empty tables on either side are fine.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -147,24 +150,25 @@ def _level(keys: DataFrame, n: int, fpp: float, level: int) -> Level:
 
 
 def build_cascade(universe: DataFrame, listed: str = "listed", slice_bits: int = SLICE_BITS) -> Cascade:
-    """Cascade over distinct keys (h1, h2, ``listed`` boolean)."""
+    """Cascade over distinct keys (h1, h2, ``listed`` boolean), all slices of it."""
     with scratch_scope(universe.sparkSession):
-        return _build(universe, listed, slice_bits)
+        return Cascade([levels for _s, _n, levels in cascade_slices(universe, listed, slice_bits)])
 
 
-def _build(universe: DataFrame, listed: str, slice_bits: int) -> Cascade:
+def cascade_slices(universe: DataFrame, listed: str, slice_bits: int) -> Iterator[tuple[int, int, list[Level]]]:
+    """(slice, number of slices, its levels), built one after another; a key's slice
+    follows from its first hash."""
     spark = universe.sparkSession
     ship_package(spark)
     keys = stored(universe.select("h1", "h2", F.col(listed).alias("listed")), "url-keys")
     n_in, n_out = keys.agg(F.count(F.when(F.col("listed"), 1)), F.count(F.when(~F.col("listed"), 1))).first()
     if not n_in:
-        return Cascade([[]])
+        yield 0, 1, []
+        return
     fpp = min(0.5, max(n_in / max(n_out, 1) / math.sqrt(2), 1e-6))
     n_slices = max(1, math.ceil(n_in * -math.log(fpp) / math.log(2) ** 2 / slice_bits))
-    part = F.pmod(F.shiftrightunsigned("h1", 32), F.lit(n_slices))
-    cascade = Cascade()
     for s in range(n_slices):
-        inside = keys.where(part == s) if n_slices > 1 else keys
+        inside = keys.where(slice_of(F.col("h1"), n_slices) == s) if n_slices > 1 else keys
         hold, rest = inside.where("listed"), inside.where("not listed")
         n = hold.count()
         levels: list[Level] = []
@@ -186,8 +190,11 @@ def _build(universe: DataFrame, listed: str, slice_bits: int) -> Cascade:
             false = stored(rest.where(F.pandas_udf(test, "boolean")("h1", "h2")), "url-level")
             hold, rest = false, hold
             n, p = hold.count(), 0.5
-        cascade.slices.append(levels)
-    return cascade
+        yield s, n_slices, levels
+
+
+def slice_of(h1: Column, n: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h1, 32), F.lit(n))
 
 
 def member(cascade: Cascade, key: Column, spark) -> Column:
@@ -225,7 +232,7 @@ def _universe(keys: DataFrame, listed: Column) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: str = "page_id",
-          url_col: str = "url") -> DataFrame:
+          url_col: str = "url", slice_bits: int = SLICE_BITS) -> DataFrame:
     """(id, host, path, rule, verdict) for every row of ``pages``.  ``listed``
     has one column ``key`` of host + path to block where no rule fits."""
     spark = pages.sparkSession
@@ -238,8 +245,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: st
     asked = own.groupBy("key").agg(F.lit(False).alias("listed"))
     on_list = listed.select("key").where("key is not null").groupBy("key").agg(F.lit(True).alias("listed"))
     url_keys = asked.unionByName(on_list)
-    list_cascade = build_cascade(_universe(url_keys, F.col("listed")))
-
     hosts = rows.where("host != ''").groupBy("host", "path").agg(F.lit(1).alias("_one"))
     could = hosts.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key"))
     rule_cascade = build_cascade(_universe(could, F.col("key").isin(sorted(verdict))))
@@ -263,9 +268,22 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: st
         F.transform("_keys", lambda k: F.xxhash64(k, F.lit("second"))))
     found = F.filter(F.arrays_zip(F.col("_keys").alias("k"), F.col("_flags").alias("f")), lambda x: x["f"])
     longest = F.array_max(F.transform(found, lambda x: F.struct(F.length(x["k"]).alias("n"), x["k"].alias("k"))))
-    judged = (tried.withColumn("_flags", flags)
-              .withColumn("_listed", member(list_cascade, F.concat("host", "path"), spark) & (F.col("host") != ""))
-              .withColumn("rule", longest["k"]))
     by_rule = F.create_map(*[F.lit(x) for r in sorted(verdict) for x in (r, verdict[r])])
-    return judged.select(id_col, "host", "path", "rule", F.coalesce(
-        by_rule[F.col("rule")], F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    own_key = F.concat("host", "path")
+
+    def judged(some: DataFrame, levels: list[Level]) -> DataFrame:
+        on_list = member(Cascade([levels]), own_key, spark) & (F.col("host") != "")
+        return (some.withColumn("_flags", flags).withColumn("_listed", on_list).withColumn("rule", longest["k"])
+                .select(id_col, "host", "path", "rule", F.coalesce(by_rule[F.col("rule")], F.when(
+                    F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")))
+
+    out = None
+    with scratch_scope(spark) as scratch:
+        for s, n, levels in cascade_slices(_universe(url_keys, F.col("listed")), "listed", slice_bits):
+            if n == 1:
+                return judged(tried, levels)
+            here = slice_of(key_hashes(own_key)[0], n) == s
+            part = stored(judged(tried.where(here), levels), "url-judged")
+            scratch.pop()                      # part of the result
+            out = part if out is None else out.unionByName(part)
+    return out
