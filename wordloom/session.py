@@ -106,7 +106,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Intermediate tables made inside are deleted at the end: for work whose
     results are written before the scope ends.  Yields their paths, newest last;
-    a path taken out of the list (``pop()``) stays."""
+    the newest stays if it is handed on (``hand_on``)."""
     held: list[str] = []
     _SCOPES.append(held)
     try:
@@ -124,12 +124,19 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
     on the way is deleted, the result belongs to the scope around (if any)."""
     with scratch_scope(spark) as held:
         out = stored(build(), name)
-        path = held.pop()
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+        hand_on(held)
     return out
 
 
+def hand_on(held: list[str]) -> None:
+    """The newest table of a scope is its result: it belongs to the scope around, or
+    to the caller if there is none."""
+    path = held.pop()
+    outer = next((i for i, x in enumerate(_SCOPES) if x is held), 0) - 1
+    if outer >= 0:
+        _SCOPES[outer].append(path)
+
+
 _SHIPPED: set[str] = set()
 
 
