@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import read_table, scratch_path, scratch_scope, settled, ship_package, stored
+from ..session import hand_on, read_table, scratch_path, scratch_scope, settled, ship_package, stored
 
-__all__ = ["read_table", "scratch_path", "scratch_scope", "settled", "ship_package", "stored", "map_arrow",
+__all__ = ["hand_on", "read_table", "scratch_path", "scratch_scope", "settled", "ship_package", "stored", "map_arrow",
            "text_or_empty", "utf8_size", "row_chunks", "byte_sizes", "small_batches"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

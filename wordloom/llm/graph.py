@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_scope, stored
+from .common import hand_on, scratch_scope, stored
 
 MAX_ROUNDS = 64
 
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(MAX_ROUNDS):
             row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if row[0] == 0 or tuple(row) == state:
-                scratch.pop()
+                hand_on(scratch)
                 return now.select("u", F.col("v").alias("root"))
             state = tuple(row)
             now = stored(_small_star(_large_star(now)), "cc-edges")

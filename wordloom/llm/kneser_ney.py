@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import scratch_scope, ship_package, small_batches, stored
+from .common import hand_on, scratch_scope, ship_package, small_batches, stored
 
 ORDER = 5
 BLOCK_BYTES = 48 << 20
@@ -428,7 +428,7 @@ def score(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
                          .select("block", "lang", "gram", F.col("logp").cast("float").alias("logp")), "kn-answers")
         scored = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
             _score_block(order, carry, to_arrow_schema(schema)), schema), "kn-scores")
-        scratch.pop()
+        hand_on(scratch)
     return scored.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.exp(
         -F.col("log_likelihood") / F.col("n_chars"))))
 

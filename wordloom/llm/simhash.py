@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_sizes, map_arrow, row_chunks, scratch_scope, ship_package, stored
+from .common import byte_sizes, map_arrow, row_chunks, hand_on, scratch_scope, ship_package, stored
 from .graph import components
 
 SEED = 42
@@ -324,7 +324,7 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
         least = stored(named.groupBy("root").agg(F.min("_least").alias("component_id")), "simhash-least")
         by_fp = named.select("fp", "root").join(least, "root")
         out = stored(prints.join(by_fp, "fp").select(key_col, *carry, "fp", "root", "component_id"), "simhash")
-        scratch.pop()
+        hand_on(scratch)
     return out
 
 

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, scratch_scope, ship_package, stored
+from .common import ASCII_LOWER, ASCII_UPPER, hand_on, scratch_scope, ship_package, stored
 
 SLICE_BITS = 1 << 27          # 16 MB of filter per slice and level at most
 MIN_BITS = 64
@@ -284,6 +284,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: st
                 return judged(tried, levels)
             here = slice_of(key_hashes(own_key)[0], n) == s
             part = stored(judged(tried.where(here), levels), "url-judged")
-            scratch.pop()                      # part of the result
+            hand_on(scratch)                      # part of the result
             out = part if out is None else out.unionByName(part)
     return out
