@@ -276,3 +276,11 @@ def test_invalid_bytes_at_any_place_are_found(spark):
     bad = [good[:at] + b"\xc3" + good[at:] for at in (0, 41, 2500)] + [good + b"\xc3"]
     df = spark.createDataFrame([(bytearray(x),) for x in [good, *bad]], "b binary")
     assert [r[0] for r in df.select(utf8_valid("b")).collect()] == [True, False, False, False, False]
+
+
+def test_fixture_vocabulary_has_no_limit_on_its_words(spark):
+    docs = spark.range(30).selectExpr(
+        "id as doc_id", "array_join(transform(sequence(1, 8300), i -> concat('w', i)), ' ') || ' rare' || id as text")
+    tokens = {r["token"] for r in fixture_vocab(docs).collect()}
+    assert {f"w{i}" for i in range(1, 8301)} <= tokens
+    assert not any(t.startswith("rare") for t in tokens)
