@@ -206,3 +206,13 @@ def test_a_stream_goes_on_from_a_batch_run(spark, scratch):
                        idle="100000 days")
     done = sorted(tuple(r) for r in over.collect() if r["key"] is not None)
     assert sorted(done + [r for r in got if r[0] != 999]) == want
+
+
+@pytest.mark.parametrize("name", ["h1_stream_tokenize", "h4_dead_letters"])
+def test_documents_in_a_folder_of_files_are_streamed(spark, scratch, name):
+    from wordloom.plans import registry
+    docs = spark.createDataFrame([(i, f"word{i} and some more", "en", "web", 20) for i in range(20)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(2).write.parquet(f"{scratch}/documents.parquet")
+    got = registry.queries()[name](spark, scratch)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(20))
