@@ -66,3 +66,28 @@ def test_tokens_of_heavy_words_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(W, "PLAIN_JOIN_ROWS", 0)
     monkeypatch.setattr(W, "SUPPORT", 0.05)
     assert out() == plain and len(plain) == 302
+
+
+def test_texts_in_blocks_give_the_same_bodies(spark, monkeypatch):
+    """Many occurrences: none is shuffled, texts meet the pieces of their words by block."""
+    vocab = spark.createDataFrame([(0, "hot"), (1, "cold"), (2, "##er"), (3, "."), (100, "[UNK]")], "id int, token string")
+    docs = spark.range(400).selectExpr("id % 50 as doc_id", "id as lang", "concat(repeat('hot. ', id % 9), 'colder x', id) as text")
+    odd = [(None, 1000, "hot"), (None, 1001, "hot"), (7, 1002, ""), (7, 1003, None), (8, 1004, " \t"), (8, 1005, "\0hot")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, lang long, text string"))
+    docs = docs.selectExpr("doc_id", "lang", "cast(text as binary) as text").unionByName(
+        spark.createDataFrame([(9, 1006, bytearray(b"hot\xff"))], "doc_id long, lang long, text binary"))
+
+    def out(df):
+        return sorted(((r["doc_id"], r["lang"], r["body_tokens"], r["body_ids"], r["text_error"]) for r in df.collect()), key=str)
+
+    for with_tokens in (True, False):
+        def tokenized():
+            return W.tokenize(docs.repartition(3), vocab, carry=["lang"], with_tokens=with_tokens)
+
+        monkeypatch.setattr(W, "PLAIN_JOIN_ROWS", 2_000_000)
+        plain = out(tokenized())
+        monkeypatch.setattr(W, "PLAIN_JOIN_ROWS", 0)
+        monkeypatch.setattr(W, "BLOCK_BYTES", 500)
+        by_blocks = tokenized()
+        assert out(by_blocks) == plain and len(plain) == 407
+        assert "CoGroups" in by_blocks._jdf.queryExecution().toString()
