@@ -134,3 +134,13 @@ def test_a_token_without_an_embedding_fails_the_job(spark):
     assert ok["x"] == [1.5, 3.5]
     with pytest.raises(Exception, match="no embedding for token 100"):
         token_embeddings(toks, word, pos, [0.0, 1.0]).collect()
+
+
+def test_vectors_as_text_in_batches(spark):
+    """``fmt_batches`` is ``fmt``: signs, ties, large and special numbers, nulls."""
+    rows = [(0, [0.1, -0.5, 1.0, 0.0000005, -0.0000004, -0.0, 99999.9999995, 1e5, -123456789.125]),
+            (1, [float("nan"), float("inf"), float("-inf"), 1e22, 2.5e-7, 1.0000015, -1.0000025]),
+            (2, [0.25, None, -3.0]), (3, []), (4, None), (5, [(k * 31 % 97) / 97.0 - 0.5 for k in range(64)])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = df.select("id", V.fmt_batches("v").alias("a"), V.fmt("v").alias("b")).collect()
+    assert {r["id"]: r["a"] for r in got} == {r["id"]: r["b"] for r in got}
