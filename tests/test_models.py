@@ -163,3 +163,84 @@ def test_bad_files_are_reported_and_missing_tensors_found_per_file(spark, tmp_pa
     assert got[("offsets.safetensors", "y")][1] == "offsets do not agree with the shape"
     with pytest.raises(ValueError, match="short"):
         weight_rows(spark, str(bad))
+
+
+def _word_model(spark, weights, words):
+    from wordloom.operators.embed import with_vocabulary
+
+    base = model_from_weights(spark, TINY, weights, with_words=False)
+    assert M.EMBEDDING_TENSORS[0] not in base.weights_bc.value
+    rows = [(i, v.tolist()) for i, v in enumerate(words)]
+    return with_vocabulary(base, spark.createDataFrame(rows, "token_id int, w array<float>"), len(rows))
+
+
+def test_seeded_words_go_on_beyond_the_word_tensor(spark):
+    from wordloom.operators.embed import seeded_words
+
+    cfg = M.ModelConfig(vocab_size=1500, hidden=8, layers=1, heads=2, max_seq=16, ffn=16)
+    got = {n: {r["token_id"]: r["w"] for r in seeded_words(spark, cfg, n, seed=5).collect()} for n in (700, 1500, 4000)}
+    assert all(sorted(w) == list(range(n)) for n, w in got.items())
+    tensor = M.seeded_weights(cfg, 5)[M.EMBEDDING_TENSORS[0]]
+    assert np.array_equal(np.array([got[1500][i] for i in range(1500)], np.float32), tensor)
+    for w in got.values():      # a word's vector does not depend on the size of the vocabulary
+        assert all(w[i] == got[4000][i] for i in w)
+    assert len({tuple(v) for v in got[4000].values()}) == 4000
+
+
+@pytest.mark.parametrize("pairs", [500_000, 0])
+def test_word_table_gives_the_vectors_of_the_broadcast(spark, monkeypatch, pairs):
+    from wordloom.operators import embed as E
+
+    weights = M.seeded_weights(TINY, seed=4)
+    rows = [(r["doc_id"], r["ids"]) for r in _ids_df(spark, n=60).collect()]
+    rows += [(None, [101, 7, 102])] * 40 + [(3, [101] + [9] * 30 + [102])] * 40     # null and repeated keys
+    df = spark.createDataFrame([(k, f"c{i}", s) for i, (k, s) in enumerate(rows)], "doc_id long, c string, ids array<int>")
+    monkeypatch.setattr(E, "BLOCK_BYTES", 4 * TINY.hidden * 100)
+    monkeypatch.setattr(E, "BROADCAST_PAIRS", pairs)
+    blocks, n = E._blocks(df.select("doc_id", F.col("ids").alias("_ids"), F.size("ids").alias("_n")), ["doc_id"], TINY.hidden, TINY.max_seq)
+    held = [r["t"] for r in blocks.groupBy("_at").agg(F.sum(F.size("_ids")).alias("t")).collect()]
+    assert n >= 20 and max(held) <= 100 + 3 * TINY.max_seq and sum(held) == sum(len(s) for _, s in rows)
+    model = _word_model(spark, weights, weights[M.EMBEDDING_TENSORS[0]])
+    out = embed(df, model, carry=["c"])
+    assert out.columns == ["doc_id", "c", "n_tokens", "embedding"]
+    got = {r["c"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, (k, s) in enumerate(rows):
+        r = got[f"c{i}"]
+        assert (r["doc_id"], r["n_tokens"]) == (k, len(s))
+        assert np.max(np.abs(np.array(r["embedding"]) - M.encode_same_length(np.array([s]), weights, TINY)[0])) < 1e-5
+    assert embed(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[101, 1000, 102], [101, -1, 102], [101] * (TINY.max_seq + 1), [], None])
+def test_word_table_refuses_bad_ids(spark, ids):
+    weights = M.seeded_weights(TINY, seed=4)
+    model = _word_model(spark, weights, weights[M.EMBEDDING_TENSORS[0]])
+    df = spark.createDataFrame([(1, ids), (2, [101, 5, 102])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception):
+        embed(df, model).collect()
+
+
+def test_benchmark_takes_a_vocabulary_larger_than_the_published_one(spark, tmp_path):
+    from wordloom.plans import model_queries as Q
+    from wordloom.plans.context import vocab
+
+    words = [f"zz{i:05d}" for i in range(22_000)]
+    spark.createDataFrame([(i, " ".join(words)) for i in range(30)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    texts = [" ".join(words[-40:]), "zz00000 zz21999", "zz00000 unknown!", "", "zz00000 zz21999"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    v, info = vocab(spark, str(tmp_path))
+    ids = {r["token"]: r["id"] for r in v.collect()}
+    cfg = M.PUBLISHED_CONFIG
+    assert info.max_id >= cfg.vocab_size and ids["zz21999"] >= cfg.vocab_size
+    got = {r["item_id"]: r for r in Q.d1_embed_benchmark(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[0]["n_tokens"] == 42 and got[3]["n_tokens"] == 2
+    assert np.allclose(got[1]["embedding"], got[4]["embedding"], atol=1e-5)
+    assert not np.allclose(got[1]["embedding"], got[2]["embedding"], atol=1e-2)
+    w = M.seeded_weights(cfg, 0)
+    more = np.concatenate([rows for _, rows in M.seeded_word_rows(cfg, 0, 1)])
+    w[M.EMBEDDING_TENSORS[0]] = np.concatenate([w[M.EMBEDDING_TENSORS[0]], more])
+    for i in (0, 1):
+        seq = [101, *(ids[x] for x in texts[i].split()), 102]
+        assert np.max(np.abs(np.array(got[i]["embedding"]) - M.encode_same_length(np.array([seq]), w, cfg)[0])) < 1e-5
